@@ -15,7 +15,14 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..operators import frames as FR
 from ..operators import profile as PR
+from ..operators import quality as QU
+from ..operators import requests as RQ
+from ..plans import ingest as IN
+from ..schemas import FRAME_COLUMNS
+from ..session import scratch_path
 from ..sources import corpus as CO
+from ..sources.csv_scan import read_frames_csv, write_frames_csv
+from ..sources.store import ManifestStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +78,136 @@ def q_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(FR.frames_sorted(CO.frames_raw(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------- CSV source
+LEGACY_CAMERAS = ("Cam4", "Cam5")  # exports written with the old 6-column header
+
+
+def _csv_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """Write the whole corpus as per-frame CSV exports in two header variants."""
+    root = scratch_path(spark, "csv")
+    raw = CO.frames_raw(spark, sf_dir)
+    legacy = F.split(F.col("media_path"), "/").getItem(4).isin(*LEGACY_CAMERAS)
+    write_frames_csv(raw.filter(~legacy), f"{root}/full")
+    write_frames_csv(raw.filter(legacy), f"{root}/legacy",
+                     columns=["media_path", "media", "media_time", "frame", "times", "status"])
+    return root
+
+
+def q_scan_frames_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _csv_corpus(spark, sf_dir)
+    return read_frames_csv(spark, [f"{root}/full/*.csv", f"{root}/legacy/*.csv"])
+
+
+def q_scan_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _csv_corpus(spark, sf_dir)
+    return read_frames_csv(spark, [f"{root}/*/*.csv"], exclude=["*/legacy/part-*.csv"])
+
+
+# ---------------------------------------------------------------- store and ingest
+def _seeded_store(spark: SparkSession, sf_dir: str, label: str, with_frames: bool = True):
+    """A fresh store holding the seeded partitions, as if ingested earlier."""
+    raw = CO.frames_raw(spark, sf_dir)
+    store = ManifestStore(spark, scratch_path(spark, label))
+    store.append_videos(PR.videos(raw).filter(CO.seeded_partition()))
+    if with_frames:
+        store.append_frames(FR.frames_with_keys(raw).filter(CO.seeded_partition()))
+    return store, raw
+
+
+def q_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ManifestStore(spark, scratch_path(spark, "roundtrip"))
+    store.append_videos(PR.videos(CO.frames_raw(spark, sf_dir)))
+    return comparable(store.read_videos())
+
+
+def q_frames_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ManifestStore(spark, scratch_path(spark, "frames"))
+    IN.ingest_rows(spark, CO.frames_raw(spark, sf_dir), store.root, frames=True)
+    return comparable(store.read_frames())
+
+
+def q_existing_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _seeded_store(spark, sf_dir, "existing", with_frames=False)
+    return store.existing_partitions()
+
+
+def q_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, raw = _seeded_store(spark, sf_dir, "conflicts", with_frames=False)
+    return IN.conflicts(PR.partitions(PR.videos(raw)), store.existing_partitions())
+
+
+def q_new_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, raw = _seeded_store(spark, sf_dir, "newparts", with_frames=False)
+    return IN.new_partitions(PR.videos(raw), store.existing_partitions())
+
+
+def q_videos_to_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, raw = _seeded_store(spark, sf_dir, "v2w", with_frames=False)
+    vids = PR.videos(raw)
+    return comparable(IN.videos_to_write(vids, IN.new_partitions(vids, store.existing_partitions())))
+
+
+def q_frames_to_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, raw = _seeded_store(spark, sf_dir, "f2w", with_frames=False)
+    new_parts = IN.new_partitions(PR.videos(raw), store.existing_partitions())
+    return comparable(IN.frames_to_write(FR.frames_with_keys(raw), new_parts).select(*FRAME_COLUMNS))
+
+
+def q_dry_run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, raw = _seeded_store(spark, sf_dir, "dryrun", with_frames=False)
+    return IN.ingest_rows(spark, raw, store.root, frames=True, dry_run=True).plan
+
+
+def q_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, raw = _seeded_store(spark, sf_dir, "ingest")
+    return IN.ingest_rows(spark, raw, store.root, frames=True, skip_existing=True).summary
+
+
+# ---------------------------------------------------------------- requests
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RQ.resolve_requests(CO.requests(spark, sf_dir), PR.videos(CO.frames_raw(spark, sf_dir)))
+
+
+def q_resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)
+
+
+def q_request_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RQ.status_counts(_resolved(spark, sf_dir))
+
+
+def q_video_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RQ.video_metadata(PR.videos(CO.frames_raw(spark, sf_dir)))
+
+
+def q_video_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RQ.video_lookup(CO.requests(spark, sf_dir), PR.videos(CO.frames_raw(spark, sf_dir)))
+
+
+def q_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RQ.neighbors(_resolved(spark, sf_dir))
+
+
+def _seeded_cache(raw: DataFrame) -> DataFrame:
+    """Cache keys already extracted: the PNGs of every frame of the seeded partitions."""
+    return (FR.frames_with_keys(raw).filter(CO.seeded_partition())
+            .select(C.cache_key(F.col("video_id"), F.col("frame_index"), F.lit("png")).alias("cache_key")))
+
+
+def q_cache_miss_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = CO.frames_raw(spark, sf_dir)
+    resolved = RQ.resolve_requests(CO.requests(spark, sf_dir), PR.videos(raw))
+    return RQ.cache_miss_plan(resolved, _seeded_cache(raw))
+
+
+# ---------------------------------------------------------------- quality
+def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = CO.frames_raw(spark, sf_dir)
+    profile = PR.media_profile(raw)
+    vids = PR.videos_from_profile(profile)
+    return QU.quality_report(raw, profile, vids, FR.frames_table(raw))
+
+
 QUERIES: dict[str, Query] = {
     "ok_frames": q_ok_frames,
     "path_parts": q_path_parts,
@@ -81,6 +218,24 @@ QUERIES: dict[str, Query] = {
     "scan_summary": q_scan_summary,
     "partitions": q_partitions,
     "frames": q_frames,
+    "scan_frames_csv": q_scan_frames_csv,
+    "scan_exclude": q_scan_exclude,
+    "store_roundtrip": q_store_roundtrip,
+    "frames_store": q_frames_store,
+    "existing_partitions": q_existing_partitions,
+    "conflicts": q_conflicts,
+    "new_partitions": q_new_partitions,
+    "videos_to_write": q_videos_to_write,
+    "frames_to_write": q_frames_to_write,
+    "dry_run_plan": q_dry_run_plan,
+    "ingest_summary": q_ingest_summary,
+    "resolve_requests": q_resolve_requests,
+    "request_status_counts": q_request_status_counts,
+    "video_metadata": q_video_metadata,
+    "video_lookup": q_video_lookup,
+    "neighbors": q_neighbors,
+    "cache_miss_plan": q_cache_miss_plan,
+    "quality_report": q_quality_report,
 }
 
 
@@ -133,3 +288,106 @@ SELECT media AS video_id, frame AS frame_index, CAST(times AS TIMESTAMP) AS fram
        {_CRUISE_SQL} AS cruise
 FROM ok ORDER BY cruise, video_id, frame_index""",
 }
+
+_CTE_REQ = f"requests AS ({CO.REQUESTS_SQL})"
+_CTE_OKK = f"okk AS (SELECT *, {_CRUISE_SQL} AS cruise, {_CAMERA_SQL} AS camera FROM ok)"
+_SEEDED = CO.SEEDED_SQL
+_CAM_IN_PATH = "split_part(media_path, '/', 5)"
+_ISO_SQL = ("strftime(media_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(media_time) % 1000000 = 0 THEN '' "
+            "ELSE '.' || lpad(CAST(epoch_us(media_time) % 1000000 AS VARCHAR), 6, '0') END || '+00:00'")
+_CTE_RESOLVED = """resolved AS (
+  SELECT r.request_id, r.video_id, r.frame_index, coalesce(r.format, 'png') AS format,
+         CASE WHEN coalesce(r.format, 'png') NOT IN ('png', 'jpeg') THEN 400
+              WHEN v.video_id IS NULL THEN 404
+              WHEN r.frame_index < 0 OR r.frame_index >= v.frame_count THEN 416
+              ELSE 200 END AS status_code,
+         v.media_path AS v_path, v.frame_count AS v_count
+  FROM requests r LEFT JOIN videos v ON r.video_id = v.video_id)"""
+_SCAN_CSV_SELECT = f"""SELECT media_path, media, media_time, frame, times, status,
+       CASE WHEN {_CAM_IN_PATH} IN ('Cam4', 'Cam5') THEN NULL ELSE nullif(id, '') END AS id,
+       CASE WHEN {_CAM_IN_PATH} IN ('Cam4', 'Cam5') THEN NULL ELSE nullif(link, '') END AS link
+FROM frames_raw"""
+_KEY_SQL = "video_id || '_' || CAST(frame_index AS VARCHAR) || '.' || CASE format WHEN 'png' THEN 'png' ELSE 'jpg' END"
+
+ORACLE.update({
+    "scan_frames_csv": _with(_CTE_RAW) + _SCAN_CSV_SELECT,
+    "scan_exclude": _with(_CTE_RAW) + _SCAN_CSV_SELECT + f" WHERE {_CAM_IN_PATH} NOT IN ('Cam4', 'Cam5')",
+    "store_roundtrip": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS) + "SELECT * FROM videos",
+    "frames_store": _with(_CTE_RAW, _CTE_OK) + f"""
+SELECT media AS video_id, frame AS frame_index, CAST(times AS TIMESTAMP) AS frame_time, status,
+       {_CRUISE_SQL} AS cruise FROM ok""",
+    "existing_partitions": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS)
+    + f"SELECT DISTINCT cruise, camera FROM videos WHERE {_SEEDED}",
+    "conflicts": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS)
+    + f"SELECT cruise, camera FROM videos INTERSECT SELECT cruise, camera FROM videos WHERE {_SEEDED}",
+    "new_partitions": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS)
+    + f"SELECT cruise, camera FROM videos EXCEPT SELECT cruise, camera FROM videos WHERE {_SEEDED}",
+    "videos_to_write": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS) + f"SELECT * FROM videos WHERE NOT ({_SEEDED})",
+    "frames_to_write": _with(_CTE_RAW, _CTE_OK, _CTE_OKK) + f"""
+SELECT media AS video_id, frame AS frame_index, CAST(times AS TIMESTAMP) AS frame_time, status, cruise
+FROM okk WHERE NOT ({_SEEDED})""",
+    "dry_run_plan": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS) + f"""
+SELECT cruise, camera, count(*) AS videos, bool_or({_SEEDED}) AS stored,
+       CASE WHEN bool_or({_SEEDED}) THEN 'EXISTS — would be rejected' ELSE 'new' END AS status
+FROM videos GROUP BY cruise, camera""",
+    "ingest_summary": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_OKK) + f"""
+SELECT 'written' AS status,
+       (SELECT count(*) FROM (SELECT DISTINCT cruise, camera FROM videos)) AS partitions_total,
+       (SELECT count(*) FROM (SELECT DISTINCT cruise, camera FROM videos WHERE NOT ({_SEEDED}))) AS partitions_written,
+       (SELECT count(*) FROM (SELECT DISTINCT cruise, camera FROM videos WHERE {_SEEDED})) AS partitions_skipped,
+       (SELECT count(*) FROM videos WHERE NOT ({_SEEDED})) AS videos_written,
+       (SELECT count(*) FROM okk WHERE NOT ({_SEEDED})) AS frames_written,
+       (SELECT count(DISTINCT media_path) FROM frames_raw
+         WHERE frame IS NULL AND NOT contains(media_path, '/skip/')) AS bad_file,
+       (SELECT count(DISTINCT media_path) FROM frames_raw WHERE contains(media_path, '/skip/')) AS skipped_videos,
+       (SELECT count(*) FROM frames_raw
+         WHERE (id IS NOT NULL AND id <> '') OR (link IS NOT NULL AND link <> '')) AS id_link_nonempty""",
+    "resolve_requests": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED) + """
+SELECT request_id, video_id, frame_index, format, status_code,
+       CASE status_code
+            WHEN 400 THEN 'unknown format: ''' || format || ''' (allowed: png, jpeg)'
+            WHEN 404 THEN 'video_id=''' || video_id || ''' not in manifest'
+            WHEN 416 THEN 'frame_index=' || CAST(frame_index AS VARCHAR) || ' out of range for video_id='''
+                          || video_id || ''' (frame_count=' || CAST(v_count AS VARCHAR) || ')'
+       END AS detail,
+       CASE WHEN status_code = 200 THEN CASE format WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END END
+         AS content_type,
+       v_path AS media_path, v_count AS frame_count
+FROM resolved""",
+    "request_status_counts": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED)
+    + "SELECT status_code, count(*) AS n_requests FROM resolved GROUP BY status_code",
+    "video_metadata": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS) + f"""
+SELECT video_id, regexp_extract(media_path, '[^/]+$', 0) AS media_basename, frame_count,
+       frame_count - 1 AS last_frame_index, {_ISO_SQL} AS media_time, cruise, camera
+FROM videos""",
+    "video_lookup": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ) + f"""
+SELECT i.video_id, regexp_extract(v.media_path, '[^/]+$', 0) AS media_basename, v.frame_count,
+       v.frame_count - 1 AS last_frame_index, {_ISO_SQL.replace('media_time', 'v.media_time')} AS media_time,
+       v.cruise, v.camera,
+       CASE WHEN v.video_id IS NULL THEN 404 ELSE 200 END AS status_code,
+       CASE WHEN v.video_id IS NULL THEN 'video_id=''' || i.video_id || ''' not in manifest' END AS detail
+FROM (SELECT DISTINCT video_id FROM requests) i LEFT JOIN videos v ON i.video_id = v.video_id""",
+    "neighbors": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED) + """
+SELECT request_id, video_id, frame_index, o.off AS "offset", frame_index + o.off AS neighbor_index,
+       video_id || '_' || CAST(frame_index + o.off AS VARCHAR) || '.'
+         || CASE format WHEN 'png' THEN 'png' ELSE 'jpg' END AS neighbor_key
+FROM resolved CROSS JOIN (VALUES (-5), (-1), (1), (5)) o(off)
+WHERE status_code = 200 AND frame_index + o.off >= 0 AND frame_index + o.off < v_count""",
+    "cache_miss_plan": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED, _CTE_OKK) + f""",
+wanted AS (
+  SELECT {_KEY_SQL} AS cache_key, video_id, frame_index, format, v_path AS media_path, count(*) AS n_requests
+  FROM resolved WHERE status_code = 200 GROUP BY ALL)
+SELECT * FROM wanted w WHERE NOT EXISTS (
+  SELECT 1 FROM okk WHERE {_SEEDED} AND okk.media || '_' || CAST(okk.frame AS VARCHAR) || '.png' = w.cache_key)""",
+    "quality_report": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS) + """
+SELECT 'duplicate_video_id' AS "check",
+       (SELECT count(*) FROM (SELECT video_id FROM videos GROUP BY video_id HAVING count(*) > 1)) AS n_items
+UNION ALL SELECT 'duplicate_path_frame',
+       (SELECT count(*) FROM (SELECT media_path, frame FROM ok GROUP BY ALL HAVING count(*) > 1))
+UNION ALL SELECT 'null_media_time', (SELECT count(*) FROM videos WHERE media_time IS NULL)
+UNION ALL SELECT 'frame_count_mismatch',
+       (SELECT count(*) FROM (SELECT media_path FROM ok GROUP BY media_path HAVING count(*) <> max(frame) + 1))
+UNION ALL SELECT 'unparseable_path', (SELECT count(*) FROM videos WHERE cruise IS NULL)
+UNION ALL SELECT 'video_without_frames',
+       (SELECT count(*) FROM videos v WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.media = v.video_id))""",
+})

@@ -66,18 +66,18 @@ class PartitionConflictError(RuntimeError):
 @dataclass
 class IngestReport:
     summary: DataFrame          # one row, SUMMARY schema
-    plan: DataFrame             # one row per partition: cruise, camera, videos, exists, status
+    plan: DataFrame             # one row per partition: cruise, camera, videos, stored, status
 
 
 # ---------------------------------------------------------------- relational pieces
 def partition_plan(videos: DataFrame, existing: DataFrame, skip_existing: bool) -> DataFrame:
     """A5 + J5 + F6: videos per partition with its fate."""
     per_part = videos.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("videos"))
-    flagged = per_part.join(existing.withColumn("exists", F.lit(True)), KEYS, "left")
-    exists = F.coalesce(F.col("exists"), F.lit(False))
+    flagged = per_part.join(existing.select(*KEYS).withColumn("_stored", F.lit(True)), KEYS, "left")
+    stored = F.coalesce(F.col("_stored"), F.lit(False))
     fate = F.lit(STATUS_SKIPPED if skip_existing else STATUS_REJECTED)
-    return flagged.select(*KEYS, "videos", exists.alias("exists"),
-                          F.when(exists, fate).otherwise(F.lit(STATUS_NEW)).alias("status"))
+    return flagged.select(*KEYS, "videos", stored.alias("stored"),
+                          F.when(stored, fate).otherwise(F.lit(STATUS_NEW)).alias("status"))
 
 
 def conflicts(parts: DataFrame, existing: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
     store = ManifestStore(spark, store_root)
     existing = store.existing_partitions()
     plan = partition_plan(vids, existing, skip_existing).checkpoint(eager=True)
-    counts = plan.agg(F.count(F.lit(1)).alias("n"), F.count_if("exists").alias("c")).first()
+    counts = plan.agg(F.count(F.lit(1)).alias("n"), F.count_if("stored").alias("c")).first()
     n_parts, n_conflicts = int(counts.n), int(counts.c)
 
     def summary(status: str, written_parts: int, videos_n: int, frames_n: int) -> DataFrame:
@@ -144,14 +144,14 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
 
     if n_conflicts and not skip_existing:
         sample = [(r.cruise, r.camera) for r in
-                  plan.filter("exists").orderBy(*KEYS).select(*KEYS).limit(20).collect()]
+                  plan.filter("stored").orderBy(*KEYS).select(*KEYS).limit(20).collect()]
         raise PartitionConflictError(n_conflicts, sample)
 
     if n_parts - n_conflicts == 0:
         log.info("nothing new to write — all %d partition(s) already exist", n_parts)
         return IngestReport(summary("nothing_new", 0, 0, 0), plan)
 
-    write_parts = plan.filter(~F.col("exists")).select(*KEYS)
+    write_parts = plan.filter(~F.col("stored")).select(*KEYS)
     vids_out = videos_to_write(vids, write_parts) if n_conflicts else vids
 
     frames_n = 0
