@@ -60,14 +60,22 @@ def path_segments(path: str | Column = "media_path") -> Column:
     return F.filter(F.split(_col(path), "/"), lambda s: ~s.isin(*IGNORED_SEGMENTS))
 
 
+MIN_SEGMENTS = 4  # cruise/camera/timestamp/file
+
+
+def _segment_from_end(path: str | Column, k: int) -> Column:
+    parts = path_segments(path)
+    return F.when(F.size(parts) >= MIN_SEGMENTS, F.element_at(parts, F.lit(-k)))
+
+
 def cruise_of(path: str | Column = "media_path") -> Column:
     """4th segment from the end; null when the path has fewer than 4 segments."""
-    return F.try_element_at(path_segments(path), F.lit(-4))
+    return _segment_from_end(path, 4)
 
 
 def camera_of(path: str | Column = "media_path") -> Column:
     """3rd segment from the end; null when the path has fewer than 4 segments."""
-    return F.try_element_at(path_segments(path), F.lit(-3))
+    return _segment_from_end(path, 3)
 
 
 def strict_segment(value: Column, path: str | Column = "media_path") -> Column:
