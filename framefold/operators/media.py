@@ -1,0 +1,180 @@
+"""Media jobs over whole tables: the media audit (R3) and bulk frame extraction (R2).
+
+Both are ``mapInPandas`` stages: pixels are the one thing Spark's built-in
+expressions cannot decode. Spark still owns the work split:
+
+* audit: one row per video, hash-spread over an explicit partition count so the
+  per-file I/O is spread evenly (AQE would otherwise coalesce these tiny rows
+  into a single task);
+* extract: requests are clustered by ``(media_path, frame_index div 64)`` and
+  sorted inside each task, so a task opens each file once per run of frames,
+  seeks by the container index (constant time per frame), and a hot video is
+  split across many tasks instead of landing on one.
+
+Failures are row values (status 500 + reason), never job failures.
+"""
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..sources.avi import AviError, bgr_to_grey, open_avi, read_bgr
+from ..sources.png import encode_png
+
+# ---- fixed values ------------------------------------------------------------------------
+FRAMES_PER_TASK_CHUNK = 64     # frames of one file that travel together
+OUTPUT_ROWS_PER_BATCH = 8      # real frames are ~4 MB each: keep Arrow batches small
+STATUS_OK, STATUS_FAILED = 200, 500
+DETAIL_FAILED = "frame extraction failed"
+# --------------------------------------------------------------------------------------------
+
+AUDIT_SCHEMA = ("video_id string, frame_count bigint, status string, fourcc string, width int, height int, "
+                "container_frames bigint, fps double, bit_count int, channels int, b_eq_g boolean, "
+                "g_eq_r boolean, first_min int, first_max int, frames_match boolean")
+
+EXTRACT_SCHEMA = ("cache_key string, video_id string, frame_index bigint, format string, status_code int, "
+                  "reason string, detail string, content_type string, width int, height int, pixel_min int, "
+                  "pixel_max int, top_left int, bottom_right int, body binary")
+
+
+def _parallelism(df: DataFrame, num_partitions: int | None) -> int:
+    return num_partitions or max(2, df.sparkSession.sparkContext.defaultParallelism * 2)
+
+
+def _frame(rows: list[dict], cols: list[str]) -> pd.DataFrame:
+    """Rows -> pandas with object columns: Python ints/bools/bytes and None map
+    straight onto the declared Spark types in the Arrow conversion."""
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in cols})
+
+
+# ---------------------------------------------------------------- R3 audit
+def _audit_one(video_id: str, media_path: str, frame_count) -> dict:
+    row = {"video_id": video_id, "frame_count": frame_count, "status": "ok"}
+    try:
+        info = open_avi(media_path)
+        row.update(fourcc=info.fourcc, width=info.width, height=info.height,
+                   container_frames=info.frame_count, fps=float(info.fps), bit_count=info.bit_count)
+        with open(media_path, "rb") as fh:
+            bgr = read_bgr(fh, info, 0)
+        b, g, r = bgr[..., 0], bgr[..., 1], bgr[..., 2]
+        row.update(channels=3, b_eq_g=bool(np.array_equal(b, g)), g_eq_r=bool(np.array_equal(g, r)),
+                   first_min=int(bgr.min()), first_max=int(bgr.max()))
+    except AviError as e:
+        row["status"] = e.kind
+    except OSError:
+        row["status"] = "unopenable"
+    if row.get("container_frames") is not None and frame_count is not None:
+        row["frames_match"] = int(frame_count) == int(row["container_frames"])
+    return row
+
+
+def _audit_batches(batches):
+    cols = [c.split(" ")[0] for c in AUDIT_SCHEMA.split(", ")]
+    for pdf in batches:
+        out = [_audit_one(v, p, n) for v, p, n in zip(pdf["video_id"], pdf["media_path"], pdf["frame_count"])]
+        yield _frame(out, cols)
+
+
+def media_audit(videos: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Container facts of every video file next to the manifest's frame_count."""
+    n = _parallelism(videos, num_partitions)
+    return (videos.select("video_id", "media_path", "frame_count")
+            .repartition(n, "media_path")
+            .mapInPandas(_audit_batches, AUDIT_SCHEMA))
+
+
+# ---------------------------------------------------------------- R2 extraction
+class _OpenFile:
+    """The file a task is currently reading: one open and one index parse per run."""
+
+    def __init__(self):
+        self.path = None
+        self.info = None
+        self.error = None
+        self.fh = None
+
+    def switch(self, path: str):
+        if path == self.path:
+            return
+        self.close()
+        self.path, self.info, self.error = path, None, None
+        try:
+            self.info = open_avi(path)
+            self.fh = open(path, "rb")
+        except AviError as e:
+            self.error = e.kind
+        except OSError:
+            self.error = "unopenable"
+
+    def close(self):
+        if self.fh is not None:
+            self.fh.close()
+        self.fh = None
+
+
+def _extract_one(cur: _OpenFile, key, vid, idx, fmt, path) -> dict:
+    row = {"cache_key": key, "video_id": vid, "frame_index": idx, "format": fmt}
+    if path is None:
+        reason = "missing"
+    else:
+        cur.switch(path)
+        reason = cur.error
+    grey = None
+    if reason is None:
+        try:
+            grey = bgr_to_grey(read_bgr(cur.fh, cur.info, int(idx)))
+        except AviError as e:
+            reason = e.kind
+    if reason is None and fmt != "png":
+        reason = "unsupported_format"      # no JPEG encoder here (see README)
+    if reason is not None:
+        row.update(status_code=STATUS_FAILED, reason=reason, detail=DETAIL_FAILED)
+        return row
+    row.update(status_code=STATUS_OK, content_type=C.CONTENT_TYPES[fmt], width=int(grey.shape[1]),
+               height=int(grey.shape[0]), pixel_min=int(grey.min()), pixel_max=int(grey.max()),
+               top_left=int(grey[0, 0]), bottom_right=int(grey[-1, -1]), body=encode_png(grey))
+    return row
+
+
+def _extract_batches(batches):
+    cols = [c.split(" ")[0] for c in EXTRACT_SCHEMA.split(", ")]
+    cur = _OpenFile()
+    try:
+        for pdf in batches:
+            out = []
+            for key, vid, idx, fmt, path in zip(pdf["cache_key"], pdf["video_id"], pdf["frame_index"],
+                                                pdf["format"], pdf["media_path"]):
+                out.append(_extract_one(cur, key, vid, idx, fmt, path))
+                if len(out) >= OUTPUT_ROWS_PER_BATCH:
+                    yield _frame(out, cols)
+                    out = []
+            if out:
+                yield _frame(out, cols)
+    finally:
+        cur.close()
+
+
+def extract_frames(wanted: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """R2: decode and encode every wanted frame.
+
+    ``wanted`` needs cache_key, video_id, frame_index, format, media_path (the
+    output of ``requests.cache_miss_plan``). Output: one row per input row with
+    status, pixel facts and the encoded ``body``.
+    """
+    n = _parallelism(wanted, num_partitions)
+    chunk = F.floor(F.col("frame_index") / F.lit(FRAMES_PER_TASK_CHUNK))
+    laid = (wanted.select("cache_key", "video_id", "frame_index", "format", "media_path")
+            .repartition(n, "media_path", chunk)
+            .sortWithinPartitions("media_path", "frame_index"))
+    return laid.mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+
+
+def write_extracted(extracted: DataFrame, path: str) -> None:
+    """Sink for the backfill: Parquet with small row groups (frames are large)."""
+    (extracted.write.mode("append")
+     .option("parquet.block.size", 64 * 1024 * 1024)
+     .option("maxRecordsPerFile", 2048)
+     .parquet(path))

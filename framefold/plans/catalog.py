@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators import frames as FR
+from ..operators import media as ME
 from ..operators import profile as PR
 from ..operators import quality as QU
 from ..operators import requests as RQ
@@ -22,6 +23,7 @@ from ..schemas import FRAME_COLUMNS
 from ..session import scratch_path
 from ..sources import corpus as CO
 from ..sources.csv_scan import read_frames_csv, write_frames_csv
+from ..sources.media_corpus import write_media_corpus
 from ..sources.store import ManifestStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +210,20 @@ def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QU.quality_report(raw, profile, vids, FR.frames_table(raw))
 
 
+# ---------------------------------------------------------------- media
+def q_media_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vids = write_media_corpus(PR.videos(CO.frames_raw(spark, sf_dir)), scratch_path(spark, "media"))
+    return ME.media_audit(vids)
+
+
+def q_extract_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = CO.frames_raw(spark, sf_dir)
+    vids = write_media_corpus(PR.videos(raw), scratch_path(spark, "media"))
+    wanted = RQ.cache_miss_plan(RQ.resolve_requests(CO.requests(spark, sf_dir), vids), _seeded_cache(raw))
+    # The PNG bytes are produced (and checked by tests); the compared columns are the pixel facts.
+    return ME.extract_frames(wanted).drop("body")
+
+
 QUERIES: dict[str, Query] = {
     "ok_frames": q_ok_frames,
     "path_parts": q_path_parts,
@@ -236,6 +252,8 @@ QUERIES: dict[str, Query] = {
     "neighbors": q_neighbors,
     "cache_miss_plan": q_cache_miss_plan,
     "quality_report": q_quality_report,
+    "media_audit": q_media_audit,
+    "extract_frames": q_extract_frames,
 }
 
 
@@ -391,3 +409,39 @@ UNION ALL SELECT 'unparseable_path', (SELECT count(*) FROM videos WHERE cruise I
 UNION ALL SELECT 'video_without_frames',
        (SELECT count(*) FROM videos v WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.media = v.video_id))""",
 })
+
+_CTE_MEDIA = """mv AS (SELECT *, CAST(substr(video_id, 5) AS BIGINT) AS okey,
+                      (CAST(substr(video_id, 5) AS BIGINT) % 41 <> 0 AND CAST(substr(video_id, 5) AS BIGINT) % 43 <> 0) AS good
+               FROM videos)"""
+_MEDIA_FAIL = "CASE WHEN okey % 41 = 0 THEN 'missing' WHEN okey % 43 = 0 THEN 'unopenable' END"
+ORACLE.update({
+    "media_audit": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_MEDIA) + f"""
+SELECT video_id, frame_count, coalesce({_MEDIA_FAIL}, 'ok') AS status,
+       CASE WHEN good THEN '' END AS fourcc, CASE WHEN good THEN 10 END AS width, CASE WHEN good THEN 6 END AS height,
+       CASE WHEN good THEN frame_count END AS container_frames, CASE WHEN good THEN CAST(10 AS DOUBLE) END AS fps,
+       CASE WHEN good THEN CASE WHEN okey % 2 = 0 THEN 8 ELSE 24 END END AS bit_count,
+       CASE WHEN good THEN 3 END AS channels, CASE WHEN good THEN true END AS b_eq_g,
+       CASE WHEN good THEN true END AS g_eq_r,
+       CASE WHEN good THEN CAST((okey * 7) % 249 AS INTEGER) END AS first_min,
+       CASE WHEN good THEN CAST((okey * 7) % 249 + 6 AS INTEGER) END AS first_max,
+       CASE WHEN good THEN true END AS frames_match
+FROM mv""",
+    "extract_frames": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED, _CTE_OKK) + f""",
+wanted AS (
+  SELECT {_KEY_SQL} AS cache_key, video_id, frame_index, format
+  FROM resolved WHERE status_code = 200 GROUP BY ALL),
+miss AS (
+  SELECT w.*, CAST(substr(video_id, 5) AS BIGINT) AS okey FROM wanted w WHERE NOT EXISTS (
+    SELECT 1 FROM okk WHERE {_SEEDED} AND okk.media || '_' || CAST(okk.frame AS VARCHAR) || '.png' = w.cache_key)),
+graded AS (
+  SELECT *, coalesce({_MEDIA_FAIL}, CASE WHEN format <> 'png' THEN 'unsupported_format' END) AS reason,
+         CAST((okey * 7 + frame_index * 20) % 249 AS INTEGER) AS v FROM miss)
+SELECT cache_key, video_id, frame_index, format,
+       CASE WHEN reason IS NULL THEN 200 ELSE 500 END AS status_code, reason,
+       CASE WHEN reason IS NOT NULL THEN 'frame extraction failed' END AS detail,
+       CASE WHEN reason IS NULL THEN 'image/png' END AS content_type,
+       CASE WHEN reason IS NULL THEN 10 END AS width, CASE WHEN reason IS NULL THEN 6 END AS height,
+       CASE WHEN reason IS NULL THEN v END AS pixel_min, CASE WHEN reason IS NULL THEN v + 6 END AS pixel_max,
+       CASE WHEN reason IS NULL THEN v END AS top_left, CASE WHEN reason IS NULL THEN v + 6 END AS bottom_right
+FROM graded""",
+})

@@ -1,0 +1,324 @@
+"""Uncompressed AVI: container walk, frame index, frame decode, and a writer.
+
+A per-file helper that runs inside Spark tasks (``operators.media``); it never
+sees more than one file at a time. Supported: RIFF/AVI with an ``idx1`` index,
+an OpenDML ``indx``/``ix##`` index (files past 1 GB) or no index (chunks are
+found by walking ``movi``); 8-bit palette and 24/32-bit BGR DIB frames,
+bottom-up or top-down, rows padded to 4 bytes. Anything else is reported as
+unsupported, never guessed.
+"""
+from __future__ import annotations
+
+import os
+import struct
+from dataclasses import dataclass, field
+
+import numpy as np
+
+# ---- fixed values: RIFF/AVI layout and grey conversion -------------------------------
+LIST_TAGS = (b"RIFF", b"LIST")
+VIDEO_CHUNK_SUFFIXES = (b"db", b"dc")
+AVIF_HASINDEX = 0x10
+BI_RGB = 0
+# BGR -> grey as 14-bit fixed point (ITU-R BT.601 weights, rounding at 2**13).
+GREY_WEIGHTS_RGB = (4899, 9617, 1868)
+GREY_SHIFT = 14
+# ----------------------------------------------------------------------------------------
+
+
+class AviError(Exception):
+    """The file could not be opened as a supported AVI (``kind`` says why)."""
+
+    def __init__(self, kind: str, message: str):
+        self.kind = kind
+        super().__init__(message)
+
+
+@dataclass
+class AviInfo:
+    path: str
+    width: int
+    height: int                  # rows (absolute)
+    top_down: bool
+    bit_count: int
+    compression: int
+    fourcc: str                  # stream handler, '' when unset (uncompressed)
+    fps: float
+    header_frames: int
+    palette: np.ndarray | None   # (n, 3) BGR
+    offsets: np.ndarray = field(repr=False)   # absolute file offset of each frame's data
+    sizes: np.ndarray = field(repr=False)
+
+    @property
+    def frame_count(self) -> int:
+        return int(len(self.offsets))
+
+    @property
+    def stride(self) -> int:
+        return ((self.width * self.bit_count + 31) // 32) * 4
+
+
+def _fourcc(b: bytes) -> str:
+    return b.rstrip(b"\0 ").decode("latin-1") if b.strip(b"\0") else ""
+
+
+def _chunks(fh, start: int, end: int):
+    """Yield (tag, data_offset, size, list_type) for chunks in [start, end)."""
+    pos = start
+    while pos + 8 <= end:
+        fh.seek(pos)
+        head = fh.read(8)
+        if len(head) < 8:
+            return
+        tag, size = head[:4], struct.unpack("<I", head[4:])[0]
+        list_type = fh.read(4) if tag in LIST_TAGS else None
+        yield tag, pos + 8, size, list_type
+        pos += 8 + size + (size & 1)
+
+
+def open_avi(path: str) -> AviInfo:
+    if not os.path.isfile(path):
+        raise AviError("missing", f"source AVI not found: {path}")
+    file_size = os.path.getsize(path)
+    with open(path, "rb") as fh:
+        head = fh.read(12)
+        if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"AVI ":
+            raise AviError("unopenable", f"could not open AVI: {path}")
+        riffs = [(tag, off, size, lt) for tag, off, size, lt in _chunks(fh, 0, file_size) if tag == b"RIFF"]
+        main = riffs[0]
+        hdr: dict = {}
+        movi_lists: list[tuple[int, int]] = []     # (position of 'movi' fourcc, end)
+        idx1 = None
+        for tag, off, size, lt in _chunks(fh, main[1] + 4, main[1] + main[2]):
+            if tag == b"LIST" and lt == b"hdrl":
+                _parse_hdrl(fh, off + 4, off + size, hdr)
+            elif tag == b"LIST" and lt == b"movi":
+                movi_lists.append((off, off + size))
+            elif tag == b"idx1":
+                fh.seek(off)
+                idx1 = fh.read(size)
+        for tag, off, size, lt in riffs[1:]:       # OpenDML 'AVIX' extensions
+            for t2, o2, s2, l2 in _chunks(fh, off + 4, off + size):
+                if t2 == b"LIST" and l2 == b"movi":
+                    movi_lists.append((o2, o2 + s2))
+        if "width" not in hdr or not movi_lists:
+            raise AviError("unopenable", f"could not open AVI: {path}")
+
+        offsets = sizes = None
+        if hdr.get("indx"):
+            offsets, sizes = _odml_index(fh, hdr["indx"])
+        if offsets is None and idx1:
+            offsets, sizes = _idx1_index(fh, idx1, movi_lists[0][0])
+        if offsets is None:
+            offsets, sizes = _walk_movi(fh, movi_lists)
+
+    return AviInfo(path=path, width=hdr["width"], height=abs(hdr["height"]), top_down=hdr["height"] < 0,
+                   bit_count=hdr["bit_count"], compression=hdr["compression"], fourcc=hdr.get("fourcc", ""),
+                   fps=hdr.get("fps", 0.0), header_frames=hdr.get("total_frames", 0),
+                   palette=hdr.get("palette"), offsets=offsets, sizes=sizes)
+
+
+def _parse_hdrl(fh, start: int, end: int, hdr: dict) -> None:
+    for tag, off, size, lt in _chunks(fh, start, end):
+        fh.seek(off)
+        if tag == b"avih":
+            v = struct.unpack("<10I", fh.read(40))
+            hdr["usec_per_frame"], hdr["total_frames"] = v[0], v[4]
+            hdr.setdefault("width", v[8])
+            hdr.setdefault("height", v[9])
+        elif tag == b"LIST" and lt == b"strl":
+            sub: dict = {}
+            for t2, o2, s2, _ in _chunks(fh, off + 4, off + size):
+                fh.seek(o2)
+                data = fh.read(s2)
+                if t2 == b"strh":
+                    sub["type"] = data[:4]
+                    sub["handler"] = data[4:8]
+                    scale, rate = struct.unpack("<II", data[20:28])
+                    sub["fps"] = rate / scale if scale else 0.0
+                elif t2 == b"strf":
+                    sub["strf"] = data
+                elif t2 == b"indx":
+                    sub["indx"] = data
+            if sub.get("type") == b"vids" and "vids" not in hdr:
+                hdr["vids"] = True
+                strf = sub.get("strf", b"")
+                if len(strf) >= 40:
+                    (bi_size, w, h, _planes, bits, comp, _img, _xp, _yp, clr_used, _ci) = \
+                        struct.unpack("<IiiHHIIiiII", strf[:40])
+                    hdr["width"], hdr["height"], hdr["bit_count"], hdr["compression"] = w, h, bits, comp
+                    if bits <= 8:
+                        n = clr_used or (1 << bits)
+                        pal = np.frombuffer(strf[bi_size:bi_size + 4 * n], dtype=np.uint8)
+                        hdr["palette"] = pal.reshape(-1, 4)[:, :3].copy() if len(pal) >= 4 else None
+                hdr["fourcc"] = _fourcc(sub.get("handler", b""))
+                if sub.get("fps"):
+                    hdr["fps"] = sub["fps"]
+                if "indx" in sub:
+                    hdr["indx"] = sub["indx"]
+    if "fps" not in hdr and hdr.get("usec_per_frame"):
+        hdr["fps"] = 1e6 / hdr["usec_per_frame"]
+
+
+def _idx1_index(fh, data: bytes, movi_pos: int):
+    ents = np.frombuffer(data[: len(data) // 16 * 16], dtype=np.dtype(
+        [("id", "S4"), ("flags", "<u4"), ("off", "<u4"), ("size", "<u4")]))
+    vid = np.array([e[:2] == b"00" and e[2:] in VIDEO_CHUNK_SUFFIXES for e in ents["id"]], dtype=bool) \
+        if len(ents) else np.zeros(0, dtype=bool)
+    ents = ents[vid]
+    if len(ents) == 0:
+        return None, None
+    # Offsets are relative to the 'movi' fourcc in most files, absolute in some: probe the first.
+    first = int(ents["off"][0])
+    fh.seek(movi_pos + first)
+    base = movi_pos if fh.read(4) == bytes(ents["id"][0]) else 0
+    return (ents["off"].astype(np.int64) + base + 8), ents["size"].astype(np.int64)
+
+
+def _odml_index(fh, indx: bytes):
+    longs, _sub, itype, n_in_use = struct.unpack("<HBBI", indx[:8])
+    if itype != 0 or longs != 4:            # AVI_INDEX_OF_INDEXES with 16-byte entries
+        return None, None
+    offs, sizes = [], []
+    for k in range(n_in_use):
+        q_off, _size, _dur = struct.unpack("<QII", indx[24 + 16 * k: 40 + 16 * k])
+        fh.seek(q_off)
+        head = fh.read(8)
+        size = struct.unpack("<I", head[4:])[0]
+        body = fh.read(size)
+        s_longs, _s, s_type, s_n = struct.unpack("<HBBI", body[:8])
+        base = struct.unpack("<Q", body[12:20])[0]
+        ents = np.frombuffer(body[24: 24 + 8 * s_n], dtype=np.dtype([("off", "<u4"), ("size", "<u4")]))
+        offs.append(ents["off"].astype(np.int64) + base)
+        sizes.append((ents["size"] & 0x7FFFFFFF).astype(np.int64))
+    if not offs:
+        return None, None
+    return np.concatenate(offs), np.concatenate(sizes)
+
+
+def _walk_movi(fh, movi_lists):
+    offs, sizes = [], []
+
+    def walk(start, end):
+        for tag, off, size, lt in _chunks(fh, start, end):
+            if tag == b"LIST" and lt == b"rec ":
+                walk(off + 4, off + size)
+            elif tag[:2] == b"00" and tag[2:] in VIDEO_CHUNK_SUFFIXES:
+                offs.append(off)
+                sizes.append(size)
+    for pos, end in movi_lists:
+        walk(pos + 4, end)
+    return np.asarray(offs, dtype=np.int64), np.asarray(sizes, dtype=np.int64)
+
+
+def supported(info: AviInfo) -> bool:
+    return info.compression == BI_RGB and info.bit_count in (8, 24, 32)
+
+
+def read_bgr(fh, info: AviInfo, index: int) -> np.ndarray:
+    """Frame ``index`` as an (H, W, 3) uint8 BGR array, rows top to bottom."""
+    if not supported(info):
+        raise AviError("unsupported", f"unsupported AVI encoding (compression={info.compression}, "
+                                      f"bits={info.bit_count}): {info.path}")
+    if index < 0 or index >= info.frame_count:
+        raise AviError("undecodable", f"could not decode frame {index} from {info.path}")
+    need = info.stride * info.height
+    if int(info.sizes[index]) < need:
+        raise AviError("undecodable", f"could not decode frame {index} from {info.path}")
+    fh.seek(int(info.offsets[index]))
+    data = fh.read(need)
+    if len(data) < need:
+        raise AviError("undecodable", f"could not decode frame {index} from {info.path}")
+    rows = np.frombuffer(data, dtype=np.uint8).reshape(info.height, info.stride)
+    if not info.top_down:
+        rows = rows[::-1]
+    if info.bit_count == 8:
+        pal = info.palette if info.palette is not None else np.repeat(
+            np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+        idx = rows[:, : info.width]
+        if pal.shape[0] < 256:
+            pal = np.vstack([pal, np.zeros((256 - pal.shape[0], 3), dtype=np.uint8)])
+        return pal[idx]
+    bpp = info.bit_count // 8
+    return rows[:, : info.width * bpp].reshape(info.height, info.width, bpp)[:, :, :3]
+
+
+def bgr_to_grey(bgr: np.ndarray) -> np.ndarray:
+    """One grey channel from BGR, fixed-point like common imaging libraries;
+    B = G = R = v gives exactly v."""
+    wr, wg, wb = GREY_WEIGHTS_RGB
+    b, g, r = (bgr[..., i].astype(np.uint32) for i in range(3))
+    return ((r * wr + g * wg + b * wb + (1 << (GREY_SHIFT - 1))) >> GREY_SHIFT).astype(np.uint8)
+
+
+# ---------------------------------------------------------------- writer
+def _chunk(tag: bytes, data: bytes) -> bytes:
+    pad = b"\0" if len(data) & 1 else b""
+    return tag + struct.pack("<I", len(data)) + data + pad
+
+
+def _list(kind: bytes, body: bytes) -> bytes:
+    return b"LIST" + struct.pack("<I", len(body) + 4) + kind + body
+
+
+def write_avi(path: str, frames, bit_count: int = 8, fps: int = 10, index: str = "idx1",
+              top_down: bool = False) -> None:
+    """Write grey frames (2-D uint8) as an uncompressed AVI.
+
+    ``bit_count`` 8 (grey palette) or 24 (B = G = R); ``index`` one of
+    ``idx1``, ``odml`` (OpenDML super index + ix00) or ``none``.
+    """
+    frames = [np.asarray(f, dtype=np.uint8) for f in frames]
+    h, w = frames[0].shape
+    stride = ((w * bit_count + 31) // 32) * 4
+    payloads = []
+    for f in frames:
+        rows = f if top_down else f[::-1]
+        buf = np.zeros((h, stride), dtype=np.uint8)
+        if bit_count == 8:
+            buf[:, :w] = rows
+        else:
+            buf[:, : w * 3] = np.repeat(rows[:, :, None], 3, axis=2).reshape(h, w * 3)
+        payloads.append(buf.tobytes())
+    size_img = stride * h
+    avih = struct.pack("<14I", int(1e6 / fps), size_img * fps, 0, AVIF_HASINDEX if index != "none" else 0,
+                       len(frames), 0, 1, size_img, w, h, 0, 0, 0, 0)
+    strh = (b"vids" + b"\0\0\0\0" + struct.pack("<IHHIIIIIIIIhhhh", 0, 0, 0, 0, 1, fps, 0, len(frames),
+                                                   size_img, 0xFFFFFFFF, 0, 0, 0, w, h))
+    palette = b"".join(struct.pack("<BBBB", i, i, i, 0) for i in range(256)) if bit_count == 8 else b""
+    strf = struct.pack("<IiiHHIIiiII", 40, w, -h if top_down else h, 1, bit_count, BI_RGB, size_img, 0, 0,
+                       256 if bit_count == 8 else 0, 0) + palette
+    indx_size = 24 + 16  # one super-index entry
+    strl_body = _chunk(b"strh", strh) + _chunk(b"strf", strf)
+    if index == "odml":
+        strl_body += _chunk(b"indx", b"\0" * indx_size)
+    hdrl = _list(b"hdrl", _chunk(b"avih", avih) + _list(b"strl", strl_body))
+
+    movi_pos = 12 + len(hdrl) + 8           # position of the 'movi' fourcc
+    body = bytearray()
+    rel = []                                # offset of each chunk header, relative to 'movi' fourcc
+    for p in payloads:
+        rel.append(4 + len(body))
+        body += _chunk(b"00db", p)
+    ix_pos = None
+    if index == "odml":
+        ix_pos = movi_pos + 4 + len(body)
+        base = movi_pos
+        ents = b"".join(struct.pack("<II", r + 8, len(p)) for r, p in zip(rel, payloads))
+        ix = struct.pack("<HBBI4sQI", 2, 0, 1, len(payloads), b"00db", base, 0) + ents
+        body += _chunk(b"ix00", ix)
+    movi = _list(b"movi", bytes(body))
+    tail = b""
+    if index == "idx1":
+        tail = _chunk(b"idx1", b"".join(struct.pack("<4sIII", b"00db", 0x10, r, len(p))
+                                        for r, p in zip(rel, payloads)))
+    riff_body = b"AVI " + hdrl + movi + tail
+    out = bytearray(b"RIFF" + struct.pack("<I", len(riff_body)) + riff_body)
+    if index == "odml":
+        ix_len = 8 + 24 + 8 * len(payloads)
+        sup = struct.pack("<HBBI4s3I", 4, 0, 0, 1, b"00db", 0, 0, 0) + struct.pack("<QII", ix_pos, ix_len,
+                                                                                  len(payloads))
+        at = out.find(b"indx") + 8
+        out[at: at + indx_size] = sup
+    with open(path, "wb") as fh:
+        fh.write(out)

@@ -1,0 +1,73 @@
+"""Synthetic media for the derived corpus: one small uncompressed AVI per video.
+
+Written by Spark tasks from the ``videos`` table itself, so the media grows with
+the data. Pixels are a formula of (order key, frame index), which lets the
+DuckDB oracle predict every audited and extracted value. Planted variety:
+missing files, non-AVI files, 8-bit palette and 24-bit BGR, bottom-up and
+top-down rows, idx1 / OpenDML / no index.
+"""
+from __future__ import annotations
+
+import os
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import local_fs_path
+from .avi import write_avi
+
+# ---- fixed values: the media corpus rules -------------------------------------------
+WIDTH, HEIGHT = 10, 6          # 10 is not a multiple of 4: exercises row padding
+FPS = 10
+MISSING_EVERY = 41             # okey % 41 = 0 -> no file
+JUNK_EVERY = 43                # okey % 43 = 0 -> a file that is not an AVI
+PIXEL_MOD = 249                # v = (okey*7 + frame*20) % 249; pixel(x, y) = v + y + (x % 2)
+JUNK_BYTES = b"this is not a video container"
+INDEX_KINDS = ("odml", "idx1", "none")    # by okey % 3
+# ----------------------------------------------------------------------------------------
+
+
+def frame_pixels(okey: int, index: int) -> np.ndarray:
+    v = (okey * 7 + index * 20) % PIXEL_MOD
+    y = np.arange(HEIGHT)[:, None]
+    x = np.arange(WIDTH)[None, :]
+    return (v + y + (x % 2)).astype(np.uint8)
+
+
+def _write_batches(root: str):
+    def run(batches):
+        for pdf in batches:
+            done = []
+            for vid, path, n in zip(pdf["video_id"], pdf["media_path"], pdf["frame_count"]):
+                okey = int(vid.split("-", 1)[1])
+                target = root + path
+                if okey % MISSING_EVERY == 0:
+                    done.append(False)
+                    continue
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                if okey % JUNK_EVERY == 0:
+                    with open(target, "wb") as fh:
+                        fh.write(JUNK_BYTES)
+                else:
+                    write_avi(target, [frame_pixels(okey, i) for i in range(int(n))],
+                              bit_count=8 if okey % 2 == 0 else 24, fps=FPS,
+                              index=INDEX_KINDS[okey % 3], top_down=okey % 5 == 0)
+                done.append(True)
+            yield pd.DataFrame({"written": done})
+    return run
+
+
+def write_media_corpus(videos: DataFrame, root: str) -> DataFrame:
+    """Write one AVI per video under ``root`` (a shared POSIX mount) and return
+    ``videos`` with ``media_path`` relocated under it."""
+    local = local_fs_path(root)
+    if local is None:
+        raise ValueError(f"media files need a POSIX path (a shared mount), got {root!r}")
+    n = max(2, videos.sparkSession.sparkContext.defaultParallelism * 2)
+    (videos.select("video_id", "media_path", "frame_count")
+     .repartition(n, "media_path")
+     .mapInPandas(_write_batches(local.rstrip("/")), "written boolean")
+     .agg(F.count_if("written")).collect())
+    return videos.withColumn("media_path", F.concat(F.lit(local.rstrip("/")), F.col("media_path")))

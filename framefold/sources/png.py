@@ -1,0 +1,33 @@
+"""Lossless 8-bit greyscale PNG encoding with zlib (a per-frame helper for R2)."""
+from __future__ import annotations
+
+import struct
+import zlib
+
+import numpy as np
+
+# ---- fixed values: PNG format ---------------------------------------------------------
+PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
+COLOR_GREY = 0
+FILTER_UP = 2
+# ----------------------------------------------------------------------------------------
+
+
+def _chunk(tag: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data) & 0xFFFFFFFF)
+
+
+def encode_png(grey: np.ndarray, level: int = 6) -> bytes:
+    """2-D uint8 -> PNG bytes. Every row uses the 'Up' filter (difference to the
+    row above), vectorised; smooth sensor frames compress well with it."""
+    grey = np.ascontiguousarray(grey, dtype=np.uint8)
+    if grey.ndim != 2:
+        raise ValueError("encode_png expects a 2-D uint8 array")
+    h, w = grey.shape
+    up = np.empty((h, w + 1), dtype=np.uint8)
+    up[:, 0] = FILTER_UP
+    up[0, 1:] = grey[0]
+    up[1:, 1:] = grey[1:] - grey[:-1]          # uint8 arithmetic wraps mod 256, as PNG wants
+    ihdr = struct.pack(">IIBBBBB", w, h, 8, COLOR_GREY, 0, 0, 0)
+    return (PNG_SIGNATURE + _chunk(b"IHDR", ihdr) + _chunk(b"IDAT", zlib.compress(up.tobytes(), level))
+            + _chunk(b"IEND", b""))
