@@ -68,6 +68,19 @@ def _segment_from_end(path: str | Column, k: int) -> Column:
     return F.when(F.size(parts) >= MIN_SEGMENTS, F.element_at(parts, F.lit(-k)))
 
 
+def with_cruise_camera(df, path: str = "media_path", strict: bool = False):
+    """Add ``cruise`` and ``camera`` parsing each path once (one segment array per
+    row, both values taken from it); measured faster than any string-function form."""
+    seg = "_segments"
+    staged = df.withColumn(seg, path_segments(path))
+    ok = F.size(F.col(seg)) >= MIN_SEGMENTS
+    cruise = F.when(ok, F.element_at(F.col(seg), F.lit(-4)))
+    camera = F.when(ok, F.element_at(F.col(seg), F.lit(-3)))
+    if strict:
+        cruise, camera = strict_segment(cruise, path), strict_segment(camera, path)
+    return staged.withColumn("cruise", cruise).withColumn("camera", camera).drop(seg)
+
+
 def cruise_of(path: str | Column = "media_path") -> Column:
     """4th segment from the end; null when the path has fewer than 4 segments."""
     return _segment_from_end(path, 4)

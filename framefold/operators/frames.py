@@ -14,13 +14,13 @@ def frames_with_keys(raw: DataFrame) -> DataFrame:
     ``camera`` so restrictions to a write set can be applied before the
     projection drops them."""
     ok = raw.filter(C.is_ok_frame())
-    return ok.select(
+    return C.with_cruise_camera(ok).select(
         F.col("media").alias("video_id"),
         F.col("frame").alias("frame_index"),
         C.parse_utc("times").alias("frame_time"),
         "status",
-        C.cruise_of().alias("cruise"),
-        C.camera_of().alias("camera"),
+        "cruise",
+        "camera",
         "media_path",
     )
 

@@ -60,16 +60,13 @@ def videos_from_profile(profile: DataFrame, strict_paths: bool = False) -> DataF
     parse (the reference's behaviour); otherwise cruise/camera come back null.
     """
     kept = profile.filter((F.col("n_frames") > 0) & ~C.is_skipped())
-    cruise, camera = C.cruise_of(), C.camera_of()
-    if strict_paths:
-        cruise, camera = C.strict_segment(cruise), C.strict_segment(camera)
-    return kept.select(
+    return C.with_cruise_camera(kept, strict=strict_paths).select(
         F.col("media").alias("video_id"),
         "media_path",
         F.col("n_frames").alias("frame_count"),
         C.parse_utc("media_time").alias("media_time"),
-        cruise.alias("cruise"),
-        camera.alias("camera"),
+        "cruise",
+        "camera",
     ).select(*VIDEO_COLUMNS)
 
 
