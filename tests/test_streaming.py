@@ -1,0 +1,44 @@
+"""Incremental ingest over a growing folder of CSV exports."""
+from __future__ import annotations
+
+import collections
+
+from framefold.sources.store import ManifestStore
+from framefold.streaming import start_incremental_ingest
+
+ROOT = "/proj/nes-lter/Stingray/data"
+A = f"{ROOT}/NESLTER_AR88/CamA/20250101T000000.000Z/a.avi"
+B = f"{ROOT}/NESLTER_AR88/CamB/20250102T000000.000Z/b.avi"
+HEADER = "media_path,media,media_time,frame,times,status,id,link"
+
+
+def _csv(d, name, rows):
+    (d / name).write_text("\n".join([HEADER, *rows]) + "\n")
+
+
+def _row(path, media, frame):
+    return f"{path},{media},2025-01-01 00:00:00.000,{frame},2025-01-01 00:00:00.066,ok,,"
+
+
+def test_new_files_are_ingested_once(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    store = str(tmp_path / "store")
+    ckpt = str(tmp_path / "ckpt")
+    _csv(inbox, "one.csv", [_row(A, "vidA", 0), _row(A, "vidA", 1)])
+    q = start_incremental_ingest(spark, str(inbox), store, checkpoint_location=ckpt)
+    q.awaitTermination()
+    # a new export arrives, plus a late file for an already stored partition
+    _csv(inbox, "two.csv", [_row(B, "vidB", 0)])
+    _csv(inbox, "late.csv", [_row(A, "vidA", 2)])
+    q = start_incremental_ingest(spark, str(inbox), store, checkpoint_location=ckpt)
+    q.awaitTermination()
+    # nothing new: a third run is a no-op
+    q = start_incremental_ingest(spark, str(inbox), store, checkpoint_location=ckpt)
+    q.awaitTermination()
+
+    st = ManifestStore(spark, store)
+    vids = {(r.camera, r.video_id): r.frame_count for r in st.read_videos().collect()}
+    assert vids == {("CamA", "vidA"): 2, ("CamB", "vidB"): 1}
+    frames = collections.Counter(r.video_id for r in st.read_frames().collect())
+    assert frames == {"vidA": 2, "vidB": 1}
