@@ -2,9 +2,12 @@
 public video metadata (P3), prefetch neighbours (R5) and the cache-miss plan (R4).
 
 The reference answers one HTTP request at a time from an in-memory dict; here
-whole tables of requests are joined with ``videos`` at once. The join is a
-plain equi-join: AQE broadcasts the manifest when it is small and otherwise
-sort-merges, splitting a hot ``video_id`` on the request side (skew join).
+whole tables of requests are resolved at once. Requests first collapse to
+distinct (video_id, frame_index, format) with map-side partial aggregation, so
+a hot video reaches the manifest join as a bounded number of rows; AQE
+broadcasts the manifest when its measured size allows and sort-merges
+otherwise. Per-request output joins back on the full key with plain shuffles
+on both sides, where AQE's skew join splits a hot key's requests.
 """
 from __future__ import annotations
 
@@ -73,15 +76,21 @@ def video_lookup(ids: DataFrame, videos: DataFrame) -> DataFrame:
         "detail", F.lit(None).cast("string")).unionByName(misses, allowMissingColumns=True)
 
 
-def resolve_requests(requests: DataFrame, videos: DataFrame) -> DataFrame:
-    """Status per request, in the contract's order: 400 bad format, then
-    404 unknown video, then 416 out of range, else 200 (extraction pending).
+TRIPLE = ["video_id", "frame_index", "format"]
 
-    Output: request_id, video_id, frame_index, format, status_code, detail,
-    content_type, media_path, frame_count (the last three for found videos).
+
+def resolve_distinct(requests: DataFrame, videos: DataFrame) -> DataFrame:
+    """R1 per distinct (video_id, frame_index, format), with ``n_requests``.
+
+    The status depends on nothing else, so requests collapse first (map-side
+    partial aggregation): a video requested by a third of all requests reaches
+    the manifest join as at most one row per distinct index and format.
+    Status order is the contract's: 400 bad format, then 404 unknown video,
+    then 416 out of range, else 200 (extraction pending).
     """
-    fmt = C.effective_format("format")
-    joined = lookup(requests.select("request_id", "video_id", "frame_index", fmt.alias("format")), videos)
+    req = requests.select("video_id", "frame_index", C.effective_format("format").alias("format"))
+    triples = req.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n_requests"))
+    joined = lookup(triples, videos)
     vid, idx, n = F.col("video_id"), F.col("frame_index"), F.col("frame_count")
     status = (F.when(~C.format_allowed("format"), F.lit(STATUS_BAD_FORMAT))
               .when(~F.col("found"), F.lit(STATUS_NOT_FOUND))
@@ -96,17 +105,40 @@ def resolve_requests(requests: DataFrame, videos: DataFrame) -> DataFrame:
                                     .replace("{n}", "%d"), idx, py_repr(vid), n)))
     ok = status == STATUS_OK
     return joined.select(
-        "request_id", "video_id", "frame_index", "format",
+        *TRIPLE,
         status.alias("status_code"),
         detail.alias("detail"),
         F.when(ok, C.content_type(F.col("format"))).alias("content_type"),
         F.when(F.col("found"), F.col("media_path")).alias("media_path"),
         F.when(F.col("found"), n).alias("frame_count"),
+        "n_requests",
     )
 
 
+def resolve_requests(requests: DataFrame, videos: DataFrame) -> DataFrame:
+    """Status per request.
+
+    Output: request_id, video_id, frame_index, format, status_code, detail,
+    content_type, media_path, frame_count (the last three for found videos).
+    The join back to the requests is on the full (video_id, frame_index,
+    format) key with plain shuffles on both sides, so AQE's skew join can split
+    a hot key's requests over several tasks; null-safe, so no request is lost.
+    """
+    req = requests.select("request_id", "video_id", "frame_index",
+                          C.effective_format("format").alias("format"))
+    res = resolve_distinct(requests, videos).drop("n_requests")
+    r = res.select(*[F.col(c).alias(f"_r_{c}") for c in res.columns])
+    cond = [req[c].eqNullSafe(r[f"_r_{c}"]) for c in TRIPLE]
+    joined = req.join(r, cond, "left")
+    return joined.select("request_id", *TRIPLE,
+                         *[F.col(f"_r_{c}").alias(c) for c in
+                           ("status_code", "detail", "content_type", "media_path", "frame_count")])
+
+
 def status_counts(resolved: DataFrame) -> DataFrame:
-    return resolved.groupBy("status_code").agg(F.count(F.lit(1)).alias("n_requests"))
+    """Requests per status; from ``resolve_distinct`` (sums n_requests) or per-request rows."""
+    n = F.sum("n_requests") if "n_requests" in resolved.columns else F.count(F.lit(1))
+    return resolved.groupBy("status_code").agg(n.cast("bigint").alias("n_requests"))
 
 
 def parse_window(window: str = NEIGHBOR_WINDOW) -> list[int]:
@@ -129,12 +161,14 @@ def neighbors(resolved: DataFrame, window: str = NEIGHBOR_WINDOW) -> DataFrame:
 
 
 def wanted_frames(resolved: DataFrame) -> DataFrame:
-    """Distinct frames to serve (one per cache key) with how many requests want each."""
+    """Distinct frames to serve (one per cache key) with how many requests want each.
+    Accepts ``resolve_distinct`` output (sums n_requests) or per-request rows."""
     ok = resolved.filter(F.col("status_code") == STATUS_OK)
     key = C.cache_key(F.col("video_id"), F.col("frame_index"), F.col("format")).alias("cache_key")
+    n = F.sum("n_requests") if "n_requests" in resolved.columns else F.count(F.lit(1))
     # The key determines the other columns; grouping on all of them keeps the plan exact.
     return (ok.groupBy(key, "video_id", "frame_index", "format", "media_path")
-            .agg(F.count(F.lit(1)).alias("n_requests")))
+            .agg(n.cast("bigint").alias("n_requests")))
 
 
 def cache_miss_plan(resolved: DataFrame, cached_keys: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def q_resolve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_request_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RQ.status_counts(_resolved(spark, sf_dir))
+    return RQ.status_counts(RQ.resolve_distinct(CO.requests(spark, sf_dir), PR.videos(CO.frames_raw(spark, sf_dir))))
 
 
 def q_video_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def _seeded_cache(raw: DataFrame) -> DataFrame:
 
 def q_cache_miss_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = CO.frames_raw(spark, sf_dir)
-    resolved = RQ.resolve_requests(CO.requests(spark, sf_dir), PR.videos(raw))
+    resolved = RQ.resolve_distinct(CO.requests(spark, sf_dir), PR.videos(raw))
     return RQ.cache_miss_plan(resolved, _seeded_cache(raw))
 
 
@@ -219,7 +219,7 @@ def q_media_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_extract_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = CO.frames_raw(spark, sf_dir)
     vids = write_media_corpus(PR.videos(raw), scratch_path(spark, "media"))
-    wanted = RQ.cache_miss_plan(RQ.resolve_requests(CO.requests(spark, sf_dir), vids), _seeded_cache(raw))
+    wanted = RQ.cache_miss_plan(RQ.resolve_distinct(CO.requests(spark, sf_dir), vids), _seeded_cache(raw))
     # The PNG bytes are produced (and checked by tests); the compared columns are the pixel facts.
     return ME.extract_frames(wanted).drop("body")
 
