@@ -145,3 +145,29 @@ def test_exclude_patterns(spark, patterns, dropped):
     kept, dropped_listing = apply_excludes(PATHS, patterns)
     assert dropped_listing == dropped
     assert kept == [p for p in PATHS if p not in dropped]
+
+
+def test_hot_video_third_of_requests(spark, manifest):
+    """One video gets a third of all requests: results stay whole, the manifest
+    join sees one row per distinct (index, format), and the per-request join has
+    plain shuffles on both sides (eligible for AQE's skew split)."""
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = 3600
+        rows = [(i, "vid-1", (i // 3) % 12, "png") if i % 3 == 0 else (i, f"other-{i}", 0, "png")
+                for i in range(n)]
+        req = _requests(spark, rows)
+        distinct = RQ.resolve_distinct(req, manifest)
+        hot = distinct.filter(F.col("video_id") == "vid-1").collect()
+        assert len(hot) == 12 and sum(r.n_requests for r in hot) == n // 3
+        out = RQ.resolve_requests(req, manifest)
+        assert out.count() == n
+        counts = {r.status_code: r.n_requests for r in RQ.status_counts(distinct).collect()}
+        assert counts == {200: 1000, 416: 200, 404: 2400}
+        assert {r.status_code: r.n_requests for r in RQ.status_counts(out).collect()} == counts
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        last_join = plan[plan.index("SortMergeJoin"):]
+        assert last_join.count("Exchange hashpartitioning(coalesce(") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
