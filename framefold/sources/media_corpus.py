@@ -9,6 +9,7 @@ top-down rows, idx1 / OpenDML / no index.
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -47,13 +48,17 @@ def _write_batches(root: str):
                     done.append(False)
                     continue
                 os.makedirs(os.path.dirname(target), exist_ok=True)
+                # Write under a task-unique name, then rename: a retried or speculative
+                # attempt never exposes a half-written file.
+                tmp = f"{target}.{uuid.uuid4().hex}.part"
                 if okey % JUNK_EVERY == 0:
-                    with open(target, "wb") as fh:
+                    with open(tmp, "wb") as fh:
                         fh.write(JUNK_BYTES)
                 else:
-                    write_avi(target, [frame_pixels(okey, i) for i in range(int(n))],
+                    write_avi(tmp, [frame_pixels(okey, i) for i in range(int(n))],
                               bit_count=8 if okey % 2 == 0 else 24, fps=FPS,
                               index=INDEX_KINDS[okey % 3], top_down=okey % 5 == 0)
+                os.replace(tmp, target)
                 done.append(True)
             yield pd.DataFrame({"written": done})
     return run
