@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.avi import AviError, bgr_to_grey, open_avi, read_bgr
+from ..sources.jpeg import encode_jpeg
 from ..sources.png import encode_png
 
 # ---- fixed values ------------------------------------------------------------------------
@@ -29,6 +30,7 @@ FRAMES_PER_TASK_CHUNK = 64     # frames of one file that travel together
 OUTPUT_ROWS_PER_BATCH = 8      # real frames are ~4 MB each: keep Arrow batches small
 STATUS_OK, STATUS_FAILED = 200, 500
 DETAIL_FAILED = "frame extraction failed"
+JPEG_QUALITY = 90
 # --------------------------------------------------------------------------------------------
 
 AUDIT_SCHEMA = ("video_id string, frame_count bigint, status string, fourcc string, width int, height int, "
@@ -115,7 +117,15 @@ class _OpenFile:
         self.fh = None
 
 
-def _extract_one(cur: _OpenFile, key, vid, idx, fmt, path) -> dict:
+def _encode(grey: np.ndarray, fmt: str, jpeg_quality: int) -> bytes:
+    if fmt == "png":
+        return encode_png(grey)
+    if fmt == "jpeg":
+        return encode_jpeg(grey, jpeg_quality)
+    raise ValueError(f"unknown frame format: {fmt!r}")
+
+
+def _extract_one(cur: _OpenFile, key, vid, idx, fmt, path, jpeg_quality: int = JPEG_QUALITY) -> dict:
     row = {"cache_key": key, "video_id": vid, "frame_index": idx, "format": fmt}
     if path is None:
         reason = "missing"
@@ -128,36 +138,43 @@ def _extract_one(cur: _OpenFile, key, vid, idx, fmt, path) -> dict:
             grey = bgr_to_grey(read_bgr(cur.fh, cur.info, int(idx)))
         except AviError as e:
             reason = e.kind
-    if reason is None and fmt != "png":
-        reason = "unsupported_format"      # no JPEG encoder here (see README)
+    body = None
+    if reason is None:
+        try:
+            body = _encode(grey, fmt, jpeg_quality)
+        except ValueError:
+            reason = "unsupported_format"
     if reason is not None:
         row.update(status_code=STATUS_FAILED, reason=reason, detail=DETAIL_FAILED)
         return row
     row.update(status_code=STATUS_OK, content_type=C.CONTENT_TYPES[fmt], width=int(grey.shape[1]),
                height=int(grey.shape[0]), pixel_min=int(grey.min()), pixel_max=int(grey.max()),
-               top_left=int(grey[0, 0]), bottom_right=int(grey[-1, -1]), body=encode_png(grey))
+               top_left=int(grey[0, 0]), bottom_right=int(grey[-1, -1]), body=body)
     return row
 
 
-def _extract_batches(batches):
-    cols = [c.split(" ")[0] for c in EXTRACT_SCHEMA.split(", ")]
-    cur = _OpenFile()
-    try:
-        for pdf in batches:
-            out = []
-            for key, vid, idx, fmt, path in zip(pdf["cache_key"], pdf["video_id"], pdf["frame_index"],
-                                                pdf["format"], pdf["media_path"]):
-                out.append(_extract_one(cur, key, vid, idx, fmt, path))
-                if len(out) >= OUTPUT_ROWS_PER_BATCH:
+def _extract_batches(jpeg_quality: int):
+    def run(batches):
+        cols = [c.split(" ")[0] for c in EXTRACT_SCHEMA.split(", ")]
+        cur = _OpenFile()
+        try:
+            for pdf in batches:
+                out = []
+                for key, vid, idx, fmt, path in zip(pdf["cache_key"], pdf["video_id"], pdf["frame_index"],
+                                                    pdf["format"], pdf["media_path"]):
+                    out.append(_extract_one(cur, key, vid, idx, fmt, path, jpeg_quality))
+                    if len(out) >= OUTPUT_ROWS_PER_BATCH:
+                        yield _frame(out, cols)
+                        out = []
+                if out:
                     yield _frame(out, cols)
-                    out = []
-            if out:
-                yield _frame(out, cols)
-    finally:
-        cur.close()
+        finally:
+            cur.close()
+    return run
 
 
-def extract_frames(wanted: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def extract_frames(wanted: DataFrame, num_partitions: int | None = None,
+                   jpeg_quality: int = JPEG_QUALITY) -> DataFrame:
     """R2: decode and encode every wanted frame.
 
     ``wanted`` needs cache_key, video_id, frame_index, format, media_path (the
@@ -169,7 +186,7 @@ def extract_frames(wanted: DataFrame, num_partitions: int | None = None) -> Data
     laid = (wanted.select("cache_key", "video_id", "frame_index", "format", "media_path")
             .repartition(n, "media_path", chunk)
             .sortWithinPartitions("media_path", "frame_index"))
-    return laid.mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    return laid.mapInPandas(_extract_batches(jpeg_quality), EXTRACT_SCHEMA)
 
 
 def write_extracted(extracted: DataFrame, path: str) -> None:

@@ -434,12 +434,13 @@ miss AS (
   SELECT w.*, CAST(substr(video_id, 5) AS BIGINT) AS okey FROM wanted w WHERE NOT EXISTS (
     SELECT 1 FROM okk WHERE {_SEEDED} AND okk.media || '_' || CAST(okk.frame AS VARCHAR) || '.png' = w.cache_key)),
 graded AS (
-  SELECT *, coalesce({_MEDIA_FAIL}, CASE WHEN format <> 'png' THEN 'unsupported_format' END) AS reason,
+  SELECT *, {_MEDIA_FAIL} AS reason,
          CAST((okey * 7 + frame_index * 20) % 249 AS INTEGER) AS v FROM miss)
 SELECT cache_key, video_id, frame_index, format,
        CASE WHEN reason IS NULL THEN 200 ELSE 500 END AS status_code, reason,
        CASE WHEN reason IS NOT NULL THEN 'frame extraction failed' END AS detail,
-       CASE WHEN reason IS NULL THEN 'image/png' END AS content_type,
+       CASE WHEN reason IS NULL THEN CASE format WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END END
+         AS content_type,
        CASE WHEN reason IS NULL THEN 10 END AS width, CASE WHEN reason IS NULL THEN 6 END AS height,
        CASE WHEN reason IS NULL THEN v END AS pixel_min, CASE WHEN reason IS NULL THEN v + 6 END AS pixel_max,
        CASE WHEN reason IS NULL THEN v END AS top_left, CASE WHEN reason IS NULL THEN v + 6 END AS bottom_right

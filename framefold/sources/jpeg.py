@@ -1,0 +1,195 @@
+"""Baseline greyscale JPEG encoding (a per-frame helper for R2).
+
+DCT and quantisation are vectorised over all 8x8 blocks with NumPy; entropy
+coding uses Huffman tables optimised for the frame itself (built from its
+symbol counts with the length-limited procedure of the JPEG standard, Annex K.2),
+so no fixed code tables are needed.
+"""
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+
+# ---- fixed values: JPEG standard ------------------------------------------------------
+SOI, EOI = b"\xff\xd8", b"\xff\xd9"
+# Luminance quantisation table (JPEG standard Annex K, Table K.1), row-major order.
+LUMA_QUANT = [
+    16, 11, 10, 16, 24, 40, 51, 61,
+    12, 12, 14, 19, 26, 58, 60, 55,
+    14, 13, 16, 24, 40, 57, 69, 56,
+    14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77,
+    24, 35, 55, 64, 81, 104, 113, 92,
+    49, 64, 78, 87, 103, 121, 120, 101,
+    72, 92, 95, 98, 112, 100, 103, 99,
+]
+MAX_CODE_LENGTH = 16
+# ----------------------------------------------------------------------------------------
+
+
+def zigzag_order() -> np.ndarray:
+    """Block positions (row-major index) in zig-zag order: anti-diagonals, alternating direction."""
+    cells = [(r, c) for r in range(8) for c in range(8)]
+    cells.sort(key=lambda rc: (rc[0] + rc[1], rc[0] if (rc[0] + rc[1]) % 2 else rc[1]))
+    return np.array([r * 8 + c for r, c in cells])
+
+
+ZIGZAG = zigzag_order()
+
+
+def _dct_matrix() -> np.ndarray:
+    k = np.arange(8)
+    m = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) * np.sqrt(2 / 8)
+    m[0] /= np.sqrt(2)
+    return m
+
+
+DCT = _dct_matrix()
+
+
+def quant_table(quality: int) -> np.ndarray:
+    """Quality 1..100 scaling of the luminance table (the common libjpeg convention)."""
+    q = min(max(int(quality), 1), 100)
+    scale = 5000 // q if q < 50 else 200 - 2 * q
+    base = np.array(LUMA_QUANT, dtype=np.int64)
+    return np.clip((base * scale + 50) // 100, 1, 255)
+
+
+def _huffman_table(freq: np.ndarray) -> tuple[list[int], list[int]]:
+    """Optimal code lengths limited to 16 bits -> (BITS[1..16], HUFFVAL)."""
+    freq = np.concatenate([freq.astype(np.int64), [1]])      # reserved symbol: no all-ones code
+    n = len(freq)
+    codesize = np.zeros(n, dtype=np.int64)
+    others = np.full(n, -1, dtype=np.int64)
+    while True:
+        live = np.nonzero(freq)[0]
+        if len(live) < 2:
+            break
+        order = live[np.lexsort((-live, freq[live]))]       # least frequent first, ties: larger symbol
+        c1, c2 = int(order[0]), int(order[1])
+        freq[c1] += freq[c2]
+        freq[c2] = 0
+        for c in (c1, c2):
+            codesize[c] += 1
+            while others[c] >= 0:
+                c = int(others[c])
+                codesize[c] += 1
+        c = c1
+        while others[c] >= 0:
+            c = int(others[c])
+        others[c] = c2
+    bits = [0] * 33
+    for s in range(n):
+        if codesize[s]:
+            bits[codesize[s]] += 1
+    for i in range(32, MAX_CODE_LENGTH, -1):
+        while bits[i] > 0:
+            j = i - 2
+            while bits[j] == 0:
+                j -= 1
+            bits[i] -= 2
+            bits[i - 1] += 1
+            bits[j + 1] += 2
+            bits[j] -= 1
+    i = MAX_CODE_LENGTH
+    while bits[i] == 0:
+        i -= 1
+    bits[i] -= 1                                               # drop the reserved symbol
+    values = [s for length in range(1, 33) for s in range(n - 1) if codesize[s] == length]
+    return bits[1:MAX_CODE_LENGTH + 1], values
+
+
+def _codes(bits: list[int], values: list[int]) -> dict[int, tuple[int, int]]:
+    table, code, k = {}, 0, 0
+    for length in range(1, MAX_CODE_LENGTH + 1):
+        for _ in range(bits[length - 1]):
+            table[values[k]] = (code, length)
+            code += 1
+            k += 1
+        code <<= 1
+    return table
+
+
+def _magnitude(v: int) -> tuple[int, int]:
+    size = abs(v).bit_length()
+    return size, (v if v >= 0 else v + (1 << size) - 1)
+
+
+def encode_jpeg(grey: np.ndarray, quality: int = 90) -> bytes:
+    grey = np.asarray(grey, dtype=np.uint8)
+    if grey.ndim != 2:
+        raise ValueError("encode_jpeg expects a 2-D uint8 array")
+    h, w = grey.shape
+    ph, pw = -h % 8, -w % 8
+    img = np.pad(grey, ((0, ph), (0, pw)), mode="edge").astype(np.float64) - 128.0
+    by, bx = img.shape[0] // 8, img.shape[1] // 8
+    blocks = img.reshape(by, 8, bx, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
+    coef = np.einsum("ux,bxy,vy->buv", DCT, blocks, DCT).reshape(-1, 64)
+    qt = quant_table(quality)
+    q = np.rint(coef / qt[None, :]).astype(np.int64)[:, ZIGZAG]
+
+    # symbols: (table, symbol, extra_size, extra_bits); table 0 = DC, 1 = AC
+    dc_diff = np.diff(np.concatenate([[0], q[:, 0]]))
+    stream: list[tuple[int, int, int, int]] = []
+    dc_freq = np.zeros(256, dtype=np.int64)
+    ac_freq = np.zeros(256, dtype=np.int64)
+    for b in range(q.shape[0]):
+        size, extra = _magnitude(int(dc_diff[b]))
+        stream.append((0, size, size, extra))
+        dc_freq[size] += 1
+        ac = q[b, 1:]
+        nz = np.nonzero(ac)[0]
+        prev = -1
+        for k in nz:
+            run = int(k) - prev - 1
+            while run > 15:
+                stream.append((1, 0xF0, 0, 0))
+                ac_freq[0xF0] += 1
+                run -= 16
+            size, extra = _magnitude(int(ac[k]))
+            sym = (run << 4) | size
+            stream.append((1, sym, size, extra))
+            ac_freq[sym] += 1
+            prev = int(k)
+        if prev < 62:
+            stream.append((1, 0x00, 0, 0))
+            ac_freq[0] += 1
+
+    dc_bits, dc_vals = _huffman_table(dc_freq)
+    ac_bits, ac_vals = _huffman_table(ac_freq)
+    tables = (_codes(dc_bits, dc_vals), _codes(ac_bits, ac_vals))
+
+    out = bytearray()
+    acc, nacc = 0, 0
+    for t, sym, size, extra in stream:
+        code, length = tables[t][sym]
+        acc = (acc << length) | code
+        nacc += length
+        if size:
+            acc = (acc << size) | extra
+            nacc += size
+        while nacc >= 8:
+            nacc -= 8
+            byte = (acc >> nacc) & 0xFF
+            out.append(byte)
+            if byte == 0xFF:
+                out.append(0)
+        acc &= (1 << nacc) - 1
+    if nacc:
+        byte = ((acc << (8 - nacc)) | ((1 << (8 - nacc)) - 1)) & 0xFF
+        out.append(byte)
+        if byte == 0xFF:
+            out.append(0)
+
+    def segment(marker: int, payload: bytes) -> bytes:
+        return struct.pack(">BBH", 0xFF, marker, len(payload) + 2) + payload
+
+    jfif = b"JFIF\x00" + struct.pack(">BBBHHBB", 1, 1, 0, 1, 1, 0, 0)
+    dqt = bytes([0]) + bytes(int(v) for v in qt[ZIGZAG])
+    sof = struct.pack(">BHHB", 8, h, w, 1) + bytes([1, 0x11, 0])
+    dht = (bytes([0x00]) + bytes(dc_bits) + bytes(dc_vals)
+           + bytes([0x10]) + bytes(ac_bits) + bytes(ac_vals))
+    sos = bytes([1, 1, 0x00, 0, 63, 0])
+    return (SOI + segment(0xE0, jfif) + segment(0xDB, dqt) + segment(0xC0, sof) + segment(0xC4, dht)
+            + segment(0xDA, sos) + bytes(out) + EOI)

@@ -1,0 +1,97 @@
+"""Test-side baseline JPEG decoder (one component, 8-bit, Huffman), to check the encoder."""
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+
+from framefold.sources.jpeg import DCT, ZIGZAG
+
+
+def decode_jpeg(blob: bytes) -> np.ndarray:
+    assert blob[:2] == b"\xff\xd8"
+    pos, qt, tables, h, w = 2, {}, {}, 0, 0
+    while True:
+        assert blob[pos] == 0xFF
+        marker = blob[pos + 1]
+        pos += 2
+        length = struct.unpack(">H", blob[pos:pos + 2])[0]
+        seg = blob[pos + 2:pos + length]
+        pos += length
+        if marker == 0xDB:
+            qt[seg[0] & 15] = np.frombuffer(seg[1:65], dtype=np.uint8).astype(np.int64)
+        elif marker == 0xC0:
+            h, w = struct.unpack(">HH", seg[1:5])
+            assert seg[5] == 1
+        elif marker == 0xC4:
+            i = 0
+            while i < len(seg):
+                kind, bits = seg[i] >> 4, seg[i + 1:i + 17]
+                vals = seg[i + 17:i + 17 + sum(bits)]
+                code, k, lut = 0, 0, {}
+                for length_ in range(1, 17):
+                    for _ in range(bits[length_ - 1]):
+                        lut[(length_, code)] = vals[k]
+                        code += 1
+                        k += 1
+                    code <<= 1
+                tables[kind] = lut
+                i += 17 + sum(bits)
+        elif marker == 0xDA:
+            break
+    data = bytearray()
+    while not (blob[pos] == 0xFF and blob[pos + 1] != 0):
+        data.append(blob[pos])
+        pos += 2 if blob[pos] == 0xFF else 1
+    bitpos = 0
+
+    def bit() -> int:
+        nonlocal bitpos
+        b = (data[bitpos >> 3] >> (7 - (bitpos & 7))) & 1
+        bitpos += 1
+        return b
+
+    def receive(n: int) -> int:
+        v = 0
+        for _ in range(n):
+            v = (v << 1) | bit()
+        return v
+
+    def symbol(lut) -> int:
+        code, length_ = 0, 0
+        while True:
+            code = (code << 1) | bit()
+            length_ += 1
+            if (length_, code) in lut:
+                return lut[(length_, code)]
+
+    def extend(v: int, n: int) -> int:
+        return v - (1 << n) + 1 if n and v < (1 << (n - 1)) else v
+
+    by, bx = (h + 7) // 8, (w + 7) // 8
+    img = np.zeros((by * 8, bx * 8))
+    prev = 0
+    q = qt[0]
+    for b in range(by * bx):
+        zz = np.zeros(64, dtype=np.int64)
+        s = symbol(tables[0])
+        prev += extend(receive(s), s)
+        zz[0] = prev
+        k = 1
+        while k < 64:
+            rs = symbol(tables[1])
+            r, s = rs >> 4, rs & 15
+            if s == 0:
+                if r == 15:
+                    k += 16
+                    continue
+                break
+            k += r
+            zz[k] = extend(receive(s), s)
+            k += 1
+        nat = np.zeros(64)
+        nat[ZIGZAG] = zz * q
+        block = DCT.T @ nat.reshape(8, 8) @ DCT + 128
+        y, x = divmod(b, bx)
+        img[y * 8:(y + 1) * 8, x * 8:(x + 1) * 8] = block
+    return np.clip(np.rint(img), 0, 255).astype(np.uint8)[:h, :w]
