@@ -46,8 +46,23 @@ def frame_count_mismatch(profile: DataFrame) -> DataFrame:
 
 
 def videos_without_frames(videos: DataFrame, frames: DataFrame) -> DataFrame:
-    """Q4: videos with no row in ``frames`` (e.g. a crash between the two writes)."""
-    return videos.select("video_id").join(frames.select("video_id"), "video_id", "left_anti")
+    """Q4: videos with no row in ``frames`` (e.g. a crash between the two writes).
+    Frame ids are made distinct first: partial aggregation shrinks that side to
+    video volume before its shuffle."""
+    return videos.select("video_id").join(frames.select("video_id").distinct(), "video_id", "left_anti")
+
+
+def per_video_checks(profile: DataFrame) -> DataFrame:
+    """Q3, Q5 and unparseable paths in one pass over the (video-volume) profile."""
+    vids = C.with_cruise_camera(profile.filter((F.col("n_frames") > 0) & ~C.is_skipped()))
+    counts = vids.agg(
+        F.count_if(C.parse_utc("media_time").isNull()).alias(Q3_NULL_MEDIA_TIME),
+        F.count_if(F.col("n_frames") != F.col("max_frame") + 1).alias(Q5_FRAME_COUNT_MISMATCH),
+        F.count_if(F.col("cruise").isNull()).alias(Q6_UNPARSEABLE_PATH),
+    )
+    names = [Q3_NULL_MEDIA_TIME, Q5_FRAME_COUNT_MISMATCH, Q6_UNPARSEABLE_PATH]
+    return counts.unpivot([], names, "check", "n_items").select(
+        "check", F.col("n_items").cast("bigint").alias("n_items"))
 
 
 def quality_report(raw: DataFrame, profile: DataFrame, videos: DataFrame,
@@ -55,9 +70,7 @@ def quality_report(raw: DataFrame, profile: DataFrame, videos: DataFrame,
     parts = [
         _one(Q1_DUPLICATE_VIDEO_ID, duplicate_video_ids(videos).agg(F.count(F.lit(1)).alias("n"))),
         _one(Q2_DUPLICATE_PATH_FRAME, duplicate_path_frames(raw).agg(F.count(F.lit(1)).alias("n"))),
-        _one(Q3_NULL_MEDIA_TIME, videos.agg(F.count_if(F.col("media_time").isNull()).alias("n"))),
-        _one(Q5_FRAME_COUNT_MISMATCH, frame_count_mismatch(profile).agg(F.count(F.lit(1)).alias("n"))),
-        _one(Q6_UNPARSEABLE_PATH, videos.agg(F.count_if(F.col("cruise").isNull()).alias("n"))),
+        per_video_checks(profile),
     ]
     if frames is not None:
         parts.append(_one(Q4_VIDEO_WITHOUT_FRAMES,

@@ -41,8 +41,12 @@ def frames_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
 
     # orders x customer first: the smaller join runs before the lineitem-volume one.
+    # customer is broadcast only when Spark's size estimate allows it.
     order_side = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    x = lineitem.join(order_side, lineitem.l_orderkey == order_side.o_orderkey)
+    # lineitem is the frame-volume side: never a broadcast build side. A shuffle
+    # (sort-merge) join is what runs at scale anyway, and it spreads the per-row
+    # work that follows (paths, parsing, partial aggregation) over all partitions.
+    x = lineitem.join(order_side.hint("merge"), lineitem.l_orderkey == order_side.o_orderkey)
 
     okey, lnum, pkey = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     day = F.substring(F.col("o_orderdate").cast("string"), 1, 10)
