@@ -52,28 +52,35 @@ def lookup(ids: DataFrame, videos: DataFrame) -> DataFrame:
             .withColumn("found", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit"))
 
 
+def _metadata_columns() -> list[tuple[str, Column]]:
+    """P3 fields after ``video_id``; ``media_path`` stays internal."""
+    return [
+        ("media_basename", C.basename()),
+        ("frame_count", F.col("frame_count")),
+        ("last_frame_index", C.last_frame_index()),
+        ("media_time", C.iso8601_utc("media_time")),
+        ("cruise", F.col("cruise")),
+        ("camera", F.col("camera")),
+    ]
+
+
 def video_metadata(videos: DataFrame) -> DataFrame:
-    """What ``GET /videos/{id}`` shows; ``media_path`` stays internal."""
-    return videos.select(
-        "video_id",
-        C.basename().alias("media_basename"),
-        "frame_count",
-        C.last_frame_index().alias("last_frame_index"),
-        C.iso8601_utc("media_time").alias("media_time"),
-        "cruise",
-        "camera",
-    )
+    """What ``GET /videos/{id}`` shows."""
+    return videos.select("video_id", *[expr.alias(name) for name, expr in _metadata_columns()])
 
 
 def video_lookup(ids: DataFrame, videos: DataFrame) -> DataFrame:
-    """``GET /videos/{id}`` over a table of ids: metadata, or 404 with detail."""
+    """``GET /videos/{id}`` over a table of ids: metadata, or 404 with detail.
+    One pass: distinct ids (partial aggregation absorbs hot ids), one join."""
     hits = lookup(ids.select("video_id").distinct(), videos)
-    meta = video_metadata(hits.filter("found"))
-    misses = hits.filter(~F.col("found")).select(
-        "video_id", F.lit(STATUS_NOT_FOUND).alias("status_code"),
-        F.format_string(DETAIL_NOT_FOUND.replace("{vid}", "%s"), py_repr(F.col("video_id"))).alias("detail"))
-    return meta.withColumn("status_code", F.lit(STATUS_OK)).withColumn(
-        "detail", F.lit(None).cast("string")).unionByName(misses, allowMissingColumns=True)
+    found = F.col("found")
+    return hits.select(
+        "video_id",
+        *[F.when(found, expr).alias(name) for name, expr in _metadata_columns()],
+        F.when(found, F.lit(STATUS_OK)).otherwise(F.lit(STATUS_NOT_FOUND)).alias("status_code"),
+        F.when(~found, F.format_string(DETAIL_NOT_FOUND.replace("{vid}", "%s"),
+                                       py_repr(F.col("video_id")))).alias("detail"),
+    )
 
 
 TRIPLE = ["video_id", "frame_index", "format"]
