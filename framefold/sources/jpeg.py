@@ -111,9 +111,70 @@ def _codes(bits: list[int], values: list[int]) -> dict[int, tuple[int, int]]:
     return table
 
 
-def _magnitude(v: int) -> tuple[int, int]:
-    size = abs(v).bit_length()
-    return size, (v if v >= 0 else v + (1 << size) - 1)
+def _magnitudes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size category and extra bits of each value (negative: one's complement)."""
+    a = np.abs(v)
+    size = np.zeros(v.shape, dtype=np.int64)
+    nz = a > 0
+    size[nz] = np.floor(np.log2(a[nz])).astype(np.int64) + 1
+    extra = np.where(v >= 0, v, v + (np.int64(1) << size) - 1)
+    return size, extra
+
+
+def _symbol_stream(q: np.ndarray):
+    """Every block's symbols in emission order, for all blocks at once.
+
+    Returns (table, symbol, size, extra) arrays; table 0 = DC, 1 = AC.
+    Order key per block: DC at 0, the ZRLs before the AC coefficient at
+    zig-zag index k at 2k, the coefficient at 2k + 1, EOB at 200.
+    """
+    nb = q.shape[0]
+    blocks = np.arange(nb, dtype=np.int64)
+    dc_size, dc_extra = _magnitudes(np.diff(np.concatenate([[0], q[:, 0]])))
+    parts = [(blocks, np.zeros(nb, np.int64), np.zeros(nb, np.int64), dc_size, dc_size, dc_extra)]
+
+    b, k = np.nonzero(q[:, 1:])
+    k = k + 1
+    first = np.ones(len(b), dtype=bool)
+    first[1:] = b[1:] != b[:-1]
+    prev = np.where(first, 0, np.concatenate([[0], k[:-1]]))
+    run = k - prev - 1
+    size, extra = _magnitudes(q[b, k])
+    parts.append((b, 2 * k + 1, np.ones(len(b), np.int64), (run % 16) << 4 | size, size, extra))
+    n_zrl = run // 16
+    if n_zrl.any():
+        zb, zk = np.repeat(b, n_zrl), np.repeat(k, n_zrl)
+        parts.append((zb, 2 * zk, np.ones(len(zb), np.int64), np.full(len(zb), 0xF0, np.int64),
+                      np.zeros(len(zb), np.int64), np.zeros(len(zb), np.int64)))
+    last = np.zeros(nb, dtype=np.int64)          # last non-zero AC index per block (0: none)
+    ends = np.r_[b[1:] != b[:-1], True] if len(b) else np.zeros(0, dtype=bool)
+    last[b[ends]] = k[ends]
+    eob = blocks[last < 63]
+    parts.append((eob, np.full(len(eob), 200, np.int64), np.ones(len(eob), np.int64),
+                  np.zeros(len(eob), np.int64), np.zeros(len(eob), np.int64), np.zeros(len(eob), np.int64)))
+
+    blk, key, table, sym, sz, ext = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(blk * 256 + key, kind="stable")
+    return table[order], sym[order], sz[order], ext[order]
+
+
+def _pack(values: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Concatenate variable-length big-endian codes (<= 32 bits each), pad with
+    1-bits to a byte, and stuff a zero byte after every 0xFF."""
+    if len(values) == 0:
+        return b""
+    words = values.astype(">u4").view(np.uint8).reshape(-1, 4)
+    bits = np.unpackbits(words, axis=1)
+    keep = np.arange(32)[None, :] >= (32 - lengths)[:, None]
+    stream = bits[keep]
+    pad = -len(stream) % 8
+    if pad:
+        stream = np.concatenate([stream, np.ones(pad, dtype=np.uint8)])
+    data = np.packbits(stream)
+    ff = np.nonzero(data == 0xFF)[0]
+    if len(ff):
+        data = np.insert(data, ff + 1, 0)
+    return data.tobytes()
 
 
 def encode_jpeg(grey: np.ndarray, quality: int = 90) -> bytes:
@@ -125,62 +186,23 @@ def encode_jpeg(grey: np.ndarray, quality: int = 90) -> bytes:
     img = np.pad(grey, ((0, ph), (0, pw)), mode="edge").astype(np.float64) - 128.0
     by, bx = img.shape[0] // 8, img.shape[1] // 8
     blocks = img.reshape(by, 8, bx, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
-    coef = np.einsum("ux,bxy,vy->buv", DCT, blocks, DCT).reshape(-1, 64)
+    coef = (DCT @ blocks @ DCT.T).reshape(-1, 64)
     qt = quant_table(quality)
     q = np.rint(coef / qt[None, :]).astype(np.int64)[:, ZIGZAG]
 
-    # symbols: (table, symbol, extra_size, extra_bits); table 0 = DC, 1 = AC
-    dc_diff = np.diff(np.concatenate([[0], q[:, 0]]))
-    stream: list[tuple[int, int, int, int]] = []
-    dc_freq = np.zeros(256, dtype=np.int64)
-    ac_freq = np.zeros(256, dtype=np.int64)
-    for b in range(q.shape[0]):
-        size, extra = _magnitude(int(dc_diff[b]))
-        stream.append((0, size, size, extra))
-        dc_freq[size] += 1
-        ac = q[b, 1:]
-        nz = np.nonzero(ac)[0]
-        prev = -1
-        for k in nz:
-            run = int(k) - prev - 1
-            while run > 15:
-                stream.append((1, 0xF0, 0, 0))
-                ac_freq[0xF0] += 1
-                run -= 16
-            size, extra = _magnitude(int(ac[k]))
-            sym = (run << 4) | size
-            stream.append((1, sym, size, extra))
-            ac_freq[sym] += 1
-            prev = int(k)
-        if prev < 62:
-            stream.append((1, 0x00, 0, 0))
-            ac_freq[0] += 1
-
+    table, sym, size, extra = _symbol_stream(q)
+    dc_freq = np.bincount(sym[table == 0], minlength=256)
+    ac_freq = np.bincount(sym[table == 1], minlength=256)
     dc_bits, dc_vals = _huffman_table(dc_freq)
     ac_bits, ac_vals = _huffman_table(ac_freq)
-    tables = (_codes(dc_bits, dc_vals), _codes(ac_bits, ac_vals))
-
-    out = bytearray()
-    acc, nacc = 0, 0
-    for t, sym, size, extra in stream:
-        code, length = tables[t][sym]
-        acc = (acc << length) | code
-        nacc += length
-        if size:
-            acc = (acc << size) | extra
-            nacc += size
-        while nacc >= 8:
-            nacc -= 8
-            byte = (acc >> nacc) & 0xFF
-            out.append(byte)
-            if byte == 0xFF:
-                out.append(0)
-        acc &= (1 << nacc) - 1
-    if nacc:
-        byte = ((acc << (8 - nacc)) | ((1 << (8 - nacc)) - 1)) & 0xFF
-        out.append(byte)
-        if byte == 0xFF:
-            out.append(0)
+    code_of = np.zeros((2, 256), dtype=np.int64)
+    len_of = np.zeros((2, 256), dtype=np.int64)
+    for t, (bits_, vals_) in enumerate(((dc_bits, dc_vals), (ac_bits, ac_vals))):
+        for s_, (code, length) in _codes(bits_, vals_).items():
+            code_of[t, s_], len_of[t, s_] = code, length
+    lengths = len_of[table, sym] + size
+    values = (code_of[table, sym] << size) | extra
+    out = _pack(values, lengths)
 
     def segment(marker: int, payload: bytes) -> bytes:
         return struct.pack(">BBH", 0xFF, marker, len(payload) + 2) + payload
