@@ -203,7 +203,8 @@ def fnmatch_regex(pattern: str) -> str:
             negate = body.startswith("!")
             if negate:
                 body = body[1:]
-            body = body.replace("\\", "\\\\")
+            # Literal inside an fnmatch class, special inside a Java class: \\ [ & ~ (and a leading ^).
+            body = "".join("\\" + c if c in "\\[&~" else c for c in body)
             if body.startswith("^"):
                 body = "\\" + body
             out.append("[" + ("^" if negate else "") + body + "]")

@@ -77,12 +77,13 @@ def detect_headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...
     headers (and, when there is more than one, the file names) reach the driver.
     """
     # A header line is one whose tokens are all known column names, media_path among them.
-    tokens = F.split(F.trim(F.col("value")), ",")
+    line = F.regexp_replace(F.trim(F.col("value")), '^\uFEFF|"', "")   # BOM, quoted names
+    tokens = F.split(line, ",")
     known = F.array(*[F.lit(c) for c in CSV_COLUMNS])
     is_header = (F.size(F.array_except(tokens, known)) == 0) & F.array_contains(tokens, CSV_COLUMNS[0])
     lines = (spark.read.text(sorted(set(files)))
              .filter(is_header)
-             .select(F.trim(F.col("value")).alias("header"), C.file_path_of_metadata().alias("file")))
+             .select(line.alias("header"), C.file_path_of_metadata().alias("file")))
     distinct_headers = [r.header for r in lines.select("header").distinct().collect()]
     if len(distinct_headers) <= 1:
         return {tuple(h.strip().split(",")): {"*"} for h in distinct_headers}
