@@ -166,11 +166,11 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
                       .select("video_id").distinct())
         keyed = keyed.join(stored_ids, "video_id", "left_anti")
         obs_f = Observation("frames_written")
-        store.append_frames(keyed.observe(obs_f, F.count(F.lit(1)).alias("n")))
+        store.append_frames(keyed, obs_f)
         frames_n = _observed_rows(obs_f)
 
     obs_v = Observation("videos_written")
-    store.append_videos(vids_out.observe(obs_v, F.count(F.lit(1)).alias("n")))
+    store.append_videos(vids_out, obs_v)
     videos_n = _observed_rows(obs_v)
     return IngestReport(summary("written", n_parts - n_conflicts, videos_n, frames_n), plan)
 

@@ -7,7 +7,7 @@ schema, so partition values such as ``0042`` stay strings.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FRAME_PARTITIONS, FRAMES, VIDEO_COLUMNS, VIDEO_PARTITIONS, VIDEOS
@@ -60,28 +60,37 @@ class ManifestStore:
         return self.read_videos().select(*VIDEO_PARTITIONS).distinct()
 
     # ------------------------------------------------------------ appends
-    def append_videos(self, videos: DataFrame) -> None:
+    def append_videos(self, videos: DataFrame, observation: Observation | None = None) -> None:
         """Append rows; rebalanced on the partition keys so each (cruise, camera)
-        lands in few files while a hot partition is split across tasks."""
-        (checked_keys(videos.select(*VIDEO_COLUMNS), VIDEO_PARTITIONS)
-         .hint("rebalance", *VIDEO_PARTITIONS)
-         .sortWithinPartitions(*VIDEO_PARTITIONS, "video_id")
+        lands in few files while a hot partition is split across tasks.
+
+        ``observation`` (metric ``n``) counts the rows written; it is attached after
+        the shuffle, in the write's result stage, where a re-run map stage cannot
+        count rows twice."""
+        laid = (checked_keys(videos.select(*VIDEO_COLUMNS), VIDEO_PARTITIONS)
+                .hint("rebalance", *VIDEO_PARTITIONS)
+                .sortWithinPartitions(*VIDEO_PARTITIONS, "video_id"))
+        (_observed(laid, observation)
          .write.mode("append")
          .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
          .partitionBy(*VIDEO_PARTITIONS)
          .parquet(self.videos_path))
 
-    def append_frames(self, frames: DataFrame) -> None:
+    def append_frames(self, frames: DataFrame, observation: Observation | None = None) -> None:
         """Every cruise in one job; sorted (video_id, frame_index) inside each file."""
         from ..operators.frames import write_layout
         rows = checked_keys(frames.select(*[f.name for f in FRAMES.fields]), FRAME_PARTITIONS)
-        (write_layout(rows)
+        (_observed(write_layout(rows), observation)
          .write.mode("append")
          .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
          .partitionBy(*FRAME_PARTITIONS)
          .parquet(self.frames_path))
 
 
+def _observed(df: DataFrame, observation: Observation | None) -> DataFrame:
+    return df if observation is None else df.observe(observation, F.count(F.lit(1)).alias("n"))
+
+
 def checked_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Empty or null partition values would read back as null: fail the write
     instead. A per-row check inside the write job itself, no extra pass."""
