@@ -105,8 +105,10 @@ def basename(path: str | Column = "media_path") -> Column:
 
 
 # H4s: naive text that means UTC -> TIMESTAMP instant; junk -> null (never throws).
+# Text that already names its zone fails the first parse and keeps its own zone.
 def parse_utc(text: str | Column) -> Column:
-    return F.try_to_timestamp(F.concat(_col(text), F.lit("Z")))
+    t = _col(text)
+    return F.coalesce(F.try_to_timestamp(F.concat(t, F.lit("Z"))), F.try_to_timestamp(t))
 
 
 def utc_wallclock(ts: str | Column) -> Column:
@@ -162,6 +164,11 @@ def content_type(fmt: str | Column) -> Column:
     return expr
 
 
+# The public URL of a frame (the request contract's path and format parameter).
+def frame_url(video_id: str | Column, frame_index: str | Column, fmt: str | Column) -> Column:
+    return F.format_string("/frames/%s/%d?format=%s", _col(video_id), _col(frame_index), _col(fmt))
+
+
 # H11s: {video_id}_{frame_index}.{ext}
 def cache_key(video_id: str | Column, frame_index: str | Column, fmt: str | Column) -> Column:
     ext = F.lit(None).cast("string")

@@ -164,6 +164,7 @@ def neighbors(resolved: DataFrame, window: str = NEIGHBOR_WINDOW) -> DataFrame:
     nb = F.col("frame_index") + F.col("offset")
     return hints.filter(C.index_in_range(nb, F.col("frame_count"))).select(
         "request_id", "video_id", "frame_index", "offset", nb.alias("neighbor_index"),
+        C.frame_url(F.col("video_id"), nb, F.col("format")).alias("neighbor_url"),
         C.cache_key(F.col("video_id"), nb, F.col("format")).alias("neighbor_key"))
 
 

@@ -387,6 +387,7 @@ SELECT i.video_id, regexp_extract(v.media_path, '[^/]+$', 0) AS media_basename,
 FROM (SELECT DISTINCT video_id FROM requests) i LEFT JOIN videos v ON i.video_id = v.video_id""",
     "neighbors": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED) + """
 SELECT request_id, video_id, frame_index, o.off AS "offset", frame_index + o.off AS neighbor_index,
+       '/frames/' || video_id || '/' || CAST(frame_index + o.off AS VARCHAR) || '?format=' || format AS neighbor_url,
        video_id || '_' || CAST(frame_index + o.off AS VARCHAR) || '.'
          || CASE format WHEN 'png' THEN 'png' ELSE 'jpg' END AS neighbor_key
 FROM resolved CROSS JOIN (VALUES (-5), (-1), (1), (5)) o(off)

@@ -171,3 +171,17 @@ def test_hot_video_third_of_requests(spark, manifest):
         assert last_join.count("Exchange hashpartitioning(coalesce(") >= 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_parse_utc_keeps_explicit_zones(spark):
+    df = spark.createDataFrame([("2024-05-03 19:11:12.333",), ("2024-05-03T19:11:12.333Z",),
+                                ("2024-05-03T21:11:12.333+02:00",), ("junk",), (None,)], "t string")
+    got = [r[0] for r in df.select(C.iso8601_utc(C.parse_utc("t"))).collect()]
+    assert got == ["2024-05-03T19:11:12.333000+00:00"] * 3 + [None, None]
+
+
+def test_neighbor_urls(spark, manifest):
+    req = _requests(spark, [(1, "vid-1", 4, None)])
+    urls = sorted(r.neighbor_url for r in RQ.neighbors(RQ.resolve_requests(req, manifest)).collect())
+    # offsets -5, -1, +1, +5 from index 4: -1 is out of range and dropped
+    assert urls == ["/frames/vid-1/3?format=png", "/frames/vid-1/5?format=png", "/frames/vid-1/9?format=png"]
