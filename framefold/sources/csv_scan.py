@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..schemas import CSV_COLUMNS, TYPED_FRAMES
+from ..schemas import CSV_COLUMNS, OPTIONAL_CSV_COLUMNS, TYPED_FRAMES
 
 log = logging.getLogger("framefold.sources.csv")
 
@@ -27,6 +27,19 @@ class NoInputError(RuntimeError):
     """No CSV file matched the globs, or none was left after excludes."""
 
 
+class HeaderError(ValueError):
+    """A CSV header lacks a required column (only id and link may be absent)."""
+
+
+REQUIRED_CSV_COLUMNS = [c for c in CSV_COLUMNS if c not in OPTIONAL_CSV_COLUMNS]
+
+
+def check_header(header: tuple[str, ...]) -> None:
+    missing = [c for c in REQUIRED_CSV_COLUMNS if c not in header]
+    if missing:
+        raise HeaderError(f"CSV header {','.join(header)!r} lacks required column(s): {', '.join(missing)}")
+
+
 def _plain(path: str) -> str:
     """Listing/URI form -> the path string patterns are matched against."""
     if path.startswith("file://"):
@@ -135,15 +148,16 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
         groups = detect_headers(spark, kept)
         if not groups:
             groups = {tuple(CSV_COLUMNS): {"*"}}
+        for header in groups:
+            check_header(header)
 
     if list(groups.values()) == [{"*"}]:
-        # One header for all files: scan the patterns themselves (overlaps scan
-        # twice, as requested) and drop excluded files at the scan.
+        # One header for all files: scan the patterns themselves when nothing is
+        # excluded, else the kept listing, so excluded files are never parsed (a
+        # file with another layout would fail FAILFAST parsing). Overlapping
+        # patterns list a file twice either way, and it is scanned twice.
         (header,) = groups
-        df = _read_group(spark, matched, header)
-        if exclude:
-            df = df.filter(~C.excluded_by(C.file_path_of_metadata(), exclude))
-        return typed(df)
+        return typed(_read_group(spark, kept if dropped else matched, header))
 
     parts = []
     for header, members in groups.items():
