@@ -11,8 +11,9 @@ Shape of one run (compare: the reference makes 3 full CSV passes plus one per cr
 Idempotence without a transaction log: the partition plan gates the run
 (refuse, or skip what exists); ``frames`` is written first and ``videos`` last,
 so ``videos`` is the commit marker. A retry after a crash between the two does
-not append the same frames twice: frames of video ids already stored in the
-written cruises are anti-joined away.
+not append the same frames twice: videos being written that already have stored
+frames are found at video volume (normally none), and only then are their frame
+rows anti-joined away.
 """
 from __future__ import annotations
 
@@ -103,6 +104,14 @@ def frames_to_write(frames_keyed: DataFrame, write_parts: DataFrame) -> DataFram
     return frames_keyed.join(write_parts.select(*KEYS), KEYS, "left_semi")
 
 
+def already_stored(store: ManifestStore, videos_out: DataFrame, write_parts: DataFrame) -> DataFrame:
+    """Ids of videos about to be written that already have rows in ``frames``."""
+    stored_ids = (store.read_frames().select("video_id", "cruise")
+                  .join(write_parts.select("cruise").distinct(), "cruise", "left_semi")
+                  .select("video_id").distinct())
+    return videos_out.select("video_id").join(stored_ids, "video_id", "left_semi").distinct()
+
+
 # ---------------------------------------------------------------- the run
 def _observed_rows(obs: Observation) -> int:
     """Rows counted by an Observation during a write. When AQE proves the write
@@ -159,12 +168,13 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
         keyed = FR.frames_with_keys(raw_frames if raw_frames is not None else raw)
         if n_conflicts:
             keyed = frames_to_write(keyed, write_parts)
-        # Retry guard: frames of ids already stored in the cruises being written.
-        # The semi-join on the partition column prunes stored cruise folders at run time.
-        stored_ids = (store.read_frames().select("video_id", "cruise")
-                      .join(write_parts.select("cruise").distinct(), "cruise", "left_semi")
-                      .select("video_id").distinct())
-        keyed = keyed.join(stored_ids, "video_id", "left_anti")
+        # Retry guard: videos being written whose frames are already stored (only
+        # after a crash between the two writes). Found at video volume; the
+        # semi-join on the partition column prunes stored cruise folders at run
+        # time. Normally empty, and then the frame rows are not joined at all.
+        already = already_stored(store, vids_out, write_parts)
+        if not already.isEmpty():
+            keyed = keyed.join(already, "video_id", "left_anti")
         obs_f = Observation("frames_written")
         store.append_frames(keyed, obs_f)
         frames_n = _observed_rows(obs_f)
