@@ -89,7 +89,7 @@ def main() -> None:
         "frame_volume_exchanges": len(re.findall(r"Exchange hashpartitioning\(media_path#\d+, media#", plan_text)),
         "video_volume_exchanges": len(re.findall(r"Exchange hashpartitioning\(media_path#\d+, \d+\)", plan_text)),
         "csv_passes_per_ingest_with_frames": 2,
-        "extra_text_pass_for_header_detection": "1 (0 with headers='canonical')",
+        "header_detection": "first line of each file (POSIX) or one text pass; none with headers='canonical'",
         "reference_csv_passes_per_ingest_with_frames": "3 + one per cruise",
     }
 

@@ -21,6 +21,7 @@ log = logging.getLogger("framefold.sources.csv")
 
 # CSV dialect of the exports: RFC 4180 quoting (a quote is escaped by doubling).
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
+HEADER_READ_LIMIT = 64 * 1024   # bytes read to find a header line
 
 
 class NoInputError(RuntimeError):
@@ -83,20 +84,46 @@ def apply_excludes(paths: list[str], patterns: list[str]) -> tuple[list[str], li
     return kept, dropped
 
 
-def detect_headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], set[str]]:
+def _first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(value, file) with the first line of every file on a POSIX mount: each task
+    reads a few KB per file, so the cost follows the number of files, not bytes."""
+    n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 2))
+
+    def heads(batches):
+        import pandas as pd
+        for pdf in batches:
+            lines = []
+            for f in pdf["file"]:
+                with open(f, "rb") as fh:
+                    lines.append(fh.readline(HEADER_READ_LIMIT).decode("utf-8", "replace").rstrip("\r\n"))
+            yield pd.DataFrame({"value": lines, "file": pdf["file"]})
+
+    listing = spark.createDataFrame([(_plain(f),) for f in files], "file string")
+    return listing.repartition(n).mapInPandas(heads, "value string, file string")
+
+
+def detect_headers(spark: SparkSession, files: list[str],
+                   method: str = "auto") -> dict[tuple[str, ...], set[str]]:
     """Header line of every file, grouped by header -> set of plain file paths.
 
-    One distributed text pass keeps only the header lines; only the distinct
-    headers (and, when there is more than one, the file names) reach the driver.
+    Files on a POSIX mount: one distributed read of each file's first line.
+    Other file systems: one distributed text pass keeping only header lines.
+    ``method`` forces one of the two ("first_line" or "text").
+    Only the distinct headers (and, when there is more than one, the file
+    names) reach the driver.
     """
+    uniq = sorted(set(files))
+    posix = all(f.startswith("file:") for f in uniq)
+    if method == "first_line" or (method == "auto" and posix):
+        raw_lines = _first_lines(spark, uniq)
+    else:
+        raw_lines = spark.read.text(uniq).select("value", C.file_path_of_metadata().alias("file"))
     # A header line is one whose tokens are all known column names, media_path among them.
     line = F.regexp_replace(F.trim(F.col("value")), '^\uFEFF|"', "")   # BOM, quoted names
     tokens = F.split(line, ",")
     known = F.array(*[F.lit(c) for c in CSV_COLUMNS])
     is_header = (F.size(F.array_except(tokens, known)) == 0) & F.array_contains(tokens, CSV_COLUMNS[0])
-    lines = (spark.read.text(sorted(set(files)))
-             .filter(is_header)
-             .select(line.alias("header"), C.file_path_of_metadata().alias("file")))
+    lines = raw_lines.filter(is_header).select(line.alias("header"), "file")
     distinct_headers = [r.header for r in lines.select("header").distinct().collect()]
     if len(distinct_headers) <= 1:
         return {tuple(h.strip().split(",")): {"*"} for h in distinct_headers}
