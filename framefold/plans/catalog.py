@@ -224,6 +224,16 @@ def q_extract_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ME.extract_frames(wanted).drop("body")
 
 
+def q_frame_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 + R2 end to end: every request's final status once its frame is extracted."""
+    raw = CO.frames_raw(spark, sf_dir)
+    vids = write_media_corpus(PR.videos(raw), scratch_path(spark, "media"))
+    requests = CO.requests(spark, sf_dir)
+    extracted = ME.extract_frames(RQ.wanted_frames(RQ.resolve_distinct(requests, vids)))
+    # The encoded bytes are produced (and checked by tests); compared columns exclude them.
+    return ME.frame_responses(RQ.resolve_requests(requests, vids), extracted).drop("body")
+
+
 QUERIES: dict[str, Query] = {
     "ok_frames": q_ok_frames,
     "path_parts": q_path_parts,
@@ -254,6 +264,7 @@ QUERIES: dict[str, Query] = {
     "quality_report": q_quality_report,
     "media_audit": q_media_audit,
     "extract_frames": q_extract_frames,
+    "frame_responses": q_frame_responses,
 }
 
 
@@ -447,3 +458,21 @@ SELECT cache_key, video_id, frame_index, format,
        CASE WHEN reason IS NULL THEN v END AS top_left, CASE WHEN reason IS NULL THEN v + 6 END AS bottom_right
 FROM graded""",
 })
+
+ORACLE["frame_responses"] = _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED) + f""",
+graded AS (
+  SELECT *, TRY_CAST(substr(video_id, 5) AS BIGINT) AS okey FROM resolved),
+final AS (
+  SELECT *, CASE WHEN status_code = 200 AND {_MEDIA_FAIL} IS NOT NULL THEN 500 ELSE status_code END AS final_status
+  FROM graded)
+SELECT request_id, video_id, frame_index, format, final_status AS status_code,
+       CASE final_status
+            WHEN 400 THEN 'unknown format: ''' || format || ''' (allowed: png, jpeg)'
+            WHEN 404 THEN 'video_id=''' || video_id || ''' not in manifest'
+            WHEN 416 THEN 'frame_index=' || CAST(frame_index AS VARCHAR) || ' out of range for video_id='''
+                          || video_id || ''' (frame_count=' || CAST(v_count AS VARCHAR) || ')'
+            WHEN 500 THEN 'frame extraction failed'
+       END AS detail,
+       CASE WHEN final_status = 200 THEN CASE format WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END END
+         AS content_type
+FROM final"""
