@@ -197,7 +197,7 @@ def write_extracted(extracted: DataFrame, path: str) -> None:
      .parquet(path))
 
 
-def frame_responses(resolved: DataFrame, extracted: DataFrame) -> DataFrame:
+def frame_responses(resolved: DataFrame, extracted: DataFrame, with_body: bool = False) -> DataFrame:
     """What each frame request finally gets: the resolution status (400/404/416)
     or, for servable requests, the extraction outcome of its frame (200, or 500
     with the generic detail; the internal reason stays internal).
@@ -205,20 +205,29 @@ def frame_responses(resolved: DataFrame, extracted: DataFrame) -> DataFrame:
     ``resolved`` is per request (``requests.resolve_requests``); ``extracted`` is
     one row per cache key (``extract_frames``). The join is on ``cache_key`` with
     plain shuffles on both sides, so AQE can split a hot key's requests.
+
+    Served rows carry the ``cache_key`` of their bytes in the extracted table; the
+    bytes themselves are copied onto each request only with ``with_body=True``
+    (a frame requested a million times would otherwise be copied a million times).
     """
     key = C.cache_key(F.col("video_id"), F.col("frame_index"), F.col("format"))
     servable = F.col("status_code") == STATUS_OK
     req = resolved.withColumn("cache_key", F.when(servable, key))
-    out = extracted.select("cache_key", F.col("status_code").alias("_x_status"),
-                           F.col("content_type").alias("_x_type"), F.col("body").alias("_x_body"))
+    cols = [F.col("status_code").alias("_x_status"), F.col("content_type").alias("_x_type")]
+    if with_body:
+        cols.append(F.col("body").alias("_x_body"))
+    out = extracted.select("cache_key", *cols)
     joined = req.join(out, "cache_key", "left")
     x_status = F.coalesce(F.col("_x_status"), F.lit(STATUS_FAILED))
     final = F.when(servable, x_status).otherwise(F.col("status_code"))
     ok = final == STATUS_OK
-    return joined.select(
+    result = [
         "request_id", "video_id", "frame_index", "format",
         final.alias("status_code"),
         F.when(servable & ~ok, F.lit(DETAIL_FAILED)).otherwise(F.col("detail")).alias("detail"),
         F.when(ok, F.col("_x_type")).alias("content_type"),
-        F.when(ok, F.col("_x_body")).alias("body"),
-    )
+        F.when(ok, F.col("cache_key")).alias("cache_key"),
+    ]
+    if with_body:
+        result.append(F.when(ok, F.col("_x_body")).alias("body"))
+    return joined.select(*result)

@@ -230,8 +230,8 @@ def q_frame_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     vids = write_media_corpus(PR.videos(raw), scratch_path(spark, "media"))
     requests = CO.requests(spark, sf_dir)
     extracted = ME.extract_frames(RQ.wanted_frames(RQ.resolve_distinct(requests, vids)))
-    # The encoded bytes are produced (and checked by tests); compared columns exclude them.
-    return ME.frame_responses(RQ.resolve_requests(requests, vids), extracted).drop("body")
+    # Served rows point at their bytes by cache key (the bytes are checked by tests).
+    return ME.frame_responses(RQ.resolve_requests(requests, vids), extracted)
 
 
 QUERIES: dict[str, Query] = {
@@ -474,5 +474,6 @@ SELECT request_id, video_id, frame_index, format, final_status AS status_code,
             WHEN 500 THEN 'frame extraction failed'
        END AS detail,
        CASE WHEN final_status = 200 THEN CASE format WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END END
-         AS content_type
+         AS content_type,
+       CASE WHEN final_status = 200 THEN {_KEY_SQL} END AS cache_key
 FROM final"""
