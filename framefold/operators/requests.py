@@ -101,7 +101,8 @@ def resolve_distinct(requests: DataFrame, videos: DataFrame) -> DataFrame:
     vid, idx, n = F.col("video_id"), F.col("frame_index"), F.col("frame_count")
     status = (F.when(~C.format_allowed("format"), F.lit(STATUS_BAD_FORMAT))
               .when(~F.col("found"), F.lit(STATUS_NOT_FOUND))
-              .when(~C.index_in_range(idx, n), F.lit(STATUS_OUT_OF_RANGE))
+              # a null index (or count) is out of range, never servable
+              .when(~F.coalesce(C.index_in_range(idx, n), F.lit(False)), F.lit(STATUS_OUT_OF_RANGE))
               .otherwise(F.lit(STATUS_OK)))
     detail = (F.when(status == STATUS_BAD_FORMAT,
                      F.format_string(DETAIL_BAD_FORMAT.replace("{fmt}", "%s"), py_repr(F.col("format"))))

@@ -185,3 +185,9 @@ def test_neighbor_urls(spark, manifest):
     urls = sorted(r.neighbor_url for r in RQ.neighbors(RQ.resolve_requests(req, manifest)).collect())
     # offsets -5, -1, +1, +5 from index 4: -1 is out of range and dropped
     assert urls == ["/frames/vid-1/3?format=png", "/frames/vid-1/5?format=png", "/frames/vid-1/9?format=png"]
+
+
+def test_null_index_is_out_of_range(spark, manifest):
+    req = _requests(spark, [(1, "vid-1", None, "png"), (2, None, 0, "png")])
+    out = {r.request_id: r.status_code for r in RQ.resolve_requests(req, manifest).collect()}
+    assert out == {1: 416, 2: 404}
