@@ -178,6 +178,35 @@ def cache_key(video_id: str | Column, frame_index: str | Column, fmt: str | Colu
 
 
 # H10s: fnmatch (case-sensitive, '*' spans '/') -> anchored regex body.
+def _lit(c: str) -> str:
+    """One character as a literal in both Python and Java regex (inside or outside a class)."""
+    return c if c.isalnum() else "\\" + c
+
+
+def _class_regex(body: str, negate: bool) -> str:
+    """An fnmatch character class as a regex that means the same in Python and Java.
+
+    The body is read left to right: ``X-Y`` is a range (kept only when X <= Y;
+    a reversed range matches nothing), a hyphen first or last is literal, the
+    character after a range is always literal. Every item is escaped on its own,
+    so no character is special. No items: never match; negated, any character.
+    """
+    items: list[str] = []
+    k, n = 0, len(body)
+    while k < n:
+        if k + 2 < n and body[k + 1] == "-":
+            lo, hi = body[k], body[k + 2]
+            if lo <= hi:
+                items.append(_lit(lo) + "-" + _lit(hi))
+            k += 3
+        else:
+            items.append(_lit(body[k]))
+            k += 1
+    if not items:
+        return "." if negate else "(?!)"
+    return "[" + ("^" if negate else "") + "".join(items) + "]"
+
+
 def fnmatch_regex(pattern: str) -> str:
     """Translate a shell pattern into a regex body (no anchors, dot-all needed).
 
@@ -208,13 +237,7 @@ def fnmatch_regex(pattern: str) -> str:
             body = pattern[i:j]
             i = j + 1
             negate = body.startswith("!")
-            if negate:
-                body = body[1:]
-            # Literal inside an fnmatch class, special inside a Java class: \\ [ & ~ (and a leading ^).
-            body = "".join("\\" + c if c in "\\[&~" else c for c in body)
-            if body.startswith("^"):
-                body = "\\" + body
-            out.append("[" + ("^" if negate else "") + body + "]")
+            out.append(_class_regex(body[1:] if negate else body, negate))
         else:
             out.append(re.escape(ch))
     return "".join(out)
