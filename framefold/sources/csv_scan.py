@@ -64,7 +64,10 @@ def expand_globs(spark: SparkSession, patterns: list[str]) -> tuple[list[str], l
     for pat in patterns:
         hp = jvm.org.apache.hadoop.fs.Path(pat)
         statuses = hp.getFileSystem(conf).globStatus(hp) or []
-        found = sorted(s.getPath().toString() for s in statuses if s.isFile())
+        # Like a shell glob, '*' and '?' never match hidden names (e.g. '.crc' side files).
+        hidden_ok = pat.rstrip("/").rsplit("/", 1)[-1].startswith(".")
+        found = sorted(s.getPath().toString() for s in statuses
+                       if s.isFile() and (hidden_ok or not s.getPath().getName().startswith(".")))
         if not found:
             log.warning("glob matched no files: %s", pat)
             continue
