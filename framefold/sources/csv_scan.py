@@ -21,6 +21,10 @@ log = logging.getLogger("framefold.sources.csv")
 
 # CSV dialect of the exports: RFC 4180 quoting (a quote is escaped by doubling).
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
+# Positional binding to the canonical header (no detection pass, and the streaming
+# source): rows of older 6-column exports lack the trailing id/link, which come back
+# null. Junk in ``frame`` still fails the job (strict cast in ``typed``).
+POSITIONAL_CSV_OPTIONS = {**CSV_OPTIONS, "mode": "PERMISSIVE"}
 HEADER_READ_LIMIT = 64 * 1024   # bytes read to find a header line
 
 
@@ -136,9 +140,10 @@ def detect_headers(spark: SparkSession, files: list[str],
     return groups
 
 
-def _read_group(spark: SparkSession, sources: list[str], header: tuple[str, ...]) -> DataFrame:
+def _read_group(spark: SparkSession, sources: list[str], header: tuple[str, ...],
+                options: dict | None = None) -> DataFrame:
     schema = T.StructType([T.StructField(c.strip().strip('"'), T.StringType(), True) for c in header])
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(sources)
+    return spark.read.options(**(options or CSV_OPTIONS)).schema(schema).csv(sources)
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -161,7 +166,8 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
     ``headers="detect"`` groups files by their header line and reads each group
     with its own column names, then unions by name (files without ``id``/``link``
     get nulls). ``headers="canonical"`` skips the detection pass and binds every
-    file to the canonical 8-column header by position.
+    file to the canonical 8-column header by position; missing trailing columns
+    (older exports without ``id``/``link``) come back null.
     """
     files, matched = expand_globs(spark, list(patterns))
     if not files:
@@ -187,7 +193,8 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
         # file with another layout would fail FAILFAST parsing). Overlapping
         # patterns list a file twice either way, and it is scanned twice.
         (header,) = groups
-        return typed(_read_group(spark, kept if dropped else matched, header))
+        options = POSITIONAL_CSV_OPTIONS if headers == "canonical" else CSV_OPTIONS
+        return typed(_read_group(spark, kept if dropped else matched, header, options))
 
     parts = []
     for header, members in groups.items():

@@ -19,7 +19,7 @@ from ..functions import columns as C
 from ..plans.ingest import ingest_rows
 from ..schemas import RAW_CSV
 from ..session import scratch_path
-from ..sources.csv_scan import CSV_OPTIONS, typed
+from ..sources.csv_scan import POSITIONAL_CSV_OPTIONS, typed
 
 
 def start_incremental_ingest(spark: SparkSession, csv_dir: str, store_root: str, frames: bool = True,
@@ -28,7 +28,7 @@ def start_incremental_ingest(spark: SparkSession, csv_dir: str, store_root: str,
                              glob: str = "*.csv") -> StreamingQuery:
     """Start the stream. Files bind to the canonical header by position (a
     streaming source has one schema); exports without ``id``/``link`` get nulls."""
-    reader = spark.readStream.schema(RAW_CSV).options(**CSV_OPTIONS).option("pathGlobFilter", glob)
+    reader = spark.readStream.schema(RAW_CSV).options(**POSITIONAL_CSV_OPTIONS).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.csv(csv_dir)

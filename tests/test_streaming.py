@@ -42,3 +42,14 @@ def test_new_files_are_ingested_once(spark, tmp_path):
     assert vids == {("CamA", "vidA"): 2, ("CamB", "vidB"): 1}
     frames = collections.Counter(r.video_id for r in st.read_frames().collect())
     assert frames == {"vidA": 2, "vidB": 1}
+
+
+def test_legacy_exports_stream_with_null_id_link(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    store = str(tmp_path / "store")
+    (inbox / "legacy.csv").write_text("media_path,media,media_time,frame,times,status\n"
+                                      f"{A},vidA,2025-01-01 00:00:00.000,0,2025-01-01 00:00:00.066,ok\n")
+    q = start_incremental_ingest(spark, str(inbox), store, checkpoint_location=str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    assert [(r.video_id, r.frame_count) for r in ManifestStore(spark, store).read_videos().collect()] == [("vidA", 1)]
