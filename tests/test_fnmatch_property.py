@@ -34,3 +34,17 @@ def test_spark_side_matches_fnmatch(spark):
         got = {r.p for r in df.filter(C.excluded_by(F.col("p"), [pat])).collect()}
         want = {p for p in SAMPLE_PATHS if fnmatch.fnmatchcase(p, pat)}
         assert got == want, pat
+
+
+def test_spark_side_random_patterns(spark):
+    """100 random patterns x 60 random paths in one job, each against fnmatch."""
+    import random
+    rnd = random.Random(11)
+    pat_chars, path_chars = "ab/._-*?[]!^&~\\|()+{}$é", "ab/._-[]!^&~\\|()+{}$é"
+    pats = ["".join(rnd.choice(pat_chars) for _ in range(rnd.randint(0, 9))) for _ in range(100)]
+    paths = ["".join(rnd.choice(path_chars) for _ in range(rnd.randint(0, 10))) for _ in range(60)]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    rows = df.select("p", *[C.excluded_by(F.col("p"), [q]).alias(f"c{i}") for i, q in enumerate(pats)]).collect()
+    for r in rows:
+        for i, q in enumerate(pats):
+            assert bool(r[f"c{i}"]) == fnmatch.fnmatchcase(r.p, q), (q, r.p)
