@@ -127,9 +127,18 @@ def iso8601_utc(ts: str | Column) -> Column:
 
 
 # H7s: strict LONG cast of CSV text: empty -> null, junk -> job failure.
+# Integral decimal text ("3.0", "1e3", as float-typed exports write frame numbers)
+# is accepted; a fractional or non-numeric value is corrupt and fails the job.
+MAX_EXACT_DOUBLE = 2 ** 53
+
+
 def strict_long(text: str | Column, name: str = "frame") -> Column:
     t = _col(text)
-    parsed = t.try_cast("bigint")
+    as_long = t.try_cast("bigint")
+    as_double = F.trim(t).try_cast("double")
+    integral = (as_double.isNotNull() & (as_double == F.floor(as_double))
+                & (F.abs(as_double) < F.lit(MAX_EXACT_DOUBLE)))
+    parsed = F.coalesce(as_long, F.when(integral, as_double.cast("bigint")))
     return (F.when(t.isNull() | (F.trim(t) == F.lit("")), F.lit(None).cast("bigint"))
             .when(parsed.isNull(), F.raise_error(F.concat(
                 F.lit(f"invalid integer in column {name}: "), t)))
