@@ -53,17 +53,18 @@ def _frame(rows: list[dict], cols: list[str]) -> pd.DataFrame:
 
 
 # ---------------------------------------------------------------- R3 audit
-def _audit_one(video_id: str, media_path: str, frame_count) -> dict:
+def _audit_one(video_id: str, media_path: str, frame_count, pixels: bool = True) -> dict:
     row = {"video_id": video_id, "frame_count": frame_count, "status": "ok"}
     try:
         info = open_avi(media_path)
         row.update(fourcc=info.fourcc, width=info.width, height=info.height,
                    container_frames=info.frame_count, fps=float(info.fps), bit_count=info.bit_count)
-        with open(media_path, "rb") as fh:
-            bgr = read_bgr(fh, info, 0)
-        b, g, r = bgr[..., 0], bgr[..., 1], bgr[..., 2]
-        row.update(channels=3, b_eq_g=bool(np.array_equal(b, g)), g_eq_r=bool(np.array_equal(g, r)),
-                   first_min=int(bgr.min()), first_max=int(bgr.max()))
+        if pixels:
+            with open(media_path, "rb") as fh:
+                bgr = read_bgr(fh, info, 0)
+            b, g, r = bgr[..., 0], bgr[..., 1], bgr[..., 2]
+            row.update(channels=3, b_eq_g=bool(np.array_equal(b, g)), g_eq_r=bool(np.array_equal(g, r)),
+                       first_min=int(bgr.min()), first_max=int(bgr.max()))
     except AviError as e:
         row["status"] = e.kind
     except OSError:
@@ -73,19 +74,27 @@ def _audit_one(video_id: str, media_path: str, frame_count) -> dict:
     return row
 
 
-def _audit_batches(batches):
-    cols = [c.split(" ")[0] for c in AUDIT_SCHEMA.split(", ")]
-    for pdf in batches:
-        out = [_audit_one(v, p, n) for v, p, n in zip(pdf["video_id"], pdf["media_path"], pdf["frame_count"])]
-        yield _frame(out, cols)
+def _audit_batches(pixels: bool):
+    def run(batches):
+        cols = [c.split(" ")[0] for c in AUDIT_SCHEMA.split(", ")]
+        for pdf in batches:
+            out = [_audit_one(v, p, n, pixels)
+                   for v, p, n in zip(pdf["video_id"], pdf["media_path"], pdf["frame_count"])]
+            yield _frame(out, cols)
+    return run
 
 
-def media_audit(videos: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Container facts of every video file next to the manifest's frame_count."""
+def media_audit(videos: DataFrame, num_partitions: int | None = None, pixels: bool = True) -> DataFrame:
+    """Container facts of every video file next to the manifest's frame_count.
+
+    ``pixels=True`` also decodes each file's first frame (channels, B==G, G==R,
+    min/max), one full frame read per video; ``pixels=False`` reads only the
+    headers and index (kilobytes per file), for whole-corpus container checks.
+    """
     n = _parallelism(videos, num_partitions)
     return (videos.select("video_id", "media_path", "frame_count")
             .repartition(n, "media_path")
-            .mapInPandas(_audit_batches, AUDIT_SCHEMA))
+            .mapInPandas(_audit_batches(pixels), AUDIT_SCHEMA))
 
 
 # ---------------------------------------------------------------- R2 extraction
