@@ -28,6 +28,7 @@ from ..sources.png import encode_png
 # ---- fixed values ------------------------------------------------------------------------
 FRAMES_PER_TASK_CHUNK = 64     # frames of one file that travel together
 OUTPUT_ROWS_PER_BATCH = 8      # real frames are ~4 MB each: keep Arrow batches small
+FRAMES_PER_FILE = 256          # ~1 GB Parquet files of ~4 MB frames
 STATUS_OK, STATUS_FAILED = 200, 500
 DETAIL_FAILED = "frame extraction failed"
 JPEG_QUALITY = 90
@@ -202,7 +203,7 @@ def write_extracted(extracted: DataFrame, path: str) -> None:
     """Sink for the backfill: Parquet with small row groups (frames are large)."""
     (extracted.write.mode("append")
      .option("parquet.block.size", 64 * 1024 * 1024)
-     .option("maxRecordsPerFile", 2048)
+     .option("maxRecordsPerFile", FRAMES_PER_FILE)
      .parquet(path))
 
 
