@@ -56,3 +56,15 @@ def test_iso8601_matches_python_isoformat(spark):
     got = {r.i: r.iso for r in df.select("i", C.iso8601_utc(C.parse_utc(F.col("t"))).alias("iso")).collect()}
     for i, s in enumerate(stamps):
         assert got[i] == s.isoformat(), (texts[i], got[i], s.isoformat())
+
+
+def test_py_repr_matches_python_repr(spark):
+    from framefold.operators.requests import py_repr
+    rnd = random.Random(9)
+    chars = "ab'\"\\ -_./é"
+    values = ["".join(rnd.choice(chars) for _ in range(rnd.randint(0, 8))) for _ in range(1500)]
+    values += ["it's", 'say "hi"', "both ' and \"", "back\\slash", ""]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: r.r for r in df.select("i", py_repr(F.col("v")).alias("r")).collect()}
+    for i, v in enumerate(values):
+        assert got[i] == repr(v), (v, got[i], repr(v))
