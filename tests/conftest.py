@@ -22,7 +22,7 @@ def spark():
 
 
 def std_path(cruise: str, camera: str, stem: str) -> str:
-    return f"/proj/nes-lter/Stingray/data/{cruise}/{camera}/20260113T193007.771Z/{stem}.avi"
+    return f"/proj/survey/video/data/{cruise}/{camera}/20260113T193007.771Z/{stem}.avi"
 
 
 def row(media_path: str, media: str, media_time: str, frame, times: str,

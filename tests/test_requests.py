@@ -16,7 +16,7 @@ T0 = dt.datetime(2024, 5, 3, 19, 11, 12, 333000)
 @pytest.fixture
 def manifest(spark):
     df = spark.createDataFrame(
-        [("vid-1", "/data/NESLTER_TEST/Cam0/20240503T191112.333Z/synth.avi", 10, T0, "NESLTER_TEST", "Cam0")],
+        [("vid-1", "/data/CRUISE_TEST/Cam0/20240503T191112.333Z/synth.avi", 10, T0, "CRUISE_TEST", "Cam0")],
         "video_id string, media_path string, frame_count bigint, media_time timestamp_ntz, cruise string, camera string")
     return df.withColumn("media_time", F.to_utc_timestamp(F.col("media_time").cast("timestamp"),
                                                           spark.conf.get("spark.sql.session.timeZone")))
@@ -48,7 +48,7 @@ def test_metadata_hides_path(spark, manifest):
     assert row.frame_count == 10 and row.last_frame_index == 9
     assert row.media_basename == "synth.avi"
     assert row.media_time == "2024-05-03T19:11:12.333000+00:00"
-    assert (row.cruise, row.camera) == ("NESLTER_TEST", "Cam0")
+    assert (row.cruise, row.camera) == ("CRUISE_TEST", "Cam0")
 
 
 def test_iso_without_fraction(spark):
@@ -68,7 +68,7 @@ def test_duplicate_video_id_does_not_fan_out(spark, manifest):
     dup = manifest.unionByName(manifest.withColumn("media_path", F.lit("/z/C/K/t/other.avi")))
     req = _requests(spark, [(1, "vid-1", 0, "png")])
     out = RQ.resolve_requests(req, dup).collect()
-    assert len(out) == 1 and out[0].media_path == "/data/NESLTER_TEST/Cam0/20240503T191112.333Z/synth.avi"
+    assert len(out) == 1 and out[0].media_path == "/data/CRUISE_TEST/Cam0/20240503T191112.333Z/synth.avi"
 
 
 def test_neighbors_drop_out_of_range(spark, manifest):
@@ -89,15 +89,15 @@ def test_cache_miss_plan(spark, manifest):
 
 
 @pytest.mark.parametrize("path,expected", [
-    ("/proj/nes-lter/Stingray/data/NESLTER_AR99/Basler_avA2300-25gm/20260113T193007.771Z/"
-     "Basler_avA2300-25gm-001-20260113T193007.771Z.avi", ("NESLTER_AR99", "Basler_avA2300-25gm")),
-    ("/mnt/stingray_data/NESLTER_AR99/Basler_avA2300-25gm/20260113T205620.709Z/x.avi",
-     ("NESLTER_AR99", "Basler_avA2300-25gm")),
+    ("/proj/survey/video/data/CRUISE_AR99/CamA2300/20260113T193007.771Z/"
+     "CamA2300-001-20260113T193007.771Z.avi", ("CRUISE_AR99", "CamA2300")),
+    ("/mnt/video_data/CRUISE_AR99/CamA2300/20260113T205620.709Z/x.avi",
+     ("CRUISE_AR99", "CamA2300")),
     ("CRUISE/CAM/20260101T000000.000Z/f.avi", ("CRUISE", "CAM")),
     ("/C/K/t//f", ("C", "K")),
     ("/C/K/t/f/", ("C", "K")),
     ("/C/./K/t/f", ("C", "K")),
-    ("/proj/Stingray", (None, None)),
+    ("/proj/video", (None, None)),
     ("/a/b/c", (None, None)),
 ])
 def test_path_parse(spark, path, expected):
@@ -107,7 +107,7 @@ def test_path_parse(spark, path, expected):
 
 
 def test_strict_path_parse_raises(spark):
-    df = spark.createDataFrame([("/proj/Stingray",)], "media_path string")
+    df = spark.createDataFrame([("/proj/video",)], "media_path string")
     with pytest.raises(Exception, match="too short"):
         df.select(C.strict_segment(C.cruise_of())).collect()
 

@@ -6,9 +6,9 @@ import collections
 from framefold.sources.store import ManifestStore
 from framefold.streaming import start_incremental_ingest
 
-ROOT = "/proj/nes-lter/Stingray/data"
-A = f"{ROOT}/NESLTER_AR88/CamA/20250101T000000.000Z/a.avi"
-B = f"{ROOT}/NESLTER_AR88/CamB/20250102T000000.000Z/b.avi"
+ROOT = "/proj/survey/video/data"
+A = f"{ROOT}/CRUISE_AR88/CamA/20250101T000000.000Z/a.avi"
+B = f"{ROOT}/CRUISE_AR88/CamB/20250102T000000.000Z/b.avi"
 HEADER = "media_path,media,media_time,frame,times,status,id,link"
 
 
