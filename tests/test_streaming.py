@@ -53,3 +53,15 @@ def test_legacy_exports_stream_with_null_id_link(spark, tmp_path):
     q = start_incremental_ingest(spark, str(inbox), store, checkpoint_location=str(tmp_path / "ckpt"))
     q.awaitTermination()
     assert [(r.video_id, r.frame_count) for r in ManifestStore(spark, store).read_videos().collect()] == [("vidA", 1)]
+
+
+def test_stream_excludes_files_by_pattern(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    store = str(tmp_path / "store")
+    _csv(inbox, "keep.csv", [_row(A, "vidA", 0)])
+    _csv(inbox, "x_fast.csv", [_row(B, "vidB", 0)])
+    q = start_incremental_ingest(spark, str(inbox), store, exclude=["*_fast.csv"],
+                                 checkpoint_location=str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    assert [r.video_id for r in ManifestStore(spark, store).read_videos().collect()] == ["vidA"]
