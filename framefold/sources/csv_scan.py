@@ -119,6 +119,8 @@ def detect_headers(spark: SparkSession, files: list[str],
     Only the distinct headers (and, when there is more than one, the file
     names) reach the driver.
     """
+    if method not in ("auto", "first_line", "text"):
+        raise ValueError(f"method must be 'auto', 'first_line' or 'text', not {method!r}")
     uniq = sorted(set(files))
     posix = all(f.startswith("file:") for f in uniq)
     if method == "first_line" or (method == "auto" and posix):
@@ -169,6 +171,8 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
     file to the canonical 8-column header by position; missing trailing columns
     (older exports without ``id``/``link``) come back null.
     """
+    if headers not in ("detect", "canonical"):
+        raise ValueError(f"headers must be 'detect' or 'canonical', not {headers!r}")
     files, matched = expand_globs(spark, list(patterns))
     if not files:
         raise NoInputError("no CSV files matched the supplied glob(s)")
