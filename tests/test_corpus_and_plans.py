@@ -102,3 +102,9 @@ def test_frames_write_layout_rebalances_then_sorts(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "RebalancePartitions [cruise" in plan
     assert "Sort [cruise" in plan
+
+
+def test_public_api_resolves():
+    import framefold
+    for name in framefold.__all__:
+        assert callable(getattr(framefold, name)), name
