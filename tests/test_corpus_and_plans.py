@@ -108,3 +108,12 @@ def test_public_api_resolves():
     import framefold
     for name in framefold.__all__:
         assert callable(getattr(framefold, name)), name
+
+
+def test_frames_global_order_across_partitions(spark):
+    """O1 on the corpus: the collected rows are in (cruise, video_id, frame_index) order,
+    with the index compared as a number, even though the data spans many partitions."""
+    df = FR.frames_sorted(CO.frames_raw(spark, SF_SMALL).repartition(7))
+    keys = [(r.cruise, r.video_id, r.frame_index) for r in df.select("cruise", "video_id", "frame_index").collect()]
+    assert len(keys) > 1000
+    assert keys == sorted(keys)
