@@ -1,8 +1,8 @@
-"""Every query of this subpackage and the pipeline, with its oracle where SQL can express it."""
+"""Every query of this subpackage, with its oracle where SQL can express it."""
 from __future__ import annotations
 
-from framefold.llm import op7_substring_dedup
+from framefold.llm import op7_substring_dedup, op10_minhash
 
-MODULES = (op7_substring_dedup,)
+MODULES = (op7_substring_dedup, op10_minhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

@@ -112,6 +112,12 @@ def windows(h: np.ndarray, k: int, salt: int = 7) -> np.ndarray:
     return mix((c[k:] - c[:-k]) * _powers(salt, len(h), True)[:len(h) - k + 1])
 
 
+def spans(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int = 7) -> np.ndarray:
+    """Hash of ``h[lo:hi]`` for each pair of positions; equal to ``windows`` at equal lengths."""
+    c = _prefix(h, salt)
+    return mix((c[hi] - c[lo]) * _powers(salt, len(h) + 1, True)[lo])
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as large_binary without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
