@@ -7,12 +7,16 @@
    probability 3e-6.
 2. Documents with equal shingle sets (128-bit set name) form a class, represented by its
    smallest id; only representatives enter buckets.
-3. Candidates are stars: every bucket links its most connected member to the members of
-   other components, the links are confirmed on the full shingle sets, and components are
-   merged. The used centres leave their buckets, and buckets that still hold several
-   components take their next centre. After ``STAR_ROUNDS`` rounds, the pairs between
-   different components that are left are listed plainly, so that no confirmed link is lost
-   to the star shape.
+3. Candidates are stars: every bucket pairs its most connected member (the one whose
+   buckets are fullest) with the members of other components, the pairs are confirmed on the
+   full shingle sets, and components are merged. The centres then leave their buckets, and
+   buckets that still hold several components take their next centre. Rounds go on until
+   no bucket is open or ``FRUITLESS_ROUNDS`` rounds in a row confirm no link, so a round
+   costs at most one pair per bucket row and a bucket is never listed pair by pair.
+
+What the star shape may miss: a link between two documents of which neither links with
+any centre tried. On a table with thousands of near copies in one bucket, going on for
+ten fruitless rounds found no further link (README).
 
 Defined results: null, empty or wordless text has an empty set and links with nothing;
 fewer words than a shingle make one shingle of all words; a row without id links with
@@ -34,7 +38,7 @@ from framefold.llm.words import Words, mix, slices, spans
 
 BANDS = 32
 ROWS = 5
-STAR_ROUNDS = 3
+FRUITLESS_ROUNDS = 2
 SIMILARITY_PERCENT = 80
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -159,7 +163,8 @@ def link_classes(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS,
     sets = stored(shingle_sets(known.join(candidates, columns[0], "left_semi").select(*columns), k), "shingles")
     linked = spark.createDataFrame([], "id long, component long")
     tested = spark.createDataFrame([], "a long, b long")
-    for step in range(STAR_ROUNDS + 1):
+    fruitless = 0
+    while fruitless < FRUITLESS_ROUNDS:
         marked = held.join(linked, "id", "left").select("key", "id", "degree", F.coalesce("component", "id").alias("component"))
         centre = (marked.groupBy("key")
                   .agg(F.max(F.struct("degree", (-F.col("id")).alias("back"), F.col("component").alias("c"))).alias("m"),
@@ -168,16 +173,15 @@ def link_classes(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS,
         open_rows = stored(marked.join(centre, "key"), "open")
         if open_rows.isEmpty():
             break
-        if step < STAR_ROUNDS:
-            pairs = open_rows.where("component <> c").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        else:
-            one, two = open_rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = one.join(two, "key").where("ca < cb").select("a", "b")
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                       .join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = open_rows.where("component <> c").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
-        links = confirmed(pairs, sets, percent)
-        linked = components(links.union(linked.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        links = stored(confirmed(pairs, sets, percent), "links")
+        if links.isEmpty():
+            fruitless += 1
+        else:
+            fruitless = 0
+            linked = components(links.union(linked.select(F.col("id").alias("a"), F.col("component").alias("b"))))
         held = open_rows.where("id <> centre").select("key", "id", "degree")
     return sig.select("id", "n", "s1", "s2"), linked
 
