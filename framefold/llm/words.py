@@ -125,8 +125,11 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_binary()).fill_null(b"")
 
 
-def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, Words) for runs of whole texts of about ``limit`` bytes."""
+def slices(column, limit: int = SLICE_BYTES, translate: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, Words) for runs of whole texts of about ``limit`` bytes.
+
+    ``translate``: a byte for each byte, applied before words are found (positions stay).
+    """
     a = as_bytes(column)
     if not len(a):
         return
@@ -135,7 +138,8 @@ def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]
     lo = 0
     while lo < len(a):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
-        yield lo, hi, Words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+        part = data[off[lo]:off[hi]]
+        yield lo, hi, Words(part if translate is None else translate[part], off[lo:hi + 1] - off[lo])
         lo = hi
 
 
