@@ -108,7 +108,11 @@ def basename(path: str | Column = "media_path") -> Column:
 # Text that already names its zone fails the first parse and keeps its own zone.
 def parse_utc(text: str | Column) -> Column:
     t = _col(text)
-    return F.coalesce(F.try_to_timestamp(F.concat(t, F.lit("Z"))), F.try_to_timestamp(t))
+    # Spark accepts no zone after a bare date, so midnight is written out first.
+    full = F.when(F.trim(t).rlike(r"^\d{4}(-\d{1,2}){0,2}$"), F.concat(F.trim(t), F.lit(" 00:00:00"))).otherwise(t)
+    bare = F.regexp_replace(full, r"^(\d{4}) ", "$1-01-01 ")
+    day = F.regexp_replace(bare, r"^(\d{4}-\d{1,2}) ", "$1-01 ")
+    return F.coalesce(F.try_to_timestamp(F.concat(day, F.lit("Z"))), F.try_to_timestamp(t))
 
 
 def utc_wallclock(ts: str | Column) -> Column:

@@ -97,7 +97,14 @@ def resolve_distinct(requests: DataFrame, videos: DataFrame) -> DataFrame:
     """
     req = requests.select("video_id", "frame_index", C.effective_format("format").alias("format"))
     triples = req.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n_requests"))
-    joined = lookup(triples, videos)
+    return graded(lookup(triples, videos)).select(*TRIPLE, *RESOLVED, "n_requests")
+
+
+RESOLVED = ["status_code", "detail", "content_type", "media_path", "frame_count"]
+
+
+def graded(joined: DataFrame) -> DataFrame:
+    """Looked-up requests with status_code, detail and content_type; manifest columns only where found."""
     vid, idx, n = F.col("video_id"), F.col("frame_index"), F.col("frame_count")
     status = (F.when(~C.format_allowed("format"), F.lit(STATUS_BAD_FORMAT))
               .when(~F.col("found"), F.lit(STATUS_NOT_FOUND))
@@ -112,15 +119,10 @@ def resolve_distinct(requests: DataFrame, videos: DataFrame) -> DataFrame:
                     F.format_string(DETAIL_OUT_OF_RANGE.replace("{idx}", "%d").replace("{vid}", "%s")
                                     .replace("{n}", "%d"), idx, py_repr(vid), n)))
     ok = status == STATUS_OK
-    return joined.select(
-        *TRIPLE,
-        status.alias("status_code"),
-        detail.alias("detail"),
-        F.when(ok, C.content_type(F.col("format"))).alias("content_type"),
-        F.when(F.col("found"), F.col("media_path")).alias("media_path"),
-        F.when(F.col("found"), n).alias("frame_count"),
-        "n_requests",
-    )
+    return (joined.withColumn("status_code", status).withColumn("detail", detail)
+            .withColumn("content_type", F.when(ok, C.content_type(F.col("format"))))
+            .withColumn("media_path", F.when(F.col("found"), F.col("media_path")))
+            .withColumn("frame_count", F.when(F.col("found"), n)))
 
 
 def resolve_requests(requests: DataFrame, videos: DataFrame) -> DataFrame:
@@ -128,19 +130,11 @@ def resolve_requests(requests: DataFrame, videos: DataFrame) -> DataFrame:
 
     Output: request_id, video_id, frame_index, format, status_code, detail,
     content_type, media_path, frame_count (the last three for found videos).
-    The join back to the requests is on the full (video_id, frame_index,
-    format) key with plain shuffles on both sides, so AQE's skew join can split
-    a hot key's requests over several tasks; null-safe, so no request is lost.
+    One left join of the requests to the manifest on ``video_id``: one exchange at request
+    volume, in which AQE's skew join splits a hot video's requests over several tasks.
     """
-    req = requests.select("request_id", "video_id", "frame_index",
-                          C.effective_format("format").alias("format"))
-    res = resolve_distinct(requests, videos).drop("n_requests")
-    r = res.select(*[F.col(c).alias(f"_r_{c}") for c in res.columns])
-    cond = [req[c].eqNullSafe(r[f"_r_{c}"]) for c in TRIPLE]
-    joined = req.join(r, cond, "left")
-    return joined.select("request_id", *TRIPLE,
-                         *[F.col(f"_r_{c}").alias(c) for c in
-                           ("status_code", "detail", "content_type", "media_path", "frame_count")])
+    req = requests.select("request_id", "video_id", "frame_index", C.effective_format("format").alias("format"))
+    return graded(lookup(req, videos)).select("request_id", *TRIPLE, *RESOLVED)
 
 
 def status_counts(resolved: DataFrame) -> DataFrame:
@@ -181,6 +175,6 @@ def wanted_frames(resolved: DataFrame) -> DataFrame:
 
 
 def cache_miss_plan(resolved: DataFrame, cached_keys: DataFrame) -> DataFrame:
-    """Frames wanted but not yet in the cache; feeds the bulk extraction (R2).
-    Both sides are keyed on ``cache_key``: the anti-join reuses the aggregate's partitioning."""
-    return wanted_frames(resolved).join(cached_keys.select("cache_key"), "cache_key", "left_anti")
+    """Frames wanted but not yet in the cache. ``cached_keys`` has video_id, frame_index and
+    format, the parts of the text key, which the requests are aggregated on as well."""
+    return wanted_frames(resolved).join(cached_keys.select(*TRIPLE), TRIPLE, "left_anti")

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators import frames as FR
-from ..operators import media as ME
 from ..operators import profile as PR
 from ..operators import quality as QU
 from ..operators import requests as RQ
@@ -23,7 +22,6 @@ from ..schemas import FRAME_COLUMNS
 from ..session import scratch_path
 from ..sources import corpus as CO
 from ..sources.csv_scan import read_frames_csv, write_frames_csv
-from ..sources.media_corpus import write_media_corpus
 from ..sources.store import ManifestStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +103,19 @@ def q_scan_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_frames_csv(spark, [f"{root}/*/*.csv"], exclude=["*/legacy/part-*.csv"])
 
 
+def q_scan_header_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports with the full, the old 6-column, a reordered and an extended header, one per camera group."""
+    root = scratch_path(spark, "variants")
+    raw = CO.frames_raw(spark, sf_dir).withColumn("remark", F.concat(F.lit("seen, "), "media"))
+    camera = F.split(F.col("media_path"), "/").getItem(4)
+    old = ["media_path", "media", "media_time", "frame", "times", "status"]
+    full = [*old, "id", "link"]
+    for name, cameras, columns in (("full", ["Cam1"], full), ("old", [*LEGACY_CAMERAS], old), ("turned", ["Cam2"], full[::-1]),
+                                   ("extra", ["Cam3"], ["remark", *full])):
+        write_frames_csv(raw.filter(camera.isin(cameras)), f"{root}/{name}", columns=columns)
+    return read_frames_csv(spark, [f"{root}/*/*.csv"])
+
+
 # ---------------------------------------------------------------- store and ingest
 def _seeded_store(spark: SparkSession, sf_dir: str, label: str, with_frames: bool = True):
     """A fresh store holding the seeded partitions, as if ingested earlier."""
@@ -160,6 +171,39 @@ def q_dry_run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IN.ingest_rows(spark, raw, store.root, frames=True, dry_run=True).plan
 
 
+def q_dry_run_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, raw = _seeded_store(spark, sf_dir, "dryskip", with_frames=False)
+    return IN.ingest_rows(spark, raw, store.root, dry_run=True, skip_existing=True).plan
+
+
+def q_dry_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, raw = _seeded_store(spark, sf_dir, "drysum", with_frames=False)
+    return IN.ingest_rows(spark, raw, store.root, dry_run=True, skip_existing=True).summary
+
+
+def q_frames_one_cruise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one cruise's frames read back from the store, in order."""
+    store = ManifestStore(spark, scratch_path(spark, "onecruise"))
+    IN.ingest_rows(spark, CO.frames_raw(spark, sf_dir), store.root, frames=True)
+    return comparable(FR.one_cruise(store.read_frames(), "CRUISE_07"))
+
+
+def q_frames_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored frame after a real ingest beside seeded partitions."""
+    store, raw = _seeded_store(spark, sf_dir, "ingested")
+    IN.ingest_rows(spark, raw, store.root, frames=True, skip_existing=True)
+    return comparable(store.read_frames())
+
+
+def q_retry_after_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that died after half of each video's frames and before ``videos``, then run again."""
+    raw = CO.frames_raw(spark, sf_dir)
+    store = ManifestStore(spark, scratch_path(spark, "retry"))
+    store.append_frames(FR.frames_table(raw).filter("frame_index % 2 = 0"))
+    IN.ingest_rows(spark, raw, store.root, frames=True)
+    return comparable(store.read_frames())
+
+
 def q_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, raw = _seeded_store(spark, sf_dir, "ingest")
     return IN.ingest_rows(spark, raw, store.root, frames=True, skip_existing=True).summary
@@ -191,9 +235,9 @@ def q_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeded_cache(raw: DataFrame) -> DataFrame:
-    """Cache keys already extracted: the PNGs of every frame of the seeded partitions."""
+    """Frames already in the cache: the PNGs of every frame of the seeded partitions."""
     return (FR.frames_with_keys(raw).filter(CO.seeded_partition())
-            .select(C.cache_key(F.col("video_id"), F.col("frame_index"), F.lit("png")).alias("cache_key")))
+            .select("video_id", "frame_index", F.lit("png").alias("format")))
 
 
 def q_cache_miss_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,34 +248,12 @@ def q_cache_miss_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- quality
 def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = CO.frames_raw(spark, sf_dir)
+    raw = CO.faulty(CO.frames_raw(spark, sf_dir))
+    store = ManifestStore(spark, scratch_path(spark, "quality"))
+    kept = CO.frames_raw(spark, sf_dir).filter(CO.order_key() % CO.UNSTORED_EVERY != 0)
+    store.append_frames(FR.frames_table(kept))
     profile = PR.media_profile(raw)
-    vids = PR.videos_from_profile(profile)
-    return QU.quality_report(raw, profile, vids, FR.frames_table(raw))
-
-
-# ---------------------------------------------------------------- media
-def q_media_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vids = write_media_corpus(PR.videos(CO.frames_raw(spark, sf_dir)), scratch_path(spark, "media"))
-    return ME.media_audit(vids)
-
-
-def q_extract_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = CO.frames_raw(spark, sf_dir)
-    vids = write_media_corpus(PR.videos(raw), scratch_path(spark, "media"))
-    wanted = RQ.cache_miss_plan(RQ.resolve_distinct(CO.requests(spark, sf_dir), vids), _seeded_cache(raw))
-    # The PNG bytes are produced (and checked by tests); the compared columns are the pixel facts.
-    return ME.extract_frames(wanted).drop("body")
-
-
-def q_frame_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1 + R2 end to end: every request's final status once its frame is extracted."""
-    raw = CO.frames_raw(spark, sf_dir)
-    vids = write_media_corpus(PR.videos(raw), scratch_path(spark, "media"))
-    requests = CO.requests(spark, sf_dir)
-    extracted = ME.extract_frames(RQ.wanted_frames(RQ.resolve_distinct(requests, vids)))
-    # Served rows point at their bytes by cache key (the bytes are checked by tests).
-    return ME.frame_responses(RQ.resolve_requests(requests, vids), extracted)
+    return QU.quality_report(raw, profile, PR.videos_from_profile(profile), store.read_frames())
 
 
 QUERIES: dict[str, Query] = {
@@ -262,17 +284,21 @@ QUERIES: dict[str, Query] = {
     "neighbors": q_neighbors,
     "cache_miss_plan": q_cache_miss_plan,
     "quality_report": q_quality_report,
-    "media_audit": q_media_audit,
-    "extract_frames": q_extract_frames,
-    "frame_responses": q_frame_responses,
+    "scan_header_variants": q_scan_header_variants,
+    "frames_one_cruise": q_frames_one_cruise,
+    "dry_run_skip": q_dry_run_skip,
+    "dry_run_summary": q_dry_run_summary,
+    "retry_after_crash": q_retry_after_crash,
+    "frames_ingested": q_frames_ingested,
 }
 
 
 # ---------------------------------------------------------------- DuckDB oracle
 _CTE_RAW = f"frames_raw AS ({CO.FRAMES_RAW_SQL})"
 _CTE_OK = "ok AS (SELECT * FROM frames_raw WHERE frame IS NOT NULL AND NOT contains(media_path, '/skip/'))"
-_CRUISE_SQL = "nullif(regexp_extract(media_path, '([^/]+)/[^/]+/[^/]+/[^/]+$', 1), '')"
-_CAMERA_SQL = "nullif(regexp_extract(media_path, '([^/]+)/[^/]+/[^/]+$', 1), '')"
+# Third and fourth part from the end of the path; the list counts from 1 and is null outside.
+_CRUISE_SQL = "nullif(string_split(media_path, '/')[-4], '')"
+_CAMERA_SQL = "nullif(string_split(media_path, '/')[-3], '')"
 _CTE_VIDEOS = f"""videos AS (
   SELECT arg_min(media, frame) AS video_id, media_path, count(*) AS frame_count,
          CAST(arg_min(media_time, frame) AS TIMESTAMP) AS media_time,
@@ -409,7 +435,10 @@ wanted AS (
   FROM resolved WHERE status_code = 200 GROUP BY ALL)
 SELECT * FROM wanted w WHERE NOT EXISTS (
   SELECT 1 FROM okk WHERE {_SEEDED} AND okk.media || '_' || CAST(okk.frame AS VARCHAR) || '.png' = w.cache_key)""",
-    "quality_report": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS) + """
+    "quality_report": _with(f"clean_raw AS ({CO.FRAMES_RAW_SQL})", f"frames_raw AS ({CO.FAULTY_SQL})", _CTE_OK,
+                            _CTE_VIDEOS.replace("CAST(arg_min(media_time, frame) AS TIMESTAMP)", "TRY_CAST(arg_min(media_time, frame) AS TIMESTAMP)"),
+                            """stored AS (SELECT DISTINCT media FROM clean_raw
+  WHERE frame IS NOT NULL AND NOT contains(media_path, '/skip/') AND CAST(substr(media, 5) AS BIGINT) % 61 <> 0)""") + """
 SELECT 'duplicate_video_id' AS "check",
        (SELECT count(*) FROM (SELECT video_id FROM videos GROUP BY video_id HAVING count(*) > 1)) AS n_items
 UNION ALL SELECT 'duplicate_path_frame',
@@ -419,61 +448,15 @@ UNION ALL SELECT 'frame_count_mismatch',
        (SELECT count(*) FROM (SELECT media_path FROM ok GROUP BY media_path HAVING count(*) <> max(frame) + 1))
 UNION ALL SELECT 'unparseable_path', (SELECT count(*) FROM videos WHERE cruise IS NULL)
 UNION ALL SELECT 'video_without_frames',
-       (SELECT count(*) FROM videos v WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.media = v.video_id))""",
+       (SELECT count(*) FROM videos v WHERE NOT EXISTS (SELECT 1 FROM stored WHERE stored.media = v.video_id))""",
 })
 
-_CTE_MEDIA = """mv AS (SELECT *, CAST(substr(video_id, 5) AS BIGINT) AS okey,
-                      (CAST(substr(video_id, 5) AS BIGINT) % 41 <> 0 AND CAST(substr(video_id, 5) AS BIGINT) % 43 <> 0) AS good
-               FROM videos)"""
-_MEDIA_FAIL = "CASE WHEN okey % 41 = 0 THEN 'missing' WHEN okey % 43 = 0 THEN 'unopenable' END"
 ORACLE.update({
-    "media_audit": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_MEDIA) + f"""
-SELECT video_id, frame_count, coalesce({_MEDIA_FAIL}, 'ok') AS status,
-       CASE WHEN good THEN '' END AS fourcc, CASE WHEN good THEN 10 END AS width, CASE WHEN good THEN 6 END AS height,
-       CASE WHEN good THEN frame_count END AS container_frames, CASE WHEN good THEN CAST(10 AS DOUBLE) END AS fps,
-       CASE WHEN good THEN CASE WHEN okey % 2 = 0 THEN 8 ELSE 24 END END AS bit_count,
-       CASE WHEN good THEN 3 END AS channels, CASE WHEN good THEN true END AS b_eq_g,
-       CASE WHEN good THEN true END AS g_eq_r,
-       CASE WHEN good THEN CAST((okey * 7) % 249 AS INTEGER) END AS first_min,
-       CASE WHEN good THEN CAST((okey * 7) % 249 + 6 AS INTEGER) END AS first_max,
-       CASE WHEN good THEN true END AS frames_match
-FROM mv""",
-    "extract_frames": _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED, _CTE_OKK) + f""",
-wanted AS (
-  SELECT {_KEY_SQL} AS cache_key, video_id, frame_index, format
-  FROM resolved WHERE status_code = 200 GROUP BY ALL),
-miss AS (
-  SELECT w.*, CAST(substr(video_id, 5) AS BIGINT) AS okey FROM wanted w WHERE NOT EXISTS (
-    SELECT 1 FROM okk WHERE {_SEEDED} AND okk.media || '_' || CAST(okk.frame AS VARCHAR) || '.png' = w.cache_key)),
-graded AS (
-  SELECT *, {_MEDIA_FAIL} AS reason,
-         CAST((okey * 7 + frame_index * 20) % 249 AS INTEGER) AS v FROM miss)
-SELECT cache_key, video_id, frame_index, format,
-       CASE WHEN reason IS NULL THEN 200 ELSE 500 END AS status_code, reason,
-       CASE WHEN reason IS NOT NULL THEN 'frame extraction failed' END AS detail,
-       CASE WHEN reason IS NULL THEN CASE format WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END END
-         AS content_type,
-       CASE WHEN reason IS NULL THEN 10 END AS width, CASE WHEN reason IS NULL THEN 6 END AS height,
-       CASE WHEN reason IS NULL THEN v END AS pixel_min, CASE WHEN reason IS NULL THEN v + 6 END AS pixel_max,
-       CASE WHEN reason IS NULL THEN v END AS top_left, CASE WHEN reason IS NULL THEN v + 6 END AS bottom_right
-FROM graded""",
+    "scan_header_variants": ORACLE["scan_frames_csv"],
+    "frames_one_cruise": ORACLE["frames_store"] + f" WHERE {_CRUISE_SQL} = 'CRUISE_07'",
+    "frames_ingested": ORACLE["frames_store"],
+    "retry_after_crash": ORACLE["frames_store"],
+    "dry_run_skip": ORACLE["dry_run_plan"].replace("EXISTS — would be rejected", "EXISTS — would be skipped"),
+    "dry_run_summary": ORACLE["ingest_summary"].replace("'written' AS status", "'dry_run' AS status")
+    .replace("(SELECT count(*) FROM okk WHERE NOT (" + _SEEDED + ")) AS frames_written", "0 AS frames_written"),
 })
-
-ORACLE["frame_responses"] = _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_REQ, _CTE_RESOLVED) + f""",
-graded AS (
-  SELECT *, TRY_CAST(substr(video_id, 5) AS BIGINT) AS okey FROM resolved),
-final AS (
-  SELECT *, CASE WHEN status_code = 200 AND {_MEDIA_FAIL} IS NOT NULL THEN 500 ELSE status_code END AS final_status
-  FROM graded)
-SELECT request_id, video_id, frame_index, format, final_status AS status_code,
-       CASE final_status
-            WHEN 400 THEN 'unknown format: ''' || format || ''' (allowed: png, jpeg)'
-            WHEN 404 THEN 'video_id=''' || video_id || ''' not in manifest'
-            WHEN 416 THEN 'frame_index=' || CAST(frame_index AS VARCHAR) || ' out of range for video_id='''
-                          || video_id || ''' (frame_count=' || CAST(v_count AS VARCHAR) || ')'
-            WHEN 500 THEN 'frame extraction failed'
-       END AS detail,
-       CASE WHEN final_status = 200 THEN CASE format WHEN 'png' THEN 'image/png' ELSE 'image/jpeg' END END
-         AS content_type,
-       CASE WHEN final_status = 200 THEN {_KEY_SQL} END AS cache_key
-FROM final"""

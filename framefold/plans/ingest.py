@@ -10,10 +10,10 @@ Shape of one run (compare: the reference makes 3 full CSV passes plus one per cr
 
 Idempotence without a transaction log: the partition plan gates the run
 (refuse, or skip what exists); ``frames`` is written first and ``videos`` last,
-so ``videos`` is the commit marker. A retry after a crash between the two does
-not append the same frames twice: videos being written that already have stored
-frames are found at video volume (normally none), and only then are their frame
-rows anti-joined away.
+so ``videos`` is the commit marker. Stored frames whose (cruise, video_id) has no row
+in ``videos`` are left from a crash between the two writes: a retry leaves out exactly the
+(cruise, video_id, frame_index) that they hold. Frames of stored videos never stand in
+the way of a new video that happens to have the same id.
 """
 from __future__ import annotations
 
@@ -57,11 +57,11 @@ SUMMARY = T.StructType([
 class PartitionConflictError(RuntimeError):
     """Some (cruise, camera) partitions already exist and skip_existing is off."""
 
-    def __init__(self, n_conflicts: int, sample: list[tuple[str, str]]):
+    def __init__(self, n_conflicts: int, plan: DataFrame):
         self.n_conflicts = n_conflicts
-        self.sample = sample
-        shown = ", ".join(f"cruise={c} camera={k}" for c, k in sample)
-        super().__init__(f"refusing to write: {n_conflicts} (cruise, camera) partition(s) already exist: {shown}")
+        self.plan = plan                # every partition with its fate; conflicts are ``stored``
+        super().__init__(f"refusing to write: {n_conflicts} (cruise, camera) partition(s) already exist "
+                         "(all listed in the exception's plan)")
 
 
 @dataclass
@@ -104,23 +104,19 @@ def frames_to_write(frames_keyed: DataFrame, write_parts: DataFrame) -> DataFram
     return frames_keyed.join(write_parts.select(*KEYS), KEYS, "left_semi")
 
 
-def already_stored(store: ManifestStore, videos_out: DataFrame, write_parts: DataFrame) -> DataFrame:
-    """Ids of videos about to be written that already have rows in ``frames``."""
-    stored_ids = (store.read_frames().select("video_id", "cruise")
-                  .join(write_parts.select("cruise").distinct(), "cruise", "left_semi")
-                  .select("video_id").distinct())
-    return videos_out.select("video_id").join(stored_ids, "video_id", "left_semi").distinct()
+def leftover_frames(store: ManifestStore, write_parts: DataFrame) -> DataFrame:
+    """(cruise, video_id, frame_index) stored in the cruises being written without a row in ``videos``."""
+    stored = (store.read_frames().select("cruise", "video_id", "frame_index")
+              .join(write_parts.select("cruise").distinct(), "cruise", "left_semi"))
+    orphans = stored.select("cruise", "video_id").distinct().join(
+        store.read_videos().select("cruise", "video_id").distinct(), ["cruise", "video_id"], "left_anti")
+    return stored.join(orphans, ["cruise", "video_id"], "left_semi").distinct()
 
 
 # ---------------------------------------------------------------- the run
 def _observed_rows(obs: Observation) -> int:
-    """Rows counted by an Observation during a write. When AQE proves the write
-    input empty it replaces the plan (metrics node included) by an empty
-    relation and no metric is ever reported: that case is zero rows."""
-    try:
-        return int(obs.get.get("n", 0))
-    except Exception:  # noqa: BLE001 - py4j raises a bare assertion for the missing metric
-        return 0
+    """Rows counted by an Observation during a write; a write without a metric fails."""
+    return int(obs.get["n"])
 
 
 def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bool = False,
@@ -130,7 +126,8 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
 
     ``raw_frames`` is the second scan for the frames table (defaults to ``raw``
     itself, i.e. Spark re-reads the source). Raises ``PartitionConflictError``
-    on a conflict without ``skip_existing``. A dry run writes nothing.
+    on a conflict without ``skip_existing``; its ``plan`` lists every conflict. A dry run
+    writes nothing; its summary counts the partitions and videos that a run would write.
     """
     checkpoint_root(spark)
     profile = PR.media_profile(raw).checkpoint(eager=True)
@@ -149,12 +146,11 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
         return spark.createDataFrame([row], SUMMARY)
 
     if dry_run:
-        return IngestReport(summary("dry_run", 0, 0, 0), plan)
+        fresh = plan.filter(~F.col("stored")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("videos"), F.lit(0)).alias("v")).first()
+        return IngestReport(summary("dry_run", int(fresh.n), int(fresh.v), 0), plan)
 
     if n_conflicts and not skip_existing:
-        sample = [(r.cruise, r.camera) for r in
-                  plan.filter("stored").orderBy(*KEYS).select(*KEYS).limit(20).collect()]
-        raise PartitionConflictError(n_conflicts, sample)
+        raise PartitionConflictError(n_conflicts, plan)
 
     if n_parts - n_conflicts == 0:
         log.info("nothing new to write — all %d partition(s) already exist", n_parts)
@@ -168,16 +164,16 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
         keyed = FR.frames_with_keys(raw_frames if raw_frames is not None else raw)
         if n_conflicts:
             keyed = frames_to_write(keyed, write_parts)
-        # Retry guard: videos being written whose frames are already stored (only
-        # after a crash between the two writes). Found at video volume; the
-        # semi-join on the partition column prunes stored cruise folders at run
-        # time. Normally empty, and then the frame rows are not joined at all.
-        already = already_stored(store, vids_out, write_parts)
-        if not already.isEmpty():
-            keyed = keyed.join(already, "video_id", "left_anti")
-        obs_f = Observation("frames_written")
-        store.append_frames(keyed, obs_f)
-        frames_n = _observed_rows(obs_f)
+        # Retry guard, evaluated once. Normally empty, and then no frame row is joined.
+        left = leftover_frames(store, write_parts).checkpoint(eager=True)
+        if not left.isEmpty():
+            keyed = keyed.join(left, ["cruise", "video_id", "frame_index"], "left_anti")
+        if not left.isEmpty() and keyed.isEmpty():
+            log.info("all frames are already stored")
+        else:
+            obs_f = Observation("frames_written")
+            store.append_frames(keyed, obs_f)
+            frames_n = _observed_rows(obs_f)
 
     obs_v = Observation("videos_written")
     store.append_videos(vids_out, obs_v)

@@ -1,7 +1,9 @@
 """Session helpers: a builder for local runs and the shared scratch folder."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,9 +38,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session. Only when it is unset (a bare local test session) a
-    fresh local folder is created and registered, so that ``checkpoint()`` and
-    scratch tables work the same way everywhere.
+    Read from the session. Where it is unset, a local session (a test) gets a fresh
+    local folder; any other master raises, because executors do not share local folders.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -49,11 +50,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not is_local_master(sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {sc.master}")
     local = tempfile.mkdtemp(prefix="framefold-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return local
 
 
+def is_local_master(master: str) -> bool:
+    """Driver and executors in one process: ``local``, ``local[n]``, ``local[*]``."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unique folder under the shared checkpoint root for one run."""
     return f"{checkpoint_root(spark)}/framefold/{label}-{uuid.uuid4().hex[:12]}"

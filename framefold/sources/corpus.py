@@ -23,6 +23,13 @@ FRAME_MS_STEP = 66       # frame time = order date + l_linenumber * 66 ms
 ID_EVERY = 97            # l_partkey % 97 = 0 -> id 'ROI-<partkey>'; else even partkey -> ''
 LINK_EVERY = 89          # l_partkey % 89 = 0 -> link
 LINK_VALUE = "https://example/x"
+HOT_EVERY = 4            # event_id % 4 = 0 -> the request asks for HOT_VIDEO
+HOT_VIDEO = "vid-7"
+# Faults planted for the quality report only.
+SAME_ID_EVERY = 41       # okey % 41 = 0 -> the id of the video okey + 1
+NO_TIME_EVERY = 43       # okey % 43 = 0 -> an unreadable media time
+SHORT_PATH_EVERY = 59    # okey % 59 = 0 -> a path without cruise and camera
+UNSTORED_EVERY = 61      # okey % 61 = 0 -> no frames in the store
 # Seeded "already stored" partitions for the store queries.
 SEEDED_CAMERAS = ("Cam1", "Cam2")
 SEEDED_CRUISE_BELOW = "CRUISE_10"
@@ -73,13 +80,18 @@ def frames_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of frame requests derived from ``events``: one request per event."""
+    """A table of frame requests derived from ``events``: one request per event.
+
+    The video asked for follows the event over the orders' key pattern (8 keys in every 32),
+    so distinct ids grow with the table; every HOT_EVERY-th request asks for one hot video.
+    """
     ev = read_table(spark, sf_dir, "events").select("event_id", "event_type")
     eid = F.col("event_id")
     return ev.select(
         eid.alias("request_id"),
         F.when((eid % 11) == 0, F.concat(F.lit("missing-"), eid.cast("string")))
-         .otherwise(F.concat(F.lit("vid-"), (eid % 1000).cast("string"))).alias("video_id"),
+         .when((eid % HOT_EVERY) == 0, F.lit(HOT_VIDEO))
+         .otherwise(F.concat(F.lit("vid-"), (F.floor(eid / 8) * 32 + eid % 8).cast("string"))).alias("video_id"),
         ((eid % 9).cast("bigint") - 1).alias("frame_index"),
         F.when(F.col("event_type") == "error", F.lit("webp"))
          .when(F.col("event_type") == "view", F.lit("jpeg"))
@@ -88,6 +100,21 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_key() -> Column:
+    """The order behind a row of the corpus."""
+    return F.substring("media", 5, 20).cast("bigint")
+
+
+def faulty(raw: DataFrame) -> DataFrame:
+    """The corpus with faults for the quality report: shared ids, unreadable times, short paths."""
+    okey = order_key()
+    return raw.withColumns({
+        "media_path": F.when(okey % SHORT_PATH_EVERY == 0, F.concat(F.lit("loose/"), "media", F.lit(".avi"))).otherwise(F.col("media_path")),
+        "media_time": F.when(okey % NO_TIME_EVERY == 0, F.lit("unknown")).otherwise(F.col("media_time")),
+        "media": F.when(okey % SAME_ID_EVERY == 0, F.concat(F.lit("vid-"), (okey + 1).cast("string"))).otherwise(F.col("media")),
+    })
+
+
 def seeded_partition(cruise: str | Column = "cruise", camera: str | Column = "camera") -> Column:
     """Predicate for the partitions the store queries pre-seed as already stored."""
     c = F.col(cruise) if isinstance(cruise, str) else cruise
@@ -118,10 +145,18 @@ FROM (SELECT l_orderkey AS okey, l_linenumber AS lnum, l_partkey AS pkey,
 REQUESTS_SQL = """
 SELECT event_id AS request_id,
        CASE WHEN event_id % 11 = 0 THEN concat('missing-', CAST(event_id AS VARCHAR))
-            ELSE concat('vid-', CAST(event_id % 1000 AS VARCHAR)) END AS video_id,
+            WHEN event_id % 4 = 0 THEN 'vid-7'
+            ELSE concat('vid-', CAST((event_id // 8) * 32 + event_id % 8 AS VARCHAR)) END AS video_id,
        CAST(event_id % 9 AS BIGINT) - 1 AS frame_index,
        CASE event_type WHEN 'error' THEN 'webp' WHEN 'view' THEN 'jpeg' WHEN 'signup' THEN NULL ELSE 'png' END AS format
 FROM events
 """
 
+FAULTY_SQL = """
+SELECT CASE WHEN okey % 59 = 0 THEN concat('loose/', media, '.avi') ELSE media_path END AS media_path,
+       CASE WHEN okey % 41 = 0 THEN concat('vid-', CAST(okey + 1 AS VARCHAR)) ELSE media END AS media,
+       CASE WHEN okey % 43 = 0 THEN 'unknown' ELSE media_time END AS media_time, frame, times, status, id, link, okey
+FROM (SELECT *, CAST(substr(media, 5) AS BIGINT) AS okey FROM clean_raw) y
+"""
+
 SEEDED_SQL = "camera IN ('Cam1', 'Cam2') AND cruise < 'CRUISE_10'"

@@ -6,6 +6,7 @@ file index builds); rows never leave the executors.
 """
 from __future__ import annotations
 
+import csv
 import logging
 from functools import reduce
 from urllib.parse import unquote
@@ -21,11 +22,9 @@ log = logging.getLogger("framefold.sources.csv")
 
 # CSV dialect of the exports: RFC 4180 quoting (a quote is escaped by doubling).
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
-# Positional binding to the canonical header (no detection pass, and the streaming
-# source): rows of older 6-column exports lack the trailing id/link, which come back
+# Positional binding to the canonical header (no detection pass): rows of older 6-column exports lack the trailing id/link, which come back
 # null. Junk in ``frame`` still fails the job (strict cast in ``typed``).
 POSITIONAL_CSV_OPTIONS = {**CSV_OPTIONS, "mode": "PERMISSIVE"}
-HEADER_READ_LIMIT = 64 * 1024   # bytes read to find a header line
 
 
 class NoInputError(RuntimeError):
@@ -39,10 +38,11 @@ class HeaderError(ValueError):
 REQUIRED_CSV_COLUMNS = [c for c in CSV_COLUMNS if c not in OPTIONAL_CSV_COLUMNS]
 
 
-def check_header(header: tuple[str, ...]) -> None:
+def check_header(header: tuple[str, ...], files: list[str] | tuple = ()) -> None:
     missing = [c for c in REQUIRED_CSV_COLUMNS if c not in header]
     if missing:
-        raise HeaderError(f"CSV header {','.join(header)!r} lacks required column(s): {', '.join(missing)}")
+        raise HeaderError(f"CSV header {','.join(header)!r} lacks required column(s): {', '.join(missing)}"
+                          + (f"; file(s): {', '.join(files)}" if files else ""))
 
 
 def _plain(path: str) -> str:
@@ -91,60 +91,71 @@ def apply_excludes(paths: list[str], patterns: list[str]) -> tuple[list[str], li
     return kept, dropped
 
 
-def _first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(value, file) with the first line of every file on a POSIX mount: each task
-    reads a few KB per file, so the cost follows the number of files, not bytes."""
-    n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 2))
-
-    def heads(batches):
-        import pandas as pd
-        for pdf in batches:
-            lines = []
-            for f in pdf["file"]:
-                with open(f, "rb") as fh:
-                    lines.append(fh.readline(HEADER_READ_LIMIT).decode("utf-8", "replace").rstrip("\r\n"))
-            yield pd.DataFrame({"value": lines, "file": pdf["file"]})
+def _first_records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, value): the first line of every listed file, null for an empty file.
 
+    On a POSIX mount each task reads one line per file. Elsewhere one distributed text
+    scan keeps the line with the smallest position of each file.
+    """
     listing = spark.createDataFrame([(_plain(f),) for f in files], "file string")
-    return listing.repartition(n).mapInPandas(heads, "value string, file string")
-
-
-def detect_headers(spark: SparkSession, files: list[str],
-                   method: str = "auto") -> dict[tuple[str, ...], set[str]]:
-    """Header line of every file, grouped by header -> set of plain file paths.
-
-    Files on a POSIX mount: one distributed read of each file's first line.
-    Other file systems: one distributed text pass keeping only header lines.
-    ``method`` forces one of the two ("first_line" or "text").
-    Only the distinct headers (and, when there is more than one, the file
-    names) reach the driver.
+    if all(f.startswith("file:") for f in files):
+        def heads(batches):
+            import pandas as pd
+            for pdf in batches:
+                lines = []
+                for f in pdf["file"]:
+                    with open(f, "rb") as fh:
+                        lines.append(fh.readline().decode("utf-8", "replace").rstrip("\r\n"))
+                yield pd.DataFrame({"file": pdf["file"], "value": lines})
+
+        n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 2))
+        return listing.repartition(n).mapInPandas(heads, "file string, value string")
+    lines = spark.read.text(files).select("value", C.file_path_of_metadata().alias("file"), F.monotonically_increasing_id().alias("at"),
+                                          F.col("_metadata.file_block_start").alias("block"))
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("value"))
+    return listing.join(first, "file", "left")
+
+
+def parse_header(line: str | None) -> tuple[str, ...]:
+    """Column names of a header record: RFC 4180 quoting, surrounding blanks and a BOM removed."""
+    return tuple(c.strip() for c in next(csv.reader([(line or "").lstrip("\ufeff")]), []))
+
+
+def file_headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str] | None]:
+    """Header -> the plain paths of its files (None: the only header, so all files).
+
+    Decided per file. Every file must bind by name: a file whose first record lacks a
+    required column (no header, another layout, an empty file) raises HeaderError naming it,
+    and a column name that occurs twice does too. Unknown columns are ignored.
+    What reaches the driver is one row per distinct header, and, only where there are several, one
+    per listed file, which the driver holds already.
     """
-    if method not in ("auto", "first_line", "text"):
-        raise ValueError(f"method must be 'auto', 'first_line' or 'text', not {method!r}")
-    uniq = sorted(set(files))
-    posix = all(f.startswith("file:") for f in uniq)
-    if method == "first_line" or (method == "auto" and posix):
-        raw_lines = _first_lines(spark, uniq)
-    else:
-        raw_lines = spark.read.text(uniq).select("value", C.file_path_of_metadata().alias("file"))
-    # A header line is one whose tokens are all known column names, media_path among them.
-    line = F.regexp_replace(F.trim(F.col("value")), '^\uFEFF|"', "")   # BOM, quoted names
-    tokens = F.split(line, ",")
-    known = F.array(*[F.lit(c) for c in CSV_COLUMNS])
-    is_header = (F.size(F.array_except(tokens, known)) == 0) & F.array_contains(tokens, CSV_COLUMNS[0])
-    lines = raw_lines.filter(is_header).select(line.alias("header"), "file")
-    distinct_headers = [r.header for r in lines.select("header").distinct().collect()]
-    if len(distinct_headers) <= 1:
-        return {tuple(h.strip().split(",")): {"*"} for h in distinct_headers}
-    groups: dict[tuple[str, ...], set[str]] = {}
-    for r in lines.groupBy("header").agg(F.collect_set("file").alias("files")).collect():
-        groups[tuple(r.header.strip().split(","))] = set(r.files)
-    return groups
+    records = _first_records(spark, sorted(set(files))).persist()
+    try:
+        lines = [r["value"] for r in records.select("value").distinct().collect()]
+        headers = {line: parse_header(line) for line in lines}
+        bad = [line for line, h in headers.items() if not set(REQUIRED_CSV_COLUMNS) <= set(h) or len(set(h)) < len(h)]
+        if bad:
+            named = [r["file"] for r in records.where(F.coalesce("value", F.lit("")).isin([line or "" for line in bad])).orderBy("file").toLocalIterator()]
+            for line in bad:
+                check_header(headers[line], named)
+            raise HeaderError(f"CSV header names a column twice in: {', '.join(named)}")
+        if len(set(headers.values())) == 1:
+            return {next(iter(headers.values())): None}
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for r in records.toLocalIterator():
+            groups.setdefault(headers[r["value"]], []).append(r["file"])
+        bound = sum(map(len, groups.values()))
+        if bound != len(set(files)):
+            raise HeaderError(f"{len(set(files))} files listed, {bound} bound to a header")
+        return groups
+    finally:
+        records.unpersist()
 
 
 def _read_group(spark: SparkSession, sources: list[str], header: tuple[str, ...],
                 options: dict | None = None) -> DataFrame:
-    schema = T.StructType([T.StructField(c.strip().strip('"'), T.StringType(), True) for c in header])
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
     return spark.read.options(**(options or CSV_OPTIONS)).schema(schema).csv(sources)
 
 
@@ -165,9 +176,9 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
                     headers: str = "detect") -> DataFrame:
     """S1 + S2 + S3 + U1: typed per-frame rows from every matching CSV.
 
-    ``headers="detect"`` groups files by their header line and reads each group
-    with its own column names, then unions by name (files without ``id``/``link``
-    get nulls). ``headers="canonical"`` skips the detection pass and binds every
+    ``headers="detect"`` binds every file to the names in its own first record (files
+    without ``id``/``link`` get nulls, unknown columns are ignored) or raises; no listed file
+    is left out. ``headers="canonical"`` skips the detection pass and binds every
     file to the canonical 8-column header by position; missing trailing columns
     (older exports without ``id``/``link``) come back null.
     """
@@ -182,31 +193,27 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
     if not kept:
         raise NoInputError("no CSV files left after applying excludes")
 
+    # Spark's readers skip names that start with an underscore, even when listed.
+    unreadable = [f for f in kept if f.rsplit("/", 1)[-1].startswith("_")]
+    if unreadable:
+        raise NoInputError(f"file names that start with '_' cannot be read; rename: {', '.join(map(_plain, unreadable))}")
+
     if headers == "canonical":
-        groups = {tuple(CSV_COLUMNS): {"*"}}
-    else:
-        groups = detect_headers(spark, kept)
-        if not groups:
-            groups = {tuple(CSV_COLUMNS): {"*"}}
-        for header in groups:
-            check_header(header)
-
-    if list(groups.values()) == [{"*"}]:
+        return typed(_read_group(spark, kept if dropped else matched, tuple(CSV_COLUMNS), POSITIONAL_CSV_OPTIONS))
+    groups = file_headers(spark, kept)
+    if list(groups.values()) == [None]:
         # One header for all files: scan the patterns themselves when nothing is
         # excluded, else the kept listing, so excluded files are never parsed (a
         # file with another layout would fail FAILFAST parsing). Overlapping
         # patterns list a file twice either way, and it is scanned twice.
         (header,) = groups
-        options = POSITIONAL_CSV_OPTIONS if headers == "canonical" else CSV_OPTIONS
-        return typed(_read_group(spark, kept if dropped else matched, header, options))
-
-    parts = []
-    for header, members in groups.items():
-        group_files = [f for f in kept if _plain(f) in members]
-        if group_files:
-            parts.append(_read_group(spark, group_files, header))
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return typed(union)
+        return typed(_read_group(spark, kept if dropped else matched, header))
+    of = {f: h for h, members in groups.items() for f in members}
+    sources: dict[tuple[str, ...], list[str]] = {}
+    for f in kept:
+        sources.setdefault(of[_plain(f)], []).append(f)
+    parts = [typed(_read_group(spark, paths, header)) for header, paths in sources.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_frames_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

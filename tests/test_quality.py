@@ -1,42 +1,23 @@
-"""Quality report (Q1-Q5 + unparseable paths) on a fixture with every problem planted."""
+"""Quality report: each fault planted a different number of times, next to sound videos."""
 from __future__ import annotations
 
-from conftest import row, write_csv
+from conftest import clip, export, frame_rows
 from framefold.operators import frames as FR
 from framefold.operators import profile as PR
 from framefold.operators import quality as QU
 from framefold.sources.csv_scan import read_frames_csv
 
-R = "/proj/data"
 
-
-def test_quality_report_counts_each_problem(spark, tmp_path):
-    a = f"{R}/C1/K1/t/a.avi"        # clean: frames 0, 1, 2
-    b = f"{R}/C1/K1/t/b.avi"        # gap: frames 0, 2 -> count 2, max+1 = 3
-    c = f"{R}/C2/K1/t/c.avi"        # duplicate (path, frame) rows, unparseable media_time
-    d = f"{R}/C2/K2/t/a.avi"        # same video id 'a' as path a
-    e = "/short/e.avi"              # too short to parse cruise/camera
-    csv = write_csv(tmp_path, "q.csv", [
-        row(a, "a", "2026-01-13 19:30:07.771", 0, "2026-01-13 19:30:07.837"),
-        row(a, "a", "2026-01-13 19:30:07.771", 1, "2026-01-13 19:30:07.904"),
-        row(a, "a", "2026-01-13 19:30:07.771", 2, "2026-01-13 19:30:07.970"),
-        row(b, "b", "2026-01-13 19:30:07.771", 0, "2026-01-13 19:30:07.837"),
-        row(b, "b", "2026-01-13 19:30:07.771", 2, "2026-01-13 19:30:07.970"),
-        row(c, "c", "garbage", 0, "2026-01-13 19:30:07.837"),
-        row(c, "c", "garbage", 0, "2026-01-13 19:30:07.837"),
-        row(d, "a", "2026-01-13 19:30:07.771", 0, "2026-01-13 19:30:07.837"),
-        row(e, "e", "2026-01-13 19:30:07.771", 0, "2026-01-13 19:30:07.837"),
-    ])
-    raw = read_frames_csv(spark, [csv])
-    prof = PR.media_profile(raw)
-    vids = PR.videos_from_profile(prof)
-    frames = FR.frames_table(raw).filter("video_id <> 'b'")   # as if b's frames never landed
-    report = {r.check: r.n_items for r in QU.quality_report(raw, prof, vids, frames).collect()}
-    assert report == {
-        "duplicate_video_id": 1,        # 'a'
-        "duplicate_path_frame": 1,      # (c, 0)
-        "null_media_time": 1,           # c
-        "frame_count_mismatch": 2,      # b (gap) and c (duplicate rows)
-        "unparseable_path": 1,          # e
-        "video_without_frames": 1,      # b
-    }
+def test_each_check_counts_its_own_faults(spark, tmp_path):
+    rows = [r for i in range(8) for r in frame_rows(clip("K", "bow", f"sound{i}"), range(3))]
+    rows += [r for i in range(2) for r in frame_rows(clip("K", f"cam{i}", f"twin{i}"), range(1), media="twin")]
+    rows += frame_rows(clip("K", "bow", "copied"), [0, 1, 1, 0])
+    rows += [r for i in range(3) for r in frame_rows(clip("K", "bow", f"timeless{i}"), range(2), media_time="?")]
+    rows += [r for i in range(4) for r in frame_rows(clip("K", "bow", f"gap{i}"), [0, 5])]
+    rows += [r for i in range(5) for r in frame_rows(f"loose{i}.mkv", range(1))]
+    raw = read_frames_csv(spark, [export(tmp_path, "q.csv", rows)])
+    profile = PR.media_profile(raw)
+    stored = FR.frames_table(raw).filter("video_id NOT LIKE 'sound%' OR video_id IN ('sound0', 'sound1')")
+    report = {r.check: r.n_items for r in QU.quality_report(raw, profile, PR.videos_from_profile(profile), stored).collect()}
+    assert report == {"duplicate_video_id": 1, "duplicate_path_frame": 2, "null_media_time": 3,
+                      "frame_count_mismatch": 5, "unparseable_path": 5, "video_without_frames": 6}
