@@ -53,7 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix and the text that they decode to."""
-    done = op4_bpe.decode(op4_bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    done = op4_bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"))
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

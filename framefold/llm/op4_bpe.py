@@ -41,8 +41,10 @@ from framefold.llm.scratch import table
 from framefold.llm.words import Words, slices
 
 FILE = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
-PAIR_CACHE = 1_000_000
+CACHE_WORDS = 150_000
+PAIR_CACHE = 200_000
+SLICE_BYTES = 1 << 19
+DECODE_ROWS = 200
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 
 
@@ -207,58 +209,73 @@ def strings(path: str) -> pa.Array:
     return pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
 
 
-def with_column(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """``docs`` with a column made from each Arrow batch; ``make`` yields (first row, next row, values)."""
-    passing = [c for c in docs.columns if c != name]
-    schema = T.StructType([*[docs.schema[c] for c in passing], T.StructField(name, kind)])
+def encoding(text: str, file: str):
+    """Arrow batches with ``ids`` made from ``text``, slice by slice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passing = [c for c in batch.schema.names if c != "ids"]
+            for lo, hi, w in slices(batch.column(text), SLICE_BYTES):
+                ids, size = encoder(file).of(w) if len(w) else (np.zeros(0, np.int32), np.zeros(hi - lo, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in passing], lists], [*passing, "ids"])
+
+    return run
 
+
+def decoding(ids: str, file: str):
+    """Arrow batches with ``decoded`` made from ``ids``, some rows at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = strings(file)
         for batch in batches:
-            for lo, hi, values in make(batch):
-                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in passing], values], [*passing, name])
+            passing = [c for c in batch.schema.names if c != "decoded"]
+            for lo in range(0, len(batch), DECODE_ROWS):
+                part = batch.column(ids)[lo:lo + DECODE_ROWS]
+                flat = part.flatten()
+                known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), False)
+                words = names.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
+                keep = np.asarray(words.is_valid())
+                size = np.asarray(pc.fill_null(pc.list_value_length(part), 0)).astype(np.int64)
+                size = np.bincount(np.repeat(np.arange(len(part)), size)[keep], minlength=len(part))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), words.filter(pa.array(keep)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:lo + len(part)] for c in passing], pc.binary_join(lists, " ")], [*passing, "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids``: array<int> of each whole text."""
-    file = path or public_tokenizers.path(FILE)
+def with_columns(docs: DataFrame, run, added: dict[str, T.DataType], dropped: tuple[str, ...] = ()) -> DataFrame:
+    passing = [docs.schema[c] for c in docs.columns if c not in added and c not in dropped]
+    schema = T.StructType([*passing, *[T.StructField(c, kind) for c, kind in added.items()]])
+    return docs.mapInArrow(lambda batches: (b.select(schema.names) for b in run(batches)), schema)
 
-    def make(batch: pa.RecordBatch):
-        for lo, hi, w in slices(batch.column(text)):
-            ids, size = encoder(file).of(w) if len(w) else (np.zeros(0, np.int32), np.zeros(hi - lo, np.int64))
-            yield lo, hi, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
 
-    return with_column(docs, "ids", T.ArrayType(T.IntegerType()), make)
+IDS, DECODED = {"ids": T.ArrayType(T.IntegerType())}, {"decoded": T.StringType()}
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with ``ids``: array<int> of each whole text."""
+    return with_columns(docs, encoding(text, path or public_tokenizers.path(FILE)), IDS)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded``: the text that the ids stand for, special tokens included."""
+    return with_columns(encoded, decoding(ids, path or public_tokenizers.path(FILE)), DECODED)
+
+
+def encode_and_decode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` without its text, with ``ids`` and ``decoded``: both steps in one Python worker."""
     file = path or public_tokenizers.path(FILE)
+    to_ids, to_text = encoding(text, file), decoding("ids", file)
 
-    def make(batch: pa.RecordBatch):
-        names = strings(file)
-        column = batch.column(ids)
-        step = 200
-        for lo in range(0, len(column), step):
-            part = column[lo:lo + step]
-            flat = part.flatten()
-            known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), False)
-            words = names.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
-            keep = np.asarray(words.is_valid())
-            size = np.asarray(pc.fill_null(pc.list_value_length(part), 0)).astype(np.int64)
-            text_of = np.repeat(np.arange(len(part)), size)
-            size = np.bincount(text_of[keep], minlength=len(part))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), words.filter(pa.array(keep)))
-            yield lo, lo + len(part), pc.binary_join(lists, " ")
-
-    return with_column(encoded, "decoded", T.StringType(), make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return to_text(to_ids(batches))
+
+    return with_columns(docs, run, IDS | DECODED, (text,))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs).drop("text"))
+    done = encode_and_decode(docs)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
