@@ -8,7 +8,7 @@ is computed once. A word's encoding is read back along its states. Whether two t
 stand side by side follows from the merge ranks alone: they may, unless at some
 rank a piece at the end of the first and one at the start of the second would merge.
 
-A worker keeps the encodings of up to ``CACHE_WORDS`` distinct words between slices and
+Words are named by 64-bit hashes. A worker keeps the encodings of up to ``CACHE_WORDS`` distinct words between slices and
 tasks; a full cache is emptied, which costs time and changes nothing.
 
 The tokenizer file is a parameter. Supported: byte-level BPE with an end-of-word suffix, a
@@ -41,13 +41,23 @@ from framefold.llm.scratch import table
 from framefold.llm.words import Words, slices
 
 FILE = "word_bpe_49k.json"
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 PAIR_CACHE = 200_000
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
 DECODE_ROWS = 200
+TAIL = 3
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 
 
+def reach(names: dict[str, int]) -> dict[str, int]:
+    """Length of the longest name with each ending of TAIL characters."""
+    out: dict[str, int] = {}
+    for s in names:
+        if len(s) >= TAIL:
+            out[s[-TAIL:]] = max(len(s), out.get(s[-TAIL:], 0))
+    return out
+
+
 class Vocabulary:
     """Merge ranks and which tokens may stand side by side."""
 
@@ -69,7 +79,7 @@ class Vocabulary:
         # Lengths in symbols: an inner token has its own characters, a final one those before the suffix.
         self.inner = {s: i for s, i in self.id.items() if not s.endswith(self.suffix)}
         self.final = {s[:-len(self.suffix)]: i for s, i in self.id.items() if s.endswith(self.suffix)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.inner_reach, self.final_reach = reach(self.inner), reach(self.final)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -110,12 +120,21 @@ class Vocabulary:
             known = self.alone[token] = a < 0 or (self.whole(a) and self.whole(b) and self.meet(a, b, r))
         return known
 
-    def last(self, word: str, end: int, states: list[tuple[int, int]], names: dict[str, int]) -> tuple[int, int]:
+    def last(self, word: str, end: int, states: list[tuple[int, int]], names: dict[str, int], longest: dict[str, int]) -> tuple[int, int]:
         """(last token, its length) of the encoding of ``word[:end]``; ``states`` has those of shorter prefixes."""
-        for n in range(min(end, self.longest), 0, -1):
+        pairs = self.pairs
+        for n in range(min(end, longest.get(word[end - TAIL:end], TAIL - 1) if end >= TAIL else end), 0, -1):
             token = names.get(word[end - n:end])
-            if token is not None and (self.adjacent(states[end - n][0], token) if n < end else self.whole(token)):
-                return token, n
+            if token is not None:
+                if n == end:
+                    fits = self.whole(token)
+                else:
+                    before = states[end - n][0]
+                    fits = pairs.get((before, token))
+                    if fits is None:
+                        fits = self.adjacent(before, token)
+                if fits:
+                    return token, n
         raise ValueError(f"no token ends {word[:end]!r}")
 
     def encode_all(self, words: list[str]) -> dict[str, list[int]]:
@@ -131,8 +150,8 @@ class Vocabulary:
                 shared += 1
             del states[shared + 1:]
             for end in range(len(states), len(word)):
-                states.append(self.last(word, end, states, self.inner))
-            token, n = self.last(word, len(word), states, self.final)
+                states.append(self.last(word, end, states, self.inner, self.inner_reach))
+            token, n = self.last(word, len(word), states, self.final, self.final_reach)
             ids, end = [token], len(word) - n
             while end:
                 token, n = states[end]
@@ -158,7 +177,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
+        self.row: dict[int, int] = {}  # by word hash
         self.ids = np.zeros(0, np.int32)
         self.length = np.zeros(0, np.int64)
 
@@ -177,20 +196,20 @@ class Encoder:
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words end to end, number of ids of each text)."""
         names, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        texts = [w.text(i) for i in first]
+        listed = names.tolist()
         if len(self.row) > CACHE_WORDS:
             self.clear()
-        new = [t for t in dict.fromkeys(texts) if t not in self.row]
+        new = [i for i, x in enumerate(listed) if x not in self.row]
         if new:
-            split = [self.pieces(t.decode()) for t in new]
+            split = [self.pieces(w.text(first[i]).decode()) for i in new]
             special = self.vocabulary.special
             coded = self.vocabulary.encode_all(list({p for s in split for p in s} - special.keys()))
             lists = [[i for p in s for i in ([special[p]] if p in special else coded[p])] for s in split]
             held = len(self.row)
-            self.row.update((t, held + j) for j, t in enumerate(new))
+            self.row.update((listed[i], held + j) for j, i in enumerate(new))
             self.length = np.concatenate([self.length, np.fromiter(map(len, lists), np.int64, len(lists))])
             self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.int32)])
-        row = np.fromiter(map(self.row.__getitem__, texts), np.int64, len(texts))[back]
+        row = np.fromiter(map(self.row.__getitem__, listed), np.int64, len(listed))[back]
         length, start = self.length[row], (np.cumsum(self.length) - self.length)[row]
         per_text = np.bincount(w.doc, weights=length, minlength=len(w.counts)).astype(np.int64)
         return self.ids[ranges(start, length)], per_text
