@@ -230,8 +230,8 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", path: str | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    gone = quality(docs, doc_id, text, lang, path).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), "row").distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(doc_id, lang, text) == F.col("row")), "left_anti")
+    gone = quality(docs, doc_id, text, lang, path).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(doc_id, lang, text) == F.col("__row")), "left_anti")
 
 
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
