@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -32,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framefold.llm.scratch import stored, table
-from framefold.llm.words import Words, slices, windows
+from framefold.llm.words import Words, held, slices, windows
 
 VOCABULARY = "piece_bpe_32k.model"
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 BINS = 2000
 LEAST_TEXTS = 50
 WIDTH = 5.0
@@ -73,8 +72,8 @@ class WordPieces:
         new = [i for i, x in enumerate(listed) if x not in self.row]
         if new:
             coded = self.model.encode([w.text(first[i]).decode() for i in new], num_threads=1)
-            held = len(self.row)
-            self.row.update((listed[i], held + j) for j, i in enumerate(new))
+            have = len(self.row)
+            self.row.update((listed[i], have + j) for j, i in enumerate(new))
             self.length.append(np.fromiter(map(len, coded), np.int64, len(coded)))
             self.tokens.append(np.array([t for c in coded for t in c], np.int32))
         self.length, self.tokens = [np.concatenate(self.length)], [np.concatenate(self.tokens)]
@@ -89,9 +88,8 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - length), length)
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str) -> WordPieces:
-    return WordPieces(path)
+    return held(("pieces", path), lambda: WordPieces(path))
 
 
 def repeat_words(w: Words) -> np.ndarray:

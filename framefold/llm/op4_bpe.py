@@ -25,7 +25,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -38,10 +37,10 @@ from pyspark.sql import types as T
 
 from framefold.llm.op3_fertility import ranges
 from framefold.llm.scratch import table
-from framefold.llm.words import Words, slices
+from framefold.llm.words import Words, held, slices
 
 FILE = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 PAIR_CACHE = 200_000
 SLICE_BYTES = 1 << 20
 DECODE_ROWS = 200
@@ -174,6 +173,8 @@ class Encoder:
         rules = json.loads(open(path, encoding="utf-8").read())["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(rules[0]["pattern"]["Regex"])
         self.special = re.compile("|".join(sorted(map(re.escape, self.vocabulary.special), key=len, reverse=True)) or r"(?!)")
+        named = {i: s for s, i in [*self.vocabulary.id.items(), *self.vocabulary.special.items()]}
+        self.strings = pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
         self.clear()
 
     def clear(self) -> None:
@@ -205,8 +206,8 @@ class Encoder:
             special = self.vocabulary.special
             coded = self.vocabulary.encode_all(list({p for s in split for p in s} - special.keys()))
             lists = [[i for p in s for i in ([special[p]] if p in special else coded[p])] for s in split]
-            held = len(self.row)
-            self.row.update((listed[i], held + j) for j, i in enumerate(new))
+            have = len(self.row)
+            self.row.update((listed[i], have + j) for j, i in enumerate(new))
             self.length = np.concatenate([self.length, np.fromiter(map(len, lists), np.int64, len(lists))])
             self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.int32)])
         row = np.fromiter(map(self.row.__getitem__, listed), np.int64, len(listed))[back]
@@ -215,17 +216,13 @@ class Encoder:
         return self.ids[ranges(start, length)], per_text
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
-@lru_cache(maxsize=2)
 def strings(path: str) -> pa.Array:
     """Token strings by id (null: no such id)."""
-    v = Vocabulary(path)
-    named = {i: s for s, i in [*v.id.items(), *v.special.items()]}
-    return pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
+    return encoder(path).strings
 
 
 def encoding(text: str, file: str):

@@ -18,7 +18,6 @@ train nothing; an empty table gives an empty one; columns other than id, text an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framefold.llm.scratch import table
-from framefold.llm.words import as_bytes
+from framefold.llm.words import as_bytes, held
 
 DIMENSIONS = 1024
 SLICE_BYTES = 1 << 19
@@ -92,9 +91,8 @@ class Profiles:
         return out
 
 
-@lru_cache(maxsize=1)
 def profiles() -> Profiles:
-    return Profiles()
+    return held("profiles", Profiles)
 
 
 def text_slices(column) -> Iterator[tuple[int, int, list[str]]]:

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SEPARATORS = b" \t\n\x0b\x0c\r"
 
 _IS_WORD = np.ones(256, bool)
@@ -45,12 +45,25 @@ _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 def _powers(salt: int, n: int, inverse: bool) -> np.ndarray:
     have = _POWERS.get((salt, inverse))
     if have is None or len(have) < n:
-        p = np.full(max(n, SLICE_BYTES + 65536), _base(salt)[inverse], np.uint64)
+        p = np.full(max(1, n + n // 8), _base(salt)[inverse], np.uint64)
         p[0] = 1
-        have = _POWERS[salt, inverse] = np.multiply.accumulate(p)
+        have = np.multiply.accumulate(p)
+        if n <= 2 * SLICE_BYTES:  # those of a single very long text are not kept
+            _POWERS[salt, inverse] = have
     return have[:n]
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps between tasks: the state of one operator at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 @lru_cache(maxsize=32)
 def _weights(salt: int, lower: bool) -> np.ndarray:
     w = np.random.default_rng(salt).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
