@@ -12,7 +12,7 @@ class, the whole binary logarithm of the number of words, as all three depend on
 The band is the group's median plus and minus ``WIDTH`` times the quartile distance, which
 counts as a floor at least; only texts that pass the base rules enter it. Quantiles come
 from counts over fixed bins: exact, independent of the partitioning, and as small as
-groups times bins. A group with fewer than ``LEAST_TEXTS`` texts has no band and rejects none.
+groups times bins; they stay in Spark. A group with fewer than ``LEAST_TEXTS`` texts has no band and rejects none.
 
 Defined results: null or wordless text has zero counts and fails the base rules; ties and
 repeated rows are measured alike; an empty table gives an empty one; other columns are
@@ -20,14 +20,12 @@ left out, so none can clash.
 """
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framefold.llm.scratch import stored, table
@@ -42,6 +40,7 @@ CACHE_WORDS = 150_000
 BINS = 2000
 LEAST_TEXTS = 50
 WIDTH = 5.0
+QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 #: measure: (range of the bins, least quartile distance)
 MEASURES = {"chars_per_token": ((0.0, 10.0), 0.04), "byte_share": ((0.0, 1.0), 0.02), "entropy_share": ((0.0, 1.0), 0.02)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens")
@@ -180,42 +179,34 @@ def verdicts(measured: DataFrame) -> DataFrame:
               .withColumn("entropy_share", F.col("entropy") / F.log2(safe))
               .withColumn("group", F.concat(F.coalesce("lang", F.concat(F.lit("script "), "script")), F.lit(" "),
                                             F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("string"))))
-    names = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
-    bands = marked.sparkSession.createDataFrame(band_rows(marked), "of string, " + ", ".join(f"{c} double" for c in names))
+    limits = stored(bands(marked), "bands")
     kept = ~F.col("base_failed")
     for m in MEASURES:
         kept = kept & F.coalesce(F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(True))
-    # One row a group: Spark broadcasts it when it is small.
-    return marked.join(bands, F.col("group") == F.col("of"), "left").withColumn("kept", kept).select(*marked.columns, "kept")
-
-
-def band_rows(marked: DataFrame) -> list[tuple]:
-    """(group, low and high of each measure) for every group, from counts over bins."""
-    fit = marked.where(~F.col("base_failed"))
-    groups: dict[str, dict[str, Histogram]] = {}
-    for m, ((a, b), _) in MEASURES.items():
-        counts = fit.groupBy("group", F.floor((F.col(m) - a) / (b - a) * BINS).cast("int").alias("bin")).count()
-        for r in counts.collect():  # at most groups * bins rows
-            groups.setdefault(r["group"], {}).setdefault(m, Histogram())[r["bin"]] += r["count"]
-    return [(g, *[x for m in MEASURES for x in band(m, of[m])]) for g, of in groups.items() if of["byte_share"].total() >= LEAST_TEXTS]
-
-
-class Histogram(Counter):
-    def quantile(self, p: float) -> int:
-        """The bin in which the p-quantile lies."""
-        seen, need = 0, max(1, math.ceil(p * self.total()))
-        for k in sorted(self):
-            seen += self[k]
-            if seen >= need:
-                return k
-        raise ValueError("no texts")
-
-
-def band(measure: str, h: Histogram) -> tuple[float, float]:
-    (a, b), least = MEASURES[measure]
-    q1, q2, q3 = (a + (b - a) / BINS * (h.quantile(p) + 0.5) for p in (0.25, 0.5, 0.75))
-    half = WIDTH * max(q3 - q1, least)
-    return q2 - half, q2 + half
+    # One row a group: Spark broadcasts the stored table if it is small, and splits a hot group's texts if it is not.
+    return marked.join(limits, F.col("group") == F.col("of"), "left").withColumn("kept", kept).select(*marked.columns, "kept")
+
+
+def bands(marked: DataFrame) -> DataFrame:
+    """(of, low and high of each measure) per group of LEAST_TEXTS texts or more, from counts over bins."""
+    def bin_of(m: str) -> Column:
+        (a, b), _ = MEASURES[m]
+        return F.struct(F.lit(m).alias("measure"), F.floor((F.col(m) - a) / (b - a) * BINS).cast("int").alias("bin"))
+
+    counts = (marked.where(~F.col("base_failed")).select("group", F.explode(F.array(*map(bin_of, MEASURES))).alias("x"))
+              .groupBy("group", "x.measure", "x.bin").agg(F.count("*").alias("n")))
+    # A window holds the bins of one group and measure, never its texts.
+    of = Window.partitionBy("group", "measure")
+    counted = counts.withColumn("total", F.sum("n").over(of)).withColumn("seen", F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    quantiles = (counted.where(F.col("total") >= LEAST_TEXTS).groupBy("group", "measure")
+                 .agg(*[F.min(F.when(F.col("seen") >= F.ceil(F.col("total") * p), F.col("bin"))).alias(q) for q, p in QUARTILES.items()]))
+    sides = []
+    for m, ((a, b), least) in MEASURES.items():
+        width = (b - a) / BINS
+        half = F.greatest((F.col("q3") - F.col("q1")) * width, F.lit(least)) * WIDTH
+        middle = a + (F.col("q2") + 0.5) * width
+        sides += [F.max(F.when(F.col("measure") == m, x)).alias(f"{side}_{m}") for side, x in (("low", middle - half), ("high", middle + half))]
+    return quantiles.groupBy(F.col("group").alias("of")).agg(*sides)
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", path: str | None = None) -> DataFrame:

@@ -154,6 +154,21 @@ def test_quality_bands_reject_what_is_far_from_its_language(spark):
     assert all(got[i][1] for i in range(200)) and not any(got[900 + i][1] for i in range(3))
 
 
+def test_quality_bands_against_sorted_values(spark):
+    r = random.Random(3)
+    texts = [(g, False, r.gauss(4, 1), r.random() / 9, r.random()) for g, n in (("en 6", 137), ("de 6", 50), ("fr 6", 49)) for _ in range(n)]
+    texts += [("en 6", True, 9.9, 1.0, 1.0)] * 500
+    found = op3_fertility.bands(spark.createDataFrame(texts, ["group", "base_failed", *op3_fertility.MEASURES])).collect()
+    assert {x["of"] for x in found} == {"en 6", "de 6"}
+    for x in found:
+        for i, (m, ((a, b), least)) in enumerate(op3_fertility.MEASURES.items()):
+            step = (b - a) / op3_fertility.BINS
+            have = sorted(a + step * (int((t[2 + i] - a) / step) + 0.5) for t in texts if t[0] == x["of"] and not t[1])
+            q1, q2, q3 = (have[max(1, -(-len(have) * k // 4)) - 1] for k in (1, 2, 3))
+            half = op3_fertility.WIDTH * max(q3 - q1, least)
+            assert x[f"low_{m}"] == pytest.approx(q2 - half) and x[f"high_{m}"] == pytest.approx(q2 + half)
+
+
 def test_mix(docs):
     found = op1_mix.copies(docs)
     assert found.orderBy("doc_id").collect() == op1_mix.copies(docs.repartition(5)).orderBy("doc_id").collect()
