@@ -29,6 +29,7 @@ from framefold.llm.words import as_bytes, held
 
 DIMENSIONS = 1024
 SLICE_BYTES = 1 << 19
+SLICE_TEXTS = 1024  # the table of counts has one row a text and one column a trigram of the slice
 CACHED_TRIGRAMS = 1 << 14
 FOLDS = 5
 
@@ -100,7 +101,7 @@ def text_slices(column) -> Iterator[tuple[int, int, list[str]]]:
     off = np.frombuffer(a.buffers()[1], np.int64)[a.offset:a.offset + len(a) + 1]
     lo = 0
     while lo < len(a):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE_BYTES, "right")) - 1)
+        hi = min(lo + SLICE_TEXTS, max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE_BYTES, "right")) - 1))
         yield lo, hi, [b.decode() for b in a[lo:hi].to_pylist()]
         lo = hi
 
