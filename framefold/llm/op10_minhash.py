@@ -7,16 +7,16 @@
    probability 3e-6.
 2. Documents with equal shingle sets (128-bit set name) form a class, represented by its
    smallest id; only representatives enter buckets.
-3. Candidates are stars: every bucket pairs its most connected member (the one whose
-   buckets are fullest) with the members of other components, the pairs are confirmed on the
-   full shingle sets, and components are merged. The centres then leave their buckets, and
-   buckets that still hold several components take their next centre. Rounds go on until
-   no bucket is open or ``FRUITLESS_ROUNDS`` rounds in a row confirm no link, so a round
-   costs at most one pair per bucket row and a bucket is never listed pair by pair.
+3. ``STAR_ROUNDS`` rounds of stars: every bucket pairs its most connected member (the one
+   whose buckets are fullest) with the members of other components, the pairs are confirmed
+   on the full shingle sets, and components are merged. The centres then leave their buckets.
+   A round costs at most one pair per bucket row and merges large groups at once.
+4. Buckets that still hold several components are compared in full: a bucket is dealt into
+   blocks of about ``BLOCK_ITEMS`` shingles, and each pair of blocks is one group that compares
+   all members of different components by an inverted index of their sets. It returns only
+   links that join components, so no pair of documents is ever a row.
 
-What the star shape may miss: a link between two documents of which neither links with
-any centre tried. On a table with thousands of near copies in one bucket, going on for
-ten fruitless rounds found no further link (README).
+So every pair that shares a bucket is confirmed or refuted, unless its documents are linked already.
 
 Defined results: null, empty or wordless text has an empty set and links with nothing;
 fewer words than a shingle make one shingle of all words; a row without id links with
@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framefold.llm.components import components
+from framefold.llm.op3_fertility import ranges
 from framefold.llm.scratch import drop_stored, stored, table
 from framefold.llm.words import Words, mix, slices, spans
 
 BANDS = 32
 ROWS = 5
-FRUITLESS_ROUNDS = 2
+STAR_ROUNDS = 2
+BLOCK_ITEMS = 1 << 17
+MEMBER_ITEMS = 16  # what a member weighs besides its shingles
 SIMILARITY_PERCENT = 80
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -140,6 +143,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def block_links(x: int, y: int, block: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, items: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of blocks ``x`` and ``y`` that join components; ``items`` holds the ``n`` shingles of each member."""
+    _, code, often = np.unique(items, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(ids)), n)
+    shared = often[code] > 1  # a shingle of one member is in no intersection
+    code, owner = code[shared], owner[shared]
+    size = np.bincount(owner, minlength=len(ids))
+    start = np.cumsum(size) - size
+    right = block[owner] == y
+    order = np.argsort(code[right], kind="stable")
+    holder = owner[right][order]
+    holders = np.bincount(code[right], minlength=len(often))
+    place = np.cumsum(holders) - holders
+    _, label = np.unique(component, return_inverse=True)
+    links = []
+    for i in np.flatnonzero(block == x):
+        other = (label != label[i]) & (block == y) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+        if x == y:
+            other[:i] = False
+        if not other.any():
+            continue
+        c = code[start[i]:start[i] + size[i]]
+        both = np.bincount(holder[ranges(place[c], holders[c])], minlength=len(ids))
+        for j in np.flatnonzero(other & (both * 100 >= (n + n[i] - both) * percent)):
+            if label[j] != label[i]:
+                links.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def bucket_links(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components left in each bucket of (key, id, n, component)."""
+    load = open_rows.groupBy("key").agg(F.ceil(F.sum(F.col("n") + MEMBER_ITEMS) / BLOCK_ITEMS).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (open_rows.join(load, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+             .select("key", "id", "component", "block", other.alias("other"))
+             .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component"))
+
+    def compare(part: pa.Table) -> pa.Table:
+        get = lambda c: np.asarray(part.column(c))
+        found = block_links(int(get("x")[0]), int(get("y")[0]), get("block"), get("id"), get("component"), get("n"),
+                            np.asarray(part.column("items").combine_chunks().flatten()), percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.join(sets, "id").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def link_classes(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS,
                  percent: int = SIMILARITY_PERCENT) -> tuple[DataFrame, DataFrame]:
     """(id, n, s1, s2) of every row with an id, and (id, component) of the linked representatives.
@@ -152,20 +202,19 @@ def link_classes(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS,
     full = sig.where("n > 0")
     reps = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"))
     buckets = (full.join(reps, ["s1", "s2", "n", "id"], "left_semi")
-               .select("id", F.explode("keys").alias("key")))
+               .select("id", "n", F.explode("keys").alias("key")))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(buckets.join(shared, "key"), "buckets")
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    held = stored(members.join(degree, "id").select("key", "id", "degree"), "buckets")
+    held = stored(members.join(degree, "id").select("key", "id", "n", "degree"), "buckets")
     drop_stored(spark, members)
     columns = docs.columns
     candidates = held.select(F.col("id").alias(columns[0])).distinct()
     sets = stored(shingle_sets(known.join(candidates, columns[0], "left_semi").select(*columns), k), "shingles")
     linked = spark.createDataFrame([], "id long, component long")
     tested = spark.createDataFrame([], "a long, b long")
-    fruitless = 0
-    while fruitless < FRUITLESS_ROUNDS:
-        marked = held.join(linked, "id", "left").select("key", "id", "degree", F.coalesce("component", "id").alias("component"))
+    for step in range(STAR_ROUNDS + 1):
+        marked = held.join(linked, "id", "left").select("key", "id", "n", "degree", F.coalesce("component", "id").alias("component"))
         centre = (marked.groupBy("key")
                   .agg(F.max(F.struct("degree", (-F.col("id")).alias("back"), F.col("component").alias("c"))).alias("m"),
                        F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -173,16 +222,16 @@ def link_classes(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS,
         open_rows = stored(marked.join(centre, "key"), "open")
         if open_rows.isEmpty():
             break
-        pairs = open_rows.where("component <> c").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        links = stored(confirmed(pairs, sets, percent), "links")
-        if links.isEmpty():
-            fruitless += 1
+        if step < STAR_ROUNDS:
+            pairs = open_rows.where("component <> c").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.union(pairs)
+            links = stored(confirmed(pairs, sets, percent), "links")
+            held = open_rows.where("id <> centre").select("key", "id", "n", "degree")
         else:
-            fruitless = 0
+            links = stored(bucket_links(open_rows.select("key", "id", "n", "component"), sets.select("id", "n", "items"), percent), "links")
+        if not links.isEmpty():
             linked = components(links.union(linked.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        held = open_rows.where("id <> centre").select("key", "id", "degree")
     return sig.select("id", "n", "s1", "s2"), linked
 
 

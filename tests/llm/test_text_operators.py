@@ -120,6 +120,32 @@ def test_minhash_finds_chains_of_near_copies(spark):
     assert {x.doc_id: x.component_id for x in got.collect()} == label
 
 
+@pytest.mark.parametrize("items", [op10_minhash.BLOCK_ITEMS, 400])
+def test_minhash_finds_near_copies_among_many_of_one_template(spark, monkeypatch, items):
+    """Forms of one template share buckets without linking; the pairs of near copies among them are no bucket's centre."""
+    monkeypatch.setattr(op10_minhash, "BLOCK_ITEMS", items)
+    r, texts = random.Random(8), {}
+    template = prose(60, 200).split()
+    for i in range(240):
+        form = list(template)
+        for j in r.sample(range(len(form)), 18):
+            form[j] = f"field{r.randrange(10 ** 9)}"
+        texts[i] = " ".join(form)
+    for i in range(240, 252):
+        copy = texts[i - 240].split()
+        copy[r.randrange(len(copy))] = f"typo{i}"
+        texts[i] = " ".join(copy)
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in texts.items()}
+    link = {(i, j) for i in sets for j in sets if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {(i, i - 240) for i in range(240, 252)} <= link and len(link) < 40
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i, j in link:
+            label[i] = label[j] = min(label[i], label[j])
+    got = op10_minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2)
+    assert {x.doc_id: x.component_id for x in got.collect()} == label
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (201, 200), (200, 201)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
