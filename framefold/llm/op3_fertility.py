@@ -12,7 +12,10 @@ class, the whole binary logarithm of the number of words, as all three depend on
 The band is the group's median plus and minus ``WIDTH`` times the quartile distance, which
 counts as a floor at least; only texts that pass the base rules enter it. Quantiles come
 from counts over fixed bins: exact, independent of the partitioning, and as small as
-groups times bins; they stay in Spark. A group with fewer than ``LEAST_TEXTS`` texts has no band and rejects none.
+groups times bins; they stay in Spark. A group with fewer than ``LEAST_TEXTS`` such texts takes the
+band of the nearest wider one that has them: its language over ``RADII`` length classes to either side,
+then its script, then all texts, likewise; failing all, the band of all texts, however few. So every text that
+passes the base rules is held against a band, at any size of the table.
 
 Defined results: null or wordless text has zero counts and fails the base rules; ties and
 repeated rows are measured alike; an empty table gives an empty one; other columns are
@@ -39,6 +42,8 @@ SYMBOLS = "#*$%&|<>"
 CACHE_WORDS = 150_000
 BINS = 2000
 LEAST_TEXTS = 50
+RADII = (0, 1, 2, 4, 64)  # the last holds every length class
+FAMILIES = ("lang", "script", "all")
 WIDTH = 5.0
 QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 #: measure: (range of the bins, least quartile distance)
@@ -177,33 +182,73 @@ def verdicts(measured: DataFrame) -> DataFrame:
               .withColumn("chars_per_token", F.col("word_chars") / safe)
               .withColumn("byte_share", F.col("n_byte_tokens") / safe)
               .withColumn("entropy_share", F.col("entropy") / F.log2(safe))
-              .withColumn("group", F.concat(F.coalesce("lang", F.concat(F.lit("script "), "script")), F.lit(" "),
-                                            F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("string"))))
-    limits = stored(bands(marked), "bands")
+              .withColumn("named", F.coalesce("lang", F.concat(F.lit("script "), "script")))
+              .withColumn("class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")))
+    limits = stored(unit_bands(marked), "bands")
     kept = ~F.col("base_failed")
     for m in MEASURES:
-        kept = kept & F.coalesce(F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(True))
-    # One row a group: Spark broadcasts the stored table if it is small, and splits a hot group's texts if it is not.
-    return marked.join(limits, F.col("group") == F.col("of"), "left").withColumn("kept", kept).select(*marked.columns, "kept")
+        # Units whose texts all fail the base rules have no band, and nothing to keep.
+        kept = kept & F.coalesce(F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(False))
+    # One row a unit: Spark broadcasts the stored table if it is small, and splits a hot unit's texts if it is not.
+    return marked.join(limits, ["named", "script", "class"], "left").withColumn("kept", kept).select(*marked.columns, "kept")
 
 
-def bands(marked: DataFrame) -> DataFrame:
-    """(of, low and high of each measure) per group of LEAST_TEXTS texts or more, from counts over bins."""
+def binned(marked: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, bin, n): texts that pass the base rules, per bin of each measure."""
     def bin_of(m: str) -> Column:
         (a, b), _ = MEASURES[m]
         return F.struct(F.lit(m).alias("measure"), F.floor((F.col(m) - a) / (b - a) * BINS).cast("int").alias("bin"))
 
-    counts = (marked.where(~F.col("base_failed")).select("group", F.explode(F.array(*map(bin_of, MEASURES))).alias("x"))
-              .groupBy("group", "x.measure", "x.bin").agg(F.count("*").alias("n")))
+    return (marked.where(~F.col("base_failed")).select(*keys, F.explode(F.array(*map(bin_of, MEASURES))).alias("x"))
+            .groupBy(*keys, "x.measure", "x.bin").agg(F.count("*").alias("n")))
+
+
+def unit_bands(marked: DataFrame) -> DataFrame:
+    """(named, script, class, low and high of each measure): the band of every language, script and length class.
+
+    Works on counts per unit and bin, never on texts.
+    """
+    unit = ["named", "script", "class"]
+    counts = stored(binned(marked, *unit), "bins")
+    name = {"lang": F.col("named"), "script": F.col("script"), "all": F.lit("")}
+    members = F.array(*[F.struct(F.lit(i).alias("family"), name[f].alias("name")) for i, f in enumerate(FAMILIES)])
+    # Texts of a family and length class; every text has one bin of each measure.
+    sizes = (counts.where(F.col("measure") == next(iter(MEASURES))).select(F.explode(members).alias("f"), "class", "n")
+             .groupBy("f.family", "f.name", "class").agg(F.sum("n").alias("n")))
+    reach = F.explode(F.array(*[F.lit(r) for r in RADII]))
+    centres = counts.select(F.explode(members).alias("f"), F.col("class").alias("centre")).distinct().select("f.family", "f.name", "centre", reach.alias("radius"))
+    totals = (centres.join(sizes, ["family", "name"]).where(F.abs(F.col("class") - F.col("centre")) <= F.col("radius"))
+              .groupBy("family", "name", "centre", "radius").agg(F.sum("n").alias("total")))
+    last = (F.col("family") == len(FAMILIES) - 1) & (F.col("radius") == RADII[-1])
+    usable = totals.where((F.col("total") >= LEAST_TEXTS) | last)
+    asked = counts.select(*unit).distinct().select(*unit, F.explode(members).alias("f")).select(*unit, "f.family", "f.name", F.col("class").alias("centre"))
+    chosen = stored(asked.join(usable, ["family", "name", "centre"]).groupBy(*unit)
+                    .agg(F.min(F.struct("family", "radius", "name", F.col("class").alias("centre"))).alias("w")).select(*unit, "w.*"), "chosen")
+    wide = chosen.select("family", "name", "centre", "radius").distinct()
+    shared = counts.select(F.explode(members).alias("f"), "class", "measure", "bin", "n").groupBy("f.family", "f.name", "class", "measure", "bin").agg(F.sum("n").alias("n"))
+    group = F.to_json(F.struct("family", "name", "centre", "radius"))
+    pooled = (shared.join(wide, ["family", "name"]).where(F.abs(F.col("class") - F.col("centre")) <= F.col("radius"))
+              .withColumn("group", group).groupBy("group", "measure", "bin").agg(F.sum("n").alias("n")))
+    limits = limits_of(pooled, least=1)
+    return chosen.withColumn("of", group).join(limits, "of").select(*unit, *[c for c in limits.columns if c != "of"])
+
+
+def bands(marked: DataFrame) -> DataFrame:
+    """(of, low and high of each measure) per group of LEAST_TEXTS texts or more, from counts over bins."""
+    return limits_of(binned(marked, "group"))
+
+
+def limits_of(counts: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
+    """The bands of the groups with ``least`` texts or more, from (group, measure, bin, n)."""
     # A window holds the bins of one group and measure, never its texts.
     of = Window.partitionBy("group", "measure")
     counted = counts.withColumn("total", F.sum("n").over(of)).withColumn("seen", F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    quantiles = (counted.where(F.col("total") >= LEAST_TEXTS).groupBy("group", "measure")
+    quantiles = (counted.where(F.col("total") >= least).groupBy("group", "measure")
                  .agg(*[F.min(F.when(F.col("seen") >= F.ceil(F.col("total") * p), F.col("bin"))).alias(q) for q, p in QUARTILES.items()]))
     sides = []
-    for m, ((a, b), least) in MEASURES.items():
+    for m, ((a, b), floor) in MEASURES.items():
         width = (b - a) / BINS
-        half = F.greatest((F.col("q3") - F.col("q1")) * width, F.lit(least)) * WIDTH
+        half = F.greatest((F.col("q3") - F.col("q1")) * width, F.lit(floor)) * WIDTH
         middle = a + (F.col("q2") + 0.5) * width
         sides += [F.max(F.when(F.col("measure") == m, x)).alias(f"{side}_{m}") for side, x in (("low", middle - half), ("high", middle + half))]
     return quantiles.groupBy(F.col("group").alias("of")).agg(*sides)

@@ -180,6 +180,22 @@ def test_quality_bands_reject_what_is_far_from_its_language(spark):
     assert all(got[i][1] for i in range(200)) and not any(got[900 + i][1] for i in range(3))
 
 
+def test_quality_bands_reach_sparse_groups(spark):
+    """Odd texts of a length, a language or a script of their own, and in a table of a few texts."""
+    def odd(i: int, n: int) -> str:
+        r = random.Random(i)
+        return " ".join("".join(chr(r.randrange(0x9F00, 0x9FA0)) for _ in range(3)) for _ in range(n))
+
+    plain = [(i, prose(i, 100), "en", "a", 0) for i in range(200)]
+    few = [(300 + i, prose(300 + i, 100), "de", "a", 0) for i in range(20)] + [(330, prose(330, 260), "en", "a", 0)]
+    strange = [(900, odd(1, 200), "en", "a", 0), (901, odd(2, 60), "de", "a", 0), (902, odd(3, 60), "xx", "a", 0), (903, odd(4, 60), None, "a", 0)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in op3_fertility.quality(spark.createDataFrame(plain + few + strange, SCHEMA)).collect()}
+    assert not any(base for base, _ in got.values())
+    assert all(got[r[0]][1] for r in plain + few) and not any(got[i][1] for i in (900, 901, 902, 903))
+    small = op3_fertility.quality(spark.createDataFrame(plain[:12] + strange[1:2], SCHEMA)).collect()
+    assert {r.doc_id for r in small if not r.kept} == {901}
+
+
 def test_quality_bands_against_sorted_values(spark):
     r = random.Random(3)
     texts = [(g, False, r.gauss(4, 1), r.random() / 9, r.random()) for g, n in (("en 6", 137), ("de 6", 50), ("fr 6", 49)) for _ in range(n)]
