@@ -4,9 +4,10 @@ Words are compared in lower case with punctuation as white space. Of the ``GRAM`
 hashes of a text, winnowing keeps the least of every ``WINNOW`` in a row, so two texts that
 share ``GRAM + WINNOW - 1`` words in a row share a fingerprint. The templates' fingerprints form an
 inverted index (hash to template and place), as large as the template set, and go to every task.
-A document's fingerprints found in it vote for a template and a diagonal; each group of
-votes within ``BAND`` diagonals is aligned once: the template against that stretch of the document, in a
-band of ``BAND`` words to either side, with free ends. Coverage is the share of template words
+A document's fingerprints found in it vote for a template and a diagonal. Of the voted diagonals, each that lies
+more than ``BAND / 2`` past the last centre is the next one, so every vote is well inside a band. The template is aligned with the
+stretch of the document in a band of ``BAND`` words to either side of the centre, with free ends; after a
+hit, what is left of the stretch is aligned again until nothing reaches the least coverage. Coverage is the share of template words
 matched in order; spans are code points of the document, from the first matched word to the last.
 
 A result row is a document and license with coverage of ``LEAST_COVERAGE`` or more: the best
@@ -145,15 +146,24 @@ def occurrences(ix: Index, gram: np.ndarray, place: np.ndarray, words: np.ndarra
     """(template, coverage, first word, last word) of a text's aligned occurrences."""
     of, diagonal = ix.votes(gram, place)
     for t in np.unique(of).tolist():
-        d = np.unique(diagonal[of == t])
-        group = np.split(d, np.flatnonzero(np.diff(d) > BAND) + 1)
-        end = -1
-        for g in group:
-            for centre in g[::BAND]:  # a long run of diagonals is covered band by band
-                matched, first, last = align(ix.words[t], words, int(centre))
-                if matched >= least * len(ix.words[t]) and first > end:
-                    end = last
-                    yield t, matched / len(ix.words[t]), first, last
+        m, taken, last = len(ix.words[t]), [], None
+        for centre in np.unique(diagonal[of == t]).tolist():
+            if last is not None and centre - last <= BAND // 2:
+                continue  # well inside the band of the last centre
+            last = centre
+            left = [(max(0, centre - BAND), min(len(words), centre + m + BAND))]
+            for _, i, j in taken:
+                left = [part for a, b in left for part in ((a, min(b, i)), (max(a, j + 1), b)) if part[0] < part[1]]
+            while left:  # what a found occurrence leaves of the band is aligned again
+                a, b = left.pop()
+                if b - a < least * m:
+                    continue
+                matched, i, j = align(ix.words[t], words[a:b], centre - a)
+                if matched and matched >= least * m:
+                    taken.append((matched / m, a + i, a + j))
+                    left += [(a, a + i), (a + j + 1, b)]
+        for coverage, i, j in sorted(taken, key=lambda x: x[1]):
+            yield t, coverage, i, j
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:

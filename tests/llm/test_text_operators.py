@@ -255,6 +255,20 @@ def test_licenses(spark):
     assert 0.9 < r.coverage < 1 and texts[1][r.spans[0].start:r.spans[0].end] == cut.rstrip(".") and r.n_spans == 1 and n > 50
 
 
+def test_licenses_in_a_list_and_after_partial_mentions(spark):
+    t = op2_license_scan.TEMPLATES
+    listed = " ".join(f"file{i} {t['MIT']}" for i in range(10))
+    close = " ".join([t["MIT"]] * 7)
+    notice = t["MPL-2.0"].split()
+    scraps = " ".join([*notice[:5], "x", *notice[:5], *notice])  # votes at diagonals 0, 6 and 11
+    docs = spark.createDataFrame(list(enumerate([listed, close, scraps])), "doc_id long, text string")
+    got = {(r.doc_id, r.license): r for r in op2_license_scan.scan(docs).collect()}
+    assert [listed[s.start:s.end] for s in got[0, "MIT"].spans] == [t["MIT"]] * 10
+    assert [close[s.start:s.end] for s in got[1, "MIT"].spans] == [t["MIT"]] * 7
+    assert got[2, "MPL-2.0"].n_spans == 1 and got[2, "MPL-2.0"].coverage == 1
+    assert scraps[got[2, "MPL-2.0"].spans[0].start:] == t["MPL-2.0"]
+
+
 def test_bpe_equals_the_library_and_decodes(docs):
     lib = Tokenizer.from_file(public_tokenizers.path(op4_bpe.FILE))
     got = op4_bpe.decode(op4_bpe.encode(docs)).collect()
