@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 from framefold.llm.scratch import stored, table
 
 SPAN = 10
-#: A table of fingerprints or windows with at most so many rows (under 64 MB) is broadcast, a larger one joined by key in SALTS parts.
+#: A table of fingerprints or windows with at most so many rows (about 64 MB) is broadcast, a larger one joined by key in SALTS parts.
 BROADCAST_ROWS = 1 << 19
 SALTS = 16
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -97,18 +96,23 @@ def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     lengths = sorted(r["span"] for r in windows.select("span").distinct().collect())  # at most ``span`` numbers
     given = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body"),
                         F.xxhash64(doc_id, text).alias("ka"), F.xxhash64(F.lit(13), text, doc_id).alias("kb"))
-    counted = given.select("doc", "ka", "kb", F.coalesce(F.regexp_count("body", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
 
     def all_runs(of: Column) -> Column:
         return F.concat(*[runs(of, n) for n in lengths or [span]])
 
     prints = stored(windows.select("span", F.explode(all_runs(F.split("window", " "))).alias("r"))
                     .where("span = r.span").select("r.fp", "r.span").distinct(), "prints")
-    marked = given.select("ka", "kb", F.explode(let(words(F.col("body")), all_runs)).alias("r")).select("ka", "kb", "r.*")
-    near = _joined(marked, prints, prints.count(), ["fp", "span"], F.col("ka"), "left_semi")
-    near = near.groupBy("ka", "kb").agg(F.collect_set(F.struct("span", "first", "last")).alias("near"))
+    # One pass over the texts: the runs that meet a fingerprint, and a mark of span 0 per document that carries its words.
+    mark = lambda w: F.struct(F.col("ka").alias("fp"), F.lit(0).alias("span"), F.lit(0).alias("first"), F.size(w).alias("last"))
+    marked = given.select("doc", "ka", "kb", F.explode(let(words(F.col("body")), lambda w: F.concat(F.array(mark(w)), all_runs(w)))).alias("r"))
+    met = _joined(marked.select("doc", "ka", "kb", "r.*"), prints.withColumn("met", F.lit(True)), prints.count(), ["fp", "span"], F.col("kb"), "left")
+    seen = stored(met.where("met OR span = 0").select("doc", "ka", "kb", "span", "first", "last"), "seen")
+    counted = seen.where("span = 0").select("doc", "ka", "kb", F.col("last").cast("long").alias("n_words"))
+    near = stored(seen.where("span > 0").groupBy("ka", "kb").agg(F.collect_set(F.struct("span", "first", "last")).alias("near")), "near")
+    n_near = near.count()
+    texts = given.join(F.broadcast(near.select("ka", "kb")), ["ka", "kb"], "left_semi") if n_near <= BROADCAST_ROWS else given
     starts = F.flatten(F.transform("near", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda s: F.struct(r["span"].alias("span"), s.alias("start")))))
-    tried = given.join(near, ["ka", "kb"]).select("ka", "kb", F.explode(let(words(F.col("body")), lambda w: F.transform(starts, lambda s: F.struct(
+    tried = texts.join(near, ["ka", "kb"]).select("ka", "kb", F.explode(let(words(F.col("body")), lambda w: F.transform(starts, lambda s: F.struct(
         s["span"].alias("span"), s["start"].alias("start"), F.array_join(F.slice(w, s["start"] + 1, s["span"]), " ").alias("window"))))).alias("s"))
     hits = _joined(tried.select("ka", "kb", "s.*"), windows.select("window", "span", "item_set"), n_windows, ["window", "span"], F.col("ka"), "inner")
 
@@ -131,8 +135,10 @@ def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` against all of ``benchmark``: hit words and a digest of the items found."""
     found, sets = shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    listed = sets.select("item_set", F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
-    return found.join(listed, "item_set", "left").select(
+    listed = stored(sets.select("item_set", F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha")), "listed")
+    # Documents without a set are spread by a key of their own.
+    spread = found.withColumn("item_set", F.coalesce("item_set", F.concat(F.lit("-"), F.col("doc_id").cast("string")), F.lit("-")))
+    return _joined(spread, listed, listed.count(), ["item_set"], F.xxhash64("doc_id"), "left").select(
         "doc_id", "n_words", "n_hit", F.coalesce("n", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
