@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import checkpoint_root
+from . import coverage as CV
 
 # ---- fixed values: check names ------------------------------------------------------
 Q1_DUPLICATE_VIDEO_ID = "duplicate_video_id"
@@ -31,18 +33,11 @@ def duplicate_video_ids(videos: DataFrame) -> DataFrame:
     return videos.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def duplicate_path_frames(raw: DataFrame) -> DataFrame:
-    """Q2: (media_path, frame) rows listed more than once (overlapping exports
-    inflate frame_count). Map-side partial aggregation keeps a hot path cheap."""
-    ok = raw.filter(C.is_ok_frame())
-    return ok.groupBy("media_path", "frame").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
-def frame_count_mismatch(profile: DataFrame) -> DataFrame:
-    """Q5: videos whose frame_count is not max(frame)+1: a valid-looking index
-    may then not decode (gaps), or rows were duplicated."""
-    kept = profile.filter((F.col("n_frames") > 0) & ~C.is_skipped())
-    return kept.filter(F.col("n_frames") != F.col("max_frame") + 1)
+def frame_count_mismatch(coverage: DataFrame) -> DataFrame:
+    """Q5: videos whose rows or distinct frames are not exactly 0 .. max(frame): a valid-looking index may then
+    not decode. A gap stays visible where a duplicate row makes up for it in the row count."""
+    expected = F.col("last_frame") + 1
+    return coverage.filter((F.col("n_rows") != expected) | (F.col("n_distinct") != expected))
 
 
 def videos_without_frames(videos: DataFrame, frames: DataFrame) -> DataFrame:
@@ -53,23 +48,26 @@ def videos_without_frames(videos: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def per_video_checks(profile: DataFrame) -> DataFrame:
-    """Q3, Q5 and unparseable paths in one pass over the (video-volume) profile."""
+    """Q3 and unparseable paths in one pass over the (video-volume) profile."""
     vids = C.with_cruise_camera(profile.filter((F.col("n_frames") > 0) & ~C.is_skipped()))
     counts = vids.agg(
         F.count_if(C.parse_utc("media_time").isNull()).alias(Q3_NULL_MEDIA_TIME),
-        F.count_if(F.col("n_frames") != F.col("max_frame") + 1).alias(Q5_FRAME_COUNT_MISMATCH),
         F.count_if(F.col("cruise").isNull()).alias(Q6_UNPARSEABLE_PATH),
     )
-    names = [Q3_NULL_MEDIA_TIME, Q5_FRAME_COUNT_MISMATCH, Q6_UNPARSEABLE_PATH]
+    names = [Q3_NULL_MEDIA_TIME, Q6_UNPARSEABLE_PATH]
     return counts.unpivot([], names, "check", "n_items").select(
         "check", F.col("n_items").cast("bigint").alias("n_items"))
 
 
 def quality_report(raw: DataFrame, profile: DataFrame, videos: DataFrame,
                    frames: DataFrame | None = None) -> DataFrame:
+    checkpoint_root(raw.sparkSession)
+    words = CV.frame_words(raw).checkpoint(eager=True)
     parts = [
         _one(Q1_DUPLICATE_VIDEO_ID, duplicate_video_ids(videos).agg(F.count(F.lit(1)).alias("n"))),
-        _one(Q2_DUPLICATE_PATH_FRAME, duplicate_path_frames(raw).agg(F.count(F.lit(1)).alias("n"))),
+        # Q2: (media_path, frame) rows listed more than once (overlapping exports inflate frame_count).
+        _one(Q2_DUPLICATE_PATH_FRAME, CV.frames_listed_again(words, raw)),
+        _one(Q5_FRAME_COUNT_MISMATCH, frame_count_mismatch(CV.frame_coverage(words)).agg(F.count(F.lit(1)).alias("n"))),
         per_video_checks(profile),
     ]
     if frames is not None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..operators import coverage as CV
 from ..operators import frames as FR
 from ..operators import profile as PR
 from ..operators import quality as QU
@@ -256,6 +257,15 @@ def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QU.quality_report(raw, profile, PR.videos_from_profile(profile), store.read_frames())
 
 
+def q_frame_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every missing range of the long videos."""
+    return CV.missing_ranges(CV.frame_words(CO.reels(CO.frames_raw(spark, sf_dir))))
+
+
+def q_frame_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CV.frame_coverage(CV.frame_words(CO.frames_raw(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "ok_frames": q_ok_frames,
     "path_parts": q_path_parts,
@@ -284,6 +294,8 @@ QUERIES: dict[str, Query] = {
     "neighbors": q_neighbors,
     "cache_miss_plan": q_cache_miss_plan,
     "quality_report": q_quality_report,
+    "frame_gaps": q_frame_gaps,
+    "frame_coverage": q_frame_coverage,
     "scan_header_variants": q_scan_header_variants,
     "frames_one_cruise": q_frames_one_cruise,
     "dry_run_skip": q_dry_run_skip,
@@ -445,13 +457,23 @@ UNION ALL SELECT 'duplicate_path_frame',
        (SELECT count(*) FROM (SELECT media_path, frame FROM ok GROUP BY ALL HAVING count(*) > 1))
 UNION ALL SELECT 'null_media_time', (SELECT count(*) FROM videos WHERE media_time IS NULL)
 UNION ALL SELECT 'frame_count_mismatch',
-       (SELECT count(*) FROM (SELECT media_path FROM ok GROUP BY media_path HAVING count(*) <> max(frame) + 1))
+       (SELECT count(*) FROM (SELECT media_path FROM ok GROUP BY media_path HAVING count(*) <> max(frame) + 1
+          OR count(DISTINCT frame) FILTER (WHERE frame >= 0) <> max(frame) + 1))
 UNION ALL SELECT 'unparseable_path', (SELECT count(*) FROM videos WHERE cruise IS NULL)
 UNION ALL SELECT 'video_without_frames',
        (SELECT count(*) FROM videos v WHERE NOT EXISTS (SELECT 1 FROM stored WHERE stored.media = v.video_id))""",
 })
 
 ORACLE.update({
+    "frame_gaps": _with(_CTE_RAW, f"reels AS ({CO.REELS_SQL})",
+                        "listed AS (SELECT DISTINCT media_path, frame FROM reels WHERE frame >= 0 AND NOT contains(media_path, '/skip/'))",
+                        "placed AS (SELECT *, lag(frame, 1, -1) OVER (PARTITION BY media_path ORDER BY frame) AS before FROM listed)") + """
+SELECT media_path, before + 1 AS first_missing, frame - 1 AS last_missing, frame - before - 1 AS n_missing
+FROM placed WHERE frame > before + 1""",
+    "frame_coverage": _with(_CTE_RAW, _CTE_OK) + """
+SELECT media_path, count(*) AS n_rows, count(DISTINCT frame) AS n_distinct, max(frame) AS last_frame,
+       max(frame) + 1 - count(DISTINCT frame) AS n_missing, count(*) - count(DISTINCT frame) AS n_duplicate
+FROM ok GROUP BY media_path""",
     "scan_header_variants": ORACLE["scan_frames_csv"],
     "frames_one_cruise": ORACLE["frames_store"] + f" WHERE {_CRUISE_SQL} = 'CRUISE_07'",
     "frames_ingested": ORACLE["frames_store"],

@@ -30,6 +30,7 @@ SAME_ID_EVERY = 41       # okey % 41 = 0 -> the id of the video okey + 1
 NO_TIME_EVERY = 43       # okey % 43 = 0 -> an unreadable media time
 SHORT_PATH_EVERY = 59    # okey % 59 = 0 -> a path without cruise and camera
 UNSTORED_EVERY = 61      # okey % 61 = 0 -> no frames in the store
+REEL_STEP = 8            # frame numbers of a reel between orders
 # Seeded "already stored" partitions for the store queries.
 SEEDED_CAMERAS = ("Cam1", "Cam2")
 SEEDED_CRUISE_BELOW = "CRUISE_10"
@@ -115,6 +116,12 @@ def faulty(raw: DataFrame) -> DataFrame:
     })
 
 
+def reels(raw: DataFrame) -> DataFrame:
+    """The corpus with one long video per cruise and camera: frame numbers are order * REEL_STEP + line, with many gaps."""
+    folder = F.array_join(F.slice(F.split("media_path", "/"), 1, 5), "/")
+    return raw.withColumns({"media_path": F.concat(folder, F.lit("/reels/reel.avi")), "frame": order_key() * REEL_STEP + F.col("frame")})
+
+
 def seeded_partition(cruise: str | Column = "cruise", camera: str | Column = "camera") -> Column:
     """Predicate for the partitions the store queries pre-seed as already stored."""
     c = F.col(cruise) if isinstance(cruise, str) else cruise
@@ -159,4 +166,10 @@ SELECT CASE WHEN okey % 59 = 0 THEN concat('loose/', media, '.avi') ELSE media_p
 FROM (SELECT *, CAST(substr(media, 5) AS BIGINT) AS okey FROM clean_raw) y
 """
 
+REELS_SQL = """
+SELECT array_to_string(string_split(media_path, '/')[1:5], '/') || '/reels/reel.avi' AS media_path,
+       CAST(substr(media, 5) AS BIGINT) * 8 + frame AS frame
+FROM frames_raw
+"""
+
 SEEDED_SQL = "camera IN ('Cam1', 'Cam2') AND cruise < 'CRUISE_10'"
