@@ -7,6 +7,7 @@ compare with DuckDB's naive TIMESTAMP regardless of the session time zone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,6 +206,46 @@ def q_retry_after_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(store.read_frames())
 
 
+STOP_AFTER_RENAMES = 40
+
+
+def _whole_store(store: ManifestStore) -> DataFrame:
+    """Every stored video with the frames that are stored of it."""
+    frames = store.read_frames().groupBy("cruise", "video_id").agg(F.count(F.lit(1)).alias("n_stored_frames"))
+    return comparable(store.read_videos().join(frames, ["cruise", "video_id"], "full"))
+
+
+def q_retry_inside_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that stopped between two renames of its commit, then the same ingest again."""
+    class Stopped(RuntimeError):
+        pass
+
+    moved: list[str] = []
+
+    def stop(source: str, target: str) -> None:
+        if len(moved) == STOP_AFTER_RENAMES:
+            raise Stopped
+        moved.append(target)
+
+    raw = CO.frames_raw(spark, sf_dir)
+    store = ManifestStore(spark, scratch_path(spark, "inside"))
+    try:
+        IN.ingest_rows(spark, raw, store.root, frames=True, on_move=stop)
+    except Stopped:
+        IN.ingest_rows(spark, raw, store.root, frames=True, skip_existing=True)
+    return _whole_store(store)
+
+
+def q_concurrent_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ingests of the whole corpus into one store at the same time."""
+    store = ManifestStore(spark, scratch_path(spark, "twice"))
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(IN.ingest_rows, spark, CO.frames_raw(spark, sf_dir), store.root, frames=True, skip_existing=True) for _ in range(2)]
+        for run in runs:
+            run.result()
+    return _whole_store(store)
+
+
 def q_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, raw = _seeded_store(spark, sf_dir, "ingest")
     return IN.ingest_rows(spark, raw, store.root, frames=True, skip_existing=True).summary
@@ -302,6 +343,8 @@ QUERIES: dict[str, Query] = {
     "dry_run_summary": q_dry_run_summary,
     "retry_after_crash": q_retry_after_crash,
     "frames_ingested": q_frames_ingested,
+    "retry_inside_commit": q_retry_inside_commit,
+    "concurrent_ingest": q_concurrent_ingest,
 }
 
 
@@ -464,7 +507,13 @@ UNION ALL SELECT 'video_without_frames',
        (SELECT count(*) FROM videos v WHERE NOT EXISTS (SELECT 1 FROM stored WHERE stored.media = v.video_id))""",
 })
 
+_WHOLE_STORE = _with(_CTE_RAW, _CTE_OK, _CTE_VIDEOS, _CTE_OKK) + """
+SELECT v.*, n_stored_frames FROM videos v
+JOIN (SELECT cruise, media, count(*) AS n_stored_frames FROM okk GROUP BY ALL) f ON f.cruise = v.cruise AND f.media = v.video_id"""
+
 ORACLE.update({
+    "retry_inside_commit": _WHOLE_STORE,
+    "concurrent_ingest": _WHOLE_STORE,
     "frame_gaps": _with(_CTE_RAW, f"reels AS ({CO.REELS_SQL})",
                         "listed AS (SELECT DISTINCT media_path, frame FROM reels WHERE frame >= 0 AND NOT contains(media_path, '/skip/'))",
                         "placed AS (SELECT *, lag(frame, 1, -1) OVER (PARTITION BY media_path ORDER BY frame) AS before FROM listed)") + """

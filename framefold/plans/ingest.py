@@ -8,17 +8,21 @@ Shape of one run (compare: the reference makes 3 full CSV passes plus one per cr
   scan 2  (only with ``frames=True``) typed CSV rows -> frames for the write set ->
           one rebalance exchange -> every cruise appended in one job
 
-Idempotence without a transaction log: the partition plan gates the run
-(refuse, or skip what exists); ``frames`` is written first and ``videos`` last,
-so ``videos`` is the commit marker. Stored frames whose (cruise, video_id) has no row
-in ``videos`` are left from a crash between the two writes: a retry leaves out exactly the
-(cruise, video_id, frame_index) that they hold. Frames of stored videos never stand in
-the way of a new video that happens to have the same id.
+The partition plan gates the run (refuse, or skip what exists). Writes are runs
+(``sources.runs``): partitions are claimed, both tables staged, then moved in, ``frames`` first and
+``videos`` last, each new (cruise, camera) with one rename. An ingest begins by finishing or undoing the runs
+that died before it, so a retry finds every partition whole or absent, and reads no stored frame.
+Only files that no run wrote (frames appended directly) are looked into: frames in them whose (cruise, video_id) has no
+row in ``videos`` are left out exactly, by (cruise, video_id, frame_index). Frames of stored videos never stand
+in the way of a new video that happens to have the same id.
 """
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ from ..operators import frames as FR
 from ..operators import profile as PR
 from ..schemas import VIDEO_PARTITIONS
 from ..session import checkpoint_root
+from ..sources import runs as RN
 from ..sources.csv_scan import read_frames_csv
 from ..sources.store import ManifestStore
 
@@ -39,6 +44,8 @@ KEYS = VIDEO_PARTITIONS
 STATUS_NEW = "new"
 STATUS_SKIPPED = "EXISTS — would be skipped"
 STATUS_REJECTED = "EXISTS — would be rejected"
+# (ours) another run has claimed or stored the partition since it was planned
+STATUS_TAKEN = "TAKEN — by another run"
 # ---------------------------------------------------------------------------------
 
 SUMMARY = T.StructType([
@@ -68,6 +75,8 @@ class PartitionConflictError(RuntimeError):
 class IngestReport:
     summary: DataFrame          # one row, SUMMARY schema
     plan: DataFrame             # one row per partition: cruise, camera, videos, stored, status
+    seconds: dict[str, float] = field(default_factory=dict)     # per phase
+    recovered: dict[str, str] = field(default_factory=dict)     # runs that had died -> published, rolled back
 
 
 # ---------------------------------------------------------------- relational pieces
@@ -104,12 +113,11 @@ def frames_to_write(frames_keyed: DataFrame, write_parts: DataFrame) -> DataFram
     return frames_keyed.join(write_parts.select(*KEYS), KEYS, "left_semi")
 
 
-def leftover_frames(store: ManifestStore, write_parts: DataFrame) -> DataFrame:
-    """(cruise, video_id, frame_index) stored in the cruises being written without a row in ``videos``."""
-    stored = (store.read_frames().select("cruise", "video_id", "frame_index")
-              .join(write_parts.select("cruise").distinct(), "cruise", "left_semi"))
+def leftover_frames(unaccounted: DataFrame, videos: DataFrame) -> DataFrame:
+    """(cruise, video_id, frame_index) in files that no run wrote, without a row in ``videos``."""
+    stored = unaccounted.select("cruise", "video_id", "frame_index")
     orphans = stored.select("cruise", "video_id").distinct().join(
-        store.read_videos().select("cruise", "video_id").distinct(), ["cruise", "video_id"], "left_anti")
+        videos.select("cruise", "video_id").distinct(), ["cruise", "video_id"], "left_anti")
     return stored.join(orphans, ["cruise", "video_id"], "left_semi").distinct()
 
 
@@ -119,66 +127,109 @@ def _observed_rows(obs: Observation) -> int:
     return int(obs.get["n"])
 
 
+@contextmanager
+def _phase(seconds: dict[str, float], name: str) -> Iterator[None]:
+    started = time.perf_counter()
+    try:
+        yield
+    finally:
+        seconds[name] = round(seconds.get(name, 0.0) + time.perf_counter() - started, 3)
+        log.info("%s: %.1f s", name, seconds[name])
+
+
+def _pairs(df: DataFrame) -> list[RN.Partition]:
+    """A list of partitions: names of folders, a few bytes for each."""
+    return [(r["cruise"], r["camera"]) for r in df.select(*KEYS).toLocalIterator()]
+
+
 def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bool = False,
                 skip_existing: bool = False, dry_run: bool = False,
-                raw_frames: DataFrame | None = None) -> IngestReport:
+                raw_frames: DataFrame | None = None, claim_seconds: float = RN.CLAIM_SECONDS,
+                on_move: RN.OnMove | None = None) -> IngestReport:
     """Ingest typed per-frame rows (``schemas.TYPED_FRAMES``) into the store.
 
     ``raw_frames`` is the second scan for the frames table (defaults to ``raw``
     itself, i.e. Spark re-reads the source). Raises ``PartitionConflictError``
-    on a conflict without ``skip_existing``; its ``plan`` lists every conflict. A dry run
-    writes nothing; its summary counts the partitions and videos that a run would write.
+    on a conflict without ``skip_existing``; its ``plan`` lists every conflict, those with a run that
+    is writing now included. A dry run writes nothing, and recovers nothing; its summary counts the partitions and
+    videos that a run would write. ``on_move`` is told (source, target) before each rename of the commit.
     """
     checkpoint_root(spark)
-    profile = PR.media_profile(raw).checkpoint(eager=True)
-    totals = PR.scan_summary(profile).first()
+    seconds: dict[str, float] = {}
+    store = ManifestStore(spark, store_root)
+    recovered = {}
+    if not dry_run:
+        with _phase(seconds, "recover"):
+            recovered = RN.recover(store.files)
+
+    with _phase(seconds, "profile"):
+        profile = PR.media_profile(raw).checkpoint(eager=True)
+        totals = PR.scan_summary(profile).first()
 
     vids = PR.videos_from_profile(profile, strict_paths=True)
-    store = ManifestStore(spark, store_root)
-    existing = store.existing_partitions()
-    plan = partition_plan(vids, existing, skip_existing).checkpoint(eager=True)
-    counts = plan.agg(F.count(F.lit(1)).alias("n"), F.count_if("stored").alias("c")).first()
+    with _phase(seconds, "plan"):
+        plan = partition_plan(vids, store.existing_partitions(), skip_existing).checkpoint(eager=True)
+        counts = plan.agg(F.count(F.lit(1)).alias("n"), F.count_if("stored").alias("c")).first()
     n_parts, n_conflicts = int(counts.n), int(counts.c)
 
-    def summary(status: str, written_parts: int, videos_n: int, frames_n: int) -> DataFrame:
+    def report(status: str, written_parts: int, videos_n: int, frames_n: int) -> IngestReport:
         row = (status, n_parts, written_parts, n_conflicts if skip_existing else 0, videos_n, frames_n,
                int(totals.bad_file), int(totals.skipped), int(totals.id_link_nonempty))
-        return spark.createDataFrame([row], SUMMARY)
+        return IngestReport(spark.createDataFrame([row], SUMMARY), plan, seconds, recovered)
 
     if dry_run:
         fresh = plan.filter(~F.col("stored")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("videos"), F.lit(0)).alias("v")).first()
-        return IngestReport(summary("dry_run", int(fresh.n), int(fresh.v), 0), plan)
+        return report("dry_run", int(fresh.n), int(fresh.v), 0)
 
     if n_conflicts and not skip_existing:
         raise PartitionConflictError(n_conflicts, plan)
 
     if n_parts - n_conflicts == 0:
         log.info("nothing new to write — all %d partition(s) already exist", n_parts)
-        return IngestReport(summary("nothing_new", 0, 0, 0), plan)
-
-    write_parts = plan.filter(~F.col("stored")).select(*KEYS)
-    vids_out = videos_to_write(vids, write_parts) if n_conflicts else vids
-
-    frames_n = 0
-    if frames:
-        keyed = FR.frames_with_keys(raw_frames if raw_frames is not None else raw)
-        if n_conflicts:
-            keyed = frames_to_write(keyed, write_parts)
-        # Retry guard, evaluated once. Normally empty, and then no frame row is joined.
-        left = leftover_frames(store, write_parts).checkpoint(eager=True)
-        if not left.isEmpty():
-            keyed = keyed.join(left, ["cruise", "video_id", "frame_index"], "left_anti")
-        if not left.isEmpty() and keyed.isEmpty():
-            log.info("all frames are already stored")
-        else:
-            obs_f = Observation("frames_written")
-            store.append_frames(keyed, obs_f)
-            frames_n = _observed_rows(obs_f)
-
-    obs_v = Observation("videos_written")
-    store.append_videos(vids_out, obs_v)
-    videos_n = _observed_rows(obs_v)
-    return IngestReport(summary("written", n_parts - n_conflicts, videos_n, frames_n), plan)
+        return report("nothing_new", 0, 0, 0)
+
+    with store.begin(claim_seconds) as run:
+        with _phase(seconds, "claim"):
+            wanted = _pairs(plan.filter(~F.col("stored")))
+            taken = set(run.claim(wanted))
+            # What another run stored between the plan and the claim shows now; nobody can add to it any more.
+            taken |= set(wanted) & store.partition_folders()
+        if taken:
+            lost = spark.createDataFrame(sorted(taken), "cruise string, camera string").withColumn("_taken", F.lit(True))
+            plan = plan.join(lost, KEYS, "left").select(
+                *KEYS, "videos", (F.col("stored") | F.coalesce("_taken", F.lit(False))).alias("stored"),
+                F.when(F.col("_taken"), F.lit(STATUS_TAKEN)).otherwise(F.col("status")).alias("status")).checkpoint(eager=True)
+            n_conflicts += len(taken)
+            if not skip_existing:
+                raise PartitionConflictError(n_conflicts, plan)
+            if n_parts - n_conflicts == 0:
+                return report("nothing_new", 0, 0, 0)
+
+        write_parts = plan.filter(~F.col("stored")).select(*KEYS)
+        vids_out = videos_to_write(vids, write_parts) if n_conflicts else vids
+
+        frames_n = 0
+        if frames:
+            with _phase(seconds, "frames"):
+                keyed = FR.frames_with_keys(raw_frames if raw_frames is not None else raw)
+                if n_conflicts:
+                    keyed = frames_to_write(keyed, write_parts)
+                foreign = store.unaccounted_frames({c for c, _ in wanted})
+                if foreign is not None:
+                    left = leftover_frames(foreign, store.read_videos()).checkpoint(eager=True)
+                    if not left.isEmpty():
+                        keyed = keyed.join(left, ["cruise", "video_id", "frame_index"], "left_anti")
+                obs_f = Observation("frames_written")
+                run.stage("frames", keyed, obs_f)
+                frames_n = _observed_rows(obs_f)
+
+        with _phase(seconds, "videos"):
+            obs_v = Observation("videos_written")
+            run.stage("videos", vids_out, obs_v)
+            videos_n = _observed_rows(obs_v)
+        with _phase(seconds, "commit"):
+            run.commit(on_move)
+    return report("written", n_parts - n_conflicts, videos_n, frames_n)
 
 
 def ingest(spark: SparkSession, csv_globs: list[str], store_root: str, exclude: list[str] | tuple = (),

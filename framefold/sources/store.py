@@ -3,14 +3,19 @@
 
 Append-only. No DDL is needed: a missing table reads as an empty DataFrame with
 the fixed schema, and the first append creates it. Reads always pass the fixed
-schema, so partition values such as ``0042`` stay strings.
+schema, so partition values such as ``0042`` stay strings. ``videos`` is written in runs
+(``runs.Run``): staged, then moved in with one rename per new partition.
 """
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FRAME_PARTITIONS, FRAMES, VIDEO_COLUMNS, VIDEO_PARTITIONS, VIDEOS
+from . import runs as RN
+from .files import StoreFiles
 
 # Rows per Parquet file upper bound: keeps a split hot partition in right-sized files.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -25,6 +30,7 @@ class ManifestStore:
         self.root = root.rstrip("/")
         self.videos_path = f"{self.root}/videos"
         self.frames_path = f"{self.root}/frames"
+        self.files = StoreFiles(spark, self.root)
 
     # ------------------------------------------------------------ metadata
     def _exists(self, path: str) -> bool:
@@ -59,32 +65,62 @@ class ManifestStore:
         """Distinct stored (cruise, camera); reads partition values only (ReadSchema: struct<>)."""
         return self.read_videos().select(*VIDEO_PARTITIONS).distinct()
 
-    # ------------------------------------------------------------ appends
-    def append_videos(self, videos: DataFrame, observation: Observation | None = None) -> None:
-        """Append rows; rebalanced on the partition keys so each (cruise, camera)
-        lands in few files while a hot partition is split across tasks.
-
-        ``observation`` (metric ``n``) counts the rows written; it is attached after
-        the shuffle, in the write's result stage, where a re-run map stage cannot
-        count rows twice."""
-        laid = (checked_keys(videos.select(*VIDEO_COLUMNS), VIDEO_PARTITIONS)
-                .hint("rebalance", *VIDEO_PARTITIONS)
-                .sortWithinPartitions(*VIDEO_PARTITIONS, "video_id"))
+    def partition_folders(self) -> set[RN.Partition]:
+        """Stored (cruise, camera) from the folder names: no job, and current, as a partition appears with one rename."""
+        pairs = (f.split("/")[1:] for f in self.files.folders("videos", len(VIDEO_PARTITIONS)))
+        return {(RN.partition_value(c), RN.partition_value(k)) for c, k in pairs}
+
+    def unaccounted_frames(self, cruises: Iterable[str]) -> DataFrame | None:
+        """Stored frames of these cruises in files that no run of the ledger wrote; None if there are none.
+
+        Decided from file names alone, so where all files are known nothing is read.
+        """
+        folders = {n: f"frames/{n}" for n in self.files.names("frames") if "=" in n}
+        asked = set(cruises)
+        wanted = [folders[n] for n in sorted(folders) if RN.partition_value(n) in asked]
+        known = RN.known_jobs(self.files)
+        foreign = [f"{self.root}/{folder}/{n}" for folder in wanted for n in self.files.names(folder)
+                   if not n.startswith("_") and not ((m := RN.JOB.match(n)) and m.group(1) in known)]
+        if not foreign:
+            return None
+        return (self.spark.read.schema(FRAMES).option("basePath", self.frames_path)
+                .parquet(*foreign).select(*[f.name for f in FRAMES.fields]))
+
+    # ------------------------------------------------------------ writes
+    def begin(self, claim_seconds: float = RN.CLAIM_SECONDS) -> RN.Run:
+        """A run for ``with``: claims, staged writes, commit."""
+        return RN.Run(self, claim_seconds)
+
+    def write(self, table: str, rows: DataFrame, path: str, observation: Observation | None = None) -> None:
+        """Write rows in the layout of ``table`` below ``path``.
+
+        ``videos`` is rebalanced on the partition keys, so each (cruise, camera) lands in few files while a hot
+        partition is split across tasks; ``frames`` of every cruise in one job, sorted (video_id, frame_index)
+        inside each file. ``observation`` (metric ``n``) counts the rows written; it is attached after
+        the shuffle, in the write's result stage, where a re-run map stage cannot count rows twice."""
+        from ..operators.frames import write_layout
+        if table == "videos":
+            keys = VIDEO_PARTITIONS
+            laid = (checked_keys(rows.select(*VIDEO_COLUMNS), keys).hint("rebalance", *keys)
+                    .sortWithinPartitions(*keys, "video_id"))
+        else:
+            keys = FRAME_PARTITIONS
+            laid = write_layout(checked_keys(rows.select(*[f.name for f in FRAMES.fields]), keys))
         (_observed(laid, observation)
          .write.mode("append")
          .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-         .partitionBy(*VIDEO_PARTITIONS)
-         .parquet(self.videos_path))
+         .partitionBy(*keys)
+         .parquet(path))
+
+    def append_videos(self, videos: DataFrame, observation: Observation | None = None) -> None:
+        """Append rows in a run of their own; a new (cruise, camera) appears whole or not at all."""
+        with self.begin() as run:
+            run.stage("videos", videos, observation)
+            run.commit()
 
     def append_frames(self, frames: DataFrame, observation: Observation | None = None) -> None:
-        """Every cruise in one job; sorted (video_id, frame_index) inside each file."""
-        from ..operators.frames import write_layout
-        rows = checked_keys(frames.select(*[f.name for f in FRAMES.fields]), FRAME_PARTITIONS)
-        (_observed(write_layout(rows), observation)
-         .write.mode("append")
-         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-         .partitionBy(*FRAME_PARTITIONS)
-         .parquet(self.frames_path))
+        """Append rows straight to the table, outside any run (``ingest`` stages them instead)."""
+        self.write("frames", frames, self.frames_path, observation)
 
 
 def _observed(df: DataFrame, observation: Observation | None) -> DataFrame:
