@@ -103,8 +103,7 @@ def test_a_killed_driver_is_recovered_once_its_claims_expire(spark, tmp_path, en
         ingest(spark, [path], root, frames=True)
     report = ingest(spark, [path], root, frames=True, skip_existing=True)
     assert {(r.cruise, r.camera) for r in report.plan.collect() if r.status == STATUS_TAKEN} == {("Q7", "bow")} and not report.recovered
-    dead.claims.seconds = -1
-    dead.claims.renew()
+    store.files.replace(dead.claims.lease, '{"expires": 0}')
     report = ingest(spark, [path], root, skip_existing=True)
     assert report.recovered == {dead.id: end} and stored(spark, root)[0] == CLIPS
 
@@ -153,7 +152,7 @@ def test_what_was_stored_after_the_plan_is_not_written_again(spark, tmp_path, mo
 def test_one_of_many_gets_a_claim(spark, tmp_path):
     files = StoreFiles(spark, str(tmp_path / "s"))
     for seconds, round_ in ((-1, 0), (600, 1)):  # the first round's claim has expired when the second begins
-        holders = [RN.Claims(files, f"h{i}", seconds) for i in range(8)]
+        holders = [RN.Claims(files, f"h{round_}-{i}", seconds) for i in range(8)]
         got, start = [], threading.Barrier(8)
 
         def take(h):
@@ -168,14 +167,14 @@ def test_one_of_many_gets_a_claim(spark, tmp_path):
     (winner,) = got
     assert not RN.Claims(files, "late", 600).take(("partition", "c/ %", "k=1"))
     winner.release()
-    assert RN.Claims(files, "late", -1).take(("partition", "c/ %", "k=1"))
+    assert RN.Claims(files, "later", 1).take(("partition", "c/ %", "k=1"))
 
 
 def test_a_run_that_lost_a_claim_publishes_nothing(spark, tmp_path):
     root = str(tmp_path / "s")
     store = ManifestStore(spark, root)
     rows = videos(read_frames_csv(spark, [exports(tmp_path)]))
-    with store.begin(claim_seconds=-1) as slow:
+    with store.begin(claim_seconds=-0.001) as slow:
         assert slow.claim([("Q7", "bow")]) == []
         slow.stage("videos", rows)
         with store.begin() as other:
@@ -191,7 +190,7 @@ def test_claims_are_renewed_while_a_run_lives(spark, tmp_path):
         run.claim([("Q7", "bow")])
         time.sleep(4)
         assert not RN.Claims(store.files, "other", 1).take(("partition", "Q7", "bow")) and RN.recover(store.files) == {}
-    assert RN.Claims(store.files, "other", -1).take(("partition", "Q7", "bow"))
+    assert RN.Claims(store.files, "later", 1).take(("partition", "Q7", "bow"))
 
 
 def test_an_ingest_beside_known_files_reads_no_stored_frame(spark, tmp_path, monkeypatch):
