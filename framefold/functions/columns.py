@@ -136,14 +136,24 @@ def iso8601_utc(ts: str | Column) -> Column:
 MAX_EXACT_DOUBLE = 2 ** 53
 
 
-def strict_long(text: str | Column, name: str = "frame") -> Column:
+def whole_number(text: str | Column) -> Column:
+    """The number of an integral text, null for empty text and for anything else."""
     t = _col(text)
-    as_long = t.try_cast("bigint")
     as_double = F.trim(t).try_cast("double")
     integral = (as_double.isNotNull() & (as_double == F.floor(as_double))
                 & (F.abs(as_double) < F.lit(MAX_EXACT_DOUBLE)))
-    parsed = F.coalesce(as_long, F.when(integral, as_double.cast("bigint")))
-    return (F.when(t.isNull() | (F.trim(t) == F.lit("")), F.lit(None).cast("bigint"))
+    return F.coalesce(t.try_cast("bigint"), F.when(integral, as_double.cast("bigint")))
+
+
+def is_unset(text: str | Column) -> Column:
+    t = _col(text)
+    return t.isNull() | (F.trim(t) == F.lit(""))
+
+
+def strict_long(text: str | Column, name: str = "frame") -> Column:
+    t = _col(text)
+    parsed = whole_number(t)
+    return (F.when(is_unset(t), F.lit(None).cast("bigint"))
             .when(parsed.isNull(), F.raise_error(F.concat(
                 F.lit(f"invalid integer in column {name}: "), t)))
             .otherwise(parsed))

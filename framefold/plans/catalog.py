@@ -20,7 +20,7 @@ from ..operators import profile as PR
 from ..operators import quality as QU
 from ..operators import requests as RQ
 from ..plans import ingest as IN
-from ..schemas import FRAME_COLUMNS
+from ..schemas import CSV_COLUMNS, FRAME_COLUMNS
 from ..session import scratch_path
 from ..sources import corpus as CO
 from ..sources.csv_scan import read_frames_csv, write_frames_csv
@@ -246,6 +246,18 @@ def q_concurrent_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_store(store)
 
 
+def q_ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports with bad records: what is set aside, by reason, and what is stored."""
+    root = scratch_path(spark, "faulty")
+    (CO.faulty_exports(CO.frames_raw(spark, sf_dir), CSV_COLUMNS).write.option("maxRecordsPerFile", 1).text(f"{root}/exports"))
+    store = ManifestStore(spark, f"{root}/store")
+    IN.ingest(spark, [f"{root}/exports/*.txt"], store.root, frames=True, max_reject_share=0.1)
+    counts = store.read_rejected().groupBy(F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n_rows"))
+    for kind, table in (("stored frames", store.read_frames()), ("stored videos", store.read_videos())):
+        counts = counts.unionByName(table.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(kind).alias("kind"), "n_rows"))
+    return counts
+
+
 def q_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, raw = _seeded_store(spark, sf_dir, "ingest")
     return IN.ingest_rows(spark, raw, store.root, frames=True, skip_existing=True).summary
@@ -343,6 +355,7 @@ QUERIES: dict[str, Query] = {
     "dry_run_summary": q_dry_run_summary,
     "retry_after_crash": q_retry_after_crash,
     "frames_ingested": q_frames_ingested,
+    "ingest_quarantine": q_ingest_quarantine,
     "retry_inside_commit": q_retry_inside_commit,
     "concurrent_ingest": q_concurrent_ingest,
 }
@@ -512,6 +525,13 @@ SELECT v.*, n_stored_frames FROM videos v
 JOIN (SELECT cruise, media, count(*) AS n_stored_frames FROM okk GROUP BY ALL) f ON f.cruise = v.cruise AND f.media = v.video_id"""
 
 ORACLE.update({
+    "ingest_quarantine": _with(_CTE_RAW, """kinds AS (
+  SELECT media_path, frame, CASE WHEN okey % 67 = 0 OR okey % 73 = 0 THEN 'malformed record'
+                                 WHEN okey % 53 = 0 AND frame IS NOT NULL THEN 'frame is not a whole number'
+                                 WHEN frame IS NOT NULL AND NOT contains(media_path, '/skip/') THEN 'stored frames' END AS kind
+  FROM (SELECT *, CAST(substr(media, 5) AS BIGINT) AS okey FROM frames_raw))""") + """
+SELECT kind, count(*) AS n_rows FROM kinds WHERE kind IS NOT NULL GROUP BY kind
+UNION ALL SELECT 'stored videos', count(DISTINCT media_path) FROM kinds WHERE kind = 'stored frames'""",
     "retry_inside_commit": _WHOLE_STORE,
     "concurrent_ingest": _WHOLE_STORE,
     "frame_gaps": _with(_CTE_RAW, f"reels AS ({CO.REELS_SQL})",

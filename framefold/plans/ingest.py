@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 
 from ..operators import frames as FR
 from ..operators import profile as PR
-from ..schemas import VIDEO_PARTITIONS
+from ..schemas import TYPED_FRAMES, VIDEO_PARTITIONS
 from ..session import checkpoint_root
 from ..sources import runs as RN
-from ..sources.csv_scan import read_frames_csv
+from ..sources.csv_scan import read_frames_checked, read_frames_csv
 from ..sources.store import ManifestStore
 
 log = logging.getLogger("framefold.ingest")
@@ -71,12 +71,22 @@ class PartitionConflictError(RuntimeError):
                          "(all listed in the exception's plan)")
 
 
+class RejectShareError(RuntimeError):
+    """More rows cannot be ingested than the caller allows; nothing was written."""
+
+    def __init__(self, n_rejected: int, n_rows: int, rejected: DataFrame):
+        self.n_rejected, self.n_rows = n_rejected, n_rows
+        self.rejected = rejected        # source_file, reason, n_rows
+        super().__init__(f"{n_rejected} of {n_rows} rows cannot be ingested (by file and reason in the exception's rejected)")
+
+
 @dataclass
 class IngestReport:
     summary: DataFrame          # one row, SUMMARY schema
     plan: DataFrame             # one row per partition: cruise, camera, videos, stored, status
     seconds: dict[str, float] = field(default_factory=dict)     # per phase
     recovered: dict[str, str] = field(default_factory=dict)     # runs that had died -> published, rolled back
+    rejected: DataFrame | None = None   # source_file, reason, n_rows of the rows left out; None if all were taken
 
 
 # ---------------------------------------------------------------- relational pieces
@@ -145,7 +155,7 @@ def _pairs(df: DataFrame) -> list[RN.Partition]:
 def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bool = False,
                 skip_existing: bool = False, dry_run: bool = False,
                 raw_frames: DataFrame | None = None, claim_seconds: float = RN.CLAIM_SECONDS,
-                on_move: RN.OnMove | None = None) -> IngestReport:
+                on_move: RN.OnMove | None = None, max_reject_share: float | None = None) -> IngestReport:
     """Ingest typed per-frame rows (``schemas.TYPED_FRAMES``) into the store.
 
     ``raw_frames`` is the second scan for the frames table (defaults to ``raw``
@@ -153,8 +163,19 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
     on a conflict without ``skip_existing``; its ``plan`` lists every conflict, those with a run that
     is writing now included. A dry run writes nothing, and recovers nothing; its summary counts the partitions and
     videos that a run would write. ``on_move`` is told (source, target) before each rename of the commit.
+
+    With ``max_reject_share``, ``raw`` is a checked scan (``csv_scan.read_frames_checked``): rows with a reason are left
+    out and stored in ``rejected`` by the same run, unless they are more than that share of all rows
+    (``RejectShareError``). Counting them costs nothing while there are none, else one more scan.
     """
     checkpoint_root(spark)
+    rejects, seen = None, Observation("rows_checked")
+    if max_reject_share is not None:
+        rejects = raw.filter(F.col("reason").isNotNull())
+        columns = [f.name for f in TYPED_FRAMES.fields]
+        good = F.col("reason").isNull()
+        raw_frames = raw.filter(good).select(*columns)
+        raw = raw.observe(seen, F.count_if(~good).alias("rejected")).filter(good).select(*columns)
     seconds: dict[str, float] = {}
     store = ManifestStore(spark, store_root)
     recovered = {}
@@ -166,6 +187,15 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
         profile = PR.media_profile(raw).checkpoint(eager=True)
         totals = PR.scan_summary(profile).first()
 
+    rejected = None
+    if rejects is not None and seen.get["rejected"]:
+        with _phase(seconds, "rejected"):
+            rejected = rejects.groupBy("source_file", "reason").agg(F.count(F.lit(1)).alias("n_rows")).checkpoint(eager=True)
+            n_rejected = int(rejected.agg(F.sum("n_rows")).first()[0])
+        n_rows = int(totals.raw_rows) + n_rejected
+        if n_rejected > max_reject_share * n_rows:
+            raise RejectShareError(n_rejected, n_rows, rejected)
+
     vids = PR.videos_from_profile(profile, strict_paths=True)
     with _phase(seconds, "plan"):
         plan = partition_plan(vids, store.existing_partitions(), skip_existing).checkpoint(eager=True)
@@ -175,7 +205,7 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
     def report(status: str, written_parts: int, videos_n: int, frames_n: int) -> IngestReport:
         row = (status, n_parts, written_parts, n_conflicts if skip_existing else 0, videos_n, frames_n,
                int(totals.bad_file), int(totals.skipped), int(totals.id_link_nonempty))
-        return IngestReport(spark.createDataFrame([row], SUMMARY), plan, seconds, recovered)
+        return IngestReport(spark.createDataFrame([row], SUMMARY), plan, seconds, recovered, rejected)
 
     if dry_run:
         fresh = plan.filter(~F.col("stored")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("videos"), F.lit(0)).alias("v")).first()
@@ -208,6 +238,9 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
         write_parts = plan.filter(~F.col("stored")).select(*KEYS)
         vids_out = videos_to_write(vids, write_parts) if n_conflicts else vids
 
+        if rejected is not None:
+            run.stage("rejected", rejects.withColumn("run", F.lit(run.id)))
+
         frames_n = 0
         if frames:
             with _phase(seconds, "frames"):
@@ -234,8 +267,17 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
 
 def ingest(spark: SparkSession, csv_globs: list[str], store_root: str, exclude: list[str] | tuple = (),
            frames: bool = False, skip_existing: bool = False, dry_run: bool = False,
-           headers: str = "detect") -> IngestReport:
-    """CSV globs -> store. The frames table is a second scan of the same files."""
-    raw = read_frames_csv(spark, csv_globs, exclude, headers)
+           headers: str = "detect", max_reject_share: float | None = None) -> IngestReport:
+    """CSV globs -> store. The frames table is a second scan of the same files.
+
+    A row that cannot be ingested ends the run, unless ``max_reject_share`` allows some: then such rows are set
+    aside with file and reason, and the good rows of the same files are ingested.
+    """
+    if max_reject_share is None:
+        raw = read_frames_csv(spark, csv_globs, exclude, headers)
+    elif headers == "detect":
+        raw = read_frames_checked(spark, csv_globs, exclude)
+    else:
+        raise ValueError("rows can only be rejected where headers are detected")
     return ingest_rows(spark, raw, store_root, frames=frames, skip_existing=skip_existing,
-                       dry_run=dry_run)
+                       dry_run=dry_run, max_reject_share=max_reject_share)

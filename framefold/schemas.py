@@ -47,3 +47,11 @@ REQUESTS = T.StructType([
     T.StructField("frame_index", T.LongType(), True),
     T.StructField("format", T.StringType(), True),
 ])
+
+REJECTED = T.StructType([
+    T.StructField("source_file", T.StringType(), True),
+    T.StructField("reason", T.StringType(), True),
+    T.StructField("record", T.StringType(), True),
+    T.StructField("run", T.StringType(), True),
+])
+REJECTED_PARTITIONS = ["run"]

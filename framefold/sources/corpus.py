@@ -30,6 +30,10 @@ SAME_ID_EVERY = 41       # okey % 41 = 0 -> the id of the video okey + 1
 NO_TIME_EVERY = 43       # okey % 43 = 0 -> an unreadable media time
 SHORT_PATH_EVERY = 59    # okey % 59 = 0 -> a path without cruise and camera
 UNSTORED_EVERY = 61      # okey % 61 = 0 -> no frames in the store
+JUNK_FRAME_EVERY = 53    # okey % 53 = 0 -> a frame number that is none (exports with faults only)
+CUT_RECORD_EVERY = 67    # okey % 67 = 0 -> a record of three fields
+LONG_RECORD_EVERY = 73   # okey % 73 = 0 -> a record with a field too many
+FILE_ORDERS = 4096       # orders per export with faults
 REEL_STEP = 8            # frame numbers of a reel between orders
 # Seeded "already stored" partitions for the store queries.
 SEEDED_CAMERAS = ("Cam1", "Cam2")
@@ -116,6 +120,18 @@ def faulty(raw: DataFrame) -> DataFrame:
     })
 
 
+def faulty_exports(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """CSV text, one row per file: the corpus with unreadable frame numbers and records of the wrong length."""
+    okey = order_key()
+    frame = F.when((okey % JUNK_FRAME_EVERY == 0) & F.col("frame").isNotNull(), F.concat(F.lit("n/a "), F.col("frame").cast("string"))).otherwise(F.col("frame").cast("string"))
+    fields = [F.coalesce(frame if c == "frame" else F.col(c), F.lit("")) for c in columns]
+    line = (F.when(okey % CUT_RECORD_EVERY == 0, F.concat_ws(",", *fields[:3]))
+            .when(okey % LONG_RECORD_EVERY == 0, F.concat_ws(",", *fields, F.lit("more"))).otherwise(F.concat_ws(",", *fields)))
+    return (raw.select(F.floor(okey / FILE_ORDERS).alias("file"), line.alias("line"))
+            .groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
+            .select(F.concat(F.lit(",".join(columns) + "\n"), "lines").alias("value")))
+
+
 def reels(raw: DataFrame) -> DataFrame:
     """The corpus with one long video per cruise and camera: frame numbers are order * REEL_STEP + line, with many gaps."""
     folder = F.array_join(F.slice(F.split("media_path", "/"), 1, 5), "/")

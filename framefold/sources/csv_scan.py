@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import logging
+from collections.abc import Callable
 from functools import reduce
 from urllib.parse import unquote
 
@@ -27,6 +28,17 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"
 POSITIONAL_CSV_OPTIONS = {**CSV_OPTIONS, "mode": "PERMISSIVE"}
 
 
+# Records that do not fit are kept whole in a column of their own instead of failing the job.
+RECORD = "_record"
+# The parser must see all columns, also where a query needs few, or it misses records of the wrong length.
+CHECKED_CSV_OPTIONS = {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RECORD, "columnPruning": "false"}
+# ---- fixed values (ours): why a row is rejected -----------------------------------
+REASON_MALFORMED = "malformed record"
+REASON_FRAME = "frame is not a whole number"
+REASON_PATH = "path without cruise and camera"
+# ---------------------------------------------------------------------------------
+
+
 class NoInputError(RuntimeError):
     """No CSV file matched the globs, or none was left after excludes."""
 
@@ -172,6 +184,34 @@ def typed(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """The typed columns, and for a row that cannot be ingested its ``reason`` with ``source_file`` and ``record``."""
+    given = [c for c in df.columns if c != RECORD]
+    frame = C.whole_number("frame")
+    reason = (F.when(F.col(RECORD).isNotNull(), F.lit(REASON_MALFORMED))
+              .when(~C.is_unset("frame") & frame.isNull(), F.lit(REASON_FRAME))
+              .when(frame.isNotNull() & ~C.is_skipped() & C.cruise_of().isNull(), F.lit(REASON_PATH)))
+    record = F.coalesce(F.col(RECORD), F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in given]))
+    cols = []
+    for f in TYPED_FRAMES.fields:
+        value = F.lit(None) if f.name not in given else frame if f.name == "frame" else F.col(f.name)
+        cols.append(value.cast(f.dataType).alias(f.name))
+    rejected = reason.isNotNull()
+    return df.select(*cols, reason.alias("reason"), F.when(rejected, C.file_path_of_metadata()).alias("source_file"),
+                     F.when(rejected, record).alias("record"))
+
+
+def read_frames_checked(spark: SparkSession, patterns: list[str], exclude: list[str] | tuple = ()) -> DataFrame:
+    """Like ``read_frames_csv`` with headers detected, but no record ends the job: see ``checked``.
+
+    Rows to ingest have a null ``reason``. A file whose header lacks a required column still raises.
+    """
+    def group(sources: list[str], header: tuple[str, ...]) -> DataFrame:
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in (*header, RECORD)])
+        return checked(spark.read.options(**CHECKED_CSV_OPTIONS).schema(schema).csv(sources))
+    return _scan(spark, patterns, exclude, group)
+
+
 def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str] | tuple = (),
                     headers: str = "detect") -> DataFrame:
     """S1 + S2 + S3 + U1: typed per-frame rows from every matching CSV.
@@ -184,6 +224,14 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
     """
     if headers not in ("detect", "canonical"):
         raise ValueError(f"headers must be 'detect' or 'canonical', not {headers!r}")
+    if headers == "canonical":
+        kept, whole = _listed(spark, patterns, exclude)
+        return typed(_read_group(spark, whole or kept, tuple(CSV_COLUMNS), POSITIONAL_CSV_OPTIONS))
+    return _scan(spark, patterns, exclude, lambda sources, header: typed(_read_group(spark, sources, header)))
+
+
+def _listed(spark: SparkSession, patterns: list[str], exclude: list[str] | tuple) -> tuple[list[str], list[str] | None]:
+    """The files to read, and the patterns themselves where nothing of them is excluded."""
     files, matched = expand_globs(spark, list(patterns))
     if not files:
         raise NoInputError("no CSV files matched the supplied glob(s)")
@@ -197,9 +245,13 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
     unreadable = [f for f in kept if f.rsplit("/", 1)[-1].startswith("_")]
     if unreadable:
         raise NoInputError(f"file names that start with '_' cannot be read; rename: {', '.join(map(_plain, unreadable))}")
+    return kept, None if dropped else matched
 
-    if headers == "canonical":
-        return typed(_read_group(spark, kept if dropped else matched, tuple(CSV_COLUMNS), POSITIONAL_CSV_OPTIONS))
+
+def _scan(spark: SparkSession, patterns: list[str], exclude: list[str] | tuple,
+          read: Callable[[list[str], tuple[str, ...]], DataFrame]) -> DataFrame:
+    """Every listed file, bound by its own header, read group by group."""
+    kept, whole = _listed(spark, patterns, exclude)
     groups = file_headers(spark, kept)
     if list(groups.values()) == [None]:
         # One header for all files: scan the patterns themselves when nothing is
@@ -207,13 +259,12 @@ def read_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str]
         # file with another layout would fail FAILFAST parsing). Overlapping
         # patterns list a file twice either way, and it is scanned twice.
         (header,) = groups
-        return typed(_read_group(spark, kept if dropped else matched, header))
+        return read(whole or kept, header)
     of = {f: h for h, members in groups.items() for f in members}
     sources: dict[tuple[str, ...], list[str]] = {}
     for f in kept:
         sources.setdefault(of[_plain(f)], []).append(f)
-    parts = [typed(_read_group(spark, paths, header)) for header, paths in sources.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [read(paths, header) for header, paths in sources.items()])
 
 
 def write_frames_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

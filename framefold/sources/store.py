@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import FRAME_PARTITIONS, FRAMES, VIDEO_COLUMNS, VIDEO_PARTITIONS, VIDEOS
+from ..schemas import FRAME_PARTITIONS, FRAMES, REJECTED, REJECTED_PARTITIONS, VIDEO_COLUMNS, VIDEO_PARTITIONS, VIDEOS
 from . import runs as RN
 from .files import StoreFiles
 
@@ -30,6 +30,7 @@ class ManifestStore:
         self.root = root.rstrip("/")
         self.videos_path = f"{self.root}/videos"
         self.frames_path = f"{self.root}/frames"
+        self.rejected_path = f"{self.root}/rejected"
         self.files = StoreFiles(spark, self.root)
 
     # ------------------------------------------------------------ metadata
@@ -61,6 +62,13 @@ class ManifestStore:
         return (self.spark.read.schema(FRAMES).option("basePath", self.frames_path)
                 .parquet(self.frames_path).select(*[f.name for f in FRAMES.fields]))
 
+    def read_rejected(self) -> DataFrame:
+        """Rows that ingests with a reject share left out: source_file, reason, record, run."""
+        if not self._exists(self.rejected_path):
+            return self.spark.createDataFrame([], REJECTED)
+        return (self.spark.read.schema(REJECTED).option("basePath", self.rejected_path)
+                .parquet(self.rejected_path).select(*[f.name for f in REJECTED.fields]))
+
     def existing_partitions(self) -> DataFrame:
         """Distinct stored (cruise, camera); reads partition values only (ReadSchema: struct<>)."""
         return self.read_videos().select(*VIDEO_PARTITIONS).distinct()
@@ -103,6 +111,9 @@ class ManifestStore:
             keys = VIDEO_PARTITIONS
             laid = (checked_keys(rows.select(*VIDEO_COLUMNS), keys).hint("rebalance", *keys)
                     .sortWithinPartitions(*keys, "video_id"))
+        elif table == "rejected":
+            keys = REJECTED_PARTITIONS
+            laid = rows.select(*[f.name for f in REJECTED.fields]).hint("rebalance")
         else:
             keys = FRAME_PARTITIONS
             laid = write_layout(checked_keys(rows.select(*[f.name for f in FRAMES.fields]), keys))
