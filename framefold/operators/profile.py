@@ -23,7 +23,12 @@ def media_profile(raw: DataFrame) -> DataFrame:
     n_rows, n_frames (rows with a frame), n_sentinel (rows without), min_frame,
     max_frame, n_id_link (rows with non-empty id/link).
     """
-    step1 = raw.groupBy("media_path", "media", "media_time").agg(
+    return merge_parts(profile_parts(raw))
+
+
+def profile_parts(raw: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The mergeable state of the profile: a row per (media_path, media, media_time), and per ``by`` if given."""
+    return raw.groupBy(*by, "media_path", "media", "media_time").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("frame").alias("n_frames"),
         F.count_if(C.is_sentinel()).alias("n_sentinel"),
@@ -31,11 +36,15 @@ def media_profile(raw: DataFrame) -> DataFrame:
         F.max("frame").alias("max_frame"),
         F.count_if(C.id_link_nonempty(raw.columns)).alias("n_id_link"),
     )
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """The profile from parts of any number of scans; only the reduced rows are shuffled by path."""
     # Value at the lowest frame; deterministic tie-break on the values themselves.
     # Groups without any frame have a null ordering and are ignored by min_by.
     pick_order = F.when(F.col("min_frame").isNotNull(),
                         F.struct("min_frame", "media", "media_time"))
-    step2 = step1.groupBy("media_path").agg(
+    step2 = parts.groupBy("media_path").agg(
         F.min_by(F.struct("media", "media_time"), pick_order).alias("first"),
         F.sum("n_rows").alias("n_rows"),
         F.sum("n_frames").alias("n_frames"),

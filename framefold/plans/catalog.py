@@ -19,6 +19,7 @@ from ..operators import frames as FR
 from ..operators import profile as PR
 from ..operators import quality as QU
 from ..operators import requests as RQ
+from ..plans import incremental as INC
 from ..plans import ingest as IN
 from ..schemas import CSV_COLUMNS, FRAME_COLUMNS
 from ..session import scratch_path
@@ -246,6 +247,18 @@ def q_concurrent_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_store(store)
 
 
+def q_incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile after a scan of some exports, then of all: the second reads only those that are new."""
+    root = scratch_path(spark, "incremental")
+    raw = CO.frames_raw(spark, sf_dir)
+    camera = F.split(F.col("media_path"), "/").getItem(4)
+    write_frames_csv(raw.filter(camera.isin(*CO.SEEDED_CAMERAS)), f"{root}/first")
+    write_frames_csv(raw.filter(~camera.isin(*CO.SEEDED_CAMERAS)), f"{root}/later")
+    store = ManifestStore(spark, f"{root}/store")
+    INC.current_parts(spark, store, [f"{root}/first/*.csv"])
+    return INC.incremental_profile(spark, store, [f"{root}/*/*.csv"])
+
+
 def q_ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports with bad records: what is set aside, by reason, and what is stored."""
     root = scratch_path(spark, "faulty")
@@ -356,6 +369,7 @@ QUERIES: dict[str, Query] = {
     "retry_after_crash": q_retry_after_crash,
     "frames_ingested": q_frames_ingested,
     "ingest_quarantine": q_ingest_quarantine,
+    "incremental_profile": q_incremental_profile,
     "retry_inside_commit": q_retry_inside_commit,
     "concurrent_ingest": q_concurrent_ingest,
 }
@@ -525,6 +539,7 @@ SELECT v.*, n_stored_frames FROM videos v
 JOIN (SELECT cruise, media, count(*) AS n_stored_frames FROM okk GROUP BY ALL) f ON f.cruise = v.cruise AND f.media = v.video_id"""
 
 ORACLE.update({
+    "incremental_profile": ORACLE["media_profile"],
     "ingest_quarantine": _with(_CTE_RAW, """kinds AS (
   SELECT media_path, frame, CASE WHEN okey % 67 = 0 OR okey % 73 = 0 THEN 'malformed record'
                                  WHEN okey % 53 = 0 AND frame IS NOT NULL THEN 'frame is not a whole number'

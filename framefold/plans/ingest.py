@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -33,8 +33,9 @@ from ..operators import profile as PR
 from ..schemas import TYPED_FRAMES, VIDEO_PARTITIONS
 from ..session import checkpoint_root
 from ..sources import runs as RN
-from ..sources.csv_scan import read_frames_checked, read_frames_csv
+from ..sources.csv_scan import list_frames_csv, read_frames_checked, read_frames_csv, read_frames_of_files
 from ..sources.store import ManifestStore
+from .incremental import current_parts, files_of_partitions
 
 log = logging.getLogger("framefold.ingest")
 
@@ -155,7 +156,9 @@ def _pairs(df: DataFrame) -> list[RN.Partition]:
 def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bool = False,
                 skip_existing: bool = False, dry_run: bool = False,
                 raw_frames: DataFrame | None = None, claim_seconds: float = RN.CLAIM_SECONDS,
-                on_move: RN.OnMove | None = None, max_reject_share: float | None = None) -> IngestReport:
+                on_move: RN.OnMove | None = None, max_reject_share: float | None = None,
+                profile: DataFrame | None = None,
+                frames_of: Callable[[DataFrame], DataFrame] | None = None) -> IngestReport:
     """Ingest typed per-frame rows (``schemas.TYPED_FRAMES``) into the store.
 
     ``raw_frames`` is the second scan for the frames table (defaults to ``raw``
@@ -167,6 +170,9 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
     With ``max_reject_share``, ``raw`` is a checked scan (``csv_scan.read_frames_checked``): rows with a reason are left
     out and stored in ``rejected`` by the same run, unless they are more than that share of all rows
     (``RejectShareError``). Counting them costs nothing while there are none, else one more scan.
+
+    ``profile`` is the media profile where it is known already, and ``frames_of`` gives the rows for the
+    frames table from the partitions to write; with both, ``raw`` is not read.
     """
     checkpoint_root(spark)
     rejects, seen = None, Observation("rows_checked")
@@ -184,7 +190,7 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
             recovered = RN.recover(store.files)
 
     with _phase(seconds, "profile"):
-        profile = PR.media_profile(raw).checkpoint(eager=True)
+        profile = (PR.media_profile(raw) if profile is None else profile).checkpoint(eager=True)
         totals = PR.scan_summary(profile).first()
 
     rejected = None
@@ -244,8 +250,10 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
         frames_n = 0
         if frames:
             with _phase(seconds, "frames"):
+                if frames_of is not None:
+                    raw_frames = frames_of(write_parts)
                 keyed = FR.frames_with_keys(raw_frames if raw_frames is not None else raw)
-                if n_conflicts:
+                if n_conflicts or frames_of is not None:
                     keyed = frames_to_write(keyed, write_parts)
                 foreign = store.unaccounted_frames({c for c, _ in wanted})
                 if foreign is not None:
@@ -267,12 +275,27 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
 
 def ingest(spark: SparkSession, csv_globs: list[str], store_root: str, exclude: list[str] | tuple = (),
            frames: bool = False, skip_existing: bool = False, dry_run: bool = False,
-           headers: str = "detect", max_reject_share: float | None = None) -> IngestReport:
+           headers: str = "detect", max_reject_share: float | None = None, incremental: bool = False) -> IngestReport:
     """CSV globs -> store. The frames table is a second scan of the same files.
 
     A row that cannot be ingested ends the run, unless ``max_reject_share`` allows some: then such rows are set
     aside with file and reason, and the good rows of the same files are ingested.
+
+    ``incremental`` keeps the profile of every file version in the store: only files not seen before are
+    parsed for it, and the frames table reads only files that hold frames of a partition to write.
     """
+    if incremental:
+        if max_reject_share is not None or headers != "detect" or dry_run:
+            raise ValueError("an incremental ingest detects headers, rejects no rows and writes its state")
+        store = ManifestStore(spark, store_root)
+        parts, _ = current_parts(spark, store, csv_globs, exclude)
+        listing = [path for path, _, _ in list_frames_csv(spark, csv_globs, exclude)]
+
+        def frames_of(write_parts: DataFrame) -> DataFrame:
+            # Partitions to write have videos, and so files.
+            return read_frames_of_files(spark, files_of_partitions(parts, write_parts, listing)).drop("source_file")
+        return ingest_rows(spark, spark.createDataFrame([], TYPED_FRAMES), store_root, frames=frames, skip_existing=skip_existing,
+                           profile=PR.merge_parts(parts), frames_of=frames_of)
     if max_reject_share is None:
         raw = read_frames_csv(spark, csv_globs, exclude, headers)
     elif headers == "detect":

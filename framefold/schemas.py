@@ -55,3 +55,20 @@ REJECTED = T.StructType([
     T.StructField("run", T.StringType(), True),
 ])
 REJECTED_PARTITIONS = ["run"]
+
+# State of the media profile: what one file (as listed) holds of one video.
+PROFILE_PARTS = T.StructType([
+    T.StructField("source_file", T.StringType(), True),
+    T.StructField("size", T.LongType(), True),
+    T.StructField("modified", T.LongType(), True),
+    T.StructField("media_path", T.StringType(), True),
+    T.StructField("media", T.StringType(), True),
+    T.StructField("media_time", T.StringType(), True),
+    T.StructField("n_rows", T.LongType(), True),
+    T.StructField("n_frames", T.LongType(), True),
+    T.StructField("n_sentinel", T.LongType(), True),
+    T.StructField("min_frame", T.LongType(), True),
+    T.StructField("max_frame", T.LongType(), True),
+    T.StructField("n_id_link", T.LongType(), True),
+])
+FILE_KEYS = ["source_file", "size", "modified"]

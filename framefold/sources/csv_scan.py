@@ -10,7 +10,6 @@ import csv
 import logging
 from collections.abc import Callable
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,32 +56,36 @@ def check_header(header: tuple[str, ...], files: list[str] | tuple = ()) -> None
                           + (f"; file(s): {', '.join(files)}" if files else ""))
 
 
-def _plain(path: str) -> str:
-    """Listing/URI form -> the path string patterns are matched against."""
+def plain_path(path: str) -> str:
+    """A listed path without the scheme of local files: the string that patterns are matched against."""
     if path.startswith("file://"):
-        path = path[len("file://"):]
-    elif path.startswith("file:"):
-        path = path[len("file:"):]
-    return unquote(path)
+        return path[len("file://"):]
+    return path[len("file:"):] if path.startswith("file:") else path
 
 
 def expand_globs(spark: SparkSession, patterns: list[str]) -> tuple[list[str], list[str]]:
-    """Expand each pattern with Hadoop's glob; matches sorted per pattern.
+    """The files of ``glob_listing``, and the patterns that matched."""
+    listing, matched = glob_listing(spark, patterns)
+    return [path for path, _, _ in listing], matched
 
-    Returns (files, patterns that matched). A pattern without matches is
+
+def glob_listing(spark: SparkSession, patterns: list[str]) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """Expand each pattern with Hadoop's glob; matches sorted per pattern.
+
+    Returns ((path, size, modified ms) of the files, patterns that matched). A pattern without matches is
     reported (Spark itself would raise PATH_NOT_FOUND for it). Duplicates across
     overlapping patterns are kept: such files are scanned twice, as requested.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    files: list[str] = []
+    files: list[tuple[str, int, int]] = []
     matched: list[str] = []
     for pat in patterns:
         hp = jvm.org.apache.hadoop.fs.Path(pat)
         statuses = hp.getFileSystem(conf).globStatus(hp) or []
         # Like a shell glob, '*' and '?' never match hidden names (e.g. '.crc' side files).
         hidden_ok = pat.rstrip("/").rsplit("/", 1)[-1].startswith(".")
-        found = sorted(s.getPath().toString() for s in statuses
+        found = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in statuses
                        if s.isFile() and (hidden_ok or not s.getPath().getName().startswith(".")))
         if not found:
             log.warning("glob matched no files: %s", pat)
@@ -99,7 +102,7 @@ def apply_excludes(paths: list[str], patterns: list[str]) -> tuple[list[str], li
         return list(paths), []
     kept, dropped = [], []
     for p in paths:
-        (dropped if rx.match(_plain(p)) else kept).append(p)
+        (dropped if rx.match(plain_path(p)) else kept).append(p)
     return kept, dropped
 
 
@@ -109,7 +112,7 @@ def _first_records(spark: SparkSession, files: list[str]) -> DataFrame:
     On a POSIX mount each task reads one line per file. Elsewhere one distributed text
     scan keeps the line with the smallest position of each file.
     """
-    listing = spark.createDataFrame([(_plain(f),) for f in files], "file string")
+    listing = spark.createDataFrame([(plain_path(f),) for f in files], "file string")
     if all(f.startswith("file:") for f in files):
         def heads(batches):
             import pandas as pd
@@ -171,9 +174,9 @@ def _read_group(spark: SparkSession, sources: list[str], header: tuple[str, ...]
     return spark.read.options(**(options or CSV_OPTIONS)).schema(schema).csv(sources)
 
 
-def typed(df: DataFrame) -> DataFrame:
-    """H7s: strings -> the typed frame schema; absent optional columns become null."""
-    cols = []
+def typed(df: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
+    """H7s: strings -> the typed frame schema; absent optional columns become null. ``keep``: columns to pass through."""
+    cols = [F.col(c) for c in keep]
     for f in TYPED_FRAMES.fields:
         if f.name not in df.columns:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
@@ -244,14 +247,33 @@ def _listed(spark: SparkSession, patterns: list[str], exclude: list[str] | tuple
     # Spark's readers skip names that start with an underscore, even when listed.
     unreadable = [f for f in kept if f.rsplit("/", 1)[-1].startswith("_")]
     if unreadable:
-        raise NoInputError(f"file names that start with '_' cannot be read; rename: {', '.join(map(_plain, unreadable))}")
+        raise NoInputError(f"file names that start with '_' cannot be read; rename: {', '.join(map(plain_path, unreadable))}")
     return kept, None if dropped else matched
 
 
+def list_frames_csv(spark: SparkSession, patterns: list[str], exclude: list[str] | tuple = ()) -> list[tuple[str, int, int]]:
+    """(path as listed, size, modified ms) of every file that ``read_frames_csv`` would read, as often as it would."""
+    kept, _ = _listed(spark, patterns, exclude)
+    known = {path: (path, size, modified) for path, size, modified in glob_listing(spark, list(patterns))[0]}
+    return [known[path] for path in kept]
+
+
+def read_frames_of_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Typed rows of listed files, each bound by its own header, with their plain path as ``source_file``."""
+    def group(sources: list[str], header: tuple[str, ...]) -> DataFrame:
+        rows = _read_group(spark, sources, header).withColumn("source_file", C.file_path_of_metadata())
+        return typed(rows, keep=["source_file"])
+    return _bound(spark, list(files), None, group)
+
+
 def _scan(spark: SparkSession, patterns: list[str], exclude: list[str] | tuple,
           read: Callable[[list[str], tuple[str, ...]], DataFrame]) -> DataFrame:
     """Every listed file, bound by its own header, read group by group."""
-    kept, whole = _listed(spark, patterns, exclude)
+    return _bound(spark, *_listed(spark, patterns, exclude), read)
+
+
+def _bound(spark: SparkSession, kept: list[str], whole: list[str] | None,
+           read: Callable[[list[str], tuple[str, ...]], DataFrame]) -> DataFrame:
     groups = file_headers(spark, kept)
     if list(groups.values()) == [None]:
         # One header for all files: scan the patterns themselves when nothing is
@@ -263,7 +285,7 @@ def _scan(spark: SparkSession, patterns: list[str], exclude: list[str] | tuple,
     of = {f: h for h, members in groups.items() for f in members}
     sources: dict[tuple[str, ...], list[str]] = {}
     for f in kept:
-        sources.setdefault(of[_plain(f)], []).append(f)
+        sources.setdefault(of[plain_path(f)], []).append(f)
     return reduce(DataFrame.unionByName, [read(paths, header) for header, paths in sources.items()])
 
 

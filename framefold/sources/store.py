@@ -8,12 +8,13 @@ schema, so partition values such as ``0042`` stay strings. ``videos`` is written
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import FRAME_PARTITIONS, FRAMES, REJECTED, REJECTED_PARTITIONS, VIDEO_COLUMNS, VIDEO_PARTITIONS, VIDEOS
+from ..schemas import FRAME_PARTITIONS, FRAMES, PROFILE_PARTS, REJECTED, REJECTED_PARTITIONS, VIDEO_COLUMNS, VIDEO_PARTITIONS, VIDEOS
 from . import runs as RN
 from .files import StoreFiles
 
@@ -69,6 +70,22 @@ class ManifestStore:
         return (self.spark.read.schema(REJECTED).option("basePath", self.rejected_path)
                 .parquet(self.rejected_path).select(*[f.name for f in REJECTED.fields]))
 
+    # ------------------------------------------------------------ profile state
+    def read_profile_parts(self) -> DataFrame:
+        """The profile state of every file version that an incremental ingest has read, each once."""
+        folders = [f"{self.root}/profile/{n}" for n in self.files.names("profile")]
+        if not folders:
+            return self.spark.createDataFrame([], PROFILE_PARTS)
+        return self.spark.read.schema(PROFILE_PARTS).parquet(*folders).dropDuplicates(["source_file", "size", "modified", "media_path", "media", "media_time"])
+
+    def add_profile_parts(self, parts: DataFrame) -> None:
+        """Store the state of newly read files: written aside, then moved in with one rename."""
+        name = uuid.uuid4().hex
+        parts.select(*PROFILE_PARTS.names).write.parquet(f"{self.root}/_staging/profile-{name}")
+        self.files.make_folder("profile")
+        if not self.files.move(f"_staging/profile-{name}", f"profile/{name}"):
+            raise OSError(f"cannot publish the profile state {name}")
+
     def existing_partitions(self) -> DataFrame:
         """Distinct stored (cruise, camera); reads partition values only (ReadSchema: struct<>)."""
         return self.read_videos().select(*VIDEO_PARTITIONS).distinct()
