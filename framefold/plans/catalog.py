@@ -262,9 +262,9 @@ def q_incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports with bad records: what is set aside, by reason, and what is stored."""
     root = scratch_path(spark, "faulty")
-    (CO.faulty_exports(CO.frames_raw(spark, sf_dir), CSV_COLUMNS).write.option("maxRecordsPerFile", 1).text(f"{root}/exports"))
+    CO.faulty_exports(CO.frames_raw(spark, sf_dir), CSV_COLUMNS).write.partitionBy("file").text(f"{root}/exports")
     store = ManifestStore(spark, f"{root}/store")
-    IN.ingest(spark, [f"{root}/exports/*.txt"], store.root, frames=True, max_reject_share=0.1)
+    IN.ingest(spark, [f"{root}/exports/*/*.txt"], store.root, frames=True, max_reject_share=0.1)
     counts = store.read_rejected().groupBy(F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n_rows"))
     for kind, table in (("stored frames", store.read_frames()), ("stored videos", store.read_videos())):
         counts = counts.unionByName(table.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(kind).alias("kind"), "n_rows"))

@@ -121,7 +121,7 @@ def faulty(raw: DataFrame) -> DataFrame:
 
 
 def faulty_exports(raw: DataFrame, columns: list[str]) -> DataFrame:
-    """CSV text, one row per file: the corpus with unreadable frame numbers and records of the wrong length."""
+    """(file, value), the text of one CSV file per row: the corpus with unreadable frame numbers and records of the wrong length."""
     okey = order_key()
     frame = F.when((okey % JUNK_FRAME_EVERY == 0) & F.col("frame").isNotNull(), F.concat(F.lit("n/a "), F.col("frame").cast("string"))).otherwise(F.col("frame").cast("string"))
     fields = [F.coalesce(frame if c == "frame" else F.col(c), F.lit("")) for c in columns]
@@ -129,7 +129,7 @@ def faulty_exports(raw: DataFrame, columns: list[str]) -> DataFrame:
             .when(okey % LONG_RECORD_EVERY == 0, F.concat_ws(",", *fields, F.lit("more"))).otherwise(F.concat_ws(",", *fields)))
     return (raw.select(F.floor(okey / FILE_ORDERS).alias("file"), line.alias("line"))
             .groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
-            .select(F.concat(F.lit(",".join(columns) + "\n"), "lines").alias("value")))
+            .select("file", F.concat(F.lit(",".join(columns) + "\n"), "lines").alias("value")))
 
 
 def reels(raw: DataFrame) -> DataFrame:
