@@ -13,13 +13,15 @@ Equal vectors form a class with one representative, so copies are never compared
 of blocks returns, per vector, its number of links and the smallest id of its connected group
 inside the pair: at most one row a vector, however many pairs link.
 
-Defined results: a vector that is null, zero, or has null or non-finite components, or whose length is
-not the most frequent one, links with nothing; a null id gets no component; repeated
-rows with one id count once as partner; an empty table gives an empty one; other columns are ignored.
+Defined results: a vector that is null, zero, or has null or non-finite components links with nothing, and
+vectors link only with vectors of their length (the join runs once for each length that occurs: one
+per embedding model); a null id gets no component; repeated rows with one id count once as partner; an empty
+table gives an empty one; other columns are ignored.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -174,16 +176,15 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, vec_id: str = "v
     given = embeddings.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("id").isNotNull()
-    widths = given.where(usable).groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    width = widths[0]["w"] if widths else 0
-    named = F.when(usable & (F.size("v") == width), F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))
+    widths = sorted(r["w"] for r in given.where(usable).select(F.size("v").alias("w")).distinct().collect())
+    named = F.when(usable, F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))
     marked = stored(given.withColumn("name", named), "vectors")
     classes = (marked.where("name is not null").groupBy("name")
                .agg(F.min("id").alias("rep"), F.count_distinct("id").alias("size"), F.min("v").alias("v")))
     alone = marked.where("name is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     if widths:
         reps = stored(classes.select(F.col("rep").alias("id"), "size", "v", "name"), "classes")
-        found = links(reps.select("id", "size", "v"), width, cosine)
+        found = reduce(DataFrame.union, [links(reps.where(F.size("v") == w).select("id", "size", "v"), w, cosine) for w in widths])
         counted = found.groupBy("id").agg(F.sum("n").alias("n"))
         linked = components(found, "id", "peer")
         known = (reps.join(counted, "id", "left").join(linked, "id", "left")

@@ -94,6 +94,28 @@ def test_links_and_components(spark, monkeypatch):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_vectors_of_every_length_are_joined(spark):
+    """Ids that serve two lengths, the shorter ones fewer; repeated rows; clashing columns."""
+    r = np.random.default_rng(8)
+    given = []
+    for width, n in ((2, 9), (5, 30), (1, 4), (16, 40)):
+        centres = r.normal(size=(4, width))
+        given += [(len(given) + i, (centres[i % 4] + r.normal(scale=0.1, size=width)).tolist()) for i in range(n)]
+    given += [(1000, [1.0, 0.0]), (1001, [1.0, 0.0, 0.0, 0.0, 0.0]), (1002, [0.0, 0.0]), (1003, []), (1004, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in [*given, given[3]]], "vec_id long, embedding array<double>, n_links string, size string").repartition(3)
+    got = {x.vec_id: x for x in op9_ego_join.near_vectors(df).collect()}
+    near = {i: set() for i, _ in given}
+    for i, v in given:
+        for j, w in given:
+            if i != j and len(v) == len(w) and any(v) and any(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9:
+                near[i].add(j)
+    label = {i: i for i in near}
+    for _ in near:
+        label = {i: min([label[i], *(label[j] for j in near[i])]) for i in near}
+    for i in near:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(near[i]), label[i], label[i] == i)
+
+
 def test_no_vectors(spark):
     assert op9_ego_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
