@@ -106,29 +106,84 @@ def apply_excludes(paths: list[str], patterns: list[str]) -> tuple[list[str], li
     return kept, dropped
 
 
-def _first_records(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(file, value): the first line of every listed file, null for an empty file.
+HEADER_BLOCK = 4096
+# Schemes of Hadoop that other readers know by another name (fixed values).
+STORE_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
-    On a POSIX mount each task reads one line per file. Elsewhere one distributed text
-    scan keeps the line with the smallest position of each file.
+
+def _physical(spark: SparkSession, files: list[str]) -> list[str]:
+    """Where the files lie, mount points (``viewfs:``) resolved: one look-up a folder."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folders: dict[str, str] = {}
+    out = []
+    for f in files:
+        folder, name = f.rsplit("/", 1)
+        if folder not in folders:
+            at = jvm.org.apache.hadoop.fs.Path(folder + "/")
+            folders[folder] = folder if f.startswith("file:") else at.getFileSystem(conf).resolvePath(at).toString().rstrip("/")
+        out.append(f"{folders[folder]}/{name}")
+    return out
+
+
+def _heads(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, value, bytes_read, failed): the first line of every file, read in blocks of HEADER_BLOCK bytes.
+
+    ``failed`` holds why a file cannot be opened through a file-system handle on the executors.
+    """
+    def heads(batches):
+        import pandas as pd
+        from pyarrow import fs
+        handles: dict[str, fs.FileSystem] = {}
+
+        def opened(uri: str):
+            scheme, rest = uri.split(":", 1)
+            if scheme == "file":
+                return open("/" + rest.lstrip("/"), "rb", buffering=0)
+            uri = f"{STORE_SCHEMES.get(scheme, scheme)}:{rest}"
+            place = "/".join(uri.split("/", 3)[:3])
+            if place not in handles:
+                handles[place] = fs.FileSystem.from_uri(uri)[0]
+            return handles[place].open_input_file(uri.split("/", 3)[3] if scheme in STORE_SCHEMES else "/" + uri.split("/", 3)[3])
+
+        def first_line(uri: str) -> tuple[str | None, int, str | None]:
+            line, n = b"", 0
+            try:
+                with opened(uri) as f:
+                    while block := f.read(HEADER_BLOCK):
+                        n += len(block)
+                        line += block
+                        if b"\n" in block:
+                            break
+            except (OSError, ValueError, ImportError, NotImplementedError) as e:
+                return None, n, f"{type(e).__name__}: {e}"
+            return line.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r"), n, None
+
+        for pdf in batches:
+            rows = [(f, *first_line(at)) for f, at in zip(pdf["file"], pdf["at"], strict=True)]
+            yield pd.DataFrame(rows, columns=["file", "value", "bytes_read", "failed"])
+
+    listing = spark.createDataFrame(list(zip(map(plain_path, files), _physical(spark, files), strict=True)), "file string, at string")
+    n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 2))
+    return listing.repartition(n).mapInPandas(heads, "file string, value string, bytes_read long, failed string")
+
+
+def _first_records(spark: SparkSession, files: list[str], heads: DataFrame) -> DataFrame:
+    """(file, value): the first line of every listed file, from the persisted ``heads``.
+
+    Tasks read a block of each file. Files that the executors cannot open that way (no client library or credentials of
+    their own) go through one distributed text scan, which keeps the line with the smallest position of each file.
     """
-    listing = spark.createDataFrame([(plain_path(f),) for f in files], "file string")
-    if all(f.startswith("file:") for f in files):
-        def heads(batches):
-            import pandas as pd
-            for pdf in batches:
-                lines = []
-                for f in pdf["file"]:
-                    with open(f, "rb") as fh:
-                        lines.append(fh.readline().decode("utf-8", "replace").rstrip("\r\n"))
-                yield pd.DataFrame({"file": pdf["file"], "value": lines})
-
-        n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 2))
-        return listing.repartition(n).mapInPandas(heads, "file string, value string")
-    lines = spark.read.text(files).select("value", C.file_path_of_metadata().alias("file"), F.monotonically_increasing_id().alias("at"),
-                                          F.col("_metadata.file_block_start").alias("block"))
+    failed = {r["file"]: r["failed"] for r in heads.where(F.col("failed").isNotNull()).toLocalIterator()}
+    if not failed:
+        return heads.select("file", "value")
+    log.warning("%d file(s) are read as text to find their headers; first cause: %s", len(failed), next(iter(failed.values())))
+    closed = [f for f in files if plain_path(f) in failed]
+    lines = spark.read.text(closed).select("value", C.file_path_of_metadata().alias("file"), F.monotonically_increasing_id().alias("at"),
+                                           F.col("_metadata.file_block_start").alias("block"))
     first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("value"))
-    return listing.join(first, "file", "left")
+    listing = spark.createDataFrame([(plain_path(f),) for f in closed], "file string")
+    return heads.where(F.col("failed").isNull()).select("file", "value").unionByName(listing.join(first, "file", "left"))
 
 
 def parse_header(line: str | None) -> tuple[str, ...]:
@@ -145,8 +200,10 @@ def file_headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...],
     What reaches the driver is one row per distinct header, and, only where there are several, one
     per listed file, which the driver holds already.
     """
-    records = _first_records(spark, sorted(set(files))).persist()
+    listed = sorted(set(files))
+    heads = _heads(spark, listed).persist()
     try:
+        records = _first_records(spark, listed, heads)
         lines = [r["value"] for r in records.select("value").distinct().collect()]
         headers = {line: parse_header(line) for line in lines}
         bad = [line for line, h in headers.items() if not set(REQUIRED_CSV_COLUMNS) <= set(h) or len(set(h)) < len(h)]
@@ -165,7 +222,7 @@ def file_headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...],
             raise HeaderError(f"{len(set(files))} files listed, {bound} bound to a header")
         return groups
     finally:
-        records.unpersist()
+        heads.unpersist()
 
 
 def _read_group(spark: SparkSession, sources: list[str], header: tuple[str, ...],

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from .files import StoreFiles
 
 # Rows per Parquet file upper bound: keeps a split hot partition in right-sized files.
 MAX_RECORDS_PER_FILE = 5_000_000
+LISTING_THREADS = 32
 
 
 class ManifestStore:
@@ -87,13 +89,23 @@ class ManifestStore:
             raise OSError(f"cannot publish the profile state {name}")
 
     def existing_partitions(self) -> DataFrame:
-        """Distinct stored (cruise, camera); reads partition values only (ReadSchema: struct<>)."""
-        return self.read_videos().select(*VIDEO_PARTITIONS).distinct()
+        """Distinct stored (cruise, camera), from folder names: no data file is opened and no job runs."""
+        kinds = ", ".join(f"{c} string" for c in VIDEO_PARTITIONS)
+        return self.spark.createDataFrame(sorted(self.partition_folders()), kinds)
 
     def partition_folders(self) -> set[RN.Partition]:
-        """Stored (cruise, camera) from the folder names: no job, and current, as a partition appears with one rename."""
-        pairs = (f.split("/")[1:] for f in self.files.folders("videos", len(VIDEO_PARTITIONS)))
-        return {(RN.partition_value(c), RN.partition_value(k)) for c, k in pairs}
+        """Stored (cruise, camera) from the names of folders that hold a data file: no job, and current, as a
+        partition appears with one rename. Folders are listed in threads; what is held is one name a partition."""
+        def holds_data(folder: str) -> bool:
+            return any(not n.startswith("_") for n in self.files.names(folder))
+
+        if not self.files.exists("videos"):  # listings may make the root; a dry run must not
+            return set()
+        with ThreadPoolExecutor(LISTING_THREADS) as pool:
+            cruises = [f"videos/{n}" for n in self.files.names("videos") if "=" in n]
+            cameras = [f"{d}/{n}" for d, names in zip(cruises, pool.map(self.files.names, cruises), strict=True) for n in names if "=" in n]
+            full = [f.split("/")[1:] for f, held in zip(cameras, pool.map(holds_data, cameras), strict=True) if held]
+        return {(RN.partition_value(c), RN.partition_value(k)) for c, k in full}
 
     def unaccounted_frames(self, cruises: Iterable[str]) -> DataFrame | None:
         """Stored frames of these cruises in files that no run of the ledger wrote; None if there are none.
