@@ -6,7 +6,8 @@ weight, until none is above. That fixed point is ``target = min(most * size, lev
 the level is found by rounds of one distributed aggregate each, of which the driver
 sees two sums. A document is emitted floor(rate) times, plus one more with
 probability equal to the fraction: rate = target / size of its source, and the draw is a hash of
-the seed and the document id, so reruns agree and the order of rows does not matter.
+the seed and the document id, so reruns agree and the order of rows does not matter. Rows without
+an id draw on their text.
 
 Sources are numbered in code-point order, null last, and weigh ``weights`` in turn. The
 numbering sorts by range and adds up counts per range, so no task holds all sources.
@@ -15,7 +16,7 @@ splits a hot source: rows are (id, source, size), never text.
 
 Defined results: null text has size 0; a null source is a source of its own; an empty
 source (size 0) has target 0 and its documents are not taken; rows that share an id share the
-draw; an empty table gives an empty mix. The results' column names replace equal ones.
+draw, as do rows without an id that share a text; an empty table gives an empty mix. The results' column names replace equal ones.
 """
 from __future__ import annotations
 
@@ -75,18 +76,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
                           (F.least(shared, capped) if left else capped).alias("target"))
 
 
-def draw(seed: str, doc_id: str) -> Column:
-    """Uniform in [0, 1) from a hash of the seed and the id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def draw(seed: str, doc_id: str, text: str) -> Column:
+    """Uniform in [0, 1) from a hash of the seed and the id; without an id, of the seed and the text."""
+    unnamed = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), unnamed)))
     return F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** DRAW_DIGITS))
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **how) -> DataFrame:
     """Every document with size, source_size, target and copies (how often the mix has it)."""
-    sizes = stored(docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), size_of(text).alias("size")), "sizes")
+    sizes = stored(docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), size_of(text).alias("size"),
+                               draw(seed, doc_id, text).alias("draw")), "sizes")
     plan = targets(sizes, **how)
     rate = F.least(F.col("target") / F.col("source_size"), F.lit(float(how.get("most", MOST))))
-    taken = F.when(F.col("source_size") > 0, F.floor(rate) + (draw(seed, "doc") < rate - F.floor(rate)).cast("int")).otherwise(0)
+    taken = F.when(F.col("source_size") > 0, F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("int")).otherwise(0)
     return (sizes.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
             .select(F.col("doc").alias(doc_id), "source", "size", "source_size", "target", taken.cast("long").alias("copies")))
 
@@ -100,7 +103,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sizes = docs.select(F.col(source).alias("source"), size_of(text).alias("size"))
     plan = targets(stored(sizes.groupBy("source").agg(F.sum("size").alias("size")), "sizes"), **how)
     rates = plan.select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(how.get("most", MOST))))).otherwise(0.0).alias("__rate"))
-    times = F.floor("__rate") + (draw(seed, doc_id) < F.col("__rate") - F.floor("__rate")).cast("int")
+    times = F.floor("__rate") + (draw(seed, doc_id, text) < F.col("__rate") - F.floor("__rate")).cast("int")
     return (docs.join(rates, F.col(source).eqNullSafe(F.col("__of")))
             .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
             .select(*docs.columns))
