@@ -11,6 +11,8 @@ Training sums are whole numbers: each partition adds up one vector per language,
 adds those per language and dimension. What reaches the driver and the workers is
 languages times DIMENSIONS numbers, whatever the size of the corpus.
 
+Memory is bounded by the slice (SLICE_BYTES or one text), a block of trigrams and the letters in use.
+
 Defined results: null text or text without letters is ``und`` with score 0; no training text makes
 every text ``und``; ties go to the language that is first by name; rows with null language
 train nothing; an empty table gives an empty one; columns other than id, text and language are ignored.
@@ -29,8 +31,12 @@ from framefold.llm.words import as_bytes, held
 
 DIMENSIONS = 1024
 SLICE_BYTES = 1 << 19
-SLICE_TEXTS = 1024  # the table of counts has one row a text and one column a trigram of the slice
+SLICE_TEXTS = 1024
 CACHED_TRIGRAMS = 1 << 14
+TABLE_CELLS = 1 << 22  # texts times trigrams of one dense table of counts
+BLOCK_TRIGRAMS = 1 << 12
+GATHERED = 1 << 12  # vectors added up at once where a table would be mostly zeros
+DENSE = 16  # a table is used when at least one of so many cells is set
 FOLDS = 5
 
 
@@ -63,8 +69,10 @@ class Profiles:
             self.row, self.vectors = {}, np.zeros((0, DIMENSIONS), np.float32)
         new = [t for t in listed if t not in self.row]
         if new:
-            t, letters = np.array(new), np.stack(self.letters)
-            a, b, c = t >> 40, (t >> 20) & 0xFFFFF, t & 0xFFFFF
+            t = np.array(new)
+            used, place = np.unique(np.stack([t >> 40, (t >> 20) & 0xFFFFF, t & 0xFFFFF]), return_inverse=True)
+            letters = np.stack([self.letters[i] for i in used.tolist()])
+            a, b, c = place.reshape(3, -1)
             made = np.roll(letters[a], 2, axis=1) * np.roll(letters[b], 1, axis=1) * letters[c]
             self.row.update((x, len(self.vectors) + i) for i, x in enumerate(new))
             self.vectors = np.concatenate([self.vectors, made.astype(np.float32)])
@@ -85,10 +93,31 @@ class Profiles:
         middle = np.flatnonzero(s[1:-1] > 0) + 1
         key = (s[middle - 1] << 40) | (s[middle] << 20) | s[middle + 1]
         names, back = np.unique(key, return_inverse=True)
-        out = np.zeros((len(texts), DIMENSIONS))
-        if len(names):
-            count = np.bincount(doc[middle] * len(names) + back, minlength=len(texts) * len(names)).reshape(len(texts), len(names))
-            out = (count.astype(np.float32) @ self.of(names)).astype(np.float64)
+        cell, count = np.unique(back * len(texts) + doc[middle], return_counts=True)  # by trigram, then by text
+        return self.bundled(names, cell // len(texts), cell % len(texts), count.astype(np.float32), len(texts))
+
+    def bundled(self, names: np.ndarray, column: np.ndarray, doc: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
+        """Sums of the trigrams' vectors by text, a block of trigrams at a time.
+
+        A block is a product with a table of counts where that is well filled; otherwise (scripts of
+        many letters) the vectors are gathered and added up by text, so memory follows neither way
+        texts times trigrams.
+        """
+        out = np.zeros((texts, DIMENSIONS))
+        step = max(1, min(BLOCK_TRIGRAMS, TABLE_CELLS // texts))
+        for lo in range(0, len(names), step):
+            vectors = self.of(names[lo:lo + step])
+            i, j = np.searchsorted(column, [lo, lo + len(vectors)])
+            if (j - i) * DENSE >= texts * len(vectors):
+                counts = np.zeros((texts, len(vectors)), np.float32)
+                counts[doc[i:j], column[i:j] - lo] = count[i:j]
+                out += counts @ vectors
+                continue
+            order = i + np.argsort(doc[i:j], kind="stable")
+            for k in range(0, len(order), GATHERED):
+                at = order[k:k + GATHERED]
+                first = np.flatnonzero(np.diff(doc[at], prepend=-1))
+                out[doc[at][first]] += np.add.reduceat(vectors[column[at] - lo] * count[at, None], first, axis=0)
         return out
 
 
