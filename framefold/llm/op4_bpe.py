@@ -11,8 +11,8 @@ rank a piece at the end of the first and one at the start of the second would me
 Words are named by 64-bit hashes. A worker keeps the encodings of up to ``CACHE_WORDS`` distinct words between slices and
 tasks; a full cache is emptied, which costs time and changes nothing.
 
-The tokenizer file is a parameter. Supported: byte-level BPE with an end-of-word suffix, a
-normaliser and splitting rule that never join or look across white space, and no decoder
+The tokenizer file is a parameter. Supported: byte-level BPE with an end-of-word suffix, any of the normaliser's ``STEPS``,
+the splitting rule ``SPLIT`` (neither joins or looks across white space), plain added tokens that start with ``<|``, and no decoder
 (decoding then joins the token strings by a space); others raise ValueError.
 
 Defined results: null text counts as empty: no ids, empty decoded text; special tokens
@@ -45,6 +45,10 @@ PAIR_CACHE = 200_000
 SLICE_BYTES = 1 << 20
 DECODE_ROWS = 200
 TAIL = 3
+#: What words are normalised and split by, as tokenizer files state it (fixed values); other files are refused.
+STEPS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 
 
@@ -66,6 +70,11 @@ class Vocabulary:
         self.suffix = model.get("end_of_word_suffix")
         if model["type"] != "BPE" or not self.suffix or spec.get("decoder") or model.get("byte_fallback"):
             raise ValueError(f"{path}: only byte-level BPE with an end-of-word suffix and no decoder is supported")
+        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")):
+            raise ValueError(f"{path}: dropout, unknown tokens, inner prefixes and ignored merges are not supported")
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")) or any(
+                not t["content"].startswith("<|") or re.search(r"\s", t["content"]) for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: only plain added tokens that start with <| and hold no space are supported")
         self.id: dict[str, int] = model["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.rank: dict[tuple[int, int], int] = {}
@@ -170,8 +179,16 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        rules = json.loads(open(path, encoding="utf-8").read())["pre_tokenizer"]["pretokenizers"]
-        self.pattern = regex.compile(rules[0]["pattern"]["Regex"])
+        spec = json.loads(open(path, encoding="utf-8").read())
+        steps = [spec["normalizer"]] if spec["normalizer"] else []
+        if steps and steps[0]["type"] == "Sequence":
+            steps = steps[0]["normalizers"]
+        if not all(s in STEPS for s in steps):
+            raise ValueError(f"{path}: the normaliser has other steps than NFC, Replace of spaces and Lowercase")
+        if spec["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}:
+            raise ValueError(f"{path}: words are split by another rule than the supported one")
+        self.lower = STEPS[-1] in steps
+        self.pattern = regex.compile(SPLIT["pattern"]["Regex"])
         self.special = re.compile("|".join(sorted(map(re.escape, self.vocabulary.special), key=len, reverse=True)) or r"(?!)")
         named = {i: s for s, i in [*self.vocabulary.id.items(), *self.vocabulary.special.items()]}
         self.strings = pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
@@ -191,8 +208,9 @@ class Encoder:
                 at = m.end()
             return out + self.pieces(word[at:])
         if PRINTABLE.fullmatch(word):  # byte-level characters are the characters themselves
-            return self.pattern.findall(word.lower())
-        return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))] if word else []
+            return self.pattern.findall(word.lower() if self.lower else word)
+        normal = self.normalizer.normalize_str(word) if self.normalizer else word
+        return [p for p, _ in self.splitter.pre_tokenize_str(normal)] if word else []
 
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words end to end, number of ids of each text)."""
