@@ -1,30 +1,34 @@
 """Language-model scoring with a hierarchical Pitman-Yor model, fitted by Gibbs sampling.
 
-*Model.* Tokens are lower-cased words and one end per text (spelled as the empty word). The top
-restaurant seats every training token at tables that serve its word; a table is one
-customer of the spelling model below, which writes a word byte by byte up to a closing
-space. Its restaurants are contexts of the three bytes before, whose parents drop the farthest
+*Model.* Tokens are lower-cased words and one end per text (spelled as the empty word). Every token sits in the
+restaurant of the token before it (the first of a text in that of the end), whose tables serve words. These context
+restaurants share a parent: their tables are the customers of the word restaurant, and its
+tables are the customers of the spelling model below, which writes a word byte by byte up to a closing
+space. Spelling restaurants are contexts of the three bytes before, whose parents drop the farthest
 byte, down to the empty context and a uniform base; restaurants with the same shorter context share
 that parent. Context bytes are held as classes (64, 64 and 16 of them), so the
 spelling model has at most ``2**24`` cells whatever the corpus is: that bounds what the
-driver holds and what is broadcast.
+driver holds and what is broadcast. Pairs of words are all kept and grow with the corpus.
 
 As in the base score, all words that training does not have are one type: its base probability is
-what the spelling model leaves for strings outside the vocabulary, so the probabilities of the
+what the spelling model leaves for strings outside the vocabulary, so after every context the probabilities of the
 vocabulary and of that type sum to one.
 
-*Gibbs sweeps.* A sweep seats every word's customers anew, one after the other, given the
-other words' tables and the spelling model of the sweep before; then the tables' spellings are
+*Gibbs sweeps.* A sweep seats every pair's customers anew, one after the other, given the word probabilities and
+the other tables of its context as the sweep before left them; the tables become customers of the words, which are seated given
+the spelling model of the sweep before; then the tables' spellings are
 counted, and the spelling restaurants are seated level by level, each sending its tables to its parent.
 Past ``SINGLE`` customers of one dish, customers are seated in blocks of an eighth of
 those present: the block's new tables are their expected number, rounded at random. Random numbers
 are hashes of the dish and the sweep, so reruns agree. After ``BURN_IN`` sweeps the predictive
 probabilities of ``SAMPLES`` sweeps are averaged. Discounts come from counts of counts.
 
-*Scale.* The vocabulary with its counts lives in shards by word hash and grows with the corpus;
-sweeps run over it in parallel. Documents are dealt into chunks; a chunk asks each shard once
-for its distinct words and gets counts and probabilities back, so neither the vocabulary nor word
-occurrences are broadcast or shuffled one by one.
+*Scale.* The vocabulary lives in shards by word hash, the pairs in shards by the hash of both words, so a hot context is
+spread over all of them. In a sweep a pair shard asks each word shard once for its distinct words of pairs seen twice or more, and
+sends back how many tables they have as contexts and as words; pairs seen once always have one table and are counted once. Documents
+are dealt into chunks; a chunk asks each shard once for its distinct words and pairs and gets counts and
+probabilities back, so neither the vocabulary nor occurrences are broadcast or shuffled one by one. Shuffle
+files of a finished step are given up with it, where Spark can do so.
 
 Defined results: null text counts as empty (one token, the end); without training texts every
 count is zero and every token is the unknown type, of probability 1; a null id is dealt and held out by its hash of 0;
@@ -34,6 +38,7 @@ one; other columns are ignored. Words are named by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -43,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framefold.llm.op3_fertility import ranges
-from framefold.llm.scratch import chunk_of, power_of_two, stored, table, text_bytes
+from framefold.llm.scratch import chunk_of, drop_stored, power_of_two, stored, table, text_bytes
 from framefold.llm.words import _LOWER, Words, mix, slices
 
 FOLDS = 10
@@ -145,11 +150,14 @@ def flat() -> Spelling:
     return Spelling(np.full(1 << (LEVEL_BITS[2] + 8), 1 / 256), np.zeros(0, np.int64), np.zeros(0), np.ones(1 << LEVEL_BITS[3]))
 
 
-def discount_of(n: np.ndarray) -> float:
-    one, two = float((n == 1).sum()), float((n == 2).sum())
+def discount_from(one: float, two: float) -> float:
     return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
 
 
+def discount_of(n: np.ndarray) -> float:
+    return discount_from(float((n == 1).sum()), float((n == 2).sum()))
+
+
 def seat_spellings(cells: np.ndarray, n: np.ndarray, last: Spelling, sweep: int) -> Spelling:
     """Seat the levels from the longest contexts down, then build the predictive tables upwards."""
     dense_last = {3: None, 2: last.parent}
@@ -258,50 +266,275 @@ def vocabulary(texts: DataFrame, bits: int) -> DataFrame:
     return texts.mapInArrow(count, SHARD).groupBy("shard").applyInArrow(add, SHARD)
 
 
+def sequence(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token before, token, text) of every token of the slice, ends included."""
+    token = np.insert(token_names(w), w.bounds[1:], END)
+    return np.concatenate([[END], token[:-1]]), token, np.insert(w.doc, w.bounds[1:], np.arange(len(w.counts)))
+
+
+def pair_names(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
+
+
+def raw(a: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(a).astype(kind).tobytes()
+
+
+def taken(row: dict, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(row[column] or b"", kind)
+
+
+def as_table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.table({n: pa.array(list(c), kinds[k]) for (n, k), c in zip(fields, columns, strict=True)})
+
+
+def by_shard(names: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the runs of ordered names."""
+    shard = (names >> np.uint64(64 - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.diff(shard, prepend=-1))
+    yield from zip(shard[edge].tolist(), edge.tolist(), np.append(edge, len(names))[1:].tolist(), strict=True)
+
+
+#: Rows for pair shards (kind 0) and for word shards (kind 1).
+PAIRS = "kind int, shard int, names binary, u binary, w binary, counts binary, keys binary, singles binary, one long, two long"
+ASKED = "kind int, shard int, chunk int, base int, names binary"
+WORDS = SHARD + ", fixed binary, customers binary, tables binary"
+
+
+def pairs_of(texts: DataFrame, word_bits: int, bits: int) -> DataFrame:
+    """Training pairs by shard of pairs (kind 0), and the pairs of each word, seen once or oftener, by shard of words (kind 1)."""
+    kind = "shard int, names binary, u binary, w binary, counts binary"
+
+    def add(u, w, c):
+        key, first, back = np.unique(pair_names(u, w), return_index=True, return_inverse=True)
+        return key, u[first], w[first], np.bincount(back, weights=c, minlength=len(key)).astype(np.int64)
+
+    def rows(key, u, w, c) -> pa.RecordBatch:
+        out = []
+        for shard, i, j in by_shard(key, bits):
+            names, back = np.unique(np.concatenate([u[i:j], w[i:j]]), return_inverse=True)
+            order = np.argsort(back[:j - i], kind="stable")
+            out.append((shard, raw(names, "<u8"), raw(back[:j - i][order], "<i4"), raw(back[j - i:][order], "<i4"), raw(c[i:j][order], "<i8")))
+        return as_table(out, kind)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, part in slices(batch.column(0)):
+                u, w, _ = sequence(part)
+                held.append(add(u, w, np.ones(len(u)))[1:])
+                size += len(held[-1][0])
+                if size > 1 << 21:
+                    merged_pairs = add(*map(np.concatenate, zip(*held, strict=True)))
+                    yield from rows(*merged_pairs).to_batches()
+                    held, size = [], 0
+        if held:
+            yield from rows(*add(*map(np.concatenate, zip(*held, strict=True)))).to_batches()
+
+    def merge(part: pa.Table) -> pa.Table:
+        us, ws, cs = [], [], []
+        for row in part.to_pylist():
+            names = taken(row, "names", "<u8")
+            us.append(names[taken(row, "u", "<i4")])
+            ws.append(names[taken(row, "w", "<i4")])
+            cs.append(taken(row, "counts", "<i8"))
+        key, u, w, c = add(*map(np.concatenate, (us, ws, cs)))
+        many = c > 1
+        names, back = np.unique(np.concatenate([u[many], w[many]]), return_inverse=True)
+        half = int(many.sum())
+        out = [(0, part.column("shard")[0].as_py(), raw(names, "<u8"), raw(back[:half], "<i4"), raw(back[half:], "<i4"), raw(c[many], "<i8"),
+                raw(key[many], "<u8"), raw(key[~many], "<u8"), int((~many).sum()), int((c == 2).sum()))]
+        names, back = np.unique(np.concatenate([u, w]), return_inverse=True)
+        each = [np.bincount(back[at:at + len(u)], weights=x, minlength=len(names)) for x in (~many, many) for at in (0, len(u))]
+        for shard, i, j in by_shard(names, word_bits):
+            out.append((1, shard, raw(names[i:j], "<u8"), *[raw(x[i:j], "<i8") for x in each], b"", 0, 0))
+        return as_table(out, PAIRS)
+
+    return texts.mapInArrow(count, kind).groupBy("shard").applyInArrow(merge, PAIRS)
+
+
+def state(held: dict, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, tables as a context) of a shard's words in one of the kept states, -1 the last."""
+    n = len(held["names"]) // 8
+    return tuple(taken(held, c, "<i8").reshape(-1, n)[which] for c in ("customers", "tables"))
+
+
+def placed(names: np.ndarray, part: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
+    """Sums of the rows' columns per name."""
+    out = [np.zeros(len(names), np.int64) for _ in columns]
+    for row in part.to_pylist():
+        at = np.searchsorted(names, taken(row, "names", "<u8"))
+        for x, c in zip(out, columns, strict=True):
+            x[at] += taken(row, c, "<i8")  # a row names a word once
+    return out
+
+
+def first_state(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The vocabulary with one table for every distinct pair; ``fixed``: those of pairs seen once."""
+    def start(held: pa.Table, part: pa.Table) -> pa.Table:
+        out = []
+        for row in held.to_pylist():
+            names = taken(row, "names", "<u8")
+            t1, n1, t2, n2 = placed(names, part, ("u", "w", "counts", "keys"))
+            out.append((row["shard"], row["names"], row["counts"], row["blob"], row["lengths"], raw(np.stack([n1, t1]), "<i8"), raw(n1 + n2, "<i8"), raw(t1 + t2, "<i8")))
+        return as_table(out, WORDS)
+
+    return words.groupBy("shard").cogroup(pairs.where("kind = 1").groupBy("shard")).applyInArrow(start, WORDS)
+
+
 @dataclass
 class Fitted:
-    samples: Broadcast  # sent once: the later jobs read the same copy
-    unknown: float  # log10 probability of the unknown type
+    """The fitted model: words and pairs in shards, spelling samples."""
 
+    held: DataFrame  # words (kind 0) and pairs (kind 1)
+    samples: Broadcast  # sent once: the later jobs read the same copy
+    unknown: np.ndarray  # probability of the unknown type in each sample
+    discount: float  # of the context restaurants
+    tokens: int
+    distinct: int
+    word_bits: int
+    pair_bits: int
+
+
+HELD = "kind int, " + WORDS
+SEATED = "kind int, shard int, names binary, u binary, w binary, counts binary"
+
+
+def sweep_pairs(words: DataFrame, pairs: DataFrame, asked: DataFrame, model: Broadcast, discount: float, sweep: int, word_bits: int) -> DataFrame:
+    """Pairs seated anew: tables by pair shard (kind 0, in ``counts``) and what they add to words (kind 1: as contexts ``u``, as words ``w``)."""
+    def tell(questions: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        if questions.num_rows and held.num_rows:
+            row = held.to_pylist()[0]
+            name, _, blob, length = unpack(row)
+            n, t = state(row, -1)
+            p = model.value.word(name, n, blob, length)
+            for q in questions.to_pylist():
+                at = np.searchsorted(name, taken(q, "names", "<u8"))
+                out.append((q["chunk"], q["base"], raw(p[at], "<f4"), raw(t[at], "<i8")))
+        return as_table(out, "chunk int, base int, p binary, t binary")
+
+    def sit(held: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        for row in held.to_pylist():
+            names, u, w, c, key = (taken(row, x, k) for x, k in (("names", "<u8"), ("u", "<i4"), ("w", "<i4"), ("counts", "<i8"), ("keys", "<u8")))
+            p, t = np.zeros(len(names)), np.zeros(len(names))
+            for a in told.to_pylist():
+                some = taken(a, "p", "<f4")
+                p[a["base"]:a["base"] + len(some)], t[a["base"]:a["base"] + len(some)] = some, taken(a, "t", "<i8")
+            tables = seat(key, c, (STRENGTH + discount * t[u]) * p[w], discount, sweep)
+            out.append((0, row["shard"], None, None, None, raw(tables, "<i8")))
+            as_context, as_word = (np.bincount(x, weights=tables, minlength=len(names)) for x in (u, w))
+            for shard, i, j in by_shard(names, word_bits):
+                out.append((1, shard, raw(names[i:j], "<u8"), raw(as_context[i:j], "<i8"), raw(as_word[i:j], "<i8"), None))
+        return as_table(out, SEATED)
+
+    told = asked.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(tell, "chunk int, base int, p binary, t binary")
+    return pairs.where("kind = 0").groupBy("shard").cogroup(told.groupBy("chunk")).applyInArrow(sit, SEATED)
+
+
+def next_state(words: DataFrame, seated: DataFrame, keep: bool) -> DataFrame:
+    """The vocabulary after a sweep; ``keep``: the state before it is kept as well."""
+    def put(held: pa.Table, part: pa.Table) -> pa.Table:
+        out = []
+        for row in held.to_pylist():
+            names = taken(row, "names", "<u8")
+            fixed = taken(row, "fixed", "<i8").reshape(2, -1)
+            t, n = placed(names, part, ("u", "w"))
+            before = (row["customers"], row["tables"]) if keep else (b"", b"")
+            out.append(tuple(row[c] for c in ("shard", "names", "counts", "blob", "lengths", "fixed")) + (before[0] + raw(fixed[0] + n, "<i8"), before[1] + raw(fixed[1] + t, "<i8")))
+        return as_table(out, WORDS)
+
+    return words.groupBy("shard").cogroup(seated.where("kind = 1").groupBy("shard")).applyInArrow(put, WORDS)
+
+
+def spell(words: DataFrame, now: Spelling, sweep: int) -> Spelling:
+    """The words' customers and their spellings seated anew."""
+    sent = words.sparkSession.sparkContext.broadcast(replace(now, before=None))
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                name, _, blob, length = unpack(row)
+                n, _ = state(row, -1)
+                t = seat(name, n, model.fresh(model.log10(blob, length)), model.discount, sweep)
+                cell, _ = positions(blob, length)
+                u, back = np.unique(cell, return_inverse=True)
+                each = np.bincount(back, weights=np.repeat(t, length + 1), minlength=len(u)).astype(np.int64)
+                sums = [t.sum(), n.sum(), (n == 1).sum(), (n == 2).sum()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(u, [-1, -2, -3, -4]).astype(np.int64)), pa.array(np.append(each, sums).astype(np.int64))], ["cell", "n"])
+
+    # At most 2**24 cells: the bound of the spelling model.
+    got = words.mapInArrow(tables, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+    sent.destroy()
+    cell, n = got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    total = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
+    after = seat_spellings(cell[cell >= 0], n[cell >= 0], now, sweep)
+    after.tables, after.tokens, after.sweep = float(total.get(-1, 0)), float(total.get(-2, 0)), sweep
+    after.discount, after.before = discount_from(total.get(-3, 0), total.get(-4, 0)), replace(now, before=None)
+    return after
+
+
+@contextmanager
+def finished_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a step are deleted with its end: every step is a written table, so nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def fit(training: DataFrame, size: int) -> Fitted:
+    """The model of all texts of ``training``; ``size``: bytes, for the number of shards."""
+    spark = training.sparkSession
+    word_bits, pair_bits = (power_of_two(size / each, 8, 1 << 24).bit_length() - 1 for each in (1 << 20, 4 << 20))
+    counted = stored(vocabulary(training, word_bits), "vocabulary")
+    pairs = stored(pairs_of(training, word_bits, pair_bits), "pairs")
 
-def fit(words: DataFrame) -> tuple[Fitted, int, int]:
-    """(the model, number of training tokens, number of distinct ones)."""
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, c, _, _ in rows_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(c), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()))], ["v", "n", "one", "two"])
-
-    sums = words.mapInArrow(totals, "v long, n long, one long, two long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "one", "two")]).first()
-    distinct_words, tokens, one, two = map(int, sums)
-    discount = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
-    now = flat()
-    now.tables, now.discount, now.tokens = float(distinct_words), discount, float(tokens)
-    samples = []
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(c), int(c.sum()))], ["v", "n"])
+
+    total = lambda df, *cols: tuple(map(int, df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in cols]).first()))
+    distinct_words, tokens = total(counted.mapInArrow(totals, "v long, n long"), "v", "n")
+    discount = discount_from(*total(pairs, "one", "two"))
+
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = taken(row, "names", "<u8")
+                yield from as_table([(0, s, row["shard"], i, raw(names[i:j], "<u8")) for s, i, j in by_shard(names, word_bits)], ASKED).to_batches()
+
+    asked = stored(pairs.where("kind = 0").mapInArrow(questions, ASKED), "asked")
+    words = stored(first_state(counted, pairs), "words")
+    drop_stored(spark, counted)
+    now = spell(words, flat(), 0)
+    samples, seats = [], []
     for sweep in range(1, BURN_IN + SAMPLES + 1):
-        # A sweep needs the last model alone, and its broadcast goes when the sweep is counted.
-        sent = words.sparkSession.sparkContext.broadcast(replace(now, before=None))
-
-        def tables(batches: Iterator[pa.RecordBatch], sent=sent, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            model = sent.value
-            for batch in batches:
-                for name, c, blob, length in rows_of(batch):
-                    t = seat(name, c, model.fresh(model.log10(blob, length)), model.discount, sweep)
-                    cell, _ = positions(blob, length)
-                    u, back = np.unique(cell, return_inverse=True)
-                    n = np.bincount(back, weights=np.repeat(t, length + 1), minlength=len(u)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.append(u, -1).astype(np.int64)), pa.array(np.append(n, t.sum()))], ["cell", "n"])
-
-        # At most 2**24 cells: the bound of the spelling model.
-        got = words.mapInArrow(tables, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+        sent = spark.sparkContext.broadcast(now)
+        seated = stored(sweep_pairs(words, pairs, asked, sent, discount, sweep, word_bits), "seated")
+        last, words = words, stored(next_state(words, seated, sweep > BURN_IN + 1), "words")
         sent.destroy()
-        cell, n = got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-        after = seat_spellings(cell[cell >= 0], n[cell >= 0], now, sweep)
-        after.tables, after.discount, after.tokens, after.sweep = float(n[cell < 0].sum()), discount, float(tokens), sweep
-        after.before = replace(now, before=None)
-        now = after
+        drop_stored(spark, last)
+        now = spell(words, now, sweep)
         if sweep > BURN_IN:
             samples.append(now)
-    sent = words.sparkSession.sparkContext.broadcast(samples)
+            seats.append(seated)
+        else:
+            drop_stored(spark, seated)
+    drop_stored(spark, asked)
+    sent = spark.sparkContext.broadcast(samples)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,75 +542,102 @@ def fit(words: DataFrame) -> tuple[Fitted, int, int]:
                 yield pa.RecordBatch.from_arrays([pa.array([float((10.0 ** s.log10(blob, length)).sum())]) for s in sent.value], [f"s{i}" for i in range(SAMPLES)])
 
     mass = words.mapInArrow(seen, ", ".join(f"s{i} double" for i in range(SAMPLES))).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(SAMPLES)]).first()
-    for s, m in zip(samples, mass, strict=True):
-        s.unseen = max(1e-9, 1.0 - m)
-    return Fitted(sent, unseen_log10(samples)), tokens, distinct_words
-
-
-def unseen_log10(samples: list[Spelling]) -> float:
-    return float(np.log10(np.mean([(STRENGTH + s.discount * s.tables) * s.unseen / (STRENGTH + s.tokens) for s in samples])))
-
-
-def predictive(samples: list[Spelling], name, count, blob, length) -> np.ndarray:
-    """Mean over the samples of each word's probability, as log10."""
-    return np.log10(np.mean([s.word(name, count, blob, length) for s in samples], axis=0))
-
-
-def scores(docs: DataFrame, model: Fitted, words: DataFrame, tokens: int, distinct_words: int, bits: int, chunks: int) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of every row of (id, text)."""
-    sent, unknown = model.samples, model.unknown
+    unknown = np.array([(STRENGTH + s.discount * s.tables) * max(1e-9, 1.0 - m) / (STRENGTH + s.tokens) for s, m in zip(samples, mass, strict=True)])
+
+    def own(held: pa.Table, parts: pa.Table) -> pa.Table:
+        """Customers less discounted tables, the mean over the samples, of a shard's pairs."""
+        out = []
+        for row in held.to_pylist():
+            t = [taken(x, "counts", "<i8") for x in parts.to_pylist()]
+            out.append((1, row["shard"], row["keys"], raw(taken(row, "counts", "<i8") - discount * np.mean(t, axis=0), "<f4"), row["singles"], None, None, None, None))
+        return as_table(out, HELD)
+
+    seats_of = seats[0]
+    for more in seats[1:]:
+        seats_of = seats_of.unionByName(more)
+    pair_rows = pairs.where("kind = 0").groupBy("shard").cogroup(seats_of.where("kind = 0").groupBy("shard")).applyInArrow(own, HELD)
+    found = stored(words.select(F.lit(0).alias("kind"), "*").unionByName(pair_rows), "model")
+    for df in (words, pairs, *seats):
+        drop_stored(spark, df)
+    return Fitted(found, sent, unknown, discount, tokens, distinct_words, word_bits, pair_bits)
+
+
+def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of every row of (id, text).
+
+    Without ``ends`` texts are beginnings: how they end is not scored.
+    """
+    sent, unknown, discount, tokens, distinct_words = model.samples, model.unknown, model.discount, model.tokens, model.distinct
+    all_bits = (model.word_bits, model.pair_bits)
     keyed = docs.select(chunk_of(chunks, F.col("id"), F.col("text")).alias("chunk"), "id", "text")
 
-    def chunk_names(part: pa.Table) -> tuple[list, np.ndarray]:
-        found = [(lo, hi, w, token_names(w)) for lo, hi, w in slices(part.column("text"))]
-        return found, np.unique(np.concatenate([np.array([END]), *[h for *_, h in found]]))
+    def chunk_names(part: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+        found = [(lo, hi, *sequence(w)) for lo, hi, w in slices(part.column("text"))]
+        pairs = [pair_names(u, w) for _, _, u, w, _ in found]
+        return found, *(np.unique(np.concatenate(x)) for x in ([np.array([END]), *[f[3] for f in found]], [np.zeros(0, np.uint64), *pairs]))
 
     def ask(part: pa.Table) -> pa.Table:
-        _, names = chunk_names(part)
-        shard = (names >> np.uint64(64 - bits)).astype(np.int32)
-        edge = np.flatnonzero(np.diff(shard, prepend=-1))
-        return pa.table({"shard": pa.array(shard[edge]), "chunk": pa.array([part.column("chunk")[0].as_py()] * len(edge), pa.int32()),
-                         "base": pa.array(edge.astype(np.int32)), "names": pa.array([x.astype("<u8").tobytes() for x in np.split(names, edge[1:])], pa.binary())})
+        chunk = part.column("chunk")[0].as_py()
+        _, *both = chunk_names(part)
+        return as_table([(kind, s, chunk, i, raw(names[i:j], "<u8")) for kind, names in enumerate(both) for s, i, j in by_shard(names, all_bits[kind])], ASKED)
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = {"chunk": [], "base": [], "counts": [], "logs": []}
+        """Words: count, probability and tables in each sample. Pairs: customers less discounted tables."""
+        out = []
         if held.num_rows and asked.num_rows:
-            name, count, blob, length = next(rows_of(held))
-            log = predictive(sent.value, name, count, blob, length).astype("<f4")
+            row = held.to_pylist()[0]
+            name = taken(row, "names", "<u8")
+            if row["kind"]:
+                own, single = taken(row, "counts", "<f4"), taken(row, "blob", "<u8")
+            else:
+                _, count, blob, length = unpack(row)
+                each = [s.word(name, state(row, i)[0], blob, length) for i, s in enumerate(sent.value)] + [state(row, i)[1] for i in range(SAMPLES)]
             for i in range(asked.num_rows):
                 q = np.frombuffer(asked.column("names")[i].as_buffer(), "<u8")
-                at = np.minimum(np.searchsorted(name, q), len(name) - 1)
-                hit = name[at] == q
-                out["chunk"].append(asked.column("chunk")[i].as_py())
-                out["base"].append(asked.column("base")[i].as_py())
-                out["counts"].append(np.where(hit, count[at], 0).astype("<i8").tobytes())
-                out["logs"].append(np.where(hit, log[at], 0).astype("<f4").tobytes())
-        return pa.table({"chunk": pa.array(out["chunk"], pa.int32()), "base": pa.array(out["base"], pa.int32()),
-                         "counts": pa.array(out["counts"], pa.binary()), "logs": pa.array(out["logs"], pa.binary())})
+
+                def find(x, q=q):
+                    at = np.minimum(np.searchsorted(x, q), max(len(x) - 1, 0))
+                    return at, (x[at] == q if len(x) else np.zeros(len(q), bool))
+
+                at, hit = find(name)
+                if row["kind"]:
+                    values = np.where(find(single)[1], 1 - discount, 0.0)
+                    values[hit] = own[at[hit]]
+                    counts = b""
+                else:
+                    counts = raw(np.where(hit, count[at], 0), "<i8")
+                    values = np.stack([np.where(hit, x[at], 0) for x in each])
+                out.append((row["kind"], asked.column("chunk")[i].as_py(), asked.column("base")[i].as_py(), counts, raw(values, "<f4")))
+        return as_table(out, "kind int, chunk int, base int, counts binary, vals binary")
 
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
-        found, names = chunk_names(part)
-        count, log = np.zeros(len(names), np.int64), np.zeros(len(names))
-        for i in range(told.num_rows):
-            lo = told.column("base")[i].as_py()
-            c = np.frombuffer(told.column("counts")[i].as_buffer(), "<i8")
-            count[lo:lo + len(c)] = c
-            log[lo:lo + len(c)] = np.frombuffer(told.column("logs")[i].as_buffer(), "<f4")
+        found, names, pairs = chunk_names(part)
+        count, each, own = np.zeros(len(names), np.int64), np.zeros((2 * SAMPLES, len(names))), np.zeros(len(pairs))
+        for row in told.to_pylist():
+            lo, values = row["base"], taken(row, "vals", "<f4")
+            if row["kind"]:
+                own[lo:lo + len(values)] = values
+            else:
+                c = taken(row, "counts", "<i8")
+                count[lo:lo + len(c)], each[:, lo:lo + len(c)] = c, values.reshape(2 * SAMPLES, -1)
+        p, open_ = each[:SAMPLES], (STRENGTH + discount * each[SAMPLES:])
+        p[:, count == 0] = unknown[:, None]
         base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct_words + 1)))
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        log[count == 0] = unknown
-        for lo, hi, w, h in found:
-            at = np.searchsorted(names, h)
-            end = np.searchsorted(names, END)
-            total = lambda x: np.bincount(w.doc, weights=x[at], minlength=hi - lo) + x[end]  # noqa: B023, E731
-            out["n_tokens"].append(w.counts + 1)
-            out["n_known"].append(total((count > 0).astype(float)).astype(np.int64))
-            out["base_score"].append(total(base))
-            out["score"].append(total(log))
+        for lo, hi, u, w, doc in found:
+            own_at, u, w = np.searchsorted(pairs, pair_names(u, w)), np.searchsorted(names, u), np.searchsorted(names, w)
+            chance = own[own_at].copy()
+            for s in range(SAMPLES):
+                chance += open_[s, u] * p[s, w] / SAMPLES
+            log = np.log10(chance / (STRENGTH + count[u]))
+            scored = np.ones(len(w)) if ends else (names[w] != END).astype(float)
+            total = lambda x: np.bincount(doc, weights=x * scored, minlength=hi - lo)  # noqa: B023, E731
+            for k, x in (("n_tokens", 1.0), ("n_known", count[w] > 0), ("base_score", base[w]), ("score", log)):
+                out[k].append(total(x))
         return pa.table({"id": part.column("id"), **{k: pa.array(np.concatenate(v).astype(np.int64 if k[0] == "n" else float) if v else [], pa.int64() if k[0] == "n" else pa.float64()) for k, v in out.items()}})
 
-    asked = keyed.groupBy("chunk").applyInArrow(ask, "shard int, chunk int, base int, names binary")
-    told = asked.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(answer, "chunk int, base int, counts binary, logs binary")
+    asked = keyed.groupBy("chunk").applyInArrow(ask, ASKED)
+    told = asked.groupBy("kind", "shard").cogroup(model.held.groupBy("kind", "shard")).applyInArrow(answer, "kind int, chunk int, base int, counts binary, vals binary")
     kind = docs.schema["id"].dataType.simpleString()
     return keyed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
 
@@ -385,19 +645,19 @@ def scores(docs: DataFrame, model: Fitted, words: DataFrame, tokens: int, distin
 def score_texts(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int]:
     """Scores of all rows of (id, text) under a model of the ``training`` texts, and the number of training tokens."""
     size = text_bytes(docs)
-    bits = power_of_two(size / (1 << 20), 8, 1 << 24).bit_length() - 1
-    words = stored(vocabulary(training.select("text"), bits), "vocabulary")
-    model, tokens, distinct_words = fit(words)
-    return scores(docs, model, words, tokens, distinct_words, bits, size // CHUNK_BYTES + 1), tokens
+    with finished_shuffles_go(docs.sparkSession):
+        model = fit(training.select("text"), size)
+    return scores(docs, model, size // CHUNK_BYTES + 1), model.tokens
 
 
 def op8_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """All ``documents``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (a token)."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % FOLDS == 0
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("doc_id").alias("id"), "text")
     found, tokens = score_texts(docs.select("id", "text"), docs.where(~held_out))
     return (found.withColumnRenamed("id", "doc_id")
-            .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"))
+            .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score",
+                    F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")))
 
 
 QUERIES = {"op8_hpylm": op8_hpylm}

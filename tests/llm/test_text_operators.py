@@ -7,8 +7,9 @@ import math
 import random
 
 import duckdb
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
@@ -328,16 +329,99 @@ def test_score_probabilities_sum_to_one(spark):
     train = [(i, prose(i, 50)) for i in range(30)]
     docs = spark.createDataFrame(train, "id long, text string")
     vocabulary = sorted({w for _, t in train for w in words(t)})
-    probe = spark.createDataFrame([(k, w) for k, w in enumerate([*vocabulary, "neverseen", ""])], "id long, text string")
-    _, tokens = op8_hpylm.score_texts(docs, docs)
-    from framefold.llm.scratch import stored
-    held = stored(op8_hpylm.vocabulary(docs.select("text"), 3), "v")
-    samples, n, v = op8_hpylm.fit(held)
-    assert n == tokens and v == len(vocabulary) + 1
-    got = {r.id: r.score for r in op8_hpylm.scores(probe, samples, held, n, v, 3, 2).collect()}
-    end = got[len(vocabulary) + 1]
-    total = sum(10 ** (got[k] - end) for k in range(len(vocabulary) + 1)) + 10 ** end
-    assert abs(total - 1) < 1e-3
+    model = op8_hpylm.fit(docs.select("text"), 1000)
+    assert model.tokens == sum(len(words(t)) + 1 for _, t in train) and model.distinct == len(vocabulary) + 1
+
+    def score(texts, ends):
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        return {texts[r.id]: r.score for r in op8_hpylm.scores(df, model, 2, ends).collect()}
+
+    contexts = ["", *words(train[0][1])[:2], "neverseen"]  # the beginning, seen words, an unseen word
+    texts = contexts + [f"{u} {x}" for u in contexts for x in [*vocabulary, "unheardof"]]
+    begun, ended = score(texts, False), score(contexts, True)
+    assert begun[""] == 0
+    for u in contexts:
+        total = sum(10 ** (begun[f"{u} {x}"] - begun[u]) for x in [*vocabulary, "unheardof"]) + 10 ** (ended[u] - begun[u])
+        assert abs(total - 1) < 1e-3
+
+
+def seated_one_by_one(train, spelling, discount, word_discount, sweeps, burn_in):
+    """Textbook Gibbs sampling of the two word levels: each customer leaves and sits down again. P(word | context)."""
+    r = random.Random(5)
+    contexts, top = collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(list)
+    strength = op8_hpylm.STRENGTH
+
+    def chance_top(w):
+        n, t = sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (sum(top[w]) - word_discount * len(top[w]) + (strength + word_discount * t) * spelling[w]) / (strength + n)
+
+    def sit(tables, d, fresh):
+        at = r.choices(range(len(tables) + 1), [*(x - d for x in tables), fresh])[0]
+        if at == len(tables):
+            tables.append(0)
+        tables[at] += 1
+        return tables[at] == 1
+
+    def leave(tables):
+        at = r.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            return True
+        return False
+
+    def enter(u, w):
+        room = contexts[u]
+        if sit(room[w], discount, (strength + discount * sum(map(len, room.values()))) * chance_top(w)):
+            sit(top[w], word_discount, (strength + word_discount * sum(map(len, top.values()))) * spelling[w])
+
+    for u, w in train:
+        enter(u, w)
+    mean = collections.Counter()
+    for sweep in range(sweeps):
+        for u, w in train:
+            if leave(contexts[u][w]):
+                leave(top[w])
+            enter(u, w)
+        if sweep >= burn_in:
+            for u in list(contexts):
+                room = contexts[u]
+                n, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+                for w in spelling:
+                    mean[u, w] += (sum(room[w]) - discount * len(room[w]) + (strength + discount * t) * chance_top(w)) / (strength + n) / (sweeps - burn_in)
+    return mean
+
+
+def test_scores_agree_with_customers_seated_one_by_one(spark):
+    r = random.Random(3)
+    chain = {None: "abc", "a": "aab", "b": "cad", "c": "de", "d": "abcde", "e": "ab"}
+    texts = []
+    for _ in range(12):
+        t = []
+        for _ in range(r.randrange(2, 8)):
+            t.append(r.choice(chain[t[-1] if t else None]))
+        texts.append(t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    model = op8_hpylm.fit(docs.select("text"), 1000)
+    blob = np.frombuffer(b"abcde", np.uint8)
+    length = np.array([1, 1, 1, 1, 1, 0])
+    samples = model.samples.value
+    spelling = dict(zip([*"abcde", None], np.mean([10.0 ** s.log10(blob, length) for s in samples], axis=0).tolist(), strict=True))
+    pairs = [(u, w) for t in texts for u, w in zip([None, *t], [*t, None], strict=True)]
+    mean = seated_one_by_one(pairs, spelling, model.discount, float(np.mean([s.discount for s in samples])), 250, 50)
+    for row in op8_hpylm.scores(docs, model, 2).collect():
+        t = texts[row.id]
+        want = sum(math.log10(mean[u, w]) for u, w in zip([None, *t], [*t, None], strict=True))
+        assert abs(row.score - want) < 0.06 * (len(t) + 1), (row, want)
+
+
+def test_order_of_words_counts(spark):
+    train = [(i, "the quick fox jumps over a lazy dog") for i in range(5)] + [(9, "a dog over the fox")]
+    docs = spark.createDataFrame(train, "id long, text string")
+    model = op8_hpylm.fit(docs.select("text"), 1000)
+    probe = spark.createDataFrame([(0, "the quick fox jumps over a lazy dog"), (1, "dog lazy a over jumps fox quick the")], "id long, text string")
+    got = {r.id: (r.base_score, r.score) for r in op8_hpylm.scores(probe, model, 2).collect()}
+    assert math.isclose(got[0][0], got[1][0]) and got[0][1] > got[1][1] + 3
 
 
 def test_empty_tables(empty, spark):
