@@ -57,6 +57,8 @@ BURN_IN = 2
 SAMPLES = 3
 SINGLE = 64
 STRENGTH = 1.0
+PAIRS_HELD = 1 << 20  # pairs that a task gathers before it sends them
+WORD_SHARD, PAIR_SHARD = 1 << 20, 2 << 20  # bytes of text to a shard
 SPACE = 32
 END = np.uint64(0x5DEECE66D1234567)  # name of the end token
 LEVEL_BITS = (0, 6, 12, 16)  # context bits of each level
@@ -284,6 +286,12 @@ def taken(row: dict, column: str, kind: str) -> np.ndarray:
     return np.frombuffer(row[column] or b"", kind)
 
 
+def each_row(part) -> Iterator[dict]:
+    """The rows of a batch or table, one in memory at a time."""
+    for i in range(part.num_rows):
+        yield {c: part.column(c)[i].as_py() for c in part.schema.names}
+
+
 def as_table(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -327,16 +335,15 @@ def pairs_of(texts: DataFrame, word_bits: int, bits: int) -> DataFrame:
                 u, w, _ = sequence(part)
                 held.append(add(u, w, np.ones(len(u)))[1:])
                 size += len(held[-1][0])
-                if size > 1 << 21:
-                    merged_pairs = add(*map(np.concatenate, zip(*held, strict=True)))
-                    yield from rows(*merged_pairs).to_batches()
+                if size > PAIRS_HELD:
+                    yield from rows(*add(*map(np.concatenate, zip(*held, strict=True)))).to_batches()
                     held, size = [], 0
         if held:
             yield from rows(*add(*map(np.concatenate, zip(*held, strict=True)))).to_batches()
 
     def merge(part: pa.Table) -> pa.Table:
         us, ws, cs = [], [], []
-        for row in part.to_pylist():
+        for row in each_row(part):
             names = taken(row, "names", "<u8")
             us.append(names[taken(row, "u", "<i4")])
             ws.append(names[taken(row, "w", "<i4")])
@@ -365,7 +372,7 @@ def state(held: dict, which: int) -> tuple[np.ndarray, np.ndarray]:
 def placed(names: np.ndarray, part: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
     """Sums of the rows' columns per name."""
     out = [np.zeros(len(names), np.int64) for _ in columns]
-    for row in part.to_pylist():
+    for row in each_row(part):
         at = np.searchsorted(names, taken(row, "names", "<u8"))
         for x, c in zip(out, columns, strict=True):
             x[at] += taken(row, c, "<i8")  # a row names a word once
@@ -376,7 +383,7 @@ def first_state(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """The vocabulary with one table for every distinct pair; ``fixed``: those of pairs seen once."""
     def start(held: pa.Table, part: pa.Table) -> pa.Table:
         out = []
-        for row in held.to_pylist():
+        for row in each_row(held):
             names = taken(row, "names", "<u8")
             t1, n1, t2, n2 = placed(names, part, ("u", "w", "counts", "keys"))
             out.append((row["shard"], row["names"], row["counts"], row["blob"], row["lengths"], raw(np.stack([n1, t1]), "<i8"), raw(n1 + n2, "<i8"), raw(t1 + t2, "<i8")))
@@ -408,21 +415,21 @@ def sweep_pairs(words: DataFrame, pairs: DataFrame, asked: DataFrame, model: Bro
     def tell(questions: pa.Table, held: pa.Table) -> pa.Table:
         out = []
         if questions.num_rows and held.num_rows:
-            row = held.to_pylist()[0]
+            row = next(each_row(held))
             name, _, blob, length = unpack(row)
             n, t = state(row, -1)
             p = model.value.word(name, n, blob, length)
-            for q in questions.to_pylist():
+            for q in each_row(questions):
                 at = np.searchsorted(name, taken(q, "names", "<u8"))
                 out.append((q["chunk"], q["base"], raw(p[at], "<f4"), raw(t[at], "<i8")))
         return as_table(out, "chunk int, base int, p binary, t binary")
 
     def sit(held: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        for row in held.to_pylist():
+        for row in each_row(held):
             names, u, w, c, key = (taken(row, x, k) for x, k in (("names", "<u8"), ("u", "<i4"), ("w", "<i4"), ("counts", "<i8"), ("keys", "<u8")))
             p, t = np.zeros(len(names)), np.zeros(len(names))
-            for a in told.to_pylist():
+            for a in each_row(told):
                 some = taken(a, "p", "<f4")
                 p[a["base"]:a["base"] + len(some)], t[a["base"]:a["base"] + len(some)] = some, taken(a, "t", "<i8")
             tables = seat(key, c, (STRENGTH + discount * t[u]) * p[w], discount, sweep)
@@ -432,15 +439,15 @@ def sweep_pairs(words: DataFrame, pairs: DataFrame, asked: DataFrame, model: Bro
                 out.append((1, shard, raw(names[i:j], "<u8"), raw(as_context[i:j], "<i8"), raw(as_word[i:j], "<i8"), None))
         return as_table(out, SEATED)
 
-    told = asked.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(tell, "chunk int, base int, p binary, t binary")
-    return pairs.where("kind = 0").groupBy("shard").cogroup(told.groupBy("chunk")).applyInArrow(sit, SEATED)
+    told = asked.groupBy("shard").cogroup(words.drop("fixed").groupBy("shard")).applyInArrow(tell, "chunk int, base int, p binary, t binary")
+    return pairs.where("kind = 0").select("shard", "names", "u", "w", "counts", "keys").groupBy("shard").cogroup(told.groupBy("chunk")).applyInArrow(sit, SEATED)
 
 
 def next_state(words: DataFrame, seated: DataFrame, keep: bool) -> DataFrame:
     """The vocabulary after a sweep; ``keep``: the state before it is kept as well."""
     def put(held: pa.Table, part: pa.Table) -> pa.Table:
         out = []
-        for row in held.to_pylist():
+        for row in each_row(held):
             names = taken(row, "names", "<u8")
             fixed = taken(row, "fixed", "<i8").reshape(2, -1)
             t, n = placed(names, part, ("u", "w"))
@@ -458,7 +465,7 @@ def spell(words: DataFrame, now: Spelling, sweep: int) -> Spelling:
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 name, _, blob, length = unpack(row)
                 n, _ = state(row, -1)
                 t = seat(name, n, model.fresh(model.log10(blob, length)), model.discount, sweep)
@@ -469,7 +476,7 @@ def spell(words: DataFrame, now: Spelling, sweep: int) -> Spelling:
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(u, [-1, -2, -3, -4]).astype(np.int64)), pa.array(np.append(each, sums).astype(np.int64))], ["cell", "n"])
 
     # At most 2**24 cells: the bound of the spelling model.
-    got = words.mapInArrow(tables, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+    got = words.drop("fixed").mapInArrow(tables, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
     sent.destroy()
     cell, n = got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     total = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
@@ -497,7 +504,7 @@ def finished_shuffles_go(spark: SparkSession) -> Iterator[None]:
 def fit(training: DataFrame, size: int) -> Fitted:
     """The model of all texts of ``training``; ``size``: bytes, for the number of shards."""
     spark = training.sparkSession
-    word_bits, pair_bits = (power_of_two(size / each, 8, 1 << 24).bit_length() - 1 for each in (1 << 20, 4 << 20))
+    word_bits, pair_bits = (power_of_two(size / each, 8, 1 << 24).bit_length() - 1 for each in (WORD_SHARD, PAIR_SHARD))
     counted = stored(vocabulary(training, word_bits), "vocabulary")
     pairs = stored(pairs_of(training, word_bits, pair_bits), "pairs")
 
@@ -512,11 +519,11 @@ def fit(training: DataFrame, size: int) -> Fitted:
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 names = taken(row, "names", "<u8")
                 yield from as_table([(0, s, row["shard"], i, raw(names[i:j], "<u8")) for s, i, j in by_shard(names, word_bits)], ASKED).to_batches()
 
-    asked = stored(pairs.where("kind = 0").mapInArrow(questions, ASKED), "asked")
+    asked = stored(pairs.where("kind = 0").select("shard", "names").mapInArrow(questions, ASKED), "asked")
     words = stored(first_state(counted, pairs), "words")
     drop_stored(spark, counted)
     now = spell(words, flat(), 0)
@@ -541,21 +548,21 @@ def fit(training: DataFrame, size: int) -> Fitted:
             for _, _, blob, length in rows_of(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([float((10.0 ** s.log10(blob, length)).sum())]) for s in sent.value], [f"s{i}" for i in range(SAMPLES)])
 
-    mass = words.mapInArrow(seen, ", ".join(f"s{i} double" for i in range(SAMPLES))).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(SAMPLES)]).first()
+    mass = words.select("names", "counts", "blob", "lengths").mapInArrow(seen, ", ".join(f"s{i} double" for i in range(SAMPLES))).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(SAMPLES)]).first()
     unknown = np.array([(STRENGTH + s.discount * s.tables) * max(1e-9, 1.0 - m) / (STRENGTH + s.tokens) for s, m in zip(samples, mass, strict=True)])
 
     def own(held: pa.Table, parts: pa.Table) -> pa.Table:
         """Customers less discounted tables, the mean over the samples, of a shard's pairs."""
         out = []
-        for row in held.to_pylist():
-            t = [taken(x, "counts", "<i8") for x in parts.to_pylist()]
+        for row in each_row(held):
+            t = [taken(x, "counts", "<i8") for x in each_row(parts)]
             out.append((1, row["shard"], row["keys"], raw(taken(row, "counts", "<i8") - discount * np.mean(t, axis=0), "<f4"), row["singles"], None, None, None, None))
         return as_table(out, HELD)
 
     seats_of = seats[0]
     for more in seats[1:]:
         seats_of = seats_of.unionByName(more)
-    pair_rows = pairs.where("kind = 0").groupBy("shard").cogroup(seats_of.where("kind = 0").groupBy("shard")).applyInArrow(own, HELD)
+    pair_rows = pairs.where("kind = 0").select("shard", "counts", "keys", "singles").groupBy("shard").cogroup(seats_of.where("kind = 0").groupBy("shard")).applyInArrow(own, HELD)
     found = stored(words.select(F.lit(0).alias("kind"), "*").unionByName(pair_rows), "model")
     for df in (words, pairs, *seats):
         drop_stored(spark, df)
@@ -585,7 +592,7 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> Da
         """Words: count, probability and tables in each sample. Pairs: customers less discounted tables."""
         out = []
         if held.num_rows and asked.num_rows:
-            row = held.to_pylist()[0]
+            row = next(each_row(held))
             name = taken(row, "names", "<u8")
             if row["kind"]:
                 own, single = taken(row, "counts", "<f4"), taken(row, "blob", "<u8")
@@ -613,7 +620,7 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> Da
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
         found, names, pairs = chunk_names(part)
         count, each, own = np.zeros(len(names), np.int64), np.zeros((2 * SAMPLES, len(names))), np.zeros(len(pairs))
-        for row in told.to_pylist():
+        for row in each_row(told):
             lo, values = row["base"], taken(row, "vals", "<f4")
             if row["kind"]:
                 own[lo:lo + len(values)] = values
