@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 from framefold.llm.op3_fertility import ranges
 from framefold.llm.scratch import chunk_of, drop_stored, power_of_two, stored, table, text_bytes
 from framefold.llm.words import _LOWER, Words, mix, slices
+from framefold.session import scratch_path
 
 FOLDS = 10
 CHUNK_BYTES = 8 << 20
@@ -219,6 +220,31 @@ def merged(names: list, counts: list, blobs: list, lengths: list):
     return u, np.bincount(back, weights=count, minlength=len(u)).astype(np.int64), blob[ranges(start[first], length[first])], length[first]
 
 
+def raw(a: np.ndarray, kind: str) -> bytes:
+    """The numbers by byte place, names (``<u8``, in order) as differences: what compression of shuffles and files makes small."""
+    a = np.ascontiguousarray(a).astype(kind).ravel()
+    if kind == "<u8":
+        a = np.diff(a, prepend=np.uint64(0))
+    return a.view("u1").reshape(len(a), a.itemsize).T.tobytes()
+
+
+def numbers(data: bytes | None, kind: str) -> np.ndarray:
+    """What ``raw`` wrote."""
+    planes = np.frombuffer(data or b"", "u1").reshape(np.dtype(kind).itemsize, -1)
+    a = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(a, dtype=np.uint64) if kind == "<u8" else a
+
+
+def taken(row: dict, column: str, kind: str) -> np.ndarray:
+    return numbers(row[column], kind)
+
+
+def each_row(part) -> Iterator[dict]:
+    """The rows of a batch or table, one in memory at a time."""
+    for i in range(part.num_rows):
+        yield {c: part.column(c)[i].as_py() for c in part.schema.names}
+
+
 SHARD = "shard int, names binary, counts binary, blob binary, lengths binary"
 
 
@@ -227,20 +253,18 @@ def shard_rows(name, count, blob, length, bits: int) -> pa.Table:
     edge = np.flatnonzero(np.diff(shard, prepend=-1))
     stop = np.append(edge, len(name))[1:]
     cut = np.concatenate([[0], np.cumsum(length)])
-    raw = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(edge, stop, strict=True)], pa.binary())
-    return pa.table({"shard": pa.array(shard[edge]), "names": raw(name, "<u8"), "counts": raw(count, "<i8"),
-                     "blob": pa.array([blob[cut[i]:cut[j]].tobytes() for i, j in zip(edge, stop, strict=True)], pa.binary()), "lengths": raw(length, "<i4")})
+    cells = lambda a, kind: pa.array([raw(a[i:j], kind) for i, j in zip(edge, stop, strict=True)], pa.binary())
+    return pa.table({"shard": pa.array(shard[edge]), "names": cells(name, "<u8"), "counts": cells(count, "<i8"),
+                     "blob": pa.array([blob[cut[i]:cut[j]].tobytes() for i, j in zip(edge, stop, strict=True)], pa.binary()), "lengths": cells(length, "<i4")})
 
 
-def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    kinds = (("names", "<u8"), ("counts", "<i8"), ("blob", "u1"), ("lengths", "<i4"))
-    n, c, b, k = (np.frombuffer(row[x].as_buffer() if hasattr(row[x], "as_buffer") else row[x], kind) for x, kind in kinds)
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, c, b, k = (taken(row, x, kind) for x, kind in (("names", "<u8"), ("counts", "<i8"), ("blob", "u1"), ("lengths", "<i4")))
     return n, c, b, k.astype(np.int64)
 
 
 def rows_of(batch) -> Iterator[tuple]:
-    for i in range(batch.num_rows):
-        yield unpack({c: batch.column(c)[i] for c in ("names", "counts", "blob", "lengths")})
+    return map(unpack, each_row(batch))
 
 
 def vocabulary(texts: DataFrame, bits: int) -> DataFrame:
@@ -278,20 +302,6 @@ def pair_names(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
-def raw(a: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(a).astype(kind).tobytes()
-
-
-def taken(row: dict, column: str, kind: str) -> np.ndarray:
-    return np.frombuffer(row[column] or b"", kind)
-
-
-def each_row(part) -> Iterator[dict]:
-    """The rows of a batch or table, one in memory at a time."""
-    for i in range(part.num_rows):
-        yield {c: part.column(c)[i].as_py() for c in part.schema.names}
-
-
 def as_table(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -365,8 +375,9 @@ def pairs_of(texts: DataFrame, word_bits: int, bits: int) -> DataFrame:
 
 def state(held: dict, which: int) -> tuple[np.ndarray, np.ndarray]:
     """(customers, tables as a context) of a shard's words in one of the kept states, -1 the last."""
-    n = len(held["names"]) // 8
-    return tuple(taken(held, c, "<i8").reshape(-1, n)[which] for c in ("customers", "tables"))
+    size = len(held["names"])  # eight bytes a number, as names have
+    first = which * size if which >= 0 else len(held["customers"]) - size
+    return tuple(numbers(held[c][first:first + size], "<i8") for c in ("customers", "tables"))
 
 
 def placed(names: np.ndarray, part: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
@@ -486,6 +497,18 @@ def spell(words: DataFrame, now: Spelling, sweep: int) -> Spelling:
     return after
 
 
+def stored_kinds(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written with a folder for each kind, so that one kind can go before the other; and the path."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.partitionBy("kind").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @contextmanager
 def finished_shuffles_go(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a step are deleted with its end: every step is a written table, so nothing reads them again."""
@@ -506,7 +529,7 @@ def fit(training: DataFrame, size: int) -> Fitted:
     spark = training.sparkSession
     word_bits, pair_bits = (power_of_two(size / each, 8, 1 << 24).bit_length() - 1 for each in (WORD_SHARD, PAIR_SHARD))
     counted = stored(vocabulary(training, word_bits), "vocabulary")
-    pairs = stored(pairs_of(training, word_bits, pair_bits), "pairs")
+    pairs, pairs_path = stored_kinds(pairs_of(training, word_bits, pair_bits), "pairs")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -526,20 +549,22 @@ def fit(training: DataFrame, size: int) -> Fitted:
     asked = stored(pairs.where("kind = 0").select("shard", "names").mapInArrow(questions, ASKED), "asked")
     words = stored(first_state(counted, pairs), "words")
     drop_stored(spark, counted)
+    drop_folder(spark, f"{pairs_path}/kind=1")
     now = spell(words, flat(), 0)
     samples, seats = [], []
     for sweep in range(1, BURN_IN + SAMPLES + 1):
         sent = spark.sparkContext.broadcast(now)
-        seated = stored(sweep_pairs(words, pairs, asked, sent, discount, sweep, word_bits), "seated")
+        seated, seated_path = stored_kinds(sweep_pairs(words, pairs, asked, sent, discount, sweep, word_bits), "seated")
         last, words = words, stored(next_state(words, seated, sweep > BURN_IN + 1), "words")
         sent.destroy()
         drop_stored(spark, last)
         now = spell(words, now, sweep)
         if sweep > BURN_IN:
             samples.append(now)
-            seats.append(seated)
+            seats.append((seated, seated_path))
+            drop_folder(spark, f"{seated_path}/kind=1")
         else:
-            drop_stored(spark, seated)
+            drop_folder(spark, seated_path)
     drop_stored(spark, asked)
     sent = spark.sparkContext.broadcast(samples)
 
@@ -559,13 +584,14 @@ def fit(training: DataFrame, size: int) -> Fitted:
             out.append((1, row["shard"], row["keys"], raw(taken(row, "counts", "<i8") - discount * np.mean(t, axis=0), "<f4"), row["singles"], None, None, None, None))
         return as_table(out, HELD)
 
-    seats_of = seats[0]
-    for more in seats[1:]:
+    seats_of = seats[0][0]
+    for more, _ in seats[1:]:
         seats_of = seats_of.unionByName(more)
     pair_rows = pairs.where("kind = 0").select("shard", "counts", "keys", "singles").groupBy("shard").cogroup(seats_of.where("kind = 0").groupBy("shard")).applyInArrow(own, HELD)
     found = stored(words.select(F.lit(0).alias("kind"), "*").unionByName(pair_rows), "model")
-    for df in (words, pairs, *seats):
-        drop_stored(spark, df)
+    drop_stored(spark, words)
+    for path in (pairs_path, *(path for _, path in seats)):
+        drop_folder(spark, path)
     return Fitted(found, sent, unknown, discount, tokens, distinct_words, word_bits, pair_bits)
 
 
@@ -600,7 +626,7 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> Da
                 _, count, blob, length = unpack(row)
                 each = [s.word(name, state(row, i)[0], blob, length) for i, s in enumerate(sent.value)] + [state(row, i)[1] for i in range(SAMPLES)]
             for i in range(asked.num_rows):
-                q = np.frombuffer(asked.column("names")[i].as_buffer(), "<u8")
+                q = numbers(asked.column("names")[i].as_py(), "<u8")
 
                 def find(x, q=q):
                     at = np.minimum(np.searchsorted(x, q), max(len(x) - 1, 0))
