@@ -57,28 +57,25 @@ def id_link_nonempty(columns: Iterable[str]) -> Column:
 
 # H1s: path -> parts, dropping '' and '.' like pathlib (handles '//', trailing '/', '/./').
 def path_segments(path: str | Column = "media_path") -> Column:
-    return F.filter(F.split(_col(path), "/"), lambda s: ~s.isin(*IGNORED_SEGMENTS))
+    # No lambda: array functions with one are not code-generated.
+    return reduce(lambda parts, s: F.array_remove(parts, s), IGNORED_SEGMENTS, F.split(_col(path), "/"))
 
 
 MIN_SEGMENTS = 4  # cruise/camera/timestamp/file
 
 
 def _segment_from_end(path: str | Column, k: int) -> Column:
-    parts = path_segments(path)
-    return F.when(F.size(parts) >= MIN_SEGMENTS, F.element_at(parts, F.lit(-k)))
+    """The k-th segment from the end (k <= MIN_SEGMENTS), null where there are fewer than MIN_SEGMENTS. The path is
+    named once: a filter that is pushed down repeats how the path is built for every time it is named."""
+    return F.get(F.slice(path_segments(path), -MIN_SEGMENTS, MIN_SEGMENTS), F.lit(MIN_SEGMENTS - k))
 
 
 def with_cruise_camera(df, path: str = "media_path", strict: bool = False):
-    """Add ``cruise`` and ``camera`` parsing each path once (one segment array per
-    row, both values taken from it); measured faster than any string-function form."""
-    seg = "_segments"
-    staged = df.withColumn(seg, path_segments(path))
-    ok = F.size(F.col(seg)) >= MIN_SEGMENTS
-    cruise = F.when(ok, F.element_at(F.col(seg), F.lit(-4)))
-    camera = F.when(ok, F.element_at(F.col(seg), F.lit(-3)))
+    """Add ``cruise`` and ``camera``."""
+    cruise, camera = cruise_of(path), camera_of(path)
     if strict:
         cruise, camera = strict_segment(cruise, path), strict_segment(camera, path)
-    return staged.withColumn("cruise", cruise).withColumn("camera", camera).drop(seg)
+    return df.withColumn("cruise", cruise).withColumn("camera", camera)
 
 
 def cruise_of(path: str | Column = "media_path") -> Column:
@@ -93,10 +90,8 @@ def camera_of(path: str | Column = "media_path") -> Column:
 
 def strict_segment(value: Column, path: str | Column = "media_path") -> Column:
     """Fail the job on a path too short to hold cruise/camera/timestamp/file."""
-    return F.when(value.isNull() & _col(path).isNotNull(),
-                  F.raise_error(F.concat(
-                      F.lit("media_path is too short to contain cruise/camera/timestamp/file: "),
-                      _col(path)))).otherwise(value)
+    return F.coalesce(value, F.when(_col(path).isNotNull(), F.raise_error(F.concat(
+        F.lit("media_path is too short to contain cruise/camera/timestamp/file: "), _col(path)))))
 
 
 # H6s: basename, pathlib-style (a trailing slash does not make it empty).
@@ -104,6 +99,11 @@ def basename(path: str | Column = "media_path") -> Column:
     return F.try_element_at(path_segments(path), F.lit(-1))
 
 
+# A date alone with the line end that ``$`` may stand before; places of the blank in "2020 ", "2020-1 " and "2020-01 ".
+LONGEST_DATE = 12
+BLANK_AFTER_PART = (5, 7, 8)
+
+
 # H4s: naive text that means UTC -> TIMESTAMP instant; junk -> null (never throws).
 # Text that already names its zone fails the first parse and keeps its own zone.
 def parse_utc(text: str | Column) -> Column:
@@ -112,7 +112,10 @@ def parse_utc(text: str | Column) -> Column:
     full = F.when(F.trim(t).rlike(r"^\d{4}(-\d{1,2}){0,2}$"), F.concat(F.trim(t), F.lit(" 00:00:00"))).otherwise(t)
     bare = F.regexp_replace(full, r"^(\d{4}) ", "$1-01-01 ")
     day = F.regexp_replace(bare, r"^(\d{4}-\d{1,2}) ", "$1-01 ")
-    return F.coalesce(F.try_to_timestamp(F.concat(day, F.lit("Z"))), F.try_to_timestamp(t))
+    # No pattern above can match a longer text whose first blank does not follow a year or a month.
+    whole = (F.length(F.trim(t)) > LONGEST_DATE) & ~F.instr(t, " ").isin(*BLANK_AFTER_PART)
+    written = F.when(whole, t).otherwise(day)
+    return F.coalesce(F.try_to_timestamp(F.concat(written, F.lit("Z"))), F.try_to_timestamp(t))
 
 
 def utc_wallclock(ts: str | Column) -> Column:
@@ -134,6 +137,7 @@ def iso8601_utc(ts: str | Column) -> Column:
 # Integral decimal text ("3.0", "1e3", as float-typed exports write frame numbers)
 # is accepted; a fractional or non-numeric value is corrupt and fails the job.
 MAX_EXACT_DOUBLE = 2 ** 53
+MAX_INT = 2 ** 31 - 1
 
 
 def whole_number(text: str | Column) -> Column:
@@ -285,7 +289,9 @@ def python_exclude_regex(patterns: Iterable[str]) -> re.Pattern | None:
 
 
 def file_path_of_metadata() -> Column:
-    """``_metadata.file_path`` as a plain path: scheme stripped for local files, URL-decoded."""
+    """``_metadata.file_path`` as a plain path: scheme stripped for local files, URL-decoded. No regex or decoding for
+    rows that need none, as this runs for every row of a scan."""
     raw = F.col("_metadata.file_path")
-    no_scheme = F.regexp_replace(raw, r"^file:(//)?", "")
-    return F.url_decode(F.replace(no_scheme, F.lit("+"), F.lit("%2B")))
+    no_scheme = (F.when(raw.startswith("file://"), F.substring(raw, len("file://") + 1, MAX_INT))
+                 .when(raw.startswith("file:"), F.substring(raw, len("file:") + 1, MAX_INT)).otherwise(raw))
+    return F.when(raw.contains("%"), F.url_decode(F.replace(no_scheme, F.lit("+"), F.lit("%2B")))).otherwise(no_scheme)

@@ -53,30 +53,34 @@ def frames_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
 
     # orders x customer first: the smaller join runs before the lineitem-volume one.
-    # customer is broadcast only when Spark's size estimate allows it.
-    order_side = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    # lineitem is the frame-volume side: never a broadcast build side. A shuffle
-    # (sort-merge) join is what runs at scale anyway, and it spreads the per-row
-    # work that follows (paths, parsing, partial aggregation) over all partitions.
-    x = lineitem.join(order_side.hint("merge"), lineitem.l_orderkey == order_side.o_orderkey)
-
-    okey, lnum, pkey = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    # customer is broadcast only when Spark's size estimate allows it. What a video's frames share is
+    # worked out here, once per order; filters on paths are pushed down to here as well.
+    okey = F.col("o_orderkey")
     day = F.substring(F.col("o_orderdate").cast("string"), 1, 10)
     cruise = F.concat(F.lit("CRUISE_"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
     camera = F.concat(F.lit("Cam"), F.substring("o_orderpriority", 1, 1))
     media = F.concat(F.lit("vid-"), okey.cast("string"))
     stamp = F.concat(F.replace(day, F.lit("-"), F.lit("")), F.lit("T000000.000Z"))
-    bad: Column = ((okey % BAD_EVERY) == 0) | (((okey % MIXED_EVERY) == 0) & (lnum == 1))
     skip_dir = F.when((okey % SKIP_EVERY) == 0, F.lit("/skip")).otherwise(F.lit(""))
+    order_side = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        "o_orderkey", day.alias("day"), media.alias("media"),
+        F.concat(F.lit(MEDIA_ROOT), cruise, F.lit("/"), camera, skip_dir, F.lit("/"), stamp,
+                 F.lit("/"), media, F.lit(".avi")).alias("media_path"))
+    # lineitem is the frame-volume side: never a broadcast build side. A shuffle
+    # (sort-merge) join is what runs at scale anyway, and it spreads the per-row
+    # work that follows (parsing, partial aggregation) over all partitions.
+    x = lineitem.join(order_side.hint("merge"), lineitem.l_orderkey == order_side.o_orderkey)
+
+    lnum, pkey = F.col("l_linenumber"), F.col("l_partkey")
+    bad: Column = ((okey % BAD_EVERY) == 0) | (((okey % MIXED_EVERY) == 0) & (lnum == 1))
 
     return x.select(
-        F.concat(F.lit(MEDIA_ROOT), cruise, F.lit("/"), camera, skip_dir, F.lit("/"), stamp,
-                 F.lit("/"), media, F.lit(".avi")).alias("media_path"),
-        media.alias("media"),
-        F.concat(day, F.lit(" 00:00:00.000")).alias("media_time"),
+        "media_path",
+        "media",
+        F.concat("day", F.lit(" 00:00:00.000")).alias("media_time"),
         F.when(bad, F.lit(None)).otherwise((lnum - 1).cast("bigint")).alias("frame"),
         F.when(bad, F.lit(None)).otherwise(F.concat(
-            day, F.lit(" 00:00:00."), F.lpad((lnum * FRAME_MS_STEP).cast("string"), 3, "0"))).alias("times"),
+            F.col("day"), F.lit(" 00:00:00."), F.lpad((lnum * FRAME_MS_STEP).cast("string"), 3, "0"))).alias("times"),
         F.when(bad, F.lit("bad_file")).otherwise(F.lit("ok")).alias("status"),
         F.when((pkey % ID_EVERY) == 0, F.concat(F.lit("ROI-"), pkey.cast("string")))
          .when((pkey % 2) == 0, F.lit("")).alias("id"),

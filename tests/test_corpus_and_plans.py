@@ -8,6 +8,7 @@ import os
 import pytest
 
 from conftest import SF_CHECK, SF_SMALL
+from framefold.functions import columns as C
 from framefold.operators import frames as FR
 from framefold.operators import profile as PR
 from framefold.operators import requests as RQ
@@ -89,6 +90,28 @@ def test_scan_prunes_columns(spark):
     assert "l_extendedprice" not in plan
 
 
+def test_paths_are_parsed_without_lambdas_and_built_once_per_order(spark):
+    plan = _plan(FR.frames_with_keys(CO.frames_raw(spark, SF_SMALL)))
+    assert "lambda" not in plan
+    joined = CO.frames_raw(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.index("Join Inner, (l_orderkey") < joined.index("/mnt/media/")     # below the join, on the orders
+
+
+def test_a_filter_on_the_cruise_repeats_the_path_once_per_condition(spark):
+    """A filter that is pushed down repeats how a path is built; a condition on the cruise names the path once."""
+    df = FR.frames_with_keys(CO.frames_raw(spark, SF_SMALL)).filter(CO.seeded_partition())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/mnt/media/") <= 6      # skipped, null, range or list of cruise and camera, and the column itself
+
+
+@pytest.mark.parametrize("path, cruise, camera", [
+    ("/v/K/bow/d/a.mkv", "K", "bow"), ("K/bow/d/a.mkv", "K", "bow"), ("/bow/d/a.mkv", None, None), ("//K/./bow//d/a.mkv/", "K", "bow"),
+    ("./K/bow/d/./a.mkv/.", "K", "bow"), ("/v/K/../bow/d", "K", ".."), ("", None, None), (None, None, None)])
+def test_segments_from_the_end(spark, path, cruise, camera):
+    row = C.with_cruise_camera(spark.createDataFrame([(path,)], "media_path string")).first()
+    assert (row.cruise, row.camera) == (cruise, camera)
+
+
 def test_neighbors_have_no_join(spark):
     resolved = RQ.resolve_requests(CO.requests(spark, SF_SMALL), PR.videos(CO.frames_raw(spark, SF_SMALL)))
     before = _plan(resolved).count("Join")
@@ -117,3 +140,21 @@ def test_frames_global_order_across_partitions(spark):
     keys = [(r.cruise, r.video_id, r.frame_index) for r in df.select("cruise", "video_id", "frame_index").collect()]
     assert len(keys) > 1000
     assert keys == sorted(keys)
+
+
+def test_source_paths_need_no_regex_per_row(spark, tmp_path):
+    names = ["plain.txt", "a b+c%.txt", "é.txt"]
+    for n in names:
+        (tmp_path / n).write_text("x\n", encoding="utf-8")
+    df = spark.read.text(str(tmp_path)).select(C.file_path_of_metadata().alias("p"))
+    assert sorted(r.p for r in df.collect()) == sorted(f"{tmp_path}/{n}" for n in names)
+    assert "regexp_replace" not in _plan(df)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2020", "2020-01-01 00:00:00"), ("2020-02", "2020-02-01 00:00:00"), (" 2020-02-03 ", "2020-02-03 00:00:00"),
+    ("2020 10:00:00.5", "2020-01-01 10:00:00.5"), ("2020-2 10:00:00", "2020-02-01 10:00:00"), ("2020-02 10:00:00", "2020-02-01 10:00:00"),
+    ("2020-02-03 10:11:12.125", "2020-02-03 10:11:12.125"), ("2020-02-03T10:11:12+02:00", "2020-02-03 08:11:12"), ("long text, no time", None)])
+def test_times(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(C.utc_wallclock(C.parse_utc("t")).cast("string").alias("w")).first().w
+    assert got == want
