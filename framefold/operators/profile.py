@@ -44,7 +44,10 @@ def merge_parts(parts: DataFrame) -> DataFrame:
     # Groups without any frame have a null ordering and are ignored by min_by.
     pick_order = F.when(F.col("min_frame").isNotNull(),
                         F.struct("min_frame", "media", "media_time"))
-    step2 = parts.groupBy("media_path").agg(
+    # The rows are shuffled as they are: there is hardly one to merge before, and min_by would sort them all for it.
+    # After the shuffle the hash leads the sort: paths share long beginnings, which are slow to compare.
+    dealt = parts.repartition("media_path").withColumn("_hash", F.xxhash64("media_path"))
+    step2 = dealt.groupBy("_hash", "media_path").agg(
         F.min_by(F.struct("media", "media_time"), pick_order).alias("first"),
         F.sum("n_rows").alias("n_rows"),
         F.sum("n_frames").alias("n_frames"),

@@ -112,6 +112,14 @@ def test_segments_from_the_end(spark, path, cruise, camera):
     assert (row.cruise, row.camera) == (cruise, camera)
 
 
+def test_the_profile_sorts_once_and_by_a_hash(spark):
+    """Rows of the second step are shuffled unsorted; paths share their beginnings, so a hash leads the sort."""
+    plan = _plan(PR.media_profile(CO.frames_raw(spark, SF_SMALL)))
+    below = plan[plan.index("Exchange hashpartitioning(media_path"):]
+    assert "SortAggregate" not in below
+    assert "Sort [_hash" in plan
+
+
 def test_neighbors_have_no_join(spark):
     resolved = RQ.resolve_requests(CO.requests(spark, SF_SMALL), PR.videos(CO.frames_raw(spark, SF_SMALL)))
     before = _plan(resolved).count("Join")
