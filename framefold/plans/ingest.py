@@ -196,6 +196,8 @@ def ingest_rows(spark: SparkSession, raw: DataFrame, store_root: str, frames: bo
     rejected = None
     if rejects is not None and seen.get["rejected"]:
         with _phase(seconds, "rejected"):
+            # One more scan for what is set aside; counts and the stored rows both come from it.
+            rejects = rejects.select("source_file", "reason", "record").checkpoint(eager=True)
             rejected = rejects.groupBy("source_file", "reason").agg(F.count(F.lit(1)).alias("n_rows")).checkpoint(eager=True)
             n_rejected = int(rejected.agg(F.sum("n_rows")).first()[0])
         n_rows = int(totals.raw_rows) + n_rejected

@@ -84,3 +84,17 @@ def test_a_dry_run_counts_but_writes_nothing(spark, tmp_path):
     report = ingest(spark, [path], str(tmp_path / "s"), dry_run=True, max_reject_share=1.0)
     assert sum(r.n_rows for r in report.rejected.collect()) == sum(want.values())
     assert not (tmp_path / "s").exists() or ManifestStore(spark, str(tmp_path / "s")).read_rejected().isEmpty()
+
+
+def test_rejected_rows_are_scanned_for_once(spark, tmp_path, monkeypatch):
+    """Counts and stored rows come from one scan for rejects: the stored rows are not parsed again."""
+    path, want = faulty(tmp_path)
+    plans, write = {}, ManifestStore.write
+
+    def noted(self, table, rows, *rest):
+        plans[table] = rows._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, table, rows, *rest)
+    monkeypatch.setattr(ManifestStore, "write", noted)
+    ingest(spark, [path], str(tmp_path / "s"), frames=True, max_reject_share=0.5)
+    assert "csv" in plans["frames"] and "csv" not in plans["rejected"]
+    assert collections.Counter(r.reason for r in ManifestStore(spark, str(tmp_path / "s")).read_rejected().collect()) == want
