@@ -159,7 +159,8 @@ def q_new_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_videos_to_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, raw = _seeded_store(spark, sf_dir, "v2w", with_frames=False)
-    vids = PR.videos(raw)
+    # Partitions and videos both come from the profile; it is worked out once, as the ingest does.
+    vids = PR.videos_from_profile(PR.media_profile(raw).checkpoint(eager=True))
     return comparable(IN.videos_to_write(vids, IN.new_partitions(vids, store.existing_partitions())))
 
 
@@ -319,7 +320,8 @@ def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ManifestStore(spark, scratch_path(spark, "quality"))
     kept = CO.frames_raw(spark, sf_dir).filter(CO.order_key() % CO.UNSTORED_EVERY != 0)
     store.append_frames(FR.frames_table(kept))
-    profile = PR.media_profile(raw)
+    # Three checks roll up from the profile; it is worked out once, as the ingest does.
+    profile = PR.media_profile(raw).checkpoint(eager=True)
     return QU.quality_report(raw, profile, PR.videos_from_profile(profile), store.read_frames())
 
 

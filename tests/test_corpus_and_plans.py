@@ -150,6 +150,17 @@ def test_frames_global_order_across_partitions(spark):
     assert keys == sorted(keys)
 
 
+def test_the_profile_is_worked_out_once(spark, monkeypatch):
+    """Queries with several uses of the profile read it back; no table is scanned again for each."""
+    from framefold.operators import quality as QU
+    from framefold.plans import catalog
+    assert "lineitem.parquet" not in _plan(catalog.q_videos_to_write(spark, SF_SMALL))
+    seen = []
+    monkeypatch.setattr(QU, "quality_report", lambda raw, profile, videos, frames: seen.append((profile, videos)))
+    catalog.q_quality_report(spark, SF_SMALL)
+    assert all("lineitem.parquet" not in _plan(df) for df in seen[0])
+
+
 def test_source_paths_need_no_regex_per_row(spark, tmp_path):
     names = ["plain.txt", "a b+c%.txt", "é.txt"]
     for n in names:
