@@ -7,10 +7,12 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from framefold.llm import catalog, op1_mix, op4_bpe, op6_language
+from framefold.llm.words import slices
 
 from .conftest import SCHEMA, prose
 
@@ -59,6 +61,24 @@ def test_other_files_are_refused(tmp_path, change):
         op4_bpe.Encoder(variant(tmp_path, "other.json", change))
 
 
+def test_nodes_of_short_pieces_are_walked_together_and_equal_the_library(monkeypatch):
+    r = random.Random(5)
+    letters = "abcdefgstrvemldAB\u00e9's'd'll're'vm't0123-.,!\"<|>\u65e5\u672c\u8a9e\u00f1\u00c5\u0301\u0302\u00df\u03a3\u03c2\u00a0\u3000\x85\x00\x1f\x7f\U0001d4b3\ufb01\u00bd"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.choice([1, 2, 4, 9, 15]))) for _ in range(r.randrange(60))) for _ in range(300)]
+    odd = ["<|endoftext|>a<|startoftext|>", "a<|b it's IT'S 's's '' 've've 're'r 'l 'll'l a'", "\u0301 a\u0301", *("b" * n + " " + "\u00e9" * n for n in (24, 25, 47, 48, 49, 500))]
+    path, walked, last = public_tokenizers.path(op4_bpe.FILE), [], op4_bpe.Vocabulary.last
+    monkeypatch.setattr(op4_bpe.Vocabulary, "last", lambda self, *a: walked.append(0) or last(self, *a))
+    lib, own = Tokenizer.from_file(path), op4_bpe.Encoder(path)
+    for part in (texts, odd):
+        walked.clear()
+        (_, _, w), = slices(pa.array(part))
+        ids, size = own.of(w)
+        want = [lib.encode(t, add_special_tokens=False).ids for t in part]
+        assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        # One by one only: words with special tokens or wide spaces, and long pieces.
+        assert len(walked) < (0.2 * sum(map(len, texts)) if part is texts else 3000)
+
+
 def brute_bundle(text: str) -> np.ndarray:
     """Bind permuted letter vectors into trigrams around every letter and add them up."""
     symbols, out = [0], np.zeros(op6_language.DIMENSIONS)
