@@ -129,24 +129,41 @@ class Spelling:
     sweep: int = 0
     before: "Spelling | None" = None  # the model that the sweep's customers sat down under
 
-    def log10(self, blob: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """log10 probability of each spelling."""
-        cell, first = positions(blob, length)
+    def own_of(self, cell: np.ndarray) -> np.ndarray:
+        """``own`` of any cells (0: not seen): a bit for each cell, and the number of seen cells before each 64."""
+        if not len(self.cells):
+            return np.zeros(len(cell))
+        if "seen" not in self.__dict__:
+            seen = np.zeros(1 << (LEVEL_BITS[3] + 8), bool)
+            seen[self.cells] = True
+            self.seen = np.packbits(seen, bitorder="little").view("<u8")
+            count = np.bitwise_count(self.seen).astype(np.int32)
+            self.earlier = np.cumsum(count, dtype=np.int32) - count
+        at, bit = cell >> 6, (cell & 63).astype(np.uint64)
+        word = self.seen[at]
+        below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        hit = (word >> bit & np.uint64(1)).astype(bool)
+        return np.where(hit, self.own[np.minimum(self.earlier[at] + below, len(self.own) - 1)], 0.0)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "earlier")}  # a worker makes its own
+
+    def log10(self, blob: np.ndarray, length: np.ndarray, placed: tuple | None = None) -> np.ndarray:
+        """log10 probability of each spelling; ``placed``: the ``positions`` of the spellings, where they are known."""
+        cell, first = placed or positions(blob, length)
         if not len(cell):
             return np.zeros(0)
-        at = np.minimum(np.searchsorted(self.cells, cell), max(len(self.cells) - 1, 0))
-        own = np.where(self.cells[at] == cell, self.own[at], 0.0) if len(self.cells) else 0.0
-        p = own + self.rest[cell >> 8] * self.parent[cell & ((1 << (LEVEL_BITS[2] + 8)) - 1)]
+        p = self.own_of(cell) + self.rest[cell >> 8] * self.parent[cell & ((1 << (LEVEL_BITS[2] + 8)) - 1)]
         return np.add.reduceat(np.log10(p), first)
 
     def fresh(self, spelled: np.ndarray) -> np.ndarray:
         return (STRENGTH + self.discount * self.tables) * 10.0 ** spelled
 
-    def word(self, name: np.ndarray, count: np.ndarray, blob: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def word(self, name: np.ndarray, count: np.ndarray, blob: np.ndarray, length: np.ndarray, placed: tuple | None = None) -> np.ndarray:
         """Predictive probability of the words, given the tables that the sweep gave them."""
-        old = self.before
-        t = seat(name, count, old.fresh(old.log10(blob, length)), old.discount, self.sweep)
-        return (count - self.discount * t + self.fresh(self.log10(blob, length))) / (STRENGTH + self.tokens)
+        old, placed = self.before, placed or positions(blob, length)
+        t = seat(name, count, old.fresh(old.log10(blob, length, placed)), old.discount, self.sweep)
+        return (count - self.discount * t + self.fresh(self.log10(blob, length, placed))) / (STRENGTH + self.tokens)
 
 
 def flat() -> Spelling:
@@ -479,8 +496,8 @@ def spell(words: DataFrame, now: Spelling, sweep: int) -> Spelling:
             for row in each_row(batch):
                 name, _, blob, length = unpack(row)
                 n, _ = state(row, -1)
-                t = seat(name, n, model.fresh(model.log10(blob, length)), model.discount, sweep)
-                cell, _ = positions(blob, length)
+                cell, first = positions(blob, length)
+                t = seat(name, n, model.fresh(model.log10(blob, length, (cell, first))), model.discount, sweep)
                 u, back = np.unique(cell, return_inverse=True)
                 each = np.bincount(back, weights=np.repeat(t, length + 1), minlength=len(u)).astype(np.int64)
                 sums = [t.sum(), n.sum(), (n == 1).sum(), (n == 2).sum()]
@@ -604,14 +621,15 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> Da
     all_bits = (model.word_bits, model.pair_bits)
     keyed = docs.select(chunk_of(chunks, F.col("id"), F.col("text")).alias("chunk"), "id", "text")
 
-    def chunk_names(part: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+    def chunk_names(part: pa.Table) -> tuple[list, tuple, tuple]:
+        """Slices of the chunk, and its distinct words (the end is the first before being sorted) and pairs: names, and the place of each occurrence."""
         found = [(lo, hi, *sequence(w)) for lo, hi, w in slices(part.column("text"))]
         pairs = [pair_names(u, w) for _, _, u, w, _ in found]
-        return found, *(np.unique(np.concatenate(x)) for x in ([np.array([END]), *[f[3] for f in found]], [np.zeros(0, np.uint64), *pairs]))
+        return found, *(np.unique(np.concatenate(x), return_inverse=True) for x in ([np.array([END]), *[f[3] for f in found]], [np.zeros(0, np.uint64), *pairs]))
 
     def ask(part: pa.Table) -> pa.Table:
         chunk = part.column("chunk")[0].as_py()
-        _, *both = chunk_names(part)
+        both = [names for names, _ in chunk_names(part)[1:]]
         return as_table([(kind, s, chunk, i, raw(names[i:j], "<u8")) for kind, names in enumerate(both) for s, i, j in by_shard(names, all_bits[kind])], ASKED)
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -624,7 +642,8 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> Da
                 own, single = taken(row, "counts", "<f4"), taken(row, "blob", "<u8")
             else:
                 _, count, blob, length = unpack(row)
-                each = [s.word(name, state(row, i)[0], blob, length) for i, s in enumerate(sent.value)] + [state(row, i)[1] for i in range(SAMPLES)]
+                placed = positions(blob, length)
+                each = [s.word(name, state(row, i)[0], blob, length, placed) for i, s in enumerate(sent.value)] + [state(row, i)[1] for i in range(SAMPLES)]
             for i in range(asked.num_rows):
                 q = numbers(asked.column("names")[i].as_py(), "<u8")
 
@@ -644,7 +663,7 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> Da
         return as_table(out, "kind int, chunk int, base int, counts binary, vals binary")
 
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
-        found, names, pairs = chunk_names(part)
+        found, (names, word_at), (pairs, pair_at) = chunk_names(part)
         count, each, own = np.zeros(len(names), np.int64), np.zeros((2 * SAMPLES, len(names))), np.zeros(len(pairs))
         for row in each_row(told):
             lo, values = row["base"], taken(row, "vals", "<f4")
@@ -657,8 +676,12 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> Da
         p[:, count == 0] = unknown[:, None]
         base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct_words + 1)))
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for lo, hi, u, w, doc in found:
-            own_at, u, w = np.searchsorted(pairs, pair_names(u, w)), np.searchsorted(names, u), np.searchsorted(names, w)
+        done = 0
+        for lo, hi, _, _, doc in found:
+            # A slice begins and ends with an end, whose place is the first of ``word_at``.
+            own_at, w = pair_at[done:done + len(doc)], word_at[1 + done:1 + done + len(doc)]
+            u = np.concatenate([word_at[:1], w[:-1]])
+            done += len(doc)
             chance = own[own_at].copy()
             for s in range(SAMPLES):
                 chance += open_[s, u] * p[s, w] / SAMPLES
