@@ -27,7 +27,8 @@ probabilities of ``SAMPLES`` sweeps are averaged. Discounts come from counts of
 spread over all of them. In a sweep a pair shard asks each word shard once for its distinct words of pairs seen twice or more, and
 sends back how many tables they have as contexts and as words; pairs seen once always have one table and are counted once. Documents
 are dealt into chunks; a chunk asks each shard once for its distinct words and pairs and gets counts and
-probabilities back, so neither the vocabulary nor occurrences are broadcast or shuffled one by one. Shuffle
+probabilities back, so neither the vocabulary nor occurrences are broadcast or shuffled one by one. Chunks are scored in ``TURNS`` turns, so that
+only a part of the texts, questions and answers is on disk at once. Shuffle
 files of a finished step are given up with it, where Spark can do so.
 
 Defined results: null text counts as empty (one token, the end); without training texts every
@@ -40,6 +41,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,7 @@ BURN_IN = 2
 SAMPLES = 3
 SINGLE = 64
 STRENGTH = 1.0
+TURNS = 2  # the chunks are scored in so many turns, each of which gives up its shuffle files before the next
 PAIRS_HELD = 1 << 20  # pairs that a task gathers before it sends them
 WORD_SHARD, PAIR_SHARD = 1 << 20, 2 << 20  # bytes of text to a shard
 SPACE = 32
@@ -612,14 +615,15 @@ def fit(training: DataFrame, size: int) -> Fitted:
     return Fitted(found, sent, unknown, discount, tokens, distinct_words, word_bits, pair_bits)
 
 
-def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> DataFrame:
+def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True, turn: tuple[int, int] = (0, 1)) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row of (id, text).
 
-    Without ``ends`` texts are beginnings: how they end is not scored.
+    Without ``ends`` texts are beginnings: how they end is not scored. ``turn`` (which, of how many): the rows of
+    every so many-th chunk only; all turns together give every row once.
     """
     sent, unknown, discount, tokens, distinct_words = model.samples, model.unknown, model.discount, model.tokens, model.distinct
     all_bits = (model.word_bits, model.pair_bits)
-    keyed = docs.select(chunk_of(chunks, F.col("id"), F.col("text")).alias("chunk"), "id", "text")
+    keyed = docs.select(chunk_of(chunks, F.col("id"), F.col("text")).alias("chunk"), "id", "text").where(F.col("chunk") % turn[1] == turn[0])
 
     def chunk_names(part: pa.Table) -> tuple[list, tuple, tuple]:
         """Slices of the chunk, and its distinct words (the end is the first before being sorted) and pairs: names, and the place of each occurrence."""
@@ -700,10 +704,15 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True) -> Da
 
 def score_texts(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int]:
     """Scores of all rows of (id, text) under a model of the ``training`` texts, and the number of training tokens."""
-    size = text_bytes(docs)
-    with finished_shuffles_go(docs.sparkSession):
+    spark, size = docs.sparkSession, text_bytes(docs)
+    chunks = size // CHUNK_BYTES + 1
+    turns = min(TURNS, chunks)
+    with finished_shuffles_go(spark):
         model = fit(training.select("text"), size)
-    return scores(docs, model, size // CHUNK_BYTES + 1), model.tokens
+        found = [stored(scores(docs, model, chunks, turn=(i, turns)), "scores") for i in range(turns)]
+    drop_stored(spark, model.held)
+    model.samples.destroy()
+    return reduce(DataFrame.unionByName, found), model.tokens
 
 
 def op8_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 import random
 import tracemalloc
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from framefold.llm import catalog, op1_mix, op4_bpe, op6_language
+from framefold.llm import catalog, op1_mix, op4_bpe, op6_language, op8_hpylm
 from framefold.llm.words import slices
 
 from .conftest import SCHEMA, prose
@@ -79,6 +80,28 @@ def test_nodes_of_short_pieces_are_walked_together_and_equal_the_library(monkeyp
         assert len(walked) < (0.2 * sum(map(len, texts)) if part is texts else 3000)
 
 
+def test_own_parts_of_cells_are_those_of_a_search():
+    r = np.random.default_rng(3)
+    cells = np.unique(np.concatenate([r.integers(0, 1 << 24, 50_000), [0, 63, 64, (1 << 24) - 1]]))
+    model = replace(op8_hpylm.flat(), cells=cells, own=r.random(len(cells)))
+    asked = np.concatenate([r.integers(0, 1 << 24, 50_000), cells, [1, 62, 65, (1 << 24) - 2]])
+    known = dict(zip(cells.tolist(), model.own.tolist(), strict=True))
+    assert model.own_of(asked).tolist() == [known.get(c, 0.0) for c in asked.tolist()]
+    assert not op8_hpylm.flat().own_of(asked).any()
+
+
+def test_scores_in_turns_are_whole_and_the_model_goes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i if i % 7 else None, prose(i % 50, 40) if i % 11 else None) for i in range(200)], "id long, text string")
+    whole, tokens = op8_hpylm.score_texts(docs, docs)
+    assert not [f for f in whole.inputFiles() if "/scores-" not in f]
+    monkeypatch.setattr(op8_hpylm, "CHUNK_BYTES", 1000)
+    turns, parts = [], op8_hpylm.scores
+    monkeypatch.setattr(op8_hpylm, "scores", lambda *a, **k: turns.append(k["turn"]) or parts(*a, **k))
+    found, same = op8_hpylm.score_texts(docs, docs)
+    rows = lambda df: sorted((str(r.id), r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 4)) for r in df.collect())
+    assert turns == [(0, 2), (1, 2)] and same == tokens and rows(found) == rows(whole) and len(rows(found)) == 200
+
+
 def brute_bundle(text: str) -> np.ndarray:
     """Bind permuted letter vectors into trigrams around every letter and add them up."""
     symbols, out = [0], np.zeros(op6_language.DIMENSIONS)
