@@ -23,9 +23,11 @@ those present: the block's new tables are their expected number, rounded at rand
 are hashes of the dish and the sweep, so reruns agree. After ``BURN_IN`` sweeps the predictive
 probabilities of ``SAMPLES`` sweeps are averaged. Discounts come from counts of counts.
 
-*Scale.* The vocabulary lives in shards by word hash, the pairs in shards by the hash of both words, so a hot context is
-spread over all of them. In a sweep a pair shard asks each word shard once for its distinct words of pairs seen twice or more, and
-sends back how many tables they have as contexts and as words; pairs seen once always have one table and are counted once. Documents
+*Scale.* The vocabulary lives in shards by word hash. The pairs live in a square grid of shards, the row by the context's hash and the
+column by the word's, so a hot context or word is spread over a whole row or column. In a sweep a pair shard asks the ``1 << WORD_BITS`` word shards of
+its row for its contexts' tables and those of its column for its words' probabilities (of pairs seen twice or more), and
+sends back how many tables they have: rows in proportion to the number of pair shards, not to its product with that of word
+shards. Pairs seen once always have one table and are counted once. Documents
 are dealt into chunks; a chunk asks each shard once for its distinct words and pairs and gets counts and
 probabilities back, so neither the vocabulary nor occurrences are broadcast or shuffled one by one. Chunks are scored in ``TURNS`` turns, so that
 only a part of the texts, questions and answers is on disk at once. Shuffle
@@ -61,14 +63,17 @@ SAMPLES = 3
 SINGLE = 64
 STRENGTH = 1.0
 TURNS = 2  # the chunks are scored in so many turns, each of which gives up its shuffle files before the next
-PAIRS_HELD = 1 << 20  # pairs that a task gathers before it sends them
-WORD_SHARD, PAIR_SHARD = 1 << 20, 2 << 20  # bytes of text to a shard
+PAIRS_HELD = 5 << 18  # tokens whose pairs a task gathers before it sends them
+PAIR_SHARD = 16 << 20  # bytes of text to a shard
+WORD_BITS = 3  # word shards to a row of the grid of pair shards, in bits
+SPELT = 1 << 17  # words that are spelt at once
+MOST_BITS = 10  # of a side of the grid of pair shards
 SPACE = 32
 END = np.uint64(0x5DEECE66D1234567)  # name of the end token
 LEVEL_BITS = (0, 6, 12, 16)  # context bits of each level
 
 #: Context classes of bytes: 0 before the word, 1-26 letters, 27 digits, 28 other ASCII, 29-63 others.
-CLASS = np.full(256, 28, np.int64)
+CLASS = np.full(256, 28, np.int32)
 CLASS[97:123] = np.arange(1, 27)
 CLASS[48:58] = 27
 CLASS[128:] = 29 + np.arange(128) % 35
@@ -110,13 +115,36 @@ def positions(blob: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.cumsum(size) - size
     seq = np.full(int(size.sum()), SPACE, np.uint8)
     seq[ranges(first, length)] = blob
-    at = np.arange(len(seq)) - np.repeat(first, size)
+    at = np.arange(len(seq), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
     c = CLASS[seq]
-    before = [np.where(at >= k, np.concatenate([np.zeros(k, np.int64), c[:-k]])[:len(c)], 0) for k in (1, 2, 3)]
+    before = [np.where(at >= k, np.concatenate([np.zeros(k, np.int32), c[:-k]])[:len(c)], 0) for k in (1, 2, 3)]
     context = before[0] | before[1] << 6 | (before[2] % 16) << 12
     return context << 8 | seq, first
 
 
+def picked(blob: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spellings of some of the words."""
+    start = np.cumsum(length) - length
+    return blob[ranges(start[which], length[which])], length[which]
+
+
+def spelt(blob: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray]]]:
+    """(from, to, ``positions``) of so many words at a time."""
+    cut = np.concatenate([[0], np.cumsum(length)])
+    for lo in range(0, len(length), SPELT):
+        hi = min(lo + SPELT, len(length))
+        yield lo, hi, positions(blob[cut[lo]:cut[hi]], length[lo:hi])
+
+
+def log10_under(models: list["Spelling"], blob: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """log10 probability of each spelling, a row for each model."""
+    out = np.zeros((len(models), len(length)))
+    for lo, hi, placed in spelt(blob, length):
+        for x, model in zip(out, models, strict=True):
+            x[lo:hi] = model.log10_at(*placed)
+    return out
+
+
 @dataclass
 class Spelling:
     """One sample of the spelling model and of the word restaurant's totals."""
@@ -129,8 +157,6 @@ class Spelling:
     tables: float = 0.0
     discount: float = 0.5
     tokens: float = 0.0
-    sweep: int = 0
-    before: "Spelling | None" = None  # the model that the sweep's customers sat down under
 
     def own_of(self, cell: np.ndarray) -> np.ndarray:
         """``own`` of any cells (0: not seen): a bit for each cell, and the number of seen cells before each 64."""
@@ -151,22 +177,26 @@ class Spelling:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("seen", "earlier")}  # a worker makes its own
 
-    def log10(self, blob: np.ndarray, length: np.ndarray, placed: tuple | None = None) -> np.ndarray:
-        """log10 probability of each spelling; ``placed``: the ``positions`` of the spellings, where they are known."""
-        cell, first = placed or positions(blob, length)
-        if not len(cell):
-            return np.zeros(0)
+    def log10_at(self, cell: np.ndarray, first: np.ndarray) -> np.ndarray:
         p = self.own_of(cell) + self.rest[cell >> 8] * self.parent[cell & ((1 << (LEVEL_BITS[2] + 8)) - 1)]
         return np.add.reduceat(np.log10(p), first)
 
+    def log10(self, blob: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """log10 probability of each spelling."""
+        return log10_under([self], blob, length)[0]
+
     def fresh(self, spelled: np.ndarray) -> np.ndarray:
         return (STRENGTH + self.discount * self.tables) * 10.0 ** spelled
 
-    def word(self, name: np.ndarray, count: np.ndarray, blob: np.ndarray, length: np.ndarray, placed: tuple | None = None) -> np.ndarray:
+    def word_tables(self, name: np.ndarray, count: np.ndarray, blob: np.ndarray, length: np.ndarray, sweep: int) -> np.ndarray:
+        """Tables of the words whose customers sit down under this model."""
+        new, many = np.zeros(len(name)), np.flatnonzero(count > 1)  # a single customer has one table whatever its weight
+        new[many] = self.fresh(self.log10(*picked(blob, length, many)))
+        return seat(name, count, new, self.discount, sweep)
+
+    def word(self, count: np.ndarray, tables: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         """Predictive probability of the words, given the tables that the sweep gave them."""
-        old, placed = self.before, placed or positions(blob, length)
-        t = seat(name, count, old.fresh(old.log10(blob, length, placed)), old.discount, self.sweep)
-        return (count - self.discount * t + self.fresh(self.log10(blob, length, placed))) / (STRENGTH + self.tokens)
+        return (count - self.discount * tables + self.fresh(spelled)) / (STRENGTH + self.tokens)
 
 
 def flat() -> Spelling:
@@ -222,22 +252,18 @@ def token_names(w: Words) -> np.ndarray:
     return w.hashes(lower=True)
 
 
-def distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, one occurrence, number of each word's name, counts) of the slice's words."""
-    return np.unique(token_names(w), return_index=True, return_inverse=True, return_counts=True)
-
-
-def spelled(w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    length = (w.ends - w.starts)[which]
-    return _LOWER[w.data[ranges(w.starts[which], length)]], length
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """First place of every run of equal values."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)])
 
 
 def merged(names: list, counts: list, blobs: list, lengths: list):
     """Concatenated parts with equal names added up."""
     name, count, blob, length = map(np.concatenate, (names, counts, blobs, lengths))
-    u, first, back = np.unique(name, return_index=True, return_inverse=True)
-    start = np.cumsum(length) - length
-    return u, np.bincount(back, weights=count, minlength=len(u)).astype(np.int64), blob[ranges(start[first], length[first])], length[first]
+    order = np.argsort(name)
+    name = name[order]
+    run = runs(name)
+    return name[run], np.add.reduceat(count[order], run), *picked(blob, length, order[run])
 
 
 def raw(a: np.ndarray, kind: str) -> bytes:
@@ -287,34 +313,14 @@ def rows_of(batch) -> Iterator[tuple]:
     return map(unpack, each_row(batch))
 
 
-def vocabulary(texts: DataFrame, bits: int) -> DataFrame:
-    """The training tokens' counts, one row per shard of names."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for lo, hi, w in slices(batch.column(0)):
-                u, first, _, n = distinct(w)
-                held.append((u, n, *spelled(w, first)))
-                held.append((np.array([END]), np.array([hi - lo]), np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-                size += len(u)
-                if size > 1 << 20:
-                    held = [merged(*zip(*held, strict=True))]
-                    size = len(held[0][0])
-                    if size > 1 << 19:
-                        yield from shard_rows(*held[0], bits).to_batches()
-                        held, size = [], 0
-        if held:
-            yield from shard_rows(*merged(*zip(*held, strict=True)), bits).to_batches()
-
-    def add(part: pa.Table) -> pa.Table:
-        return shard_rows(*merged(*zip(*rows_of(part), strict=True)), bits)
-
-    return texts.mapInArrow(count, SHARD).groupBy("shard").applyInArrow(add, SHARD)
+def with_ends(w: Words, of_word: np.ndarray, of_end: int | np.uint64) -> np.ndarray:
+    """A value for every token of the slice, ends included."""
+    return np.insert(of_word, w.bounds[1:], of_end)
 
 
 def sequence(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token before, token, text) of every token of the slice, ends included."""
-    token = np.insert(token_names(w), w.bounds[1:], END)
+    token = with_ends(w, token_names(w), END)
     return np.concatenate([[END], token[:-1]]), token, np.insert(w.doc, w.bounds[1:], np.arange(len(w.counts)))
 
 
@@ -322,6 +328,21 @@ def pair_names(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
+#: The bits of a number, a zero between them and above.
+SPREAD = sum((np.arange(1 << MOST_BITS, dtype=np.uint64) >> np.uint64(i) & np.uint64(1)) << np.uint64(2 * i) for i in range(MOST_BITS))
+
+
+def grid_shard(before: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
+    """The pair shard: the first half of ``bits`` bits of both names, taken in turns."""
+    half = np.uint64(64 - bits // 2)
+    return SPREAD[before >> half] << np.uint64(1) | SPREAD[token >> half]
+
+
+def pair_keys(before: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
+    """Names of pairs that begin with their shard."""
+    return grid_shard(before, token, bits) << np.uint64(64 - bits) | pair_names(before, token) >> np.uint64(bits)
+
+
 def as_table(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
@@ -336,91 +357,125 @@ def by_shard(names: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(shard[edge].tolist(), edge.tolist(), np.append(edge, len(names))[1:].tolist(), strict=True)
 
 
-#: Rows for pair shards (kind 0) and for word shards (kind 1).
-PAIRS = "kind int, shard int, names binary, u binary, w binary, counts binary, keys binary, singles binary, one long, two long"
+#: Rows for pair shards (kind 0) and for word shards (contexts: kind 1, words: kind 2, the vocabulary: kind 3).
+PAIRS = "kind int, shard int, names binary, others binary, u binary, w binary, counts binary, keys binary, singles binary, blob binary, lengths binary, one long, two long"
 ASKED = "kind int, shard int, chunk int, base int, names binary"
-WORDS = SHARD + ", fixed binary, customers binary, tables binary"
-
-
-def pairs_of(texts: DataFrame, word_bits: int, bits: int) -> DataFrame:
-    """Training pairs by shard of pairs (kind 0), and the pairs of each word, seen once or oftener, by shard of words (kind 1)."""
-    kind = "shard int, names binary, u binary, w binary, counts binary"
-
-    def add(u, w, c):
-        key, first, back = np.unique(pair_names(u, w), return_index=True, return_inverse=True)
-        return key, u[first], w[first], np.bincount(back, weights=c, minlength=len(key)).astype(np.int64)
-
-    def rows(key, u, w, c) -> pa.RecordBatch:
-        out = []
-        for shard, i, j in by_shard(key, bits):
-            names, back = np.unique(np.concatenate([u[i:j], w[i:j]]), return_inverse=True)
-            order = np.argsort(back[:j - i], kind="stable")
-            out.append((shard, raw(names, "<u8"), raw(back[:j - i][order], "<i4"), raw(back[j - i:][order], "<i4"), raw(c[i:j][order], "<i8")))
+WORDS = SHARD + ", fixed binary, customers binary, tables binary, seats binary"
+
+
+def counted(texts: DataFrame, word_bits: int, bits: int) -> DataFrame:
+    """Training pairs by shard of pairs (kind 0), the pairs of each context (kind 1) and word (kind 2), seen once or oftener, by shard of words, and
+    the training tokens' counts and spellings (kind 3: words ``one``, tokens ``two``)."""
+    kind = "kind int, shard int, names binary, others binary, each binary, at binary, counts binary, blob binary, lengths binary"
+
+    def rows(tokens, start, length, data) -> pa.Table:
+        """The pairs of neighbours (contexts, words, pairs of each context, word and count of each pair) and the tokens after the first."""
+        order = np.argsort(tokens)
+        names = tokens[order]
+        new = np.concatenate([[True], names[1:] != names[:-1]])
+        names, rank = names[new], np.empty(len(tokens), np.uint64)
+        rank[order] = np.cumsum(new, dtype=np.uint64) - np.uint64(1)
+        one, length = order[new], length[order[new]]
+        words = shard_rows(names, np.bincount(rank[1:].astype(np.int64), minlength=len(names)), _LOWER[data[ranges(start[one], length)]], length, word_bits)
+        out = [(3, r["shard"], r["names"], None, None, None, r["counts"], r["blob"], r["lengths"]) for r in each_row(words)]
+        size = np.uint64(len(names).bit_length())  # at most 22 bits for 2 * PAIRS_HELD tokens, beside 2 * MOST_BITS
+        u, w = rank[:-1], rank[1:]
+        code = np.sort(grid_shard(names[u], names[w], bits) << size * np.uint64(2) | u << size | w)
+        first = runs(code)
+        count, code = np.diff(first, append=len(code)), code[first]
+        mask = (np.uint64(1) << size) - np.uint64(1)
+        shard, u, w = (code >> size * np.uint64(2)).astype(np.int64), code >> size & mask, code & mask
+        edge = runs(shard)
+        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(code)], strict=True):
+            begin = runs(u[i:j])
+            other, at = np.unique(w[i:j], return_inverse=True)
+            out.append((0, int(shard[i]), raw(names[u[i:j][begin]], "<u8"), raw(names[other], "<u8"), raw(np.diff(begin, append=j - i), "<i4"), raw(at, "<i4"), raw(count[i:j], "<i4"), None, None))
         return as_table(out, kind)
 
+    def pieces(held) -> Iterator[pa.RecordBatch]:
+        """Slices put together, cut where one alone is too long; each piece begins with the token before it."""
+        ends = np.cumsum([0, *[len(data) for *_, data in held]])
+        tokens, length = (np.concatenate([[first], *[x[i] for x in held]]) for i, first in ((0, END), (2, 0)))
+        start = np.concatenate([[0], *[x[1] + at for x, at in zip(held, ends[:-1], strict=True)]])
+        data, size = np.concatenate([x[3] for x in held]), len(tokens) - 1
+        cut = np.linspace(0, size, size // (2 * PAIRS_HELD) + 2).astype(np.int64)
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            yield from rows(tokens[lo:hi + 1], start[lo:hi + 1], length[lo:hi + 1], data).to_batches()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, part in slices(batch.column(0)):
-                u, w, _ = sequence(part)
-                held.append(add(u, w, np.ones(len(u)))[1:])
+            for _, _, w in slices(batch.column(0)):
+                held.append((sequence(w)[1], with_ends(w, w.starts, 0), with_ends(w, w.ends - w.starts, 0), w.data))
                 size += len(held[-1][0])
-                if size > PAIRS_HELD:
-                    yield from rows(*add(*map(np.concatenate, zip(*held, strict=True)))).to_batches()
+                if size >= PAIRS_HELD:
+                    yield from pieces(held)
                     held, size = [], 0
         if held:
-            yield from rows(*add(*map(np.concatenate, zip(*held, strict=True)))).to_batches()
+            yield from pieces(held)
 
     def merge(part: pa.Table) -> pa.Table:
-        us, ws, cs = [], [], []
-        for row in each_row(part):
-            names = taken(row, "names", "<u8")
-            us.append(names[taken(row, "u", "<i4")])
-            ws.append(names[taken(row, "w", "<i4")])
-            cs.append(taken(row, "counts", "<i8"))
-        key, u, w, c = add(*map(np.concatenate, (us, ws, cs)))
-        many = c > 1
-        names, back = np.unique(np.concatenate([u[many], w[many]]), return_inverse=True)
-        half = int(many.sum())
-        out = [(0, part.column("shard")[0].as_py(), raw(names, "<u8"), raw(back[:half], "<i4"), raw(back[half:], "<i4"), raw(c[many], "<i8"),
-                raw(key[many], "<u8"), raw(key[~many], "<u8"), int((~many).sum()), int((c == 2).sum()))]
-        names, back = np.unique(np.concatenate([u, w]), return_inverse=True)
-        each = [np.bincount(back[at:at + len(u)], weights=x, minlength=len(names)) for x in (~many, many) for at in (0, len(u))]
-        for shard, i, j in by_shard(names, word_bits):
-            out.append((1, shard, raw(names[i:j], "<u8"), *[raw(x[i:j], "<i8") for x in each], b"", 0, 0))
+        if part.column("kind")[0].as_py():
+            words = merged(*zip(*rows_of(part), strict=True))
+            total = (len(words[0]), int(words[1].sum()))
+            return as_table([(3, r["shard"], r["names"], None, None, None, r["counts"], None, None, r["blob"], r["lengths"], *total) for r in each_row(shard_rows(*words, word_bits))], PAIRS)
+        names, others, each, ats, counts = ([taken(row, c, k) for row in each_row(part)] for c, k in
+                                            (("names", "<u8"), ("others", "<u8"), ("each", "<i4"), ("at", "<i4"), ("counts", "<i4")))
+        before = np.concatenate([[0], np.cumsum([len(x) for x in others])])
+        names, u = np.unique(np.concatenate(names), return_inverse=True)
+        others, w = np.unique(np.concatenate(others), return_inverse=True)
+        code = np.repeat(u, np.concatenate(each)) << 32 | w[np.concatenate([at + np.int64(b) for at, b in zip(ats, before[:-1], strict=True)])]
+        order = np.argsort(code)
+        code = code[order]
+        first = runs(code)
+        c = np.add.reduceat(np.concatenate(counts)[order], first, dtype=np.int64)
+        u, w = code[first] >> 32, code[first] & 0xFFFFFFFF
+        many, key = c > 1, pair_keys(names[u], others[w], bits)
+        order = np.flatnonzero(many)[np.argsort(key[many])]
+        (some_u, at_u), (some_w, at_w) = (np.unique(x[order], return_inverse=True) for x in (u, w))
+        out = [(0, part.column("shard")[0].as_py(), raw(names[some_u], "<u8"), raw(others[some_w], "<u8"), raw(at_u, "<i4"), raw(at_w, "<i4"), raw(c[order], "<i8"),
+                raw(key[order], "<u8"), raw(np.sort(key[~many]), "<u8"), None, None, int((~many).sum()), int((c == 2).sum()))]
+        for kind, own, at in ((1, names, u), (2, others, w)):
+            once, often = (np.bincount(at, weights=x, minlength=len(own)) for x in (~many, many))
+            for shard, i, j in by_shard(own, word_bits):
+                out.append((kind, shard, raw(own[i:j], "<u8"), None, raw(once[i:j], "<i8"), raw(often[i:j], "<i8"), *[None] * 5, 0, 0))
         return as_table(out, PAIRS)
 
-    return texts.mapInArrow(count, kind).groupBy("shard").applyInArrow(merge, PAIRS)
+    return texts.mapInArrow(count, kind).groupBy("kind", "shard").applyInArrow(merge, PAIRS)
 
 
-def state(held: dict, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """(customers, tables as a context) of a shard's words in one of the kept states, -1 the last."""
+def state(held: dict, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(customers, tables as a context, tables as a word) of a shard's words in one of the kept states, -1 the last."""
     size = len(held["names"])  # eight bytes a number, as names have
     first = which * size if which >= 0 else len(held["customers"]) - size
-    return tuple(numbers(held[c][first:first + size], "<i8") for c in ("customers", "tables"))
+    return tuple(numbers(held[c][first:first + size], "<i8") for c in ("customers", "tables", "seats"))
 
 
-def placed(names: np.ndarray, part: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
-    """Sums of the rows' columns per name."""
+def placed(names: np.ndarray, part: pa.Table, kind: int, columns: tuple[str, ...]) -> list[np.ndarray]:
+    """Sums of the columns of the rows of a kind, per name."""
     out = [np.zeros(len(names), np.int64) for _ in columns]
     for row in each_row(part):
-        at = np.searchsorted(names, taken(row, "names", "<u8"))
-        for x, c in zip(out, columns, strict=True):
-            x[at] += taken(row, c, "<i8")  # a row names a word once
+        if row["kind"] == kind:
+            at = np.searchsorted(names, taken(row, "names", "<u8"))
+            for x, c in zip(out, columns, strict=True):
+                x[at] += taken(row, c, "<i8")  # a row names a word once
     return out
 
 
-def first_state(words: DataFrame, pairs: DataFrame) -> DataFrame:
+def first_state(pairs: DataFrame) -> DataFrame:
     """The vocabulary with one table for every distinct pair; ``fixed``: those of pairs seen once."""
     def start(held: pa.Table, part: pa.Table) -> pa.Table:
         out = []
         for row in each_row(held):
-            names = taken(row, "names", "<u8")
-            t1, n1, t2, n2 = placed(names, part, ("u", "w", "counts", "keys"))
-            out.append((row["shard"], row["names"], row["counts"], row["blob"], row["lengths"], raw(np.stack([n1, t1]), "<i8"), raw(n1 + n2, "<i8"), raw(t1 + t2, "<i8")))
+            name, _, blob, length = unpack(row)
+            (t1, t2), (n1, n2) = (placed(name, part, kind, ("u", "w")) for kind in (1, 2))
+            seats = flat().word_tables(name, n1 + n2, blob, length, 0)
+            out.append((*(row[c] for c in ("shard", "names", "counts", "blob", "lengths")), raw(np.stack([n1, t1]), "<i8"), raw(n1 + n2, "<i8"), raw(t1 + t2, "<i8"), raw(seats, "<i8")))
         return as_table(out, WORDS)
 
-    return words.groupBy("shard").cogroup(pairs.where("kind = 1").groupBy("shard")).applyInArrow(start, WORDS)
+    told = pairs.where("kind IN (1, 2)").select("kind", "shard", "names", "u", "w")
+    words = pairs.where("kind = 3").select("shard", "names", "counts", "blob", "lengths")
+    return words.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(start, WORDS)
 
 
 @dataclass
@@ -438,82 +493,84 @@ class Fitted:
 
 
 HELD = "kind int, " + WORDS
-SEATED = "kind int, shard int, names binary, u binary, w binary, counts binary"
+SEATED = "kind int, shard int, names binary, counts binary"
+TOLD = "chunk int, kind int, base int, vals binary"
 
 
 def sweep_pairs(words: DataFrame, pairs: DataFrame, asked: DataFrame, model: Broadcast, discount: float, sweep: int, word_bits: int) -> DataFrame:
-    """Pairs seated anew: tables by pair shard (kind 0, in ``counts``) and what they add to words (kind 1: as contexts ``u``, as words ``w``)."""
+    """Pairs seated anew: tables by pair shard (kind 0), and what they add to words as contexts (kind 1) and as words (kind 2)."""
     def tell(questions: pa.Table, held: pa.Table) -> pa.Table:
         out = []
         if questions.num_rows and held.num_rows:
             row = next(each_row(held))
             name, _, blob, length = unpack(row)
-            n, t = state(row, -1)
-            p = model.value.word(name, n, blob, length)
-            for q in each_row(questions):
-                at = np.searchsorted(name, taken(q, "names", "<u8"))
-                out.append((q["chunk"], q["base"], raw(p[at], "<f4"), raw(t[at], "<i8")))
-        return as_table(out, "chunk int, base int, p binary, t binary")
+            n, t, seats = state(row, -1)
+            places = [(q["chunk"], q["kind"], q["base"], np.searchsorted(name, taken(q, "names", "<u8"))) for q in each_row(questions)]
+            some, p = np.zeros(len(name), bool), np.zeros(len(name))
+            for _, kind, _, at in places:
+                some[at] |= kind == 2
+            p[some] = model.value.word(n[some], seats[some], model.value.log10(*picked(blob, length, np.flatnonzero(some))))
+            out = [(chunk, kind, base, raw(t[at], "<i8") if kind == 1 else raw(p[at], "<f4")) for chunk, kind, base, at in places]
+        return as_table(out, TOLD)
 
     def sit(held: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in each_row(held):
-            names, u, w, c, key = (taken(row, x, k) for x, k in (("names", "<u8"), ("u", "<i4"), ("w", "<i4"), ("counts", "<i8"), ("keys", "<u8")))
-            p, t = np.zeros(len(names)), np.zeros(len(names))
+            names, others, u, w, c = (taken(row, x, k) for x, k in (("names", "<u8"), ("others", "<u8"), ("u", "<i4"), ("w", "<i4"), ("counts", "<i8")))
+            t, p = np.zeros(len(names)), np.zeros(len(others))
             for a in each_row(told):
-                some = taken(a, "p", "<f4")
-                p[a["base"]:a["base"] + len(some)], t[a["base"]:a["base"] + len(some)] = some, taken(a, "t", "<i8")
-            tables = seat(key, c, (STRENGTH + discount * t[u]) * p[w], discount, sweep)
-            out.append((0, row["shard"], None, None, None, raw(tables, "<i8")))
-            as_context, as_word = (np.bincount(x, weights=tables, minlength=len(names)) for x in (u, w))
-            for shard, i, j in by_shard(names, word_bits):
-                out.append((1, shard, raw(names[i:j], "<u8"), raw(as_context[i:j], "<i8"), raw(as_word[i:j], "<i8"), None))
+                x, some = (t, taken(a, "vals", "<i8")) if a["kind"] == 1 else (p, taken(a, "vals", "<f4"))
+                x[a["base"]:a["base"] + len(some)] = some
+            tables = seat(pair_names(names[u], others[w]), c, (STRENGTH + discount * t[u]) * p[w], discount, sweep)
+            out.append((0, row["shard"], None, raw(tables, "<i8")))
+            for kind, own, at in ((1, names, u), (2, others, w)):
+                sums = np.bincount(at, weights=tables, minlength=len(own))
+                for shard, i, j in by_shard(own, word_bits):
+                    out.append((kind, shard, raw(own[i:j], "<u8"), raw(sums[i:j], "<i8")))
         return as_table(out, SEATED)
 
-    told = asked.groupBy("shard").cogroup(words.drop("fixed").groupBy("shard")).applyInArrow(tell, "chunk int, base int, p binary, t binary")
-    return pairs.where("kind = 0").select("shard", "names", "u", "w", "counts", "keys").groupBy("shard").cogroup(told.groupBy("chunk")).applyInArrow(sit, SEATED)
+    told = asked.groupBy("shard").cogroup(words.drop("fixed").groupBy("shard")).applyInArrow(tell, TOLD)
+    return pairs.where("kind = 0").select("shard", "names", "others", "u", "w", "counts").groupBy("shard").cogroup(told.groupBy("chunk")).applyInArrow(sit, SEATED)
 
 
-def next_state(words: DataFrame, seated: DataFrame, keep: bool) -> DataFrame:
-    """The vocabulary after a sweep; ``keep``: the state before it is kept as well."""
+def next_state(words: DataFrame, seated: DataFrame, model: Broadcast, sweep: int, keep: bool) -> DataFrame:
+    """The vocabulary after a sweep under ``model``; ``keep``: the state before it is kept as well."""
     def put(held: pa.Table, part: pa.Table) -> pa.Table:
         out = []
         for row in each_row(held):
-            names = taken(row, "names", "<u8")
+            name, _, blob, length = unpack(row)
             fixed = taken(row, "fixed", "<i8").reshape(2, -1)
-            t, n = placed(names, part, ("u", "w"))
-            before = (row["customers"], row["tables"]) if keep else (b"", b"")
-            out.append(tuple(row[c] for c in ("shard", "names", "counts", "blob", "lengths", "fixed")) + (before[0] + raw(fixed[0] + n, "<i8"), before[1] + raw(fixed[1] + t, "<i8")))
+            (t,), (n,) = (placed(name, part, kind, ("counts",)) for kind in (1, 2))
+            now = (fixed[0] + n, fixed[1] + t, model.value.word_tables(name, fixed[0] + n, blob, length, sweep))
+            before = [row[c] if keep else b"" for c in ("customers", "tables", "seats")]
+            out.append((*(row[c] for c in ("shard", "names", "counts", "blob", "lengths", "fixed")), *(b + raw(x, "<i8") for b, x in zip(before, now, strict=True))))
         return as_table(out, WORDS)
 
-    return words.groupBy("shard").cogroup(seated.where("kind = 1").groupBy("shard")).applyInArrow(put, WORDS)
+    return words.groupBy("shard").cogroup(seated.where("kind > 0").groupBy("shard")).applyInArrow(put, WORDS)
 
 
 def spell(words: DataFrame, now: Spelling, sweep: int) -> Spelling:
-    """The words' customers and their spellings seated anew."""
-    sent = words.sparkSession.sparkContext.broadcast(replace(now, before=None))
-
+    """The spellings of the words' tables, which sat down under ``now``, seated anew."""
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
             for row in each_row(batch):
-                name, _, blob, length = unpack(row)
-                n, _ = state(row, -1)
-                cell, first = positions(blob, length)
-                t = seat(name, n, model.fresh(model.log10(blob, length, (cell, first))), model.discount, sweep)
-                u, back = np.unique(cell, return_inverse=True)
-                each = np.bincount(back, weights=np.repeat(t, length + 1), minlength=len(u)).astype(np.int64)
+                _, _, blob, length = unpack(row)
+                n, _, t = state(row, -1)
+                for lo, hi, (cell, _) in spelt(blob, length):
+                    both = np.sort(cell.astype(np.int64) << 39 | np.repeat(t[lo:hi], length[lo:hi] + 1))
+                    first = runs(both >> 39)
+                    each = np.add.reduceat(both & (1 << 39) - 1, first)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[first] >> 39), pa.array(each)], ["cell", "n"])
                 sums = [t.sum(), n.sum(), (n == 1).sum(), (n == 2).sum()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(u, [-1, -2, -3, -4]).astype(np.int64)), pa.array(np.append(each, sums).astype(np.int64))], ["cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([-1, -2, -3, -4])), pa.array(np.array(sums).astype(np.int64))], ["cell", "n"])
 
     # At most 2**24 cells: the bound of the spelling model.
     got = words.drop("fixed").mapInArrow(tables, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
-    sent.destroy()
     cell, n = got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     total = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
     after = seat_spellings(cell[cell >= 0], n[cell >= 0], now, sweep)
-    after.tables, after.tokens, after.sweep = float(total.get(-1, 0)), float(total.get(-2, 0)), sweep
-    after.discount, after.before = discount_from(total.get(-3, 0), total.get(-4, 0)), replace(now, before=None)
+    after.tables, after.tokens = float(total.get(-1, 0)), float(total.get(-2, 0))
+    after.discount = discount_from(total.get(-3, 0), total.get(-4, 0))
     return after
 
 
@@ -529,6 +586,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_answers(spark: SparkSession, path: str, last: int = 2) -> None:
+    """Delete what word shards have read of a table of pairs."""
+    for kind in range(1, last + 1):
+        drop_folder(spark, f"{path}/kind={kind}")
+
+
 @contextmanager
 def finished_shuffles_go(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a step are deleted with its end: every step is a written table, so nothing reads them again."""
@@ -547,42 +610,35 @@ def finished_shuffles_go(spark: SparkSession) -> Iterator[None]:
 def fit(training: DataFrame, size: int) -> Fitted:
     """The model of all texts of ``training``; ``size``: bytes, for the number of shards."""
     spark = training.sparkSession
-    word_bits, pair_bits = (power_of_two(size / each, 8, 1 << 24).bit_length() - 1 for each in (WORD_SHARD, PAIR_SHARD))
-    counted = stored(vocabulary(training, word_bits), "vocabulary")
-    pairs, pairs_path = stored_kinds(pairs_of(training, word_bits, pair_bits), "pairs")
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, c, _, _ in rows_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(c), int(c.sum()))], ["v", "n"])
-
-    total = lambda df, *cols: tuple(map(int, df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in cols]).first()))
-    distinct_words, tokens = total(counted.mapInArrow(totals, "v long, n long"), "v", "n")
-    discount = discount_from(*total(pairs, "one", "two"))
+    side = min(MOST_BITS, power_of_two(size / PAIR_SHARD, 4, 1 << 2 * MOST_BITS).bit_length() // 2)
+    word_bits, pair_bits = side + WORD_BITS, 2 * side
+    pairs, pairs_path = stored_kinds(counted(training, word_bits, pair_bits), "pairs")
+    total = {r.kind: (int(r.one), int(r.two)) for r in pairs.groupBy("kind").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).collect()}
+    distinct_words, tokens = total.get(3, (0, 0))
+    discount = discount_from(*total.get(0, (0, 0)))
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in each_row(batch):
-                names = taken(row, "names", "<u8")
-                yield from as_table([(0, s, row["shard"], i, raw(names[i:j], "<u8")) for s, i, j in by_shard(names, word_bits)], ASKED).to_batches()
+                for kind, names in ((1, taken(row, "names", "<u8")), (2, taken(row, "others", "<u8"))):
+                    yield from as_table([(kind, s, row["shard"], i, raw(names[i:j], "<u8")) for s, i, j in by_shard(names, word_bits)], ASKED).to_batches()
 
-    asked = stored(pairs.where("kind = 0").select("shard", "names").mapInArrow(questions, ASKED), "asked")
-    words = stored(first_state(counted, pairs), "words")
-    drop_stored(spark, counted)
-    drop_folder(spark, f"{pairs_path}/kind=1")
+    asked = stored(pairs.where("kind = 0").select("shard", "names", "others").mapInArrow(questions, ASKED), "asked")
+    words = stored(first_state(pairs), "words")
+    drop_answers(spark, pairs_path, 3)
     now = spell(words, flat(), 0)
     samples, seats = [], []
     for sweep in range(1, BURN_IN + SAMPLES + 1):
         sent = spark.sparkContext.broadcast(now)
         seated, seated_path = stored_kinds(sweep_pairs(words, pairs, asked, sent, discount, sweep, word_bits), "seated")
-        last, words = words, stored(next_state(words, seated, sweep > BURN_IN + 1), "words")
+        last, words = words, stored(next_state(words, seated, sent, sweep, sweep > BURN_IN + 1), "words")
         sent.destroy()
         drop_stored(spark, last)
         now = spell(words, now, sweep)
         if sweep > BURN_IN:
             samples.append(now)
             seats.append((seated, seated_path))
-            drop_folder(spark, f"{seated_path}/kind=1")
+            drop_answers(spark, seated_path)
         else:
             drop_folder(spark, seated_path)
     drop_stored(spark, asked)
@@ -591,7 +647,7 @@ def fit(training: DataFrame, size: int) -> Fitted:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, blob, length in rows_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([float((10.0 ** s.log10(blob, length)).sum())]) for s in sent.value], [f"s{i}" for i in range(SAMPLES)])
+                yield pa.RecordBatch.from_arrays([pa.array([float((10.0 ** x).sum())]) for x in log10_under(sent.value, blob, length)], [f"s{i}" for i in range(SAMPLES)])
 
     mass = words.select("names", "counts", "blob", "lengths").mapInArrow(seen, ", ".join(f"s{i} double" for i in range(SAMPLES))).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(SAMPLES)]).first()
     unknown = np.array([(STRENGTH + s.discount * s.tables) * max(1e-9, 1.0 - m) / (STRENGTH + s.tokens) for s, m in zip(samples, mass, strict=True)])
@@ -601,7 +657,7 @@ def fit(training: DataFrame, size: int) -> Fitted:
         out = []
         for row in each_row(held):
             t = [taken(x, "counts", "<i8") for x in each_row(parts)]
-            out.append((1, row["shard"], row["keys"], raw(taken(row, "counts", "<i8") - discount * np.mean(t, axis=0), "<f4"), row["singles"], None, None, None, None))
+            out.append((1, row["shard"], row["keys"], raw(taken(row, "counts", "<i8") - discount * np.mean(t, axis=0), "<f4"), row["singles"], *[None] * 5))
         return as_table(out, HELD)
 
     seats_of = seats[0][0]
@@ -625,16 +681,19 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True, turn:
     all_bits = (model.word_bits, model.pair_bits)
     keyed = docs.select(chunk_of(chunks, F.col("id"), F.col("text")).alias("chunk"), "id", "text").where(F.col("chunk") % turn[1] == turn[0])
 
-    def chunk_names(part: pa.Table) -> tuple[list, tuple, tuple]:
-        """Slices of the chunk, and its distinct words (the end is the first before being sorted) and pairs: names, and the place of each occurrence."""
+    def chunk_tokens(part: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+        """Slices of the chunk, and the names of its words (after that of the end) and pairs as they occur."""
         found = [(lo, hi, *sequence(w)) for lo, hi, w in slices(part.column("text"))]
-        pairs = [pair_names(u, w) for _, _, u, w, _ in found]
-        return found, *(np.unique(np.concatenate(x), return_inverse=True) for x in ([np.array([END]), *[f[3] for f in found]], [np.zeros(0, np.uint64), *pairs]))
+        pairs = [pair_keys(u, w, all_bits[1]) for _, _, u, w, _ in found]
+        return found, np.concatenate([np.array([END]), *[f[3] for f in found]]), np.concatenate([np.zeros(0, np.uint64), *pairs])
 
     def ask(part: pa.Table) -> pa.Table:
-        chunk = part.column("chunk")[0].as_py()
-        both = [names for names, _ in chunk_names(part)[1:]]
-        return as_table([(kind, s, chunk, i, raw(names[i:j], "<u8")) for kind, names in enumerate(both) for s, i, j in by_shard(names, all_bits[kind])], ASKED)
+        chunk, out = part.column("chunk")[0].as_py(), []
+        for kind, names in enumerate(chunk_tokens(part)[1:]):
+            names = np.sort(names)
+            names = names[runs(names)]
+            out += [(kind, s, chunk, i, raw(names[i:j], "<u8")) for s, i, j in by_shard(names, all_bits[kind])]
+        return as_table(out, ASKED)
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         """Words: count, probability and tables in each sample. Pairs: customers less discounted tables."""
@@ -646,8 +705,8 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True, turn:
                 own, single = taken(row, "counts", "<f4"), taken(row, "blob", "<u8")
             else:
                 _, count, blob, length = unpack(row)
-                placed = positions(blob, length)
-                each = [s.word(name, state(row, i)[0], blob, length, placed) for i, s in enumerate(sent.value)] + [state(row, i)[1] for i in range(SAMPLES)]
+                states, spelled_ = [state(row, i) for i in range(SAMPLES)], log10_under(sent.value, blob, length)
+                each = [s.word(n, seats, x) for s, (n, _, seats), x in zip(sent.value, states, spelled_, strict=True)] + [t for _, t, _ in states]
             for i in range(asked.num_rows):
                 q = numbers(asked.column("names")[i].as_py(), "<u8")
 
@@ -667,7 +726,8 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True, turn:
         return as_table(out, "kind int, chunk int, base int, counts binary, vals binary")
 
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
-        found, (names, word_at), (pairs, pair_at) = chunk_names(part)
+        found, *both = chunk_tokens(part)
+        (names, word_at), (pairs, pair_at) = (np.unique(x, return_inverse=True) for x in both)
         count, each, own = np.zeros(len(names), np.int64), np.zeros((2 * SAMPLES, len(names))), np.zeros(len(pairs))
         for row in each_row(told):
             lo, values = row["base"], taken(row, "vals", "<f4")

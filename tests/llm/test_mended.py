@@ -1,6 +1,7 @@
 """Rows without id in the mix, other tokenizer files, and language profiles of scripts with many letters."""
 from __future__ import annotations
 
+import collections
 import json
 import random
 import tracemalloc
@@ -102,6 +103,42 @@ def test_scores_in_turns_are_whole_and_the_model_goes(spark, monkeypatch):
     assert turns == [(0, 2), (1, 2)] and same == tokens and rows(found) == rows(whole) and len(rows(found)) == 200
 
 
+def test_questions_of_a_sweep_grow_with_the_pair_shards_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i % 40, 200)) for i in range(60)], "id long, text string")
+    asked, keep = [], op8_hpylm.stored
+
+    def stored(df, label):
+        out = keep(df, label)
+        if label == "asked":
+            asked.append((out.count(), out.select("chunk").distinct().count()))
+        return out
+
+    monkeypatch.setattr(op8_hpylm, "stored", stored)
+    found = []
+    for size in (1000, 1 << 30):
+        model = op8_hpylm.fit(docs.select("text"), size)
+        found.append({r.id: (r.n_known, round(r.score, 6)) for r in op8_hpylm.scores(docs, model, 2).collect()})
+    assert asked[0][1] == 4 and asked[1][1] == 64 and all(n <= 16 * shards for n, shards in asked)
+    assert found[0] == found[1] and len(found[0]) == 60
+
+
+def test_pairs_of_a_text_longer_than_a_piece_are_all_counted(spark):
+    r = random.Random(8)
+    tokens = [r.choice("abcdefgh") * r.randrange(1, 40) for _ in range(40_000)] * 70
+    text = " ".join(tokens)
+    pairs, words_ = {}, {}
+    for kind in op8_hpylm.counted(spark.createDataFrame([(text,), (None,)], "text string"), 4, 2).collect():
+        if kind.kind == 3:
+            names = op8_hpylm.numbers(kind.names, "<u8").tolist()
+            words_ |= dict(zip(names, op8_hpylm.numbers(kind.counts, "<i8").tolist(), strict=True))
+        if kind.kind == 0:
+            key = [op8_hpylm.numbers(kind[c], "<u8").tolist() for c in ("keys", "singles")]
+            pairs |= dict(zip(key[0], op8_hpylm.numbers(kind.counts, "<i8").tolist(), strict=True)) | dict.fromkeys(key[1], 1)
+    assert len(tokens) > 2 * op8_hpylm.PAIRS_HELD
+    assert sorted(words_.values()) == sorted(collections.Counter([*tokens, "", ""]).values())
+    assert sorted(pairs.values()) == sorted(collections.Counter(zip(["", *tokens, ""], [*tokens, "", ""])).values())
+
+
 def brute_bundle(text: str) -> np.ndarray:
     """Bind permuted letter vectors into trigrams around every letter and add them up."""
     symbols, out = [0], np.zeros(op6_language.DIMENSIONS)
