@@ -63,10 +63,10 @@ SAMPLES = 3
 SINGLE = 64
 STRENGTH = 1.0
 TURNS = 2  # the chunks are scored in so many turns, each of which gives up its shuffle files before the next
-PAIRS_HELD = 5 << 18  # tokens whose pairs a task gathers before it sends them
+PAIRS_HELD = 5 << 17  # tokens whose pairs a task gathers before it sends them
 PAIR_SHARD = 16 << 20  # bytes of text to a shard
 WORD_BITS = 3  # word shards to a row of the grid of pair shards, in bits
-SPELT = 1 << 17  # words that are spelt at once
+SPELT = 1 << 15  # words that are spelt at once
 MOST_BITS = 10  # of a side of the grid of pair shards
 SPACE = 32
 END = np.uint64(0x5DEECE66D1234567)  # name of the end token
@@ -378,7 +378,7 @@ def counted(texts: DataFrame, word_bits: int, bits: int) -> DataFrame:
         one, length = order[new], length[order[new]]
         words = shard_rows(names, np.bincount(rank[1:].astype(np.int64), minlength=len(names)), _LOWER[data[ranges(start[one], length)]], length, word_bits)
         out = [(3, r["shard"], r["names"], None, None, None, r["counts"], r["blob"], r["lengths"]) for r in each_row(words)]
-        size = np.uint64(len(names).bit_length())  # at most 22 bits for 2 * PAIRS_HELD tokens, beside 2 * MOST_BITS
+        size = np.uint64(len(names).bit_length())  # at most 21 bits for 2 * PAIRS_HELD tokens, beside 2 * MOST_BITS
         u, w = rank[:-1], rank[1:]
         code = np.sort(grid_shard(names[u], names[w], bits) << size * np.uint64(2) | u << size | w)
         first = runs(code)
@@ -683,9 +683,13 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True, turn:
 
     def chunk_tokens(part: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
         """Slices of the chunk, and the names of its words (after that of the end) and pairs as they occur."""
-        found = [(lo, hi, *sequence(w)) for lo, hi, w in slices(part.column("text"))]
-        pairs = [pair_keys(u, w, all_bits[1]) for _, _, u, w, _ in found]
-        return found, np.concatenate([np.array([END]), *[f[3] for f in found]]), np.concatenate([np.zeros(0, np.uint64), *pairs])
+        found, tokens, pairs = [], [np.array([END])], [np.zeros(0, np.uint64)]
+        for lo, hi, w in slices(part.column("text")):
+            before, token, doc = sequence(w)
+            found.append((lo, hi, doc.astype(np.int32)))
+            tokens.append(token)
+            pairs.append(pair_keys(before, token, all_bits[1]))
+        return found, np.concatenate(tokens), np.concatenate(pairs)
 
     def ask(part: pa.Table) -> pa.Table:
         chunk, out = part.column("chunk")[0].as_py(), []
@@ -727,7 +731,9 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True, turn:
 
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
         found, *both = chunk_tokens(part)
-        (names, word_at), (pairs, pair_at) = (np.unique(x, return_inverse=True) for x in both)
+        names, word_at = np.unique(both.pop(0), return_inverse=True)
+        pairs, pair_at = np.unique(both.pop(), return_inverse=True)
+        word_at, pair_at = word_at.astype(np.int32), pair_at.astype(np.int32)
         count, each, own = np.zeros(len(names), np.int64), np.zeros((2 * SAMPLES, len(names))), np.zeros(len(pairs))
         for row in each_row(told):
             lo, values = row["base"], taken(row, "vals", "<f4")
@@ -741,7 +747,7 @@ def scores(docs: DataFrame, model: Fitted, chunks: int, ends: bool = True, turn:
         base = np.log10((count + 0.1) / (tokens + 0.1 * (distinct_words + 1)))
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
         done = 0
-        for lo, hi, _, _, doc in found:
+        for lo, hi, doc in found:
             # A slice begins and ends with an end, whose place is the first of ``word_at``.
             own_at, w = pair_at[done:done + len(doc)], word_at[1 + done:1 + done + len(doc)]
             u = np.concatenate([word_at[:1], w[:-1]])
